@@ -176,15 +176,33 @@ def _links(docs: DataFrame, pairs: DataFrame, size: int, scratch: Scratch) -> Da
     return scratch.table(both.mapInArrow(_verify(size), "u long, v long"))
 
 
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose documents are in different components."""
+    for end in ("a", "b"):
+        side = parts.select(F.col("doc").alias(end), F.col("part").alias(f"part_{end}"))
+        pairs = pairs.join(side.hint("merge"), end, "left").withColumn(f"part_{end}", F.coalesce(f"part_{end}", end))
+    return pairs.where("part_a <> part_b").select("a", "b")
+
+
+def _list_pairs(product: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of different components within the long lists, as far as their sizes allow a link."""
+    rest = product.where("kind = 1").select("h", F.col("a").alias("doc"), F.col("n_a").alias("n")).join(parts.hint("merge"), "doc", "left")
+    rest = scratch.table(rest.withColumn("part", F.coalesce("part", "doc")))
+    mixed = scratch.table(rest.groupBy("h").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("h"))
+    rest = scratch.table(rest.join(keys_hint(mixed), "h", "left_semi"))
+    pairs = rest.alias("l").hint("merge").join(rest.alias("r"), F.expr("l.h = r.h AND l.doc < r.doc AND l.part <> r.part AND 5 * l.n >= 4 * r.n AND 5 * r.n >= 4 * l.n"))
+    return pairs.select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b")).distinct()
+
+
 def jaccard_groups(docs: DataFrame, size: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text), linked where Jaccard >= 0.8 exactly.
 
     Rows with equal shingle sets are one class from the start. Of each class's set, ordered with common columns last,
     the first n // 5 + 1 shingles are incidence entries: two sets with the needed overlap share one of them. Blocks of
-    columns are multiplied apart; sizes discard pairs, and what is left is verified on the whole sets. Columns with
-    many documents first tie each document to one of the list; the pairs of documents that are then still in different
-    components are all verified in a second round, so no link between components is missed and groups of copies give
-    few pairs. Every order of columns gives the same links; the common ones only come last to keep lists short.
+    columns are multiplied apart, and sizes discard pairs. Each document's pair with the most hits is verified first, on the
+    whole sets; of the other pairs only those still in different components are, all of them, so no link between
+    components is missed and groups of copies give few pairs. Columns with many documents give the pairs of their first
+    document at once, and those between components then. Every order of columns gives the same links; the common ones only come last to keep lists short.
     Rows are documents, also where they repeat a doc_id. A null doc_id links with nothing and has a null component; null
     and empty texts have n_shingles 0 and link with nothing. Other columns are ignored. An empty table gives no rows.
     """
@@ -202,21 +220,16 @@ def jaccard_groups(docs: DataFrame, size: int = 5) -> DataFrame:
         entries = classes.agg(F.sum(F.expr("n_shingles div 5 + 1"))).first()[0] or 0
         blocks = reps.mapInArrow(_entries(size, order, max(8, -(-entries // BLOCK))), BLOCKS)
         product = scratch.table(blocks.groupBy("bucket").applyInPandas(_product, PRODUCT))
-        pairs = scratch.table(product.where("kind = 0").groupBy("a", "b").agg(F.sum("hits").alias("hits")).select("a", "b"))
-        links = _links(reps, pairs, size, scratch)
-        parts = scratch.table(components(links))
-        rest = product.where("kind = 1").select("h", F.col("a").alias("doc"), F.col("n_a").alias("n"))
-        rest = rest.join(parts.select(F.col("u").alias("doc"), F.col("component").alias("part")).hint("merge"), "doc", "left").withColumn("part", F.coalesce("part", "doc"))
-        rest = scratch.table(rest)
-        mixed = rest.groupBy("h").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("h")
-        rest = scratch.table(rest.join(keys_hint(scratch.table(mixed)), "h", "left_semi"))
-        l, r = rest.alias("l"), rest.alias("r")
-        apart = l.hint("merge").join(r, F.expr("l.h = r.h AND l.doc < r.doc AND l.part <> r.part AND 5 * l.n >= 4 * r.n AND 5 * r.n >= 4 * l.n"))
-        apart = scratch.table(apart.select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b")).distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti"))
-        if not apart.isEmpty():
-            links = links.unionAll(_links(reps, apart, size, scratch))
-            parts = scratch.table(components(links))
-        ends = classes.select("k1", "k2", "n_shingles", "rep").join(parts.select(F.col("u").alias("rep"), "component").hint("merge"), "rep", "left")
+        pairs = scratch.table(product.where("kind = 0").groupBy("a", "b").agg(F.sum("hits").alias("hits")))
+        best = scratch.table(pairs.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a")).select("a", "b"))
+        links = _links(reps, best, size, scratch)
+        parts = scratch.table(components(links)).toDF("doc", "part")
+        open_pairs = _apart(pairs.select("a", "b"), parts).unionAll(_list_pairs(product, parts, scratch)).distinct()
+        open_pairs = scratch.table(open_pairs.join(best.hint("merge"), ["a", "b"], "left_anti"))
+        more = _links(reps, open_pairs, size, scratch)
+        if not more.isEmpty():
+            parts = scratch.table(components(links.unionAll(more))).toDF("doc", "part")
+        ends = classes.select("k1", "k2", "n_shingles", "rep").join(parts.toDF("rep", "component").hint("merge"), "rep", "left")
         ends = ends.select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("found"))
         out = sets.join(ends.hint("merge"), ["k1", "k2", "n_shingles"], "left")
         out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))

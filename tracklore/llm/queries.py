@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+
+from tracklore.llm.bpe import bpe_round_trip
 from tracklore.llm.common import read_table
 from tracklore.llm.jaccard import jaccard_groups
+from tracklore.llm.substring import substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +20,19 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {"op7_ngram_jaccard": op7_ngram_jaccard}
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(read_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), whole=False)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read_table(spark, sf_dir, "documents", "doc_id", "text"), length=50, whole=False)
+
+
+QUERIES: dict[str, Query] = {
+    "op5_byte_bpe": op5_byte_bpe,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op9_substring_dedup": op9_substring_dedup,
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_ngram_jaccard": r"""
@@ -33,5 +49,15 @@ both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, t.b FROM reach r JOIN both_ways t ON r.b = t.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = d.doc_id
+""",
+    "op9_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
+x AS (SELECT doc_id, i, md5(array_to_string(a[i : i + 49], ' ')) AS g FROM (SELECT doc_id, a, unnest(range(1, len(a) - 48)) AS i FROM w WHERE len(a) >= 50)),
+f AS (SELECT g, min(doc_id) AS d FROM x GROUP BY g),
+c AS (SELECT DISTINCT doc_id, j FROM (SELECT x.doc_id, unnest(range(i, i + 50)) AS j FROM x JOIN f USING (g) WHERE d < x.doc_id)),
+t AS (SELECT doc_id, unnest(a) AS v, unnest(range(1, len(a) + 1)) AS j FROM w),
+k AS (SELECT t.doc_id, count(*) AS n, string_agg(v, ' ' ORDER BY j) AS s FROM t ANTI JOIN c ON c.doc_id = t.doc_id AND c.j = t.j GROUP BY t.doc_id)
+SELECT w.doc_id, len(a) AS n_words, len(a) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.s, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
 """,
 }
