@@ -24,6 +24,12 @@ SHORT = 6
 
 SETS = "doc_id long, n_shingles long, k1 long, k2 long"
 HOT = "h long, n long"
+#: Rounds in which a long column ties its documents to one of them, before all its pairs between components are tried.
+STARS = 2
+#: Columns that a pair must share in its prefixes: the overlap that its sizes ask for, less all that can follow a prefix.
+LEAST_HITS = "(4 * (n_a + n_b) + 8) div 9 - greatest(n_a - n_a div 5 - 1, n_b - n_b div 5 - 1)"
+PAIR = ["a", "b", "n_a", "n_b", "hits"]
+
 BLOCKS = "bucket int, h binary, doc binary, n binary"
 PRODUCT = "kind int, a long, b long, h long, n_a int, n_b int, hits int"
 
@@ -102,45 +108,33 @@ def _entries(size: int, common, buckets: int):
     return run
 
 
-def _pairs_of_lists(start: np.ndarray, length: np.ndarray, short: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs: all of a short list; of a longer one each row with the first of the list."""
-    left, right = [], []
-    for k in range(2, short + 1):
-        at = start[length == k]
-        if len(at):
-            i, j = np.triu_indices(k, 1)
-            left.append((at[:, None] + i).ravel())
-            right.append((at[:, None] + j).ravel())
-    long = length > short
-    if long.any():
-        n = length[long] - 1
-        left.append(np.repeat(start[long], n))
-        right.append(np.repeat(start[long] + 1, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-    if not left:
-        return np.zeros(0, int), np.zeros(0, int)
-    return np.concatenate(left), np.concatenate(right)
-
-
 def _product(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of documents that share a column of this block, with the columns shared; long lists for a second look."""
+    """Pairs of documents that share a column of this block, with the columns shared, and the rows of long columns."""
     h, doc, n = unpack(pdf, h=np.uint64, doc=np.int64, n=np.int32)
-    order = np.lexsort((doc, n, h))
+    order = np.argsort(h, kind="stable")
     h, doc, n = h[order], doc[order], n[order]
-    # a list starts anew where a document is too large for a link with the first of the list
-    start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    length = np.diff(np.append(start, len(h)))
+    length = np.diff(np.append(np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))), len(h)))
     keep = np.repeat(length > 1, length)
     h, doc, n = h[keep], doc[keep], n[keep]
     length = length[length > 1]
     start = np.cumsum(length) - length
-    i, j = _pairs_of_lists(start, length, SHORT)
-    good = (5 * n[i].astype(np.int64) >= 4 * n[j]) & (doc[i] != doc[j])
+    i, j = [np.zeros(0, int)], [np.zeros(0, int)]
+    for k in range(2, SHORT + 1):
+        at = start[length == k]
+        x, y = np.triu_indices(k, 1)
+        i.append((at[:, None] + x).ravel())
+        j.append((at[:, None] + y).ravel())
+    i, j = np.concatenate(i), np.concatenate(j)
+    swap = doc[i] > doc[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    x, y = n[i].astype(np.int64), n[j].astype(np.int64)
+    good = (5 * np.minimum(x, y) >= 4 * np.maximum(x, y)) & (doc[i] != doc[j])
     i, j = i[good], j[good]
-    a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
-    order = np.lexsort((b, a))
-    i, a, b = i[order], a[order], b[order]
+    order = np.lexsort((doc[j], doc[i]))
+    i, j = i[order], j[order]
+    a, b = doc[i], doc[j]
     first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)])
-    pairs = pd.DataFrame({"kind": 0, "a": a[first], "b": b[first], "h": 0, "n_a": 0, "n_b": 0, "hits": np.diff(np.append(first, len(a)))})
+    pairs = pd.DataFrame({"kind": 0, "a": a[first], "b": b[first], "h": 0, "n_a": n[i[first]], "n_b": n[j[first]], "hits": np.diff(np.append(first, len(a)))})
     rest = np.repeat(length > SHORT, length)
     again = pd.DataFrame({"kind": 1, "a": doc[rest], "b": 0, "h": h[rest].view(np.int64), "n_a": n[rest], "n_b": 0, "hits": 0})
     return pd.concat([pairs, again])[["kind", "a", "b", "h", "n_a", "n_b", "hits"]]
@@ -169,6 +163,7 @@ def _verify(size: int):
 
 
 def _links(docs: DataFrame, pairs: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    pairs = pairs.select("a", "b")
     needed = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
     texts = scratch.table(docs.join(keys_hint(scratch.table(needed)), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
@@ -176,22 +171,43 @@ def _links(docs: DataFrame, pairs: DataFrame, size: int, scratch: Scratch) -> Da
     return scratch.table(both.mapInArrow(_verify(size), "u long, v long"))
 
 
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose documents are in different components."""
-    for end in ("a", "b"):
-        side = parts.select(F.col("doc").alias(end), F.col("part").alias(f"part_{end}"))
-        pairs = pairs.join(side.hint("merge"), end, "left").withColumn(f"part_{end}", F.coalesce(f"part_{end}", end))
-    return pairs.where("part_a <> part_b").select("a", "b")
+def _with_part(rows: DataFrame, key: str, name: str, parts: DataFrame | None) -> DataFrame:
+    if parts is None:
+        return rows.withColumn(name, F.col(key))
+    return rows.join(parts.toDF(key, name).hint("merge"), key, "left").withColumn(name, F.coalesce(name, key))
+
+
+def _apart(pairs: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Pairs whose documents are in different components."""
+    return _with_part(_with_part(pairs, "a", "part_a", parts), "b", "part_b", parts).where("part_a <> part_b").select(PAIR)
+
+
+def _mixed(lists: DataFrame, parts: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """The rows of long columns whose documents are in more than one component."""
+    rows = scratch.table(_with_part(lists, "doc", "part", parts))
+    mixed = rows.groupBy("h").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("h")
+    return scratch.table(rows.join(keys_hint(scratch.table(mixed)), "h", "left_semi"))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of rows l and r of a column, with their hits over all columns, as far as sizes and components allow a link."""
+    good = rows.where("l.doc <> r.doc AND l.part <> r.part AND 5 * l.n >= 4 * r.n AND 5 * r.n >= 4 * l.n")
+    low = F.expr("l.doc < r.doc")
+    ends = [F.when(low, F.col(f"l.{c}")).otherwise(F.col(f"r.{c}")).alias(n) for c, n in (("doc", "a"), ("n", "n_a"))]
+    ends += [F.when(low, F.col(f"r.{c}")).otherwise(F.col(f"l.{c}")).alias(n) for c, n in (("doc", "b"), ("n", "n_b"))]
+    return good.select(*ends).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("hits")).select(PAIR)
+
+
+def _star_pairs(rows: DataFrame, round_: int) -> DataFrame:
+    """Each document of a long column with one of the column, another one in each round."""
+    lead = rows.groupBy("h").agg(F.min_by(F.struct("doc", "n", "part"), F.xxhash64("doc", F.lit(round_))).alias("lead")).select("h", "lead.*")
+    return _pairs(rows.alias("r").join(lead.alias("l").hint("merge"), F.expr("l.h = r.h")))
 
 
-def _list_pairs(product: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs of different components within the long lists, as far as their sizes allow a link."""
-    rest = product.where("kind = 1").select("h", F.col("a").alias("doc"), F.col("n_a").alias("n")).join(parts.hint("merge"), "doc", "left")
-    rest = scratch.table(rest.withColumn("part", F.coalesce("part", "doc")))
-    mixed = scratch.table(rest.groupBy("h").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("h"))
-    rest = scratch.table(rest.join(keys_hint(mixed), "h", "left_semi"))
-    pairs = rest.alias("l").hint("merge").join(rest.alias("r"), F.expr("l.h = r.h AND l.doc < r.doc AND l.part <> r.part AND 5 * l.n >= 4 * r.n AND 5 * r.n >= 4 * l.n"))
-    return pairs.select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b")).distinct()
+def _best(pairs: DataFrame) -> DataFrame:
+    """For each document its pair with the most hits."""
+    ends = F.explode(F.array("a", "b")).alias("doc")
+    return pairs.select("*", ends).groupBy("doc").agg(F.max_by(F.struct(PAIR), F.struct("hits", "a", "b")).alias("p")).select("p.*").distinct()
 
 
 def jaccard_groups(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -200,9 +216,9 @@ def jaccard_groups(docs: DataFrame, size: int = 5) -> DataFrame:
     Rows with equal shingle sets are one class from the start. Of each class's set, ordered with common columns last,
     the first n // 5 + 1 shingles are incidence entries: two sets with the needed overlap share one of them. Blocks of
     columns are multiplied apart, and sizes discard pairs. Each document's pair with the most hits is verified first, on the
-    whole sets; of the other pairs only those still in different components are, all of them, so no link between
-    components is missed and groups of copies give few pairs. Columns with many documents give the pairs of their first
-    document at once, and those between components then. Every order of columns gives the same links; the common ones only come last to keep lists short.
+    whole sets; a column with many documents gives only pairs with one of them, another one in each of a few rounds. Of
+    all other pairs only those still in different components are verified, as far as the hits over all columns allow a
+    link: none between components is missed, and groups of copies give few pairs. Every order of columns gives the same links; the common ones only come last to keep lists short.
     Rows are documents, also where they repeat a doc_id. A null doc_id links with nothing and has a null component; null
     and empty texts have n_shingles 0 and link with nothing. Other columns are ignored. An empty table gives no rows.
     """
@@ -220,15 +236,26 @@ def jaccard_groups(docs: DataFrame, size: int = 5) -> DataFrame:
         entries = classes.agg(F.sum(F.expr("n_shingles div 5 + 1"))).first()[0] or 0
         blocks = reps.mapInArrow(_entries(size, order, max(8, -(-entries // BLOCK))), BLOCKS)
         product = scratch.table(blocks.groupBy("bucket").applyInPandas(_product, PRODUCT))
-        pairs = scratch.table(product.where("kind = 0").groupBy("a", "b").agg(F.sum("hits").alias("hits")))
-        best = scratch.table(pairs.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a")).select("a", "b"))
-        links = _links(reps, best, size, scratch)
-        parts = scratch.table(components(links)).toDF("doc", "part")
-        open_pairs = _apart(pairs.select("a", "b"), parts).unionAll(_list_pairs(product, parts, scratch)).distinct()
-        open_pairs = scratch.table(open_pairs.join(best.hint("merge"), ["a", "b"], "left_anti"))
-        more = _links(reps, open_pairs, size, scratch)
+        pairs = scratch.table(product.where("kind = 0").groupBy("a", "b", "n_a", "n_b").agg(F.sum("hits").alias("hits")).select(PAIR))
+        lists = product.where("kind = 1").select("h", F.col("a").alias("doc"), F.col("n_a").alias("n"))
+        links = tried = parts = None
+        for k in range(STARS):
+            rows = _mixed(lists, parts, scratch)
+            star = _star_pairs(rows, k)
+            now = _best(_apart(pairs, parts).unionAll(star)) if k == 0 else _best(star)
+            now = scratch.table(now if tried is None else now.join(tried.hint("merge"), ["a", "b"], "left_anti"))
+            if k and now.isEmpty():
+                break
+            found = _links(reps, now, size, scratch)
+            links, tried = (found, now.select("a", "b")) if links is None else (links.unionAll(found), tried.unionAll(now.select("a", "b")))
+            parts = scratch.table(components(links))
+        rows = _mixed(lists, parts, scratch)
+        left = _apart(pairs, parts).unionAll(_pairs(rows.alias("l").hint("merge").join(rows.alias("r"), F.expr("l.h = r.h AND l.doc < r.doc AND l.part <> r.part"))))
+        left = left.groupBy("a", "b", "n_a", "n_b").agg(F.sum("hits").alias("hits")).where(f"hits >= {LEAST_HITS}")
+        left = scratch.table(left.join(tried.hint("merge"), ["a", "b"], "left_anti").select(PAIR))
+        more = _links(reps, left, size, scratch)
         if not more.isEmpty():
-            parts = scratch.table(components(links.unionAll(more))).toDF("doc", "part")
+            parts = scratch.table(components(links.unionAll(more)))
         ends = classes.select("k1", "k2", "n_shingles", "rep").join(parts.toDF("rep", "component").hint("merge"), "rep", "left")
         ends = ends.select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("found"))
         out = sets.join(ends.hint("merge"), ["k1", "k2", "n_shingles"], "left")

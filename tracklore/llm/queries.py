@@ -7,30 +7,47 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-
 from tracklore.llm.bpe import bpe_round_trip
 from tracklore.llm.common import read_table
 from tracklore.llm.jaccard import jaccard_groups
+from tracklore.llm.packing import pack_documents
+from tracklore.llm.quality_rules import quality_rules
+from tracklore.llm.sharding import shard
 from tracklore.llm.substring import substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), whole=False)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(read_table(spark, sf_dir, "documents", "doc_id", "text"), 24)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents", "doc_id", "text"), length=50, whole=False)
 
 
 QUERIES: dict[str, Query] = {
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_quality_rules": op6_quality_rules,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_sharding": op8_sharding,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
@@ -59,5 +76,22 @@ t AS (SELECT doc_id, unnest(a) AS v, unnest(range(1, len(a) + 1)) AS j FROM w),
 k AS (SELECT t.doc_id, count(*) AS n, string_agg(v, ' ' ORDER BY j) AS s FROM t ANTI JOIN c ON c.doc_id = t.doc_id AND c.j = t.j GROUP BY t.doc_id)
 SELECT w.doc_id, len(a) AS n_words, len(a) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.s, '')) AS kept_sha256
 FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+""",
+    "op6_quality_rules": r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
+g AS (SELECT doc_id, i, a[i] || ' ' || a[i + 1] || ' ' || a[i + 2] AS g FROM (SELECT doc_id, a, unnest(range(1, len(a) - 1)) AS i FROM w WHERE len(a) >= 3)),
+d AS (SELECT doc_id, g FROM g GROUP BY doc_id, g HAVING count(*) > 1),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g JOIN d USING (doc_id, g)) GROUP BY doc_id),
+l AS (SELECT doc_id, host, text, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+k AS (SELECT *, trim(regexp_replace(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g')) AS k FROM l),
+h AS (SELECT host, count(DISTINCT text) AS t FROM w GROUP BY host),
+b AS (SELECT host, k FROM (SELECT host, k, count(DISTINCT text) AS n FROM k GROUP BY host, k) JOIN h USING (host) WHERE n >= 50 AND n > 0.10 * t),
+u AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM l GROUP BY doc_id),
+x AS (SELECT doc_id, sum(n)::BIGINT AS n FROM k JOIN b USING (host, k) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(a) AS n_words, length(array_to_string(a, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(u.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(x.n, 0) AS boilerplate_words
+  FROM w LEFT JOIN u ON u.doc_id = w.doc_id LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN x ON x.doc_id = w.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * boilerplate_words <= n_words AS kept FROM m
 """,
 }
