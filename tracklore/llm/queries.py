@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracklore.llm.bpe import bpe_round_trip
 from tracklore.llm.common import read_table
+from tracklore.llm.hnsw import near_vectors
 from tracklore.llm.jaccard import jaccard_groups
 from tracklore.llm.packing import pack_documents
 from tracklore.llm.quality_rules import quality_rules
@@ -18,6 +19,10 @@ from tracklore.llm.substring import substring_dedup
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), least=0.98)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
@@ -43,6 +48,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
@@ -52,6 +58,17 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) > 0),
+p AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.98),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, p.b FROM reach r JOIN p ON r.b = p.a)
+SELECT d.vec_id, coalesce(n.n, 0) AS n_links, m.c AS component_id, d.vec_id = m.c AS kept
+FROM embeddings d LEFT JOIN n ON n.a = d.vec_id JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = d.vec_id
+""",
     "op7_ngram_jaccard": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a
