@@ -12,13 +12,19 @@ from tracklore.llm.common import read_table
 from tracklore.llm.hnsw import near_vectors
 from tracklore.llm.jaccard import jaccard_groups
 from tracklore.llm.packing import pack_documents
+from tracklore.llm.quality_model import quality_scores
 from tracklore.llm.quality_rules import quality_rules
 from tracklore.llm.sharding import shard
 from tracklore.llm.substring import substring_dedup
+from tracklore.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), least=0.98)
 
@@ -47,7 +53,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents", "doc_id", "text"), length=50, whole=False)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "toxic")).drop("features")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_quality": op1_quality,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_byte_bpe": op5_byte_bpe,
@@ -55,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_sharding": op8_sharding,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
