@@ -11,6 +11,7 @@ from tracklore.llm.bpe import bpe_round_trip
 from tracklore.llm.common import read_table
 from tracklore.llm.hnsw import near_vectors
 from tracklore.llm.jaccard import jaccard_groups
+from tracklore.llm.language import language_id, page_fields
 from tracklore.llm.packing import pack_documents
 from tracklore.llm.quality_model import quality_scores
 from tracklore.llm.quality_rules import quality_rules
@@ -29,6 +30,11 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), least=0.98)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id(page_fields(read_table(spark, sf_dir, "pages", "page_id", "url", "html")), read_table(spark, sf_dir, "documents", "lang", "text"))
+    return found.withColumnRenamed("id", "page_id")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
@@ -60,6 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
