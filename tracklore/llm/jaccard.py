@@ -26,9 +26,8 @@ SETS = "doc_id long, n_shingles long, k1 long, k2 long"
 HOT = "h long, n long"
 #: Rounds in which a long column ties its documents to one of them, before all its pairs between components are tried.
 STARS = 2
-#: Columns that a pair must share in its prefixes: the overlap that its sizes ask for, less all that can follow a prefix.
-LEAST_HITS = "(4 * (n_a + n_b) + 8) div 9 - greatest(n_a - n_a div 5 - 1, n_b - n_b div 5 - 1)"
 PAIR = ["a", "b", "n_a", "n_b", "hits"]
+PAIR_BLOCK = ["bucket", *PAIR]
 
 BLOCKS = "bucket int, h binary, doc binary, n binary"
 PRODUCT = "kind int, a long, b long, h long, n_a int, n_b int, hits int"
@@ -199,11 +198,78 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def _star_pairs(rows: DataFrame, round_: int) -> DataFrame:
-    """Each document of a long column with one of the column, another one in each round."""
-    lead = rows.groupBy("h").agg(F.min_by(F.struct("doc", "n", "part"), F.xxhash64("doc", F.lit(round_))).alias("lead")).select("h", "lead.*")
+    """Each document of a long column with one of the column: the one in most long columns, then another in each round."""
+    order = F.struct(F.col("degree") if round_ == 0 else F.lit(0), F.xxhash64("doc", F.lit(round_)))
+    lead = rows.groupBy("h").agg(F.max_by(F.struct("doc", "n", "part"), order).alias("lead")).select("h", "lead.*")
     return _pairs(rows.alias("r").join(lead.alias("l").hint("merge"), F.expr("l.h = r.h")))
 
 
+def _pair_blocks(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, hits: np.ndarray, buckets: int) -> pa.RecordBatch:
+    key = tk.mix(a.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.int64).view(np.uint64))
+    return pack((key % np.uint64(buckets)).astype(np.int32), a=a.astype(np.int64), b=b.astype(np.int64), n_a=n_a.astype(np.int32), n_b=n_b.astype(np.int32), hits=hits.astype(np.int32))
+
+
+def _summed(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, hits: np.ndarray) -> list[np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b, n_a, n_b, hits = (x[order] for x in (a, b, n_a, n_b, hits))
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)])
+    return [a[first], b[first], n_a[first], n_b[first], np.add.reduceat(hits, first) if len(first) else hits]
+
+
+def _block_product(buckets: int):
+    """The product of one block of long columns, between components only: rows outside a column's largest part with all."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, doc, part, n = (pdf[c].to_numpy(np.int64) for c in ("h", "doc", "part", "n"))
+        order = np.lexsort((part, h))
+        h, doc, part, n = h[order], doc[order], part[order], n[order]
+        cuts = np.append(np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))), len(h))
+        found, held = [[np.zeros(0, np.int64)] * 5], 0
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own, size = part[lo:hi], n[lo:hi]
+            value, count = np.unique(own, return_counts=True)
+            large = value[np.argmax(count)]
+            for i in np.flatnonzero(own != large).tolist():
+                near = (own != own[i]) & (5 * size >= 4 * size[i]) & (5 * size[i] >= 4 * size) & ((own == large) | (np.arange(hi - lo) > i))
+                j = np.flatnonzero(near) + lo
+                if len(j):
+                    low = doc[j] < doc[lo + i]
+                    mine, its = np.full(len(j), doc[lo + i]), np.full(len(j), size[i])
+                    found.append([np.where(low, doc[j], mine), np.where(low, mine, doc[j]), np.where(low, n[j], its), np.where(low, its, n[j]), np.ones(len(j), np.int64)])
+                    held += len(j)
+            if held > 4_000_000:
+                found, held = [_summed(*map(np.concatenate, zip(*found, strict=True)))], 0
+        sums = _summed(*map(np.concatenate, zip(*found, strict=True)))
+        return _pair_blocks(*sums, buckets).to_pandas() if len(sums[0]) else pd.DataFrame({c: [] for c in PAIR_BLOCK}).astype({"bucket": np.int32})
+
+    return run
+
+
+def _as_blocks(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in empty_safe(batches):
+            yield _pair_blocks(*(batch.column(c).to_numpy() for c in PAIR), buckets)
+
+    return run
+
+
+def _hopeful(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of one block whose hits over all columns leave a link possible."""
+    a, b, n_a, n_b, hits = _summed(*(x.astype(np.int64) for x in unpack(pdf, a=np.int64, b=np.int64, n_a=np.int32, n_b=np.int32, hits=np.int32)))
+    least = (4 * (n_a + n_b) + 8) // 9 - np.maximum(n_a - n_a // 5 - 1, n_b - n_b // 5 - 1)
+    good = hits >= least
+    return pd.DataFrame({"a": a[good], "b": b[good], "n_a": n_a[good], "n_b": n_b[good], "hits": hits[good]})
+
+
+def _open_pairs(pairs: DataFrame, rows: DataFrame, parts: DataFrame, buckets: int) -> DataFrame:
+    """All pairs between components that short and long columns give together, as far as their hits allow a link."""
+    schema = ", ".join(f"{c} {'int' if c == 'bucket' else 'binary'}" for c in PAIR_BLOCK)
+    short = _apart(pairs, parts).mapInArrow(_as_blocks(buckets), schema)
+    block = F.pmod("h", F.lit(buckets)).alias("block")
+    long = rows.select(block, "h", "doc", "part", F.col("n").cast("long").alias("n")).groupBy("block").applyInPandas(_block_product(buckets), schema)
+    return short.unionAll(long).groupBy("bucket").applyInPandas(_hopeful, "a long, b long, n_a long, n_b long, hits long")
+
+
 def _best(pairs: DataFrame) -> DataFrame:
     """For each document its pair with the most hits."""
     ends = F.explode(F.array("a", "b")).alias("doc")
@@ -234,10 +300,13 @@ def jaccard_groups(docs: DataFrame, size: int = 5) -> DataFrame:
         known = common.orderBy(F.desc("n"), "h").limit(KNOWN_COMMON).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
         order = spark.sparkContext.broadcast(np.sort(known))
         entries = classes.agg(F.sum(F.expr("n_shingles div 5 + 1"))).first()[0] or 0
-        blocks = reps.mapInArrow(_entries(size, order, max(8, -(-entries // BLOCK))), BLOCKS)
+        columns = max(8, -(-entries // BLOCK))
+        blocks = reps.mapInArrow(_entries(size, order, columns), BLOCKS)
         product = scratch.table(blocks.groupBy("bucket").applyInPandas(_product, PRODUCT))
         pairs = scratch.table(product.where("kind = 0").groupBy("a", "b", "n_a", "n_b").agg(F.sum("hits").alias("hits")).select(PAIR))
         lists = product.where("kind = 1").select("h", F.col("a").alias("doc"), F.col("n_a").alias("n"))
+        degrees = lists.groupBy("doc").agg(F.count("*").alias("degree"))
+        lists = scratch.table(lists.join(degrees.hint("merge"), "doc"))
         links = tried = parts = None
         for k in range(STARS):
             rows = _mixed(lists, parts, scratch)
@@ -249,9 +318,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5) -> DataFrame:
             found = _links(reps, now, size, scratch)
             links, tried = (found, now.select("a", "b")) if links is None else (links.unionAll(found), tried.unionAll(now.select("a", "b")))
             parts = scratch.table(components(links))
-        rows = _mixed(lists, parts, scratch)
-        left = _apart(pairs, parts).unionAll(_pairs(rows.alias("l").hint("merge").join(rows.alias("r"), F.expr("l.h = r.h AND l.doc < r.doc AND l.part <> r.part"))))
-        left = left.groupBy("a", "b", "n_a", "n_b").agg(F.sum("hits").alias("hits")).where(f"hits >= {LEAST_HITS}")
+        left = _open_pairs(pairs, _mixed(lists, parts, scratch), parts, columns)
         left = scratch.table(left.join(tried.hint("merge"), ["a", "b"], "left_anti").select(PAIR))
         more = _links(reps, left, size, scratch)
         if not more.isEmpty():
