@@ -15,10 +15,13 @@ from tracklore.llm.common import Scratch, components, cut, empty_safe
 SHARD, BLOCK = 16_384, 4_096
 #: Links of a node, beam while building, first beam while searching, nodes expanded at once.
 LINKS, BUILD_BEAM, FIRST_BEAM, EXPAND = 16, 48, 64, 4
+#: Links to a node, at least, and slots of a node for links that see to it.
+INWARD, SPARE = 3, 6
 #: Each level keeps one node in so many of the one below.
 LEVEL = 16
-#: Audited queries of each block and shard, and the share of their links that must be found.
-AUDIT, RECALL = 64, 0.999
+#: Audited queries of each block and shard, and the share of their links that must be found from this side alone; each
+#: pair is looked for from both sides.
+AUDIT, RECALL = 64, 0.98
 _CELLS = 1 << 25
 
 
@@ -31,6 +34,10 @@ def _top(sims: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(part, np.argsort(-np.take_along_axis(sims, part, 1), axis=1, kind="stable"), 1)
 
 
+def _near(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return (rows @ q[:, :, None])[:, :, 0]
+
+
 class Graph:
     """Levels of neighbour lists over unit vectors; nodes enter in growing batches, each searched in what stands."""
 
@@ -48,31 +55,46 @@ class Graph:
     def _build(self, nodes: np.ndarray) -> None:
         upper = self.levels[-1][0] if self.levels else nodes[:0]
         nodes = np.concatenate((upper, np.setdiff1d(nodes, upper)))
-        links = np.full((len(self.v), LINKS), -1, np.int32)
+        links = np.full((len(self.v), LINKS + SPARE), -1, np.int32)
         done = min(len(nodes), 64)
         seed = nodes[:done]
         sims = self.v[seed] @ self.v[seed].T
         np.fill_diagonal(sims, -np.inf)
         near = _top(sims, min(BUILD_BEAM, done))
-        links[seed] = self._choose(seed, seed[near], np.take_along_axis(sims, near, 1))
+        links[seed, :LINKS] = self._choose(seed, seed[near], np.take_along_axis(sims, near, 1))
         while done < len(nodes):
             batch = nodes[done : done + max(64, done // 2)]
             starts = self.descend(self.v[batch]) if self.levels else np.tile(nodes[:16], (len(batch), 1))
             for _ in range(2):  # the second time the batch's nodes find each other
                 found, sims = self.beam(self.v[batch], starts, links, BUILD_BEAM, own=batch)
-                links[batch] = self._choose(batch, found, sims)
+                links[batch, :LINKS] = self._choose(batch, found, sims)
                 self._back(batch, links)
                 starts = np.concatenate((starts, batch[:, None]), 1)
             done += len(batch)
+        self._reach(nodes, links)
         self.levels.append((nodes, links))
 
+    @staticmethod
+    def _reach(nodes: np.ndarray, links: np.ndarray) -> None:
+        """Links back to nodes that few others link to, in their neighbours' spare slots."""
+        inward = np.bincount(links[links >= 0], minlength=len(links))
+        used = np.zeros(len(links), int)
+        for x in nodes[inward[nodes] < INWARD].tolist():
+            for y in links[x].tolist():
+                if inward[x] >= INWARD or y < 0:
+                    break
+                if used[y] < SPARE:
+                    links[y, LINKS + used[y]] = x
+                    used[y] += 1
+                    inward[x] += 1
+
     def _choose(self, nodes: np.ndarray, found: np.ndarray, sims: np.ndarray) -> np.ndarray:
         """For each node up to LINKS of its candidates, sorted by similarity: first those nearer to it than to any chosen before."""
         out = np.full((len(nodes), LINKS), -1, np.int32)
         for a in range(0, len(nodes), 512):
             f, s = found[a : a + 512], sims[a : a + 512]
             x = self.v[np.maximum(f, 0)]
-            cross = np.einsum("bid,bjd->bij", x, x)
+            cross = x @ x.transpose(0, 2, 1)
             good = np.isfinite(s) & (f >= 0)
             taken = np.zeros(f.shape, bool)
             for k in range(f.shape[1]):
@@ -86,7 +108,7 @@ class Graph:
     def _back(self, batch: np.ndarray, links: np.ndarray) -> None:
         """Links from the chosen neighbours back to the batch; full lists are chosen anew."""
         src = np.repeat(batch, LINKS)
-        dst = links[batch].ravel()
+        dst = links[batch, :LINKS].ravel()
         src, dst = src[dst >= 0], dst[dst >= 0]
         order = np.argsort(dst, kind="stable")
         src, dst = src[order], dst[order]
@@ -96,13 +118,13 @@ class Graph:
             width = int(min(c.max(), 4 * LINKS))
             cols = np.arange(width)
             fresh = np.where(cols < c[:, None], src[np.minimum(f[:, None] + cols, len(src) - 1)], -1)
-            every = np.concatenate((links[t], fresh), 1)
+            every = np.concatenate((links[t, :LINKS], fresh), 1)
             every = np.sort(every, axis=1)
             every[:, 1:][every[:, 1:] == every[:, :-1]] = -1
             every[every == t[:, None]] = -1
-            sims = np.where(every >= 0, np.einsum("bd,bkd->bk", self.v[t], self.v[np.maximum(every, 0)]), -np.inf)
+            sims = np.where(every >= 0, _near(self.v[t], self.v[np.maximum(every, 0)]), -np.inf)
             best = _top(sims, min(sims.shape[1], BUILD_BEAM))
-            links[t] = self._choose(t, np.take_along_axis(every, best, 1), np.take_along_axis(sims, best, 1))
+            links[t, :LINKS] = self._choose(t, np.take_along_axis(every, best, 1), np.take_along_axis(sims, best, 1))
 
     def descend(self, queries: np.ndarray, levels: int | None = None) -> np.ndarray:
         """Entry nodes for the level below those built: the nearest found on each level, from the top."""
@@ -142,14 +164,14 @@ class Graph:
             good = order >= 0
             good[:, 1:] &= order[:, 1:] != order[:, :-1]
             new = order
-            fresh = np.where(good, np.einsum("bd,bkd->bk", q[rows], self.v[np.maximum(new, 0)]), -np.inf).astype(np.float32)
+            fresh = np.where(good, _near(q[rows], self.v[np.maximum(new, 0)]), -np.inf).astype(np.float32)
             every = np.concatenate((sims[rows], fresh), 1)
             best = _top(every, width)
             nodes[rows] = np.take_along_axis(np.concatenate((nodes[rows], new), 1), best, 1)
             sims[rows] = np.take_along_axis(every, best, 1)
             spent[rows] = np.take_along_axis(np.concatenate((spent[rows], ~good), 1), best, 1)
             waiting = np.where(spent[rows] | ~np.isfinite(sims[rows]), -np.inf, sims[rows])
-            pick = _top(waiting, min(EXPAND, width))
+            pick = _top(waiting, min(max(EXPAND, width // 32), width))
             live = np.isfinite(np.take_along_axis(waiting, pick, 1))
             going = live.any(1)
             rows, pick, live = rows[going], pick[going], live[going]
@@ -166,31 +188,35 @@ class Graph:
         return nodes, sims
 
     def within(self, queries: np.ndarray, least: float, starts: np.ndarray | None = None) -> list[np.ndarray]:
-        """For each query the nodes found at a similarity of least or more; beams widen until the audit passes."""
-        n, links = len(self.v), self.levels[-1][1]
+        """For each query the nodes found at a similarity of least or more: the beam that the audit passes, or wider."""
         audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
         truth = queries[audit] @ self.v.T >= least
         width = FIRST_BEAM
-        while True:
-            out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(queries)
-            todo, beam = np.arange(len(queries)), width
-            while len(todo):
-                if beam >= n:
-                    for k in todo:
-                        out[k] = np.flatnonzero(self.v @ queries[k] >= least)
-                    break
-                entry = self.descend(queries[todo], len(self.levels) - 1) if len(self.levels) > 1 else np.tile(self.levels[0][0][:16], (len(todo), 1))
-                if starts is not None:
-                    entry = np.concatenate((entry, starts[todo][:, None]), 1)
-                nodes, sims = self.beam(queries[todo], entry, links, beam)
-                full = sims[:, -1] >= least  # the beam may have cut links off
-                for k in np.flatnonzero(~full):
-                    out[todo[k]] = nodes[k][sims[k] >= least]
-                todo, beam = todo[full], 4 * beam
-            found = sum(truth[i][out[k]].sum() for i, k in enumerate(audit))
-            if found >= RECALL * truth.sum() or width >= n:
-                return out
-            width *= 4
+        while width < len(self.v):
+            found = self._within(queries[audit], least, None if starts is None else starts[audit], width)
+            if sum(row[f].sum() for row, f in zip(truth, found, strict=True)) >= RECALL * truth.sum():
+                break
+            width *= 2
+        return self._within(queries, least, starts, width)
+
+    def _within(self, queries: np.ndarray, least: float, starts: np.ndarray | None, width: int) -> list[np.ndarray]:
+        n, links = len(self.v), self.levels[-1][1]
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(queries)
+        todo = np.arange(len(queries))
+        while len(todo) and width < n:
+            entry = self.descend(queries[todo], len(self.levels) - 1) if len(self.levels) > 1 else np.tile(self.levels[0][0][:16], (len(todo), 1))
+            if starts is not None:
+                entry = np.concatenate((entry, starts[todo][:, None]), 1)
+            nodes, sims = self.beam(queries[todo], entry, links, width)
+            full = sims[:, -1] >= least  # the beam may have cut links off
+            for k in np.flatnonzero(~full):
+                out[todo[k]] = nodes[k][sims[k] >= least]
+            todo, width = todo[full], 4 * width
+        for a in range(0, len(todo), 256):
+            sims = queries[todo[a : a + 256]] @ self.v.T >= least
+            for k, row in zip(todo[a : a + 256], sims, strict=True):
+                out[k] = np.flatnonzero(row)
+        return out
 
 
 def _unit(flat: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
