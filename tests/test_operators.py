@@ -1,0 +1,176 @@
+"""Small cases by hand and properties of the operators that SQL does not check."""
+
+import itertools
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tracklore.functions import scalar as X
+from tracklore.operators import cohort as C
+from tracklore.operators import learn as L
+from tracklore.operators import link as K
+from tracklore.operators import series as R
+from tracklore.operators import tracks as T
+from tracklore.operators import voxels as V
+from tracklore.sources import tables as S
+from tracklore.streaming import link_stream as Q
+
+DET = "block_name long, track_id long, time int, object_label long, centroid_z double, centroid_y double, centroid_x double, volume_voxels double, mean_intensity double"
+
+
+def moving(blocks=3, objects=6, frames=12, seed=3):
+    rng = np.random.default_rng(seed)
+    out = []
+    for b in range(blocks):
+        place = rng.uniform(0, 300, (objects, 2))
+        speed = rng.uniform(-4, 4, (objects, 2))
+        for t in range(frames):
+            for o in range(objects):
+                if rng.random() > 0.08:
+                    y, x = place[o] + speed[o] * t
+                    out.append((b, o, t, o + 1, 1.0, float(y), float(x), 100.0, 5.0))
+    return out
+
+
+def test_number_flags_and_ids(spark):
+    df = spark.createDataFrame([("91.0", "True"), (" a ", "0"), ("NaN", "yes"), ("inf", "t"), (None, None)], "id string, flag string")
+    got = df.select(X.normalise_id(F.col("id")).alias("i"), X.number(F.col("id")).alias("n"), X.parse_bool(F.col("flag")).alias("f"), X.parse_bool(F.col("flag"), "with_t").alias("t")).collect()
+    assert [r.i for r in got][:2] == ["91", "a"]
+    assert [r.n for r in got] == [91.0, None, None, None, None]
+    assert [r.f for r in got] == [True, False, True, False, False]
+    assert [r.t for r in got] == [True, False, True, True, False]
+
+
+def test_single_detection_and_zero_path(spark):
+    rows = [(1, 1, 0, 1, 0.0, 0.0, 0.0, 5.0, 1.0), (1, 2, 0, 1, 0.0, 0.0, 0.0, 5.0, 1.0), (1, 2, 1, 1, 0.0, 0.0, 0.0, 5.0, 1.0)]
+    got = {r.track_id: r for r in T.graded(spark.createDataFrame(rows, DET)).collect()}
+    assert got[1].directionality_3d is None and got[2].directionality_3d is None
+    assert got[1].track_length == 1 and "short_track" in got[2].filter_reason
+    assert got[2].split_merge_reason == ""
+
+
+def test_empty_tables(spark):
+    empty = spark.createDataFrame([], DET)
+    assert T.graded(empty).count() == 0 and T.lag_msd(empty, 3).count() == 0
+    assert K.link_tracks(empty, K.LinkRules()).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_assignment_is_optimal(seed):
+    rng = np.random.default_rng(seed)
+    n, m = (int(v) for v in rng.integers(1, 6, 2))
+    cost = rng.uniform(0, 9, (n, m))
+    got = K.assign(cost, np.inf)
+    k = min(n, m)
+    best = min(sum(cost[r, c] for r, c in zip(rows, cols)) for rows in itertools.combinations(range(n), k) for cols in itertools.permutations(range(m), k))
+    assert len(got) == k and abs(sum(cost[r, c] for r, c in got) - best) < 1e-9
+
+
+def test_assignment_skips_what_is_not_finite():
+    assert K.assign(np.array([[np.inf, np.inf], [1.0, np.inf]]), np.inf) == [(1, 0)]
+    assert K.assign(np.array([[3.0]]), 2.0) == []
+
+
+@pytest.mark.parametrize("method", ["nearest", "lap", "keyhole"])
+def test_links_partition_detections(spark, method):
+    df = spark.createDataFrame(moving(), DET)
+    got = K.link_tracks(df, K.LinkRules(method, max_distance=12.0, volume_weight=0.1)).toPandas()
+    assert len(got) == df.count()
+    assert not got.duplicated(["block_name", "time", "track_id"]).any()
+    for _, g in got.sort_values("time").groupby(["block_name", "track_id"]):
+        assert (g.time.diff().dropna() <= 3).all()
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    df = spark.createDataFrame(moving(2, 4, 8), DET)
+    for lo in (0, 4):
+        df.where((F.col("time") >= lo) & (F.col("time") < lo + 4)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rules = K.LinkRules(max_distance=12.0)
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = Q.link_stream(source, rules, delay=0).writeStream.format("memory").queryName("linked").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    key = ["block_name", "time", "object_label"]
+    got = spark.table("linked").toPandas().sort_values(key, ignore_index=True)
+    want = K.link_tracks(df, rules).toPandas().sort_values(key, ignore_index=True)
+    got_sets = {tuple(sorted(map(tuple, g[key].values.tolist()))) for _, g in got.groupby(["block_name", "track_id"])}
+    want_sets = {tuple(sorted(map(tuple, g[key].values.tolist()))) for _, g in want.groupby(["block_name", "track_id"])}
+    assert len(got) == len(want) and got_sets == want_sets
+
+
+def test_crossing_stream(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1, t, t % 4 >= 2) for t in range(8)], "block_name long, track_id long, time int, inside boolean")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = Q.crossing_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("crossed").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [(r.time, r.event) for r in spark.table("crossed").orderBy("time").collect()] == [(2, "entry"), (4, "exit"), (6, "entry")]
+
+
+def test_components_match_union_find(spark):
+    rng = np.random.default_rng(5)
+    edges = rng.integers(0, 60, (45, 2))
+    parent = list(range(60))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    nodes = spark.range(60).select(F.col("id").alias("node"))
+    got = V.components(nodes, spark.createDataFrame(edges.tolist(), "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == {k: root(k) for k in range(60)}
+
+
+def test_censored_points_avoid_the_mask(spark):
+    points = spark.createDataFrame([(1, 2.4, 3.6), (1, 9.0, 9.0)], "block int, y double, x double")
+    mask = spark.createDataFrame([(1, 2, 4)], "block int, y int, x int")
+    got = V.inside_mask(points, mask, ["block"])
+    assert got.where("inside").count() == 1
+    assert V.inside_mask(got.where("NOT inside").drop("inside"), mask, ["block"]).where("inside").count() == 0
+
+
+def test_constrained_union_respects_span(spark):
+    edges = spark.createDataFrame([(0, 0, z, 1, z * 1000 + 1, (z + 1) * 1000 + 1) for z in range(5)], "block int, t int, z int, gap int, a long, b long")
+    got = K.constrained_union(edges, 3).toPandas()
+    assert (got.groupby("component").node.agg(lambda n: n.max() // 1000 - n.min() // 1000 + 1) <= 3).all()
+
+
+def test_validation_errors(spark):
+    bad = spark.createDataFrame([("a", "300"), ("a", "-1")], "block string, s string")
+    with pytest.raises(ValueError):
+        S.validated_metadata(bad, "block", "s")
+    assert S.validated_metadata(bad, "block", "s", strict=False).count() == 1
+    with pytest.raises(ValueError):
+        C.must_be_unique(bad, "block")
+    with pytest.raises(ValueError):
+        S.resolve_columns(bad, {}, required=["time"])
+    assert S.resolve_columns(bad.withColumnRenamed("s", "Frame"), {"time": ["t", "frame"]}, required=["time"]).columns == ["block", "time"]
+
+
+def test_approach_rejects_frames_that_do_not_advance(spark):
+    rows = spark.createDataFrame([(1, 1, 0, 5.0, 0.0), (1, 1, 1, 4.0, 0.0)], "block_name int, track_id int, time int, distance double, minutes double")
+    with pytest.raises(Exception, match="advance"):
+        R.approach(rows, ["block_name", "track_id"], "distance", "minutes").collect()
+
+
+def test_nested_fold_learns_a_clear_difference():
+    rng = np.random.default_rng(0)
+    y = np.arange(24) % 2
+    x = rng.normal(0, 1, (24, 3)) + 4 * y[:, None]
+    said = [L.nested_fold(x, y, i, [0.1, 1.0])[0] >= 0.5 for i in range(24)]
+    assert L.balanced_accuracy(y, np.array(said)) > 0.9
+
+
+def test_file_tools(spark):
+    files = spark.createDataFrame([("b1", "x/a_lap.csv"), ("b1", "x/y/a_key.csv"), ("b2", "z.csv")], "block string, path string")
+    got = S.best_file(files, "block", ["key", "lap"]).collect()
+    assert [(r.block, r.path) for r in got] == [("b1", "x/y/a_key.csv")]
+    status = {r.block: r.status for r in S.completeness(files, files.where("path <> 'x/a_lap.csv' AND block = 'b1'"), "block").collect()}
+    assert status == {"b1": "INCOMPLETE", "b2": "SKIPPED"}
+    parts = S.split_files(spark.range(40).select(F.col("id").cast("string").alias("path")), (0.7, 0.15), 1)
+    assert {r.part: r["count"] for r in parts.groupBy("part").count().collect()} == {"train": 28, "validation": 6, "test": 6}

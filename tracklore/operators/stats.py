@@ -124,7 +124,7 @@ def stable_features(selection: DataFrame, least: float, most: int, fallback: int
     """Features by how often folds chose them (fold, feature, coefficient): those often enough, or the first few."""
     folds = selection.select("fold").distinct().count()
     g = selection.groupBy("feature").agg((F.count_distinct("fold") / F.lit(folds)).alias("frequency"), F.avg(F.abs("coefficient")).alias("mean_absolute"), F.avg("coefficient").alias("mean_signed"))
-    g = g.withColumn("rank", F.row_number().over(W.partitionBy().orderBy(F.desc("frequency"), F.desc("mean_absolute"), "feature")))
+    g = g.withColumn("rank", F.row_number().over(W.partitionBy().orderBy(F.desc("frequency"), F.desc(F.round("mean_absolute", 9)), "feature")))
     any_ = F.max((F.col("frequency") >= least).cast("int")).over(W.partitionBy()) == 1
     return g.where(F.col("rank") <= most).withColumn("selected", F.when(any_, F.col("frequency") >= least).otherwise(F.col("rank") <= fallback))
 

@@ -101,7 +101,7 @@ QUERIES = {
     "joined_one_to_one": lambda spark, sf: rounded(C.join_one_to_one(*_pairs(spark, sf), "c_custkey")),
     "joined_many_to_one": lambda spark, sf: C.join_many_to_one(table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), table(spark, sf, "nation").select("n_nationkey", "n_name").where("n_nationkey % 4 <> 0"), "n_nationkey"),
     "outer_with_side": lambda spark, sf: rounded(C.outer_with_side(*[x.select("c_custkey", "value") for x in _pairs(spark, sf)], ["c_custkey"], ("_normal", "_strict"))),
-    "common_features": lambda spark, sf: C.common_features(table(spark, sf, "part").select(F.col("p_brand").alias("source"), F.col("p_size").cast("string").alias("feature")), "source", table(spark, sf, "part").select("p_brand").distinct().count()),
+    "common_features": lambda spark, sf: C.common_features(table(spark, sf, "part").select(F.col("p_brand").alias("source"), (F.col("p_size") % 20).cast("string").alias("feature")), "source", table(spark, sf, "part").select("p_brand").distinct().count()),
     "jaccard_of_sets": lambda spark, sf: rounded(_cohort_sets(spark, sf)),
     "effect_sizes": lambda spark, sf: rounded(S.effect_sizes(fish_features(spark, sf), "WT", "MUT"), 4),
     "top_effects": lambda spark, sf: S.top_features(S.effect_sizes(fish_features(spark, sf), "WT", "MUT"), 3).select("feature", "rank"),
@@ -144,7 +144,7 @@ SELECT fish_id, genotype, feature, n, {", ".join(f"round({c}, 5) + 0 AS {c}" for
     "joined_one_to_one": "SELECT c_custkey, c_mktsegment, round(c_acctbal * 2, 6) AS value FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 4 <> 0",
     "joined_many_to_one": "SELECT c_custkey, c_nationkey AS n_nationkey, n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 <> 0) ON c_nationkey = n_nationkey",
     "outer_with_side": "SELECT c_custkey, round(CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END, 6) AS value_normal, round(CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal * 2 END, 6) AS value_strict, CASE WHEN c_custkey % 3 = 0 THEN 'right_only' WHEN c_custkey % 4 = 0 THEN 'left_only' ELSE 'both' END AS side FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 4 <> 0",
-    "common_features": "SELECT p_size::VARCHAR AS feature FROM part GROUP BY p_size HAVING count(DISTINCT p_brand) = (SELECT count(DISTINCT p_brand) FROM part)",
+    "common_features": "SELECT (p_size % 20)::VARCHAR AS feature FROM part GROUP BY p_size % 20 HAVING count(DISTINCT p_brand) = (SELECT count(DISTINCT p_brand) FROM part)",
     "jaccard_of_sets": """WITH s AS (SELECT DISTINCT p_brand AS c, substring(p_type, 1, 12) AS f FROM part), l AS (SELECT c, list(f) AS fs FROM s GROUP BY c),
 p AS (SELECT x.c AS a, y.c AS b, list_sort(list_intersect(x.fs, y.fs)) AS i, list_sort(list_filter(x.fs, lambda v: NOT list_contains(y.fs, v))) AS oa, list_sort(list_filter(y.fs, lambda v: NOT list_contains(x.fs, v))) AS ob FROM l x JOIN l y ON x.c < y.c)
 SELECT a, b, array_to_string(i, '|') AS shared, array_to_string(oa, '|') AS only_a, array_to_string(ob, '|') AS only_b, round(len(i) / (len(i) + len(oa) + len(ob)), 6) AS jaccard FROM p""",
@@ -184,7 +184,7 @@ o AS (SELECT avg(v) FILTER (in_a) - avg(v) FILTER (NOT in_a) AS observed FROM s)
 SELECT round(any_value(observed), 6) + 0 AS observed, count(*) AS n_assignments, round(count(*) FILTER (abs(d) >= abs(observed) - 1e-12) / count(*), 6) AS p FROM e, o""",
     "feature_stability": """WITH x AS (SELECT l_linenumber % 5 AS fold, 'f' || l_partkey % 12 AS feature, l_discount - 0.05 AS c FROM lineitem WHERE l_orderkey % 3 = 0 AND (l_suppkey + l_partkey) % 97 < 2),
 g AS (SELECT feature, count(DISTINCT fold) / (SELECT count(DISTINCT fold) FROM x) AS frequency, avg(abs(c)) AS ma, avg(c) AS mean_signed FROM x GROUP BY feature),
-r AS (SELECT *, row_number() OVER (ORDER BY frequency DESC, ma DESC, feature) AS rank FROM g), h AS (SELECT max((frequency >= 0.8)::INT) AS any_one FROM g)
+r AS (SELECT *, row_number() OVER (ORDER BY frequency DESC, round(ma, 9) DESC, feature) AS rank FROM g), h AS (SELECT max((frequency >= 0.8)::INT) AS any_one FROM g)
 SELECT feature, round(frequency, 6) AS frequency, round(ma + 1.3e-9, 6) AS mean_absolute, round(mean_signed + 1.3e-9, 6) + 0 AS mean_signed, rank, CASE WHEN any_one = 1 THEN frequency >= 0.8 ELSE rank <= 2 END AS selected FROM r, h WHERE rank <= 8""",
 }
 
