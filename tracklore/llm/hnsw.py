@@ -13,6 +13,8 @@ from tracklore.llm.common import Scratch, components, cut, empty_safe
 
 #: Vectors in a shard's graph and in a block of queries.
 SHARD, BLOCK = 16_384, 4_096
+#: Query blocks that one graph built in a task is searched from: at most so many times BLOCK vectors in a row.
+BATCH = 16
 #: Links of a node, beam while building, first beam while searching, nodes expanded at once.
 LINKS, BUILD_BEAM, FIRST_BEAM, EXPAND = 16, 48, 64, 4
 #: Links to a node, at least, and slots of a node for links that see to it.
@@ -269,7 +271,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of vectors (vec_id, embedding, label).
 
     Equal vectors of one label are one class. Each label's classes are dealt by hash to shards of about SHARD, and to
-    query blocks of about BLOCK; each shard's graph is built once and searched from every block of its label. Found
+    query blocks of about BLOCK; each shard's graph is searched from every block of its label, BATCH blocks to a task. Found
     pairs are verified by cosine in double precision; beams widen where they may cut links off, and for a whole block
     until an audit against brute force finds RECALL of its links. n_links counts the other rows linked directly;
     component_id is the least vec_id reachable, itself included; kept tells vec_id = component_id. A null label, and
@@ -295,7 +297,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
 
         shards = packed("shards", 1)
         blocks = packed("blocks", 2).join(sizes.hint("merge"), ["label", "dim"])
-        blocks = blocks.select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("part"), F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.floor(F.col("part") / 4).alias("batch"))
+        blocks = blocks.select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("part"), F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.floor(F.col("part") / BATCH).alias("batch"))
         blocks = blocks.groupBy("label", "dim", "part", "batch").agg(F.collect_list("query_ids").alias("query_ids"), F.collect_list("query_vectors").alias("query_vectors")).drop("batch")
         work = shards.join(blocks.hint("shuffle_hash"), ["label", "dim", "part"]).repartition(max(1, min(tasks or 1, 10_000)))
         pairs = scratch.table(work.mapInArrow(_search(least), "u long, v long").distinct())
