@@ -134,7 +134,7 @@ def distance(a, b):
 @given(st.lists(st.text(alphabet="abc", min_size=1, max_size=6), min_size=1, max_size=6), st.text(alphabet="abc", max_size=7), st.integers(0, 2))
 def test_automaton_meets_the_trie_like_edit_distance(terms, word, edits):
     trie = toxicity.Trie(terms)
-    assert trie.fuzzy(word, edits) == any(distance(t, word) <= edits for t in terms)
+    assert trie.fuzzy([word, "zz"], np.array([edits, edits])).tolist() == [any(distance(t, x) <= edits for t in terms) for x in (word, "zz")]
     assert trie.exact(word) == any(word.startswith(t) for t in terms)
 
 

@@ -24,6 +24,10 @@ QUOTES = frozenset("\"'“”„«»‘’`")
 FEATURES = ["exact", "fuzzy", "quoted", "dense", "any_exact", "any_fuzzy"]
 
 
+#: Characters of a word, at most, for it to be a term.
+LONGEST = 40
+
+
 class Trie:
     """Terms by character; a term ends at a node, and what follows it in a word is an ending."""
 
@@ -51,28 +55,44 @@ class Trie:
                 return True
         return False
 
-    def fuzzy(self, word: str, edits: int) -> bool:
-        """Whether a term is within edits of the whole word: the word's automaton walks the trie.
+    def fuzzy(self, words: list[str], edits: np.ndarray) -> np.ndarray:
+        """Whether a term is within edits of each whole word: all words' automata walk the trie at once.
 
-        A state is a row of edit distances to the word's prefixes; a branch ends where no entry is within edits.
+        A word's automaton holds one integer for each number of edits: bit k of the d-th stands for the word's first k
+        characters met with d edits. A word leaves a branch where no state is left.
         """
-        todo = [(0, list(range(len(word) + 1)))]
-        while todo:
-            node, row = todo.pop()
-            for c, child in self.next[node].items():
-                new = [row[0] + 1]
-                for k, own in enumerate(word):
-                    new.append(min(row[k + 1] + 1, new[k] + 1, row[k] + (own != c)))
-                if min(new) <= edits:
-                    if self.end[child] and new[-1] <= edits:
-                        return True
-                    todo.append((child, new))
-        return False
+        n = len(words)
+        letters = np.array(words, f"U{LONGEST}").view(np.uint32).reshape(n, LONGEST)
+        size = np.array([len(w) for w in words], np.uint64)
+        one = np.uint64(1)
+        full, goal = (np.uint64(2) << size) - one, one << size
+        bit = one << np.arange(LONGEST, dtype=np.uint64)
+        places = {c: ((letters == ord(c)) * bit).sum(1, dtype=np.uint64) for c in {c for node in self.next for c in node}}
+        out = np.zeros(n, bool)
+        for e in np.unique(edits).tolist():
+            rows = np.flatnonzero(edits == e)
+            todo = [(0, rows, [np.full(len(rows), (2 << d) - 1, np.uint64) & full[rows] for d in range(e + 1)])]
+            while todo:
+                node, rows, states = todo.pop()
+                for c, child in self.next[node].items():
+                    here, below, under, new = places[c][rows], np.uint64(0), np.uint64(0), []
+                    for s in states:
+                        under = ((s & here) << one | below | below << one | under << one) & full[rows]
+                        new.append(under)
+                        below = s
+                    if self.end[child]:
+                        out[rows[(under & goal[rows]) != 0]] = True
+                    live = (under != 0) & ~out[rows]
+                    if live.any() and self.next[child]:
+                        todo.append((child, rows[live], [x[live] for x in new]))
+        return out
 
 
 def core(word: str) -> str:
     """A word in lower case without what stands around its letters and digits."""
     word = word.lower()
+    if word.isalnum():
+        return word
     a, b = 0, len(word)
     while a < b and not word[a].isalnum():
         a += 1
@@ -81,27 +101,23 @@ def core(word: str) -> str:
     return word[a:b]
 
 
-def allowed(word: str) -> int:
-    """Edits that a word of this length may differ by."""
-    return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
-
-
 class Matcher:
     """The lexicon, and what this worker knows of the words it has met: 0 no term, 1 a term, 2 a misspelt one."""
 
     def __init__(self, terms: list[str]):
         self.trie = Trie(terms)
         self.shortest = min(map(len, terms), default=1 << 30)
-        self.known: dict[str, int] = {}
         self.hashes, self.kinds = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
 
-    def kind(self, word: str) -> int:
-        word = core(word)
-        if len(word) < 3 or len(word) > 40:
-            return 0
-        if self.trie.exact(word):
-            return 1
-        return 2 if allowed(word) and len(word) + allowed(word) >= self.shortest and self.trie.fuzzy(word, allowed(word)) else 0
+    def kinds_of(self, words: list[str]) -> np.ndarray:
+        words = [core(w) for w in words]
+        size = np.array([len(w) for w in words])
+        out = np.array([3 <= len(w) <= LONGEST and self.trie.exact(w) for w in words], np.uint8)
+        edits = np.where(size < 5, 0, np.where(size < 9, 1, 2))
+        near = np.flatnonzero((out == 0) & (edits > 0) & (size <= LONGEST) & (size + edits >= self.shortest))
+        if len(near):
+            out[near[self.trie.fuzzy([words[k] for k in near.tolist()], edits[near])]] = 2
+        return out
 
     def of(self, w: tk.Words) -> np.ndarray:
         """The kind of each word; each distinct word is matched once."""
@@ -117,7 +133,7 @@ class Matcher:
         if len(new):
             raw = w.data.tobytes()
             spans = zip(w.starts[first[new]].tolist(), w.ends[first[new]].tolist(), strict=True)
-            found[new] = [self.kind(raw[a:b].decode("utf-8", "replace")) if b - a < 200 else 0 for a, b in spans]
+            found[new] = self.kinds_of([raw[a:b].decode("utf-8", "replace") if b - a < 200 else "" for a, b in spans])
             keys = np.concatenate((self.hashes, h[new])) if len(self.hashes) < 2_000_000 else h[new]
             kinds = np.concatenate((self.kinds, found[new])) if len(self.hashes) < 2_000_000 else found[new]
             order = np.argsort(keys, kind="stable")
