@@ -23,7 +23,9 @@ WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 #: Contractions of the splitting pattern: fixed values.
 CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 #: Pre-tokens a worker remembers, about 60 bytes each.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
+#: Bytes of text encoded at once: bounds a worker's memory.
+AT_ONCE = 8 << 20
 
 _class_of = np.full(0x110000, 255, np.uint8)
 _class_of[WHITE] = SPACE
@@ -175,7 +177,7 @@ class Encoder:
         """
         n = len(data)
         ids = self.byte_rank[data]
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[off[1:] - 1] = -1
         before[off[:-1]] = -1
         rank = np.full(n, -1, np.int32)
@@ -248,7 +250,7 @@ class Encoder:
             fresh_h.append(h[new])
             fresh_n.append(size)
             fresh_data.append(data[_spread(starts[first[new]], size)])
-            parts.append((h, which, np.searchsorted(starts, offsets)))
+            parts.append((h, which.astype(np.int32), np.searchsorted(starts, offsets)))
         if not parts:
             return np.zeros(0, np.int32), np.zeros(1, int)
         h, first = np.unique(np.concatenate(fresh_h), return_index=True)
@@ -303,9 +305,16 @@ def encoder_of(shared) -> Encoder:
     return _encoder(shared.value)
 
 
+def whole_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in runs of about AT_ONCE bytes of text."""
+    for batch in empty_safe(batches):
+        for a, b, _, _ in tk.slices(batch.column("text"), AT_ONCE):
+            yield batch.slice(a, b - a)
+
+
 def _digests(shared, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in empty_safe(batches):
+        for batch in whole_slices(batches):
             own = encoder_of(shared)
             ids, off = own.encode(batch.column("text"))
             n, first, second = [], [], []

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklore.llm.bpe import encoder_of, load_ranks
-from tracklore.llm.common import cut, empty_safe
+from tracklore.llm.bpe import encoder_of, load_ranks, whole_slices
+from tracklore.llm.common import cut
 
 #: Sequences that one group of pieces fills: groups are packed apart, and each leaves at most a few sequences part full.
 GROUP_SEQUENCES = 20_000
@@ -77,7 +77,7 @@ def best_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(shared, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in empty_safe(batches):
+        for batch in whole_slices(batches):
             ids, off = encoder_of(shared).encode(batch.column("text"))
             row, piece, start, length, crc = [], [], [], [], []
             last = np.array([end_id], "<u4")
