@@ -10,7 +10,7 @@ from tracklore.llm.common import Scratch, cut
 from tracklore.llm.jaccard import jaccard_groups
 from tracklore.llm.language import document_fields, language_id
 from tracklore.llm.packing import pack_documents
-from tracklore.llm.quality_rules import quality_rules
+from tracklore.llm.quality_rules import cleaned
 from tracklore.llm.substring import substring_dedup
 
 ORACLE_SQL = None
@@ -28,8 +28,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return _keep(docs, quality_rules(docs).where("kept"))
+    """Documents that the quality rules keep, less the lines that are boilerplate in their source."""
+    return cleaned(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,29 +75,24 @@ def boilerplate(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(found.join(totals.hint("merge"), "host").where(F.col("n") > LINE_SHARE * F.col("texts")).select("host", "line"))
 
 
-def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Measures and verdict of each row of docs (doc_id, text, host column).
-
-    n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words are the base measures; base_failed rejects texts of
-    under 50 words and those with more than half of their words in repeated windows. boilerplate_words counts the words
-    in lines that the host repeats across documents; kept is false also where they are more than half of the words.
-    Distinct texts are counted, so groups of copies do not make their own lines boilerplate. Null and empty texts have
-    no words and fail. A null host is the host of its kind ''; a null doc_id stays null; rows that repeat get equal
-    results. Other columns are ignored. An empty table gives no rows.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
+def _measured(docs: DataFrame, host: str) -> DataFrame:
+    """doc_id, measures, verdict, less and row of each row of docs: less is its text without boilerplate lines, row all its other columns."""
+    row = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row")
+    docs = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
     docs = docs.withColumn("text_key", F.xxhash64("text"))
     with Scratch(docs.sparkSession) as scratch:
         keys = keys_hint(boilerplate(docs, scratch))
-        lines = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "host", "text_key", F.explode(_lines(F.col("text"))).alias("line"))
-        lines = lines.select("row", "doc_id", "host", "text_key", line_key(F.col("line")).alias("line"), F.size(words_of(F.col("line"))).alias("n"))
-        gone = lines.join(keys, ["host", "line"]).groupBy("row", "doc_id", "host", "text_key").agg(F.sum("n").alias("n"))
-        gone = cut(gone.groupBy("doc_id", "host", "text_key").agg(F.max("n").alias("boilerplate_words")))
+        lines = docs.withColumn("place", F.monotonically_increasing_id()).select("place", "doc_id", "host", "text_key", F.explode(_lines(F.col("text"))).alias("line"))
+        lines = lines.select("place", "doc_id", "host", "text_key", line_key(F.col("line")).alias("line"), F.size(words_of(F.col("line"))).alias("n"))
+        gone = lines.join(keys, ["host", "line"]).groupBy("place", "doc_id", "host", "text_key").agg(F.sum("n").alias("n"), F.collect_set("line").alias("lines"))
+        gone = cut(gone.groupBy("doc_id", "host", "text_key").agg(F.max("n").alias("boilerplate_words"), F.first("lines").alias("lines")))
     text = F.col("text")
-    base = docs.select("doc_id", "host", "text_key", text, words_of(text).alias("words")).select(
+    base = docs.select("row", "doc_id", "host", "text_key", text, words_of(text).alias("words")).select(
+        "row",
         "doc_id",
         "host",
         "text_key",
+        text,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
@@ -105,8 +100,30 @@ def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
         repeat_words(F.col("words")).alias("n_repeat_words"),
     )
     base = base.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    gone = gone.select(F.col("doc_id").alias("id"), F.col("host").alias("h"), F.col("text_key").alias("t"), "boilerplate_words")
+    gone = gone.select(F.col("doc_id").alias("id"), F.col("host").alias("h"), F.col("text_key").alias("t"), "boilerplate_words", "lines")
     out = base.join(gone.hint("shuffle_hash"), F.expr("doc_id <=> id AND host = h AND text_key = t"), "left")
     out = out.withColumn("boilerplate_words", F.coalesce("boilerplate_words", F.lit(0)).cast("long"))
-    kept = ~F.col("base_failed") & (F.col("boilerplate_words") <= DEPLETED * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "boilerplate_words", "base_failed", kept.alias("kept"))
+    # one comparison of both sides: as two, the first would be pushed below the join and measure each text twice
+    out = out.withColumn("kept", F.col("boilerplate_words") <= F.when(F.col("base_failed"), -1.0).otherwise(DEPLETED * F.col("n_words")))
+    rest = F.filter(F.split(text, "\n"), lambda line: ~F.array_contains("lines", line_key(line)))
+    return out.withColumn("less", F.when(F.col("lines").isNull(), text).otherwise(F.array_join(rest, "\n")))
+
+
+def quality_rules(docs: DataFrame, host: str = "source", whole: bool = False) -> DataFrame:
+    """Measures and verdict of each row of docs (doc_id, text, host column), and its text without boilerplate lines if whole.
+
+    n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words are the base measures; base_failed rejects texts of
+    under 50 words and those with more than half of their words in repeated windows. boilerplate_words counts the words
+    in lines that the host repeats across documents; kept is false also where they are more than half of the words.
+    Distinct texts are counted, so groups of copies do not make their own lines boilerplate. Null and empty texts have
+    no words and fail. A null host is the host of its kind ''; a null doc_id stays null; rows that repeat get equal
+    results. Other columns are ignored. An empty table gives no rows.
+    """
+    out = _measured(docs.select("doc_id", "text", host), host)
+    less = [F.col("less").alias("text")] if whole else []
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "boilerplate_words", "base_failed", "kept", *less)
+
+
+def cleaned(docs: DataFrame, host: str = "source") -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns; text is without the lines that are boilerplate."""
+    return _measured(docs, host).where("kept").select(*[F.col("less").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
