@@ -29,7 +29,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, less the lines that are boilerplate in their source."""
-    return cleaned(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return cleaned(docs, even=True).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

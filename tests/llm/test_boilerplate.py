@@ -1,9 +1,13 @@
 """Lines that a source repeats: they go from the texts that the rules keep."""
 
+import collections
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from tracklore.llm.quality_rules import quality_rules
+from tracklore.llm.common import Scratch
+from tracklore.llm.quality_rules import boilerplate, quality_rules
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -28,3 +32,31 @@ def test_lines_go_from_kept_texts(spark):
     assert out.where(F.col("n_chars") != F.length("text")).count() == 0
     whole = quality_rules(docs, whole=True).where("kept").select("doc_id", "text").collect()
     assert {(r.doc_id, r.text) for r in whole} == {x[:2] for x in want}
+
+
+def test_small_hosts_have_boilerplate(spark):
+    rows = [(k, f"{body(k)}\n{'nav home' if k < 3 else 'pair' if k < 5 else 'own line'[: k - 4]}", "small") for k in range(9)]
+    out = {r.doc_id: r.text for r in corpus_pipeline.rules(spark, table(spark, rows), "").collect()}
+    assert out == {d: body(d) if d < 3 else t for d, t, _ in rows}
+
+
+def test_many_texts_of_a_large_host(spark):
+    name = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    text = F.concat(name, F.when(F.col("id") < 10_000, "\nmany").when(F.col("id") < 19_999, "\nfewer").otherwise(""))
+    docs = spark.range(110_000).select(F.lit("h").alias("host"), F.col("id").alias("text_key"), text.alias("text"))
+    with Scratch(spark) as scratch:
+        assert boilerplate(docs, scratch, even=True).count() == 1 and boilerplate(docs, scratch).count() == 0
+
+
+def test_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text or "", r.source or "") for r in docs.collect()]
+    key = lambda x: re.sub("[0-9]", "0", re.sub(r"[ \t-\r]+", " ", x.lower())).strip(" ")
+    have, n = collections.Counter(), collections.Counter(s for s, _ in {(s, t) for _, t, s in rows})
+    for s, t in {(s, t) for _, t, s in rows}:
+        have.update((s, x) for x in {key(x) for x in t.split("\n")} if x)
+    above = {(s, x) for (s, x), k in have.items() if k >= 3 and k > 0.1 * n[s]}
+    want = {d: "\n".join(x for x in t.split("\n") if (s, key(x)) not in above) for d, t, s in rows}
+    out = {r.doc_id: r.text for r in corpus_pipeline.rules(spark, docs, "").collect()}
+    assert above and len(out) > 500 and all(want[d] == t for d, t in out.items())
+    assert sum(t != x for d, t, _ in rows for x in [out.get(d, t)]) >= 50

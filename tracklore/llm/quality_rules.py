@@ -13,6 +13,8 @@ BREAK = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 #: A line is boilerplate in a host if more than LINE_SHARE of the host's distinct texts have it, and LINE_DOCS at least.
 LINE_SHARE, LINE_DOCS = 0.10, 50
+#: With even limits, FEW_DOCS of them are enough, so that small hosts have boilerplate too, and MANY_DOCS are so whatever their share.
+FEW_DOCS, MANY_DOCS = 3, 10_000
 #: A document is depleted if such lines hold more than this share of its words.
 DEPLETED = 0.5
 
@@ -66,22 +68,23 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def boilerplate(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def boilerplate(docs: DataFrame, scratch: Scratch, even: bool = False) -> DataFrame:
     """(host, line): hashes of the lines above the limits in each host; a text that a host has many times counts once."""
+    least, many = (FEW_DOCS, F.col("n") >= MANY_DOCS) if even else (LINE_DOCS, F.lit(False))
     own = docs.select("host", "text_key", F.array_distinct(F.transform(_lines(F.col("text")), line_key)).alias("lines"))
     own = scratch.table(own.groupBy("host", "text_key").agg(F.first("lines").alias("lines")))
     totals = own.groupBy("host").agg(F.count("*").alias("texts"))
-    found = own.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= LINE_DOCS)
-    return scratch.table(found.join(totals.hint("merge"), "host").where(F.col("n") > LINE_SHARE * F.col("texts")).select("host", "line"))
+    found = own.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return scratch.table(found.join(totals.hint("merge"), "host").where((F.col("n") > LINE_SHARE * F.col("texts")) | many).select("host", "line"))
 
 
-def _measured(docs: DataFrame, host: str) -> DataFrame:
+def _measured(docs: DataFrame, host: str, even: bool) -> DataFrame:
     """doc_id, measures, verdict, less and row of each row of docs: less is its text without boilerplate lines, row all its other columns."""
     row = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row")
     docs = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
     docs = docs.withColumn("text_key", F.xxhash64("text"))
     with Scratch(docs.sparkSession) as scratch:
-        keys = keys_hint(boilerplate(docs, scratch))
+        keys = keys_hint(boilerplate(docs, scratch, even))
         lines = docs.withColumn("place", F.monotonically_increasing_id()).select("place", "doc_id", "host", "text_key", F.explode(_lines(F.col("text"))).alias("line"))
         lines = lines.select("place", "doc_id", "host", "text_key", line_key(F.col("line")).alias("line"), F.size(words_of(F.col("line"))).alias("n"))
         gone = lines.join(keys, ["host", "line"]).groupBy("place", "doc_id", "host", "text_key").agg(F.sum("n").alias("n"), F.collect_set("line").alias("lines"))
@@ -109,21 +112,21 @@ def _measured(docs: DataFrame, host: str) -> DataFrame:
     return out.withColumn("less", F.when(F.col("lines").isNull(), text).otherwise(F.array_join(rest, "\n")))
 
 
-def quality_rules(docs: DataFrame, host: str = "source", whole: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, host: str = "source", whole: bool = False, even: bool = False) -> DataFrame:
     """Measures and verdict of each row of docs (doc_id, text, host column), and its text without boilerplate lines if whole.
 
     n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words are the base measures; base_failed rejects texts of
     under 50 words and those with more than half of their words in repeated windows. boilerplate_words counts the words
     in lines that the host repeats across documents; kept is false also where they are more than half of the words.
     Distinct texts are counted, so groups of copies do not make their own lines boilerplate. Null and empty texts have
-    no words and fail. A null host is the host of its kind ''; a null doc_id stays null; rows that repeat get equal
+    no words and fail. With even, the limits of a line act alike in hosts of every size. A null host is the host of its kind ''; a null doc_id stays null; rows that repeat get equal
     results. Other columns are ignored. An empty table gives no rows.
     """
-    out = _measured(docs.select("doc_id", "text", host), host)
+    out = _measured(docs.select("doc_id", "text", host), host, even)
     less = [F.col("less").alias("text")] if whole else []
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "boilerplate_words", "base_failed", "kept", *less)
 
 
-def cleaned(docs: DataFrame, host: str = "source") -> DataFrame:
+def cleaned(docs: DataFrame, host: str = "source", even: bool = False) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns; text is without the lines that are boilerplate."""
-    return _measured(docs, host).where("kept").select(*[F.col("less").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    return _measured(docs, host, even).where("kept").select(*[F.col("less").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
