@@ -6,6 +6,7 @@ import base64
 import functools
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,10 +130,14 @@ class RankQueue:
 
 
 class Encoder:
-    """Merge ranks as arrays, and what this worker has encoded so far."""
+    """Merge ranks as arrays, and what this worker has encoded so far.
 
-    def __init__(self, tokens: list[bytes]):
-        self.tokens = tokens
+    added are the tokens, with their ids, that are found in a text as they stand before it is split; they do not merge.
+    """
+
+    def __init__(self, tokens: list[bytes], added: dict[bytes, int] | None = None):
+        self.tokens, self.added = tokens, added or {}
+        self.literal = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         rank = {t: i for i, t in enumerate(tokens)}
         self.byte_rank = np.array([rank[bytes([b])] for b in range(256)], np.int32)
         pairs = [(rank[t[:k]] << 16 | rank[t[k:]], i) for i, t in enumerate(tokens) for k in range(1, len(t)) if t[:k] in rank and t[k:] in rank]
@@ -146,6 +151,12 @@ class Encoder:
     def forget(self) -> None:
         h = self._hash(self.vocab, self.vocab_off[:-1], self.vocab_off[1:])
         self.ids, self.off = np.arange(len(self.tokens), dtype=np.int32), np.arange(len(self.tokens) + 1)
+        if self.added:
+            data = np.frombuffer(b"".join(self.added), np.uint8)
+            off = np.concatenate(([0], np.cumsum([len(t) for t in self.added])))
+            h = np.concatenate((h, self._hash(data, off[:-1], off[1:])))
+            self.ids = np.concatenate((self.ids, np.array(list(self.added.values()), np.int32)))
+            self.off = np.arange(len(self.ids) + 1)
         order = np.argsort(h)
         self.known = [(h[order], order)]
 
@@ -236,13 +247,25 @@ class Encoder:
             order = np.argsort(keys, kind="stable")
             self.known.append((keys[order], np.concatenate((i, j))[order]))
 
+    def _split(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Start bytes of the pre-tokens of each text: an added token is one, and what stands around it is split apart."""
+        raw = data.tobytes() if self.literal else b""
+        if not self.literal or not self.literal.search(raw):
+            return pretokens(data, offsets)
+        ends = offsets.tolist()
+        spans = np.array([m.span() for a, b in zip(ends[:-1], ends[1:], strict=True) for m in self.literal.finditer(raw, a, b)], np.int64).reshape(-1, 2)
+        starts = pretokens(data, np.sort(np.concatenate((offsets, spans.ravel()))))
+        at = np.searchsorted(spans[:, 0], starts, "left") - 1
+        inside = (at >= 0) & (starts < spans[np.maximum(at, 0), 1]) if len(spans) else np.zeros(len(starts), bool)
+        return starts[~inside]
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts of a column, each pre-token by itself."""
         if len(self.off) > REMEMBERED:
             self.forget()
         parts, fresh_h, fresh_data, fresh_n = [], [], [], []
         for _, _, data, offsets in tk.slices(column):
-            starts = pretokens(data, offsets)
+            starts = self._split(data, offsets)
             ends = np.append(starts[1:], len(data))
             h, first, which = np.unique(self._hash(data, starts, ends), return_index=True, return_inverse=True)
             new = np.flatnonzero(self._find(h) < 0)
@@ -295,14 +318,26 @@ def load_ranks(path: str) -> list[bytes]:
     return [bytes(byte[c] for c in t) for _, t in vocab]
 
 
+def load_added(path: str) -> dict[bytes, int]:
+    """Added tokens of a tokenizer's JSON file with their ids; a rank file has none."""
+    if not path.endswith(".json"):
+        return {}
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file).get("added_tokens", [])
+    odd = [x["content"] for x in found if x.get("single_word") or x.get("lstrip") or x.get("rstrip")]
+    if odd:
+        raise ValueError(f"added tokens that depend on what stands around them: {odd}")
+    return {x["content"].encode(): x["id"] for x in found}
+
+
 @functools.lru_cache(maxsize=2)
-def _encoder(tokens: tuple[bytes, ...]) -> Encoder:
-    return Encoder(list(tokens))
+def _encoder(tokens: tuple[bytes, ...], added: tuple[tuple[bytes, int], ...] = ()) -> Encoder:
+    return Encoder(list(tokens), dict(added))
 
 
 def encoder_of(shared) -> Encoder:
-    """This worker's encoder for a broadcast vocabulary."""
-    return _encoder(shared.value)
+    """This worker's encoder for a broadcast vocabulary: its tokens, and its added tokens with their ids."""
+    return _encoder(*shared.value)
 
 
 def whole_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +379,7 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, whole: bool = True) -> Data
     One pass without a shuffle. Null and empty texts have no ids and decode to nothing; a null doc_id stays null; rows
     that repeat stay; other columns are ignored. An empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(load_ranks(ranks_path)))
+    shared = docs.sparkSession.sparkContext.broadcast((tuple(load_ranks(ranks_path)), ()))
     kinds = "ids array<int>, decoded string" if whole else "ids_sha256 string, decoded_sha256 string"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(_digests(shared, whole), f"doc_id long, n_tokens long, {kinds}")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklore.llm.bpe import encoder_of, load_ranks, whole_slices
+from tracklore.llm.bpe import encoder_of, load_added, load_ranks, whole_slices
 from tracklore.llm.common import cut
 
 #: Sequences that one group of pieces fills: groups are packed apart, and each leaves at most a few sequences part full.
@@ -110,13 +110,13 @@ def _pack(capacity: int):
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """Pieces of each row of docs (doc_id, text) with their places in sequences of at most capacity tokens.
 
-    A document is its ids and the end id; one longer than capacity is cut into pieces of capacity, of which the first
+    A document is its ids, with the vocabulary's added tokens found in its text, and the end id; one longer than capacity is cut into pieces of capacity, of which the first
     takes what is over. Pieces are dealt by hash to groups that fill about GROUP_SEQUENCES sequences each, as many
     groups as the tokens need, and each group is packed by best-fit decreasing: the longest piece first, into the open
     sequence with the least room that takes it. Null and empty texts are the end id alone. A null doc_id stays null;
     rows that repeat are packed each; other columns are ignored. An empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(load_ranks(vocabulary)))
+    shared = docs.sparkSession.sparkContext.broadcast((tuple(load_ranks(vocabulary)), tuple(load_added(vocabulary).items())))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = cut(docs.mapInArrow(_pieces(shared, capacity, end_id), PIECES))
     tokens = pieces.agg(F.sum("length")).first()[0] or 0
