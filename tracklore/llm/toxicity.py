@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,15 @@ QUOTES = frozenset("\"'“”„«»‘’`")
 FEATURES = ["exact", "fuzzy", "quoted", "dense", "any_exact", "any_fuzzy"]
 
 
-#: Characters of a word, at most, for it to be a term.
+#: Characters of a word that its automaton holds: more than those of the longest term and its edits, so later ones are its ending.
 LONGEST = 40
+#: What stands between words, as where the terms are learnt.
+BETWEEN = regex.compile(r"[^\p{L}\p{N}]+")
+
+
+def edits_of(size):
+    """Edits that a word or term of so many characters may have."""
+    return np.where(size < 5, 0, np.where(size < 9, 1, 2))
 
 
 class Trie:
@@ -55,15 +63,16 @@ class Trie:
                 return True
         return False
 
-    def fuzzy(self, words: list[str], edits: np.ndarray) -> np.ndarray:
-        """Whether a term is within edits of each whole word: all words' automata walk the trie at once.
+    def fuzzy(self, words: list[str], edits: np.ndarray, starts: bool = False) -> np.ndarray:
+        """Whether a term is within edits of each whole word, or if starts within those, and the term's own, of a start of
+        the word: all words' automata walk the trie at once.
 
         A word's automaton holds one integer for each number of edits: bit k of the d-th stands for the word's first k
         characters met with d edits. A word leaves a branch where no state is left.
         """
         n = len(words)
         letters = np.array(words, f"U{LONGEST}").view(np.uint32).reshape(n, LONGEST)
-        size = np.array([len(w) for w in words], np.uint64)
+        size = np.array([min(len(w), LONGEST) for w in words], np.uint64)
         one = np.uint64(1)
         full, goal = (np.uint64(2) << size) - one, one << size
         bit = one << np.arange(LONGEST, dtype=np.uint64)
@@ -71,9 +80,9 @@ class Trie:
         out = np.zeros(n, bool)
         for e in np.unique(edits).tolist():
             rows = np.flatnonzero(edits == e)
-            todo = [(0, rows, [np.full(len(rows), (2 << d) - 1, np.uint64) & full[rows] for d in range(e + 1)])]
+            todo = [(0, 1, rows, [np.full(len(rows), (2 << d) - 1, np.uint64) & full[rows] for d in range(e + 1)])]
             while todo:
-                node, rows, states = todo.pop()
+                node, depth, rows, states = todo.pop()
                 for c, child in self.next[node].items():
                     here, below, under, new = places[c][rows], np.uint64(0), np.uint64(0), []
                     for s in states:
@@ -82,9 +91,11 @@ class Trie:
                         below = s
                     if self.end[child]:
                         out[rows[(under & goal[rows]) != 0]] = True
+                        if starts:
+                            out[rows[new[min(e, int(edits_of(depth)))] != 0]] = True
                     live = (under != 0) & ~out[rows]
                     if live.any() and self.next[child]:
-                        todo.append((child, rows[live], [x[live] for x in new]))
+                        todo.append((child, depth + 1, rows[live], [x[live] for x in new]))
         return out
 
 
@@ -101,6 +112,12 @@ def core(word: str) -> str:
     return word[a:b]
 
 
+def parts(word: str) -> list[str]:
+    """What is met with the terms: the core of a word and, where it is more than letters and digits, its parts as learnt."""
+    own = core(word)
+    return [own] if own.isalnum() or not own else [own, *filter(None, BETWEEN.split(own))]
+
+
 class Matcher:
     """The lexicon, and what this worker knows of the words it has met: 0 no term, 1 a term, 2 a misspelt one."""
 
@@ -110,13 +127,18 @@ class Matcher:
         self.hashes, self.kinds = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
 
     def kinds_of(self, words: list[str]) -> np.ndarray:
-        words = [core(w) for w in words]
-        size = np.array([len(w) for w in words])
-        out = np.array([3 <= len(w) <= LONGEST and self.trie.exact(w) for w in words], np.uint8)
-        edits = np.where(size < 5, 0, np.where(size < 9, 1, 2))
-        near = np.flatnonzero((out == 0) & (edits > 0) & (size <= LONGEST) & (size + edits >= self.shortest))
+        pieces = [parts(w) for w in words]
+        of = np.repeat(np.arange(len(words)), [len(x) for x in pieces])
+        pieces = [x for own in pieces for x in own]
+        size = np.array([len(x) for x in pieces], int)
+        found = np.array([len(x) >= 3 and self.trie.exact(x) for x in pieces], np.uint8)
+        edits = edits_of(size)
+        near = np.flatnonzero((found == 0) & (edits > 0) & (size + edits >= self.shortest))
         if len(near):
-            out[near[self.trie.fuzzy([words[k] for k in near.tolist()], edits[near])]] = 2
+            found[near[self.trie.fuzzy([pieces[k][:LONGEST] for k in near.tolist()], edits[near], starts=True)]] = 2
+        out = np.zeros(len(words), np.uint8)
+        out[of[found == 2]] = 2
+        out[of[found == 1]] = 1
         return out
 
     def of(self, w: tk.Words) -> np.ndarray:
@@ -133,7 +155,7 @@ class Matcher:
         if len(new):
             raw = w.data.tobytes()
             spans = zip(w.starts[first[new]].tolist(), w.ends[first[new]].tolist(), strict=True)
-            found[new] = self.kinds_of([raw[a:b].decode("utf-8", "replace") if b - a < 200 else "" for a, b in spans])
+            found[new] = self.kinds_of([raw[a:b].decode("utf-8", "replace") for a, b in spans])
             keys = np.concatenate((self.hashes, h[new])) if len(self.hashes) < 2_000_000 else h[new]
             kinds = np.concatenate((self.kinds, found[new])) if len(self.hashes) < 2_000_000 else found[new]
             order = np.argsort(keys, kind="stable")
@@ -221,7 +243,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, held_out:
 
     Rows whose crc32(doc_id as text) mod held_out_of is held_out are never learnt from. The lexicon comes from stems of
     words in at most FIT_ROWS labelled rows. Every word of every whole text is met with it: a word that a term starts is
-    a hit, one within an automaton's few edits a misspelt hit; a window of WINDOW words on either side tells quoted
+    a hit, one within an automaton's few edits of a term, or starting so, a misspelt hit; parts of a word between other
+    characters than letters and digits are met too, and no word is too long; a window of WINDOW words on either side tells quoted
     hits from abuse. A logistic model on the counts gives the score. Null and empty texts have no hits and are scored
     so; a null doc_id is not held out and stays null; rows that repeat get equal results; null labels are not learnt
     from; with no labels of both kinds the score is the share of toxic ones, or 0. Other columns are ignored.
