@@ -18,6 +18,8 @@ CELLS, PROFILE_ROWS, LANGUAGES = 1 << 14, 2_000, 100
 TEMPER = 0.25
 #: Pseudo-counts that a host borrows from its suffix, a suffix from all rows, and each declared value or suffix from none.
 HOST, SUFFIX, FLAT = 8.0, 32.0, 1.0
+#: Least fused probability of the language of an accepted text: the usual threshold of language filters for web text.
+CERTAIN = 0.65
 #: Declared values and suffixes told apart, the commonest first; the others are one value.
 VALUES = 500
 
@@ -115,8 +117,9 @@ def language_id(rows: DataFrame, labelled: DataFrame) -> DataFrame:
     labelled (lang, text) gives the trigram profiles. Text likelihoods by language give text posteriors, and their sums,
     grouped over all rows, give how likely each declared language and suffix is in each language, and the share of each
     language in a host, smoothed by its suffix's, which is smoothed by that of all. A row's own posterior is taken out
-    of its host's sum. All four are fused by Bayes' rule. accepted is false for a text without letters, or one that no
-    language explains better than equally likely trigrams would. Null and empty texts have no likelihood, so the other
+    of its host's sum. All four are fused by Bayes' rule. accepted is false for a text without letters, for one that no
+    language explains better than equally likely trigrams would, for one whose fused language is less probable than
+    CERTAIN, and for one whose text alone speaks for another language than the fused one. Null and empty texts have no likelihood, so the other
     evidence decides their lang; null declared, host or suffix is no evidence; a null id stays null; rows that repeat
     get equal results; with no profiles lang is null. Other columns are ignored. An empty table gives no rows.
     """
@@ -152,7 +155,8 @@ def language_id(rows: DataFrame, labelled: DataFrame) -> DataFrame:
         return F.get(tongue, (F.array_position(scores, F.array_max(scores)) - 1).cast("int"))
 
     explained = F.array_max("loglik") > F.col("n_grams") * float(-np.log(CELLS))
-    return fused.select("id", best("posterior").alias("lang"), F.array_max("posterior").alias("probability"), F.when(F.col("n_grams") > 0, best("loglik")).alias("text_lang"), ((F.col("n_grams") > 0) & explained).alias("accepted"))
+    agreed = (F.array_max("posterior") >= CERTAIN) & (best("posterior") == best("loglik"))
+    return fused.select("id", best("posterior").alias("lang"), F.array_max("posterior").alias("probability"), F.when(F.col("n_grams") > 0, best("loglik")).alias("text_lang"), ((F.col("n_grams") > 0) & explained & agreed).alias("accepted"))
 
 
 def page_fields(pages: DataFrame) -> DataFrame:
