@@ -72,6 +72,23 @@ def keys_hint(keys: DataFrame) -> DataFrame:
     return keys.hint("broadcast" if keys.count() <= BROADCAST_ROWS else "shuffle_hash")
 
 
+#: Parts that each key's rows are dealt to in a join with a table too large to broadcast.
+SALTS = 16
+
+
+def sized_join(rows: DataFrame, table: DataFrame, on: list[str], row_bytes: int, how: str = "inner") -> DataFrame:
+    """rows joined with a table that has each key once, whatever share of rows a key holds.
+
+    The table is broadcast if its counted rows take at most BROADCAST_ROWS words of 8 bytes; else it is copied SALTS
+    times, and each key's rows are dealt to the copies.
+    """
+    if table.count() * row_bytes <= 8 * BROADCAST_ROWS:
+        return rows.join(table.hint("broadcast"), on, how)
+    table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return rows.join(table.hint("merge"), [*on, "_salt"], how).drop("_salt")
+
+
 def pack(bucket: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
     """One row per bucket that occurs, each column's values packed in bytes: a block of a distributed matrix."""
     order = np.argsort(bucket, kind="stable")

@@ -12,14 +12,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklore.llm import textkernel as tk
-from tracklore.llm.common import Scratch, cut, empty_safe, keys_hint, pack, unpack
+from tracklore.llm.common import Scratch, cut, empty_safe, keys_hint, pack, sized_join, unpack
 
 #: Packed entries in one exchange block.
 BLOCK = 400_000
 #: Bytes of text for each entry that the first exchange holds, to choose the number of blocks.
 BYTES_PER_MARK = 70
+#: Places of entries that only tell others of an indexed block, or of any occurrence, in their document.
+INDEXED, PRESENT = -1, -2
+#: A place is a row's copy number, from its text's hash, over the word's number in the text.
+COPY, WORD = (1 << 31) - 1, (1 << 32) - 1
 
-SPANS = "doc_id long, starts binary, ends binary"
+_TOP = np.iinfo(np.int64).max
+SEGMENTS = "doc_id long, copy long, start long, end long, src long, src_copy long, src_start long"
+
+
+def _starts(h: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values of a sorted array begin."""
+    return np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))[: len(h)])
+
+
+def _told(doc: np.ndarray, buckets: int) -> np.ndarray:
+    """Negative buckets, dealt by document, of entries that are decided: their group only passes them on."""
+    return -1 - (tk.mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h % np.uint64(buckets)).astype(np.int32)
 
 
 def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -33,12 +52,16 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
 
 
 def _marks(block: int, length: int, buckets: int):
-    """Winnowed block-sized grams: equal runs of length words share one, wherever they stand."""
+    """Winnowed block-sized grams: equal runs of length words share one, wherever they stand.
+
+    Documents of a batch that share a gram are told at once, and one of them stands for all, so a gram that any number
+    of documents have is shuffled once for each batch.
+    """
     width = length - block + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in empty_safe(batches):
-            ids, valid = tk.ids_of(batch.column("doc_id"))
+            ids, _ = tk.ids_of(batch.column("doc_id"))
             hs, docs = [], []
             for a, b, data, offsets in tk.slices(batch.column("text")):
                 h, text, _ = tk.words(data, offsets).grams(block)
@@ -48,32 +71,40 @@ def _marks(block: int, length: int, buckets: int):
                     least = _slide(h, width, np.minimum)
                     least[len(h) - width + 1 :] = 0
                     picked = np.flatnonzero(_slide(least[::-1], width, np.maximum)[::-1] == h)
-                picked = picked[valid[a:b][text[picked]]]
                 hs.append(h[picked])
                 docs.append(ids[a:b][text[picked]])
-            h = np.concatenate(hs)
-            if len(h):
-                yield pack((h % np.uint64(buckets)).astype(np.int32), h=h, doc=np.concatenate(docs))
+            h, doc = np.concatenate(hs), np.concatenate(docs)
+            if not len(h):
+                continue
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            start = _starts(h)
+            n = np.diff(np.append(start, len(h)))
+            told = np.unique(doc[np.repeat(doc[start] != doc[start + n - 1], n)])
+            h, doc = h[start], doc[start]
+            yield pack(np.concatenate((_bucket(h, buckets), _told(told, buckets))), h=np.concatenate((h, np.zeros(len(told), np.uint64))), doc=np.concatenate((doc, told)))
 
     return run
 
 
 def _shared_docs(pdf: pd.DataFrame) -> pd.DataFrame:
     h, doc = unpack(pdf, h=np.uint64, doc=np.int64)
-    order = np.lexsort((doc, h))
-    h, doc = h[order], doc[order]
-    start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    n = np.diff(np.append(start, len(h)))
-    many = doc[start] != doc[start + n - 1]
-    return pd.DataFrame({"doc_id": np.unique(doc[np.repeat(many, n)])})
+    if pdf["bucket"].iloc[0] >= 0:
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
+        start = _starts(h)
+        n = np.diff(np.append(start, len(h)))
+        doc = doc[np.repeat(doc[start] != doc[start + n - 1], n)]
+    return pd.DataFrame({"doc_id": np.unique(doc)})
 
 
-def _windows(size: int, buckets: int, spans: bool):
-    """Rolling windows of size words: all of a text, or those that start inside its spans."""
+def _rolling(size: int, dealt, spans: bool):
+    """Rolling windows of size words, all of a text or those that start inside its spans, as dealt packs them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in empty_safe(batches):
             ids, _ = tk.ids_of(batch.column("doc_id"))
+            copies = batch.column("copy").to_numpy()
             hs, docs, places = [], [], []
             for a, b, data, offsets in tk.slices(batch.column("text")):
                 h, text, place = tk.words(data, offsets).grams(size)
@@ -89,91 +120,178 @@ def _windows(size: int, buckets: int, spans: bool):
                     h, text, place = h[keep], text[keep], place[keep]
                 hs.append(h)
                 docs.append(ids[a:b][text])
-                places.append(place.astype(np.int32))
+                places.append((copies[a:b][text] << 32) | place)
             h = np.concatenate(hs)
             if len(h):
-                yield pack((h % np.uint64(buckets)).astype(np.int32), h=h, doc=np.concatenate(docs), place=np.concatenate(places))
+                yield from dealt(h, np.concatenate(docs), np.concatenate(places))
 
     return run
 
 
-def _by_doc(doc: np.ndarray, place: np.ndarray, buckets: int) -> pd.DataFrame:
-    if not len(doc):
-        return pd.DataFrame({"bucket": np.zeros(0, np.int32), "doc": [], "place": []})
-    return pack((tk.mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int32), doc=doc, place=place).to_pandas()
+def _probes(block: int, buckets: int):
+    """Windows as probes, and as index where they stand at a multiple of the block.
 
+    Occurrences that two documents of the batch share are hits already; for others' sake the least document that has
+    it indexed and the greatest that has it at all stand for them.
+    """
 
-def _least(h: np.ndarray, doc: np.ndarray, indexed: np.ndarray) -> np.ndarray:
-    """For each row the least document that has its hash among the indexed rows; the largest integer if none."""
-    top = np.iinfo(np.int64).max
-    start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    least = np.minimum.reduceat(np.where(indexed, doc, top), start)
-    return np.repeat(least, np.diff(np.append(start, len(h))))
+    def dealt(h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((doc, h))
+        h, doc, place = h[order], doc[order], place[order]
+        start = _starts(h)
+        n = np.diff(np.append(start, len(h)))
+        many = doc[start] != doc[start + n - 1]
+        told = np.repeat(many, n)
+        indexed = np.minimum.reduceat(np.where((place & WORD) % block == 0, doc, _TOP), start)
+        has = many & (indexed < _TOP)
+        key = [h[~told], h[start[has]], h[start[many]]]
+        where = [_bucket(x, buckets) for x in key]
+        docs = [doc[~told], indexed[has], doc[(start + n - 1)[many]], doc[told]]
+        places = [place[~told], np.full(has.sum(), INDEXED), np.full(many.sum(), PRESENT), place[told]]
+        yield pack(np.concatenate([*where, _told(doc[told], buckets)]), h=np.concatenate([*key, np.zeros(told.sum(), np.uint64)]), doc=np.concatenate(docs), place=np.concatenate(places))
+
+    return dealt
+
+
+def _by_doc(buckets: int, doc: np.ndarray, **columns: np.ndarray) -> pd.DataFrame:
+    if not len(doc):
+        return pd.DataFrame({"bucket": np.zeros(0, np.int32), "doc": [], **{c: [] for c in columns}})
+    return pack((tk.mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int32), doc=doc, **columns).to_pandas()
 
 
 def _hits(block: int, buckets: int):
     """Probes that meet an indexed block of a smaller document, and blocks that a larger document's probe meets."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, doc, place = unpack(pdf, h=np.uint64, doc=np.int64, place=np.int32)
-        order = np.argsort(h, kind="stable")
-        h, doc, place = h[order], doc[order], place[order]
-        indexed = place % block == 0
-        probe = _least(h, doc, indexed) < doc
-        start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        most = np.repeat(np.maximum.reduceat(doc, start), np.diff(np.append(start, len(h))))
-        hit = probe | (indexed & (doc < most))
-        return _by_doc(doc[hit], place[hit], buckets)
+        h, doc, place = unpack(pdf, h=np.uint64, doc=np.int64, place=np.int64)
+        if pdf["bucket"].iloc[0] >= 0:
+            order = np.argsort(h, kind="stable")
+            h, doc, place = h[order], doc[order], place[order]
+            start = _starts(h)
+            n = np.diff(np.append(start, len(h)))
+            indexed = (place == INDEXED) | (place >= 0) & ((place & WORD) % block == 0)
+            least = np.repeat(np.minimum.reduceat(np.where(indexed, doc, _TOP), start), n)
+            most = np.repeat(np.maximum.reduceat(doc, start), n)
+            hit = ((least < doc) | indexed & (doc < most)) & (place >= 0)
+            doc, place = doc[hit], place[hit]
+        return _by_doc(buckets, doc, place=place)
 
     return run
 
 
-def _repeats(buckets: int):
-    """Windows of which an equal one starts in a smaller document."""
+def _around(before: int, after: int):
+    """Places p of each row widened to [p - before, p + after) and joined to maximal spans."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, doc, place = unpack(pdf, h=np.uint64, doc=np.int64, place=np.int32)
-        order = np.argsort(h, kind="stable")
+        doc, place = unpack(pdf, doc=np.int64, place=np.int64)
+        order = np.lexsort((place, doc))
+        doc, copy, place = doc[order], place[order] >> 32, place[order] & WORD
+        new_row = np.concatenate(([True], (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1])))
+        new = new_row | np.concatenate(([True], place[1:] - before > place[:-1] + after))
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(doc)) - 1
+        starts = np.maximum(place[first] - before, 0).astype(np.int32)
+        ends = (place[last] + after).astype(np.int32)
+        at = np.flatnonzero(new_row[first])
+        stop = np.append(at[1:], len(first))
+        spans = {"starts": [starts[a:b].tobytes() for a, b in zip(at, stop, strict=True)], "ends": [ends[a:b].tobytes() for a, b in zip(at, stop, strict=True)]}
+        return pd.DataFrame({"doc_id": doc[first][at], "copy": copy[first][at], **spans})
+
+    return run
+
+
+def _matches(buckets: int):
+    """Whole windows; those that a smaller document of the batch starts too are decided, with where that one has it."""
+
+    def dealt(h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((place, doc, h))
         h, doc, place = h[order], doc[order], place[order]
-        gone = _least(h, doc, np.ones(len(h), bool)) < doc
-        return _by_doc(doc[gone], place[gone], buckets)
+        start = _starts(h)
+        n = np.diff(np.append(start, len(h)))
+        least = np.repeat(start, n)
+        gone = doc > doc[least]
+        if gone.any():
+            at = least[gone]
+            yield pack(_told(doc[gone], buckets), h=doc[at].view(np.uint64), doc=doc[gone], place=place[gone], at=place[at])
+        left = pack(_bucket(h[~gone], buckets), h=h[~gone], doc=doc[~gone], place=place[~gone])
+        yield left.append_column("at", pa.array([b""] * left.num_rows, pa.binary()))
+
+    return dealt
+
+
+def _repeats(buckets: int):
+    """Windows of which an equal one starts in a smaller document, with that document and its place there."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, doc, place, at = unpack(pdf, h=np.uint64, doc=np.int64, place=np.int64, at=np.int64)
+        src = h.view(np.int64)
+        if pdf["bucket"].iloc[0] >= 0:
+            order = np.lexsort((place, doc, h))
+            h, doc, place = h[order], doc[order], place[order]
+            start = _starts(h)
+            least = np.repeat(start, np.diff(np.append(start, len(h))))
+            gone = doc > doc[least]
+            src, at = doc[least][gone], place[least][gone]
+            doc, place = doc[gone], place[gone]
+        return _by_doc(buckets, doc, place=place, src=src, at=at)
 
     return run
 
 
-def _spans(before: int, after: int):
-    """Places p of each document widened to [p - before, p + after) and joined to maximal spans."""
+def _maximal(length: int):
+    """Neighbouring windows that stand side by side in one smaller document, joined to maximal repeats."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, place = unpack(pdf, doc=np.int64, place=np.int32)
+        doc, place, src, at = unpack(pdf, doc=np.int64, place=np.int64, src=np.int64, at=np.int64)
         order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order].astype(np.int64)
-        new_doc = np.concatenate(([True], doc[1:] != doc[:-1]))
-        new = new_doc | np.concatenate(([True], place[1:] - before > place[:-1] + after))
+        doc, place, src, at = doc[order], place[order], src[order], at[order]
+        once = np.concatenate(([True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])))
+        doc, place, src, at = doc[once], place[once], src[once], at[once]
+        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (src[1:] != src[:-1]) | (place[1:] != place[:-1] + 1) | (at[1:] != at[:-1] + 1)))
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(doc)) - 1
-        starts = np.maximum(place[first] - before, 0).astype(np.int32)
-        ends = (place[last] + after).astype(np.int32)
-        at = np.flatnonzero(new_doc[first])
-        stop = np.append(at[1:], len(first))
-        return pd.DataFrame({"doc_id": doc[first][at], "starts": [starts[a:b].tobytes() for a, b in zip(at, stop, strict=True)], "ends": [ends[a:b].tobytes() for a, b in zip(at, stop, strict=True)]})
+        out = {"doc_id": doc[first], "copy": place[first] >> 32, "start": place[first] & WORD, "end": (place[last] & WORD) + length}
+        return pd.DataFrame(out | {"src": src[first], "src_copy": at[first] >> 32, "src_start": at[first] & WORD})
 
     return run
 
 
+def _digest(words: list[bytes], start: int, end: int) -> bytes:
+    return hashlib.blake2b(b" ".join(words[start:end]), digest_size=16).digest()
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the words of each text that repeats of other documents name."""
+    for batch in empty_safe(batches):
+        texts, rows = batch.column("text"), [[], [], []]
+        take = []
+        for k, asked in enumerate(batch.column("asked").to_pylist()):
+            words = (texts[k].as_py() or "").encode().split()
+            for x in asked:
+                take.append(k)
+                for out, value in zip(rows, (x["src_start"], x["n"], _digest(words, x["src_start"], x["src_start"] + x["n"])), strict=True):
+                    out.append(value)
+        take = pa.array(take, pa.int64())
+        yield pa.RecordBatch.from_pydict({"src": batch.column("doc_id").take(take), "src_copy": batch.column("copy").take(take), "src_start": pa.array(rows[0], pa.int64()), "n": pa.array(rows[1], pa.int64()), "digest": pa.array(rows[2], pa.binary())})
+
+
 def _results(whole: bool):
-    """Counts of each text's words and removed words, and the kept text, or its digest only."""
+    """Counts of each text's words and removed words, and the kept text, or its digest only.
+
+    A repeat is removed where its words are those of the document that it repeats, by digests of the words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in empty_safe(batches):
-            cut_out = "starts" in batch.schema.names
+            spans = batch.column("spans").to_pylist() if "spans" in batch.schema.names else [()] * batch.num_rows
             texts, n_words, removed, out = batch.column("text"), [], [], []
-            for k in range(batch.num_rows):
+            for k, own in enumerate(spans):
                 words = (texts[k].as_py() or "").encode().split()
                 kept, at = [], 0
-                for a, b in zip(*(np.frombuffer(batch.column(c)[k].as_py(), np.int32).tolist() for c in ("starts", "ends")), strict=True) if cut_out else ():
-                    kept += words[at:a]
-                    at = b
+                for x in own:
+                    if x["end"] > at and _digest(words, x["start"], x["end"]) == x["digest"]:
+                        kept += words[at : max(at, x["start"])]
+                        at = x["end"]
                 kept += words[at:]
                 n_words.append(len(words))
                 removed.append(len(words) - len(kept))
@@ -184,14 +302,16 @@ def _results(whole: bool):
     return run
 
 
-def removed_spans(docs: DataFrame, scratch: Scratch, length: int = 50) -> DataFrame:
-    """(doc_id, starts, ends): word ranges to remove, one row for each document that loses words.
+def repeats(docs: DataFrame, scratch: Scratch, length: int = 50) -> DataFrame:
+    """(doc_id, copy, spans): maximal repeats of each row of docs (doc_id, copy, text), with digests of the repeated words.
 
     Blocks of length // 2 words at multiples of their size are the index; each window of length words holds one whole
-    block. Every rolling block-sized run of words probes it; a hit is an indexed block of a smaller document. Windows
-    around the hits and around the blocks hit are then compared whole, by their hash, with the least document that
-    starts each; those with a smaller one are removed, and what they cover is a maximal repeat. Only documents that share a winnowed
-    gram of block size are probed at all: two equal windows always share one, so none is lost.
+    block. Every rolling block-sized run of words probes it; a hit is an indexed block of a smaller document. Around
+    the hits and the blocks hit, windows of length words are matched with the least document that starts each, and
+    windows side by side in both documents are extended to one maximal repeat, whose words in the smaller document are
+    read again for comparison. Only documents that share a winnowed gram of block size are probed at all: two equal
+    windows always share one, so none is lost. Whatever many documents share is decided within each batch, and one
+    entry a batch is shuffled for it.
     """
     block = length // 2
     docs = docs.where("doc_id IS NOT NULL")
@@ -202,14 +322,17 @@ def removed_spans(docs: DataFrame, scratch: Scratch, length: int = 50) -> DataFr
     near = scratch.table(docs.join(keys_hint(scratch.table(shared)), "doc_id", "left_semi"))
     size = near.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // (6 * BLOCK)))
-    packed = "bucket int, h binary, doc binary, place binary"
-    places = "bucket int, doc binary, place binary"
-    probes = near.mapInArrow(_windows(block, buckets, spans=False), packed)
-    hits = probes.groupBy("bucket").applyInPandas(_hits(block, buckets), places)
-    around = scratch.table(hits.groupBy("bucket").applyInPandas(_spans(block, 1), SPANS))
-    windows = near.join(around.hint("shuffle_hash"), "doc_id").mapInArrow(_windows(length, buckets, spans=True), packed)
-    gone = windows.groupBy("bucket").applyInPandas(_repeats(buckets), places)
-    return cut(gone.groupBy("bucket").applyInPandas(_spans(0, length), SPANS))
+    probes = near.mapInArrow(_rolling(block, _probes(block, buckets), spans=False), "bucket int, h binary, doc binary, place binary")
+    hits = probes.groupBy("bucket").applyInPandas(_hits(block, buckets), "bucket int, doc binary, place binary")
+    around = scratch.table(hits.groupBy("bucket").applyInPandas(_around(block, 1), "doc_id long, copy long, starts binary, ends binary"))
+    windows = near.join(around.hint("shuffle_hash"), ["doc_id", "copy"]).mapInArrow(_rolling(length, _matches(buckets), spans=True), "bucket int, h binary, doc binary, place binary, at binary")
+    gone = windows.groupBy("bucket").applyInPandas(_repeats(buckets), "bucket int, doc binary, place binary, src binary, at binary")
+    found = scratch.table(gone.groupBy("bucket").applyInPandas(_maximal(length), SEGMENTS).withColumn("n", F.col("end") - F.col("start")))
+    asked = found.select("src", "src_copy", "src_start", "n").distinct().groupBy(F.col("src").alias("doc_id"), F.col("src_copy").alias("copy")).agg(F.collect_list(F.struct("src_start", "n")).alias("asked"))
+    words = near.join(asked.hint("shuffle_hash"), ["doc_id", "copy"]).mapInArrow(_asked, "src long, src_copy long, src_start long, n long, digest binary")
+    words = scratch.table(words.distinct())
+    told = sized_join(found, words, ["src", "src_copy", "src_start", "n"], row_bytes=64)
+    return cut(told.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list(F.struct("start", "end", "digest"))).alias("spans")))
 
 
 def substring_dedup(docs: DataFrame, length: int = 50, whole: bool = True) -> DataFrame:
@@ -218,14 +341,15 @@ def substring_dedup(docs: DataFrame, length: int = 50, whole: bool = True) -> Da
     A word goes if it lies in a window of length words that also starts in a document with a smaller doc_id; windows
     are those of the input. Kept words are joined by one space; with whole=False their digest, kept_sha256, is given
     instead. Null and empty texts have no words and kept is empty. A null doc_id neither loses words nor costs others
-    any. Rows that repeat a doc_id are one document, whose repeats within itself stay; they are taken to have one text.
-    Other columns are ignored. An empty table gives no rows.
+    any. Rows that repeat a doc_id cost each other nothing, whether their texts are equal or not. Other columns are
+    ignored. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.withColumn("copy", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(COPY)))
     with Scratch(docs.sparkSession) as scratch:
-        spans = removed_spans(docs, scratch, length)
-    ids = keys_hint(spans.select("doc_id"))
+        spans = repeats(docs, scratch, length)
+    ids = keys_hint(spans.select("doc_id", "copy"))
     schema = "doc_id long, n_words long, n_removed long, " + ("kept string" if whole else "kept_sha256 string")
-    rest = docs.join(ids, "doc_id", "left_anti").mapInArrow(_results(whole), schema)
-    less = docs.join(ids, "doc_id", "left_semi").join(spans.hint("shuffle_hash"), "doc_id").mapInArrow(_results(whole), schema)
+    rest = docs.join(ids, ["doc_id", "copy"], "left_anti").mapInArrow(_results(whole), schema)
+    less = docs.join(spans.hint("shuffle_hash"), ["doc_id", "copy"]).mapInArrow(_results(whole), schema)
     return rest.unionAll(less)
