@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklore.llm import textkernel as tk
-from tracklore.llm.common import Scratch, components, cut, empty_safe, keys_hint, pack, unpack
+from tracklore.llm.common import Scratch, components, cut, empty_safe, keys_hint, pack, sized_join, unpack
 
 #: A column of the incidence matrix that this many documents of one batch share, or this many of all, is a common one.
 BATCH_COMMON, COMMON = 3, 100
@@ -24,6 +24,8 @@ SHORT = 6
 
 SETS = "doc_id long, n_shingles long, k1 long, k2 long"
 HOT = "h long, n long"
+#: Pairs that one copy of a document's set is met with, and rows of a long column in one tile of its product.
+PAIRS, TILE = 1_000, 2_048
 #: Rounds in which a long column ties its documents to one of them, before all its pairs between components are tried.
 STARS = 2
 PAIR = ["a", "b", "n_a", "n_b", "hits"]
@@ -80,7 +82,11 @@ def _common(size: int):
 
 
 def _entries(size: int, common, buckets: int):
-    """Blocks of the incidence matrix: for each document the columns of which a partner must share one."""
+    """Blocks of the incidence matrix: for each document the columns of which a partner must share one.
+
+    Of a column that more than SHORT documents of a batch have, so many and one go to its block, which show there that it is
+    long; the others are told already as rows of a long column, in blocks dealt by document. So no block grows with a column.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = common.value
@@ -100,9 +106,15 @@ def _entries(size: int, common, buckets: int):
                 hs.append(h[keep])
                 docs.append(ids[a:b][text[keep]])
                 ns.append(n[text[keep]].astype(np.int32))
-            h = np.concatenate(hs)
+            h, doc, n = np.concatenate(hs), np.concatenate(docs), np.concatenate(ns)
             if len(h):
-                yield pack((h % np.uint64(buckets)).astype(np.int32), h=h, doc=np.concatenate(docs), n=np.concatenate(ns))
+                order = np.argsort(h, kind="stable")
+                h, doc, n = h[order], doc[order], n[order]
+                start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+                rank = np.arange(len(h)) - np.repeat(start, np.diff(np.append(start, len(h))))
+                bucket = (h % np.uint64(buckets)).astype(np.int32)
+                told = -1 - (tk.mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+                yield pack(np.where(rank > SHORT, told, bucket), h=h, doc=doc, n=n)
 
     return run
 
@@ -110,6 +122,8 @@ def _entries(size: int, common, buckets: int):
 def _product(pdf: pd.DataFrame) -> pd.DataFrame:
     """Pairs of documents that share a column of this block, with the columns shared, and the rows of long columns."""
     h, doc, n = unpack(pdf, h=np.uint64, doc=np.int64, n=np.int32)
+    if pdf["bucket"].iloc[0] < 0:
+        return pd.DataFrame({"kind": 1, "a": doc, "b": 0, "h": h.view(np.int64), "n_a": n, "n_b": 0, "hits": 0})
     order = np.argsort(h, kind="stable")
     h, doc, n = h[order], doc[order], n[order]
     length = np.diff(np.append(np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))), len(h)))
@@ -139,35 +153,48 @@ def _product(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([pairs, again])[["kind", "a", "b", "h", "n_a", "n_b", "hits"]]
 
 
-def _verify(size: int):
-    """Overlap of each pair, summed over all columns, against the least that its two sizes allow."""
+def _packed_sets(size: int):
+    """Each text's shingles, sorted, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in empty_safe(batches):
-            sets: list[list[np.ndarray]] = []
-            for name in ("text_a", "text_b"):
-                own = []
-                for _, _, data, offsets in tk.slices(batch.column(name)):
-                    text, h = shingles(data, offsets, size)
-                    own += np.split(h, np.cumsum(np.bincount(text, minlength=len(offsets) - 1))[:-1])
-                sets.append(own)
-            linked = []
-            for x, y in zip(*sets, strict=True):
-                least = -(-4 * (len(x) + len(y)) // 9)
-                linked.append(len(x) > 0 and min(len(x), len(y)) >= least and len(np.intersect1d(x, y, assume_unique=True)) >= least)
-            mask = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_pydict({"u": batch.column("a").filter(mask), "v": batch.column("b").filter(mask)})
+            for a, b, data, offsets in tk.slices(batch.column("text")):
+                text, h = shingles(data, offsets, size)
+                ends = np.cumsum(np.bincount(text, minlength=b - a)).tolist()
+                yield pa.RecordBatch.from_pydict({"doc": batch.column("doc_id").slice(a, b - a), "set": pa.array([h[x:y].tobytes() for x, y in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())})
 
     return run
 
 
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose overlap, over all columns, is the least that their two sizes allow, or more."""
+    for batch in empty_safe(batches):
+        linked = []
+        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+            x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+            least = -(-4 * (len(x) + len(y)) // 9)
+            linked.append(len(x) > 0 and min(len(x), len(y)) >= least and len(np.intersect1d(x, y, assume_unique=True)) >= least)
+        mask = pa.array(linked, pa.bool_())
+        yield pa.RecordBatch.from_pydict({"u": batch.column("a").filter(mask), "v": batch.column("b").filter(mask)})
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, scratch: Scratch) -> DataFrame:
+    """Pairs with the set of one end; a set that very many pairs need is copied, and its pairs are dealt to the copies."""
+    hot = scratch.table(pairs.groupBy(end).agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("copies")).where("copies > 1"))
+    own = sized_join(sets.toDF(end, f"set_{end}"), hot, [end], 12, "left")
+    own = own.withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    pairs = sized_join(pairs, hot, [end], 12, "left")
+    pairs = pairs.withColumn("copy", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("copies")), F.lit(0)).cast("int")).drop("copies")
+    return pairs.join(own.hint("merge"), [end, "copy"]).drop("copy")
+
+
 def _links(docs: DataFrame, pairs: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     pairs = pairs.select("a", "b")
     needed = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-    texts = scratch.table(docs.join(keys_hint(scratch.table(needed)), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-    both = pairs.join(right.hint("shuffle_hash"), "b").join(left.hint("shuffle_hash"), "a").select("a", "b", "text_a", "text_b")
-    return scratch.table(both.mapInArrow(_verify(size), "u long, v long"))
+    texts = docs.join(keys_hint(scratch.table(needed)), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = scratch.table(texts.mapInArrow(_packed_sets(size), "doc long, set binary"))
+    both = _with_sets(_with_sets(pairs, sets, "b", scratch), sets, "a", scratch)
+    return scratch.table(both.select("a", "b", "set_a", "set_b").mapInArrow(_verified, "u long, v long"))
 
 
 def _with_part(rows: DataFrame, key: str, name: str, parts: DataFrame | None) -> DataFrame:
@@ -188,20 +215,34 @@ def _mixed(lists: DataFrame, parts: DataFrame | None, scratch: Scratch) -> DataF
     return scratch.table(rows.join(keys_hint(scratch.table(mixed)), "h", "left_semi"))
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of rows l and r of a column, with their hits over all columns, as far as sizes and components allow a link."""
-    good = rows.where("l.doc <> r.doc AND l.part <> r.part AND 5 * l.n >= 4 * r.n AND 5 * r.n >= 4 * l.n")
-    low = F.expr("l.doc < r.doc")
-    ends = [F.when(low, F.col(f"l.{c}")).otherwise(F.col(f"r.{c}")).alias(n) for c, n in (("doc", "a"), ("n", "n_a"))]
-    ends += [F.when(low, F.col(f"r.{c}")).otherwise(F.col(f"l.{c}")).alias(n) for c, n in (("doc", "b"), ("n", "n_b"))]
+def _star_pairs(rows: DataFrame, round_: int, scratch: Scratch) -> DataFrame:
+    """Each document of a long column with one of the column, where sizes and components allow a link: the one in most
+    long columns, then another in each round."""
+    order = F.struct(F.col("degree") if round_ == 0 else F.lit(0), F.xxhash64("doc", F.lit(round_)))
+    lead = rows.groupBy("h").agg(F.max_by(F.struct("doc", "n", "part"), order).alias("l")).select("h", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("doc", "n", "part")])
+    both = sized_join(rows, scratch.table(lead), ["h"], 32)
+    good = both.where("l_doc <> doc AND l_part <> part AND 5 * l_n >= 4 * n AND 5 * n >= 4 * l_n")
+    low = F.expr("l_doc < doc")
+    ends = [F.when(low, F.col(f"l_{c}")).otherwise(F.col(c)).alias(x) for c, x in (("doc", "a"), ("n", "n_a"))]
+    ends += [F.when(low, F.col(c)).otherwise(F.col(f"l_{c}")).alias(x) for c, x in (("doc", "b"), ("n", "n_b"))]
     return good.select(*ends).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("hits")).select(PAIR)
 
 
-def _star_pairs(rows: DataFrame, round_: int) -> DataFrame:
-    """Each document of a long column with one of the column: the one in most long columns, then another in each round."""
-    order = F.struct(F.col("degree") if round_ == 0 else F.lit(0), F.xxhash64("doc", F.lit(round_)))
-    lead = rows.groupBy("h").agg(F.max_by(F.struct("doc", "n", "part"), order).alias("lead")).select("h", "lead.*")
-    return _pairs(rows.alias("r").join(lead.alias("l").hint("merge"), F.expr("l.h = r.h")))
+def _tiles(rows: DataFrame, columns: int, scratch: Scratch) -> DataFrame:
+    """The product of long columns in tiles of about TILE by TILE rows: rows outside a column's largest part by all.
+
+    Short columns share tiles, by their hash; each tile is a task's work, however many documents have a column.
+    """
+    sizes = rows.groupBy("h", "part").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("part", F.struct("c", "part")).alias("large"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    sizes = scratch.table(sizes.select("h", "large", F.ceil(F.col("all") / TILE).cast("int").alias("wide"), F.greatest(F.ceil((F.col("all") - F.col("most")) / TILE), F.lit(1)).cast("int").alias("high")))
+    rows = sized_join(rows.select("h", "doc", "part", F.col("n").cast("long").alias("n")), sizes, ["h"], 24).withColumn("other", F.col("part") != F.col("large"))
+    own = {c: F.pmod(F.xxhash64("doc", F.lit(c)), F.col(c)).cast("int") for c in ("wide", "high")}
+    split = F.sequence(F.lit(0), F.col("high") - 1), F.sequence(F.lit(0), F.col("wide") - 1)
+    every = rows.withColumn("side", F.lit(0)).withColumn("c", own["wide"]).withColumn("o", F.explode(split[0]))
+    others = rows.where("other").withColumn("side", F.lit(1)).withColumn("c", F.explode(split[1])).withColumn("o", own["high"])
+    long = (F.col("wide") > 1) | (F.col("high") > 1)
+    tile = F.when(long, F.col("h")).otherwise(F.pmod("h", F.lit(columns))).alias("tile")
+    return every.unionByName(others).select(tile, *[F.when(long, F.col(x)).otherwise(-1).alias(x) for x in ("c", "o")], "h", "doc", "part", "n", "other", "side")
 
 
 def _pair_blocks(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, hits: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -216,26 +257,26 @@ def _summed(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, hits
     return [a[first], b[first], n_a[first], n_b[first], np.add.reduceat(hits, first) if len(first) else hits]
 
 
-def _block_product(buckets: int):
-    """The product of one block of long columns, between components only: rows outside a column's largest part with all."""
+def _tile_product(buckets: int):
+    """The product of one tile, between components only."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         h, doc, part, n = (pdf[c].to_numpy(np.int64) for c in ("h", "doc", "part", "n"))
-        order = np.lexsort((part, h))
-        h, doc, part, n = h[order], doc[order], part[order], n[order]
+        other, side = pdf["other"].to_numpy(bool), pdf["side"].to_numpy(np.int64)
+        order = np.lexsort((side, h))
+        h, doc, part, n, other, side = (x[order] for x in (h, doc, part, n, other, side))
         cuts = np.append(np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))), len(h))
         found, held = [[np.zeros(0, np.int64)] * 5], 0
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            own, size = part[lo:hi], n[lo:hi]
-            value, count = np.unique(own, return_counts=True)
-            large = value[np.argmax(count)]
-            for i in np.flatnonzero(own != large).tolist():
-                near = (own != own[i]) & (5 * size >= 4 * size[i]) & (5 * size[i] >= 4 * size) & ((own == large) | (np.arange(hi - lo) > i))
-                j = np.flatnonzero(near) + lo
+            mid = lo + int(np.searchsorted(side[lo:hi], 1))
+            d, p, s, second = doc[lo:mid], part[lo:mid], n[lo:mid], other[lo:mid]
+            for i in range(mid, hi):
+                near = (p != part[i]) & (5 * s >= 4 * n[i]) & (5 * n[i] >= 4 * s) & (~second | (d > doc[i]))  # two others once
+                j = np.flatnonzero(near)
                 if len(j):
-                    low = doc[j] < doc[lo + i]
-                    mine, its = np.full(len(j), doc[lo + i]), np.full(len(j), size[i])
-                    found.append([np.where(low, doc[j], mine), np.where(low, mine, doc[j]), np.where(low, n[j], its), np.where(low, its, n[j]), np.ones(len(j), np.int64)])
+                    low = d[j] < doc[i]
+                    mine, its = np.full(len(j), doc[i]), np.full(len(j), n[i])
+                    found.append([np.where(low, d[j], mine), np.where(low, mine, d[j]), np.where(low, s[j], its), np.where(low, its, s[j]), np.ones(len(j), np.int64)])
                     held += len(j)
             if held > 4_000_000:
                 found, held = [_summed(*map(np.concatenate, zip(*found, strict=True)))], 0
@@ -261,12 +302,11 @@ def _hopeful(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": a[good], "b": b[good], "n_a": n_a[good], "n_b": n_b[good], "hits": hits[good]})
 
 
-def _open_pairs(pairs: DataFrame, rows: DataFrame, parts: DataFrame, buckets: int) -> DataFrame:
+def _open_pairs(pairs: DataFrame, rows: DataFrame, parts: DataFrame, buckets: int, scratch: Scratch) -> DataFrame:
     """All pairs between components that short and long columns give together, as far as their hits allow a link."""
     schema = ", ".join(f"{c} {'int' if c == 'bucket' else 'binary'}" for c in PAIR_BLOCK)
     short = _apart(pairs, parts).mapInArrow(_as_blocks(buckets), schema)
-    block = F.pmod("h", F.lit(buckets)).alias("block")
-    long = rows.select(block, "h", "doc", "part", F.col("n").cast("long").alias("n")).groupBy("block").applyInPandas(_block_product(buckets), schema)
+    long = _tiles(rows, buckets, scratch).groupBy("tile", "c", "o").applyInPandas(_tile_product(buckets), schema)
     return short.unionAll(long).groupBy("bucket").applyInPandas(_hopeful, "a long, b long, n_a long, n_b long, hits long")
 
 
@@ -310,7 +350,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5) -> DataFrame:
         links = tried = parts = None
         for k in range(STARS):
             rows = _mixed(lists, parts, scratch)
-            star = _star_pairs(rows, k)
+            star = _star_pairs(rows, k, scratch)
             now = _best(_apart(pairs, parts).unionAll(star)) if k == 0 else _best(star)
             now = scratch.table(now if tried is None else now.join(tried.hint("merge"), ["a", "b"], "left_anti"))
             if k and now.isEmpty():
@@ -318,7 +358,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5) -> DataFrame:
             found = _links(reps, now, size, scratch)
             links, tried = (found, now.select("a", "b")) if links is None else (links.unionAll(found), tried.unionAll(now.select("a", "b")))
             parts = scratch.table(components(links))
-        left = _open_pairs(pairs, _mixed(lists, parts, scratch), parts, columns)
+        left = _open_pairs(pairs, _mixed(lists, parts, scratch), parts, columns, scratch)
         left = scratch.table(left.join(tried.hint("merge"), ["a", "b"], "left_anti").select(PAIR))
         more = _links(reps, left, size, scratch)
         if not more.isEmpty():
