@@ -16,6 +16,8 @@ from tracklore.llm.common import Scratch, cut, empty_safe, keys_hint, pack, size
 
 #: Packed entries in one exchange block.
 BLOCK = 400_000
+#: Entries of a task's texts that are decided and packed at once.
+AT_ONCE = 1 << 19
 #: Bytes of text for each entry that the first exchange holds, to choose the number of blocks.
 BYTES_PER_MARK = 70
 #: Places of entries that only tell others of an indexed block, or of any occurrence, in their document.
@@ -105,7 +107,7 @@ def _rolling(size: int, dealt, spans: bool):
         for batch in empty_safe(batches):
             ids, _ = tk.ids_of(batch.column("doc_id"))
             copies = batch.column("copy").to_numpy()
-            hs, docs, places = [], [], []
+            hs, docs, places, held = [], [], [], 0
             for a, b, data, offsets in tk.slices(batch.column("text")):
                 h, text, place = tk.words(data, offsets).grams(size)
                 if spans:
@@ -121,9 +123,10 @@ def _rolling(size: int, dealt, spans: bool):
                 hs.append(h)
                 docs.append(ids[a:b][text])
                 places.append((copies[a:b][text] << 32) | place)
-            h = np.concatenate(hs)
-            if len(h):
-                yield from dealt(h, np.concatenate(docs), np.concatenate(places))
+                held += len(h)
+                if held and (held >= AT_ONCE or b == batch.num_rows):
+                    yield from dealt(*map(np.concatenate, (hs, docs, places)))
+                    hs, docs, places, held = [], [], [], 0
 
     return run
 
@@ -136,17 +139,17 @@ def _probes(block: int, buckets: int):
     """
 
     def dealt(h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((doc, h))
+        order = np.argsort(h)
         h, doc, place = h[order], doc[order], place[order]
         start = _starts(h)
-        n = np.diff(np.append(start, len(h)))
-        many = doc[start] != doc[start + n - 1]
-        told = np.repeat(many, n)
+        most = np.maximum.reduceat(doc, start)
+        many = np.minimum.reduceat(doc, start) != most
+        told = np.repeat(many, np.diff(np.append(start, len(h))))
         indexed = np.minimum.reduceat(np.where((place & WORD) % block == 0, doc, _TOP), start)
         has = many & (indexed < _TOP)
         key = [h[~told], h[start[has]], h[start[many]]]
         where = [_bucket(x, buckets) for x in key]
-        docs = [doc[~told], indexed[has], doc[(start + n - 1)[many]], doc[told]]
+        docs = [doc[~told], indexed[has], most[many], doc[told]]
         places = [place[~told], np.full(has.sum(), INDEXED), np.full(many.sum(), PRESENT), place[told]]
         yield pack(np.concatenate([*where, _told(doc[told], buckets)]), h=np.concatenate([*key, np.zeros(told.sum(), np.uint64)]), doc=np.concatenate(docs), place=np.concatenate(places))
 
@@ -200,15 +203,24 @@ def _around(before: int, after: int):
     return run
 
 
+def _with_least(h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The entries by hash, and for each where the first one of its hash's least document stands."""
+    order = np.argsort(h)
+    h, doc, place = h[order], doc[order], place[order]
+    start = _starts(h)
+    n = np.diff(np.append(start, len(h)))
+    least = np.repeat(start, n)
+    again = np.flatnonzero(np.repeat(n > 1, n))
+    order = again[np.lexsort((place[again], doc[again], h[again]))]
+    doc[again], place[again] = doc[order], place[order]
+    return h, doc, place, least
+
+
 def _matches(buckets: int):
     """Whole windows; those that a smaller document of the batch starts too are decided, with where that one has it."""
 
     def dealt(h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((place, doc, h))
-        h, doc, place = h[order], doc[order], place[order]
-        start = _starts(h)
-        n = np.diff(np.append(start, len(h)))
-        least = np.repeat(start, n)
+        h, doc, place, least = _with_least(h, doc, place)
         gone = doc > doc[least]
         if gone.any():
             at = least[gone]
@@ -226,10 +238,7 @@ def _repeats(buckets: int):
         h, doc, place, at = unpack(pdf, h=np.uint64, doc=np.int64, place=np.int64, at=np.int64)
         src = h.view(np.int64)
         if pdf["bucket"].iloc[0] >= 0:
-            order = np.lexsort((place, doc, h))
-            h, doc, place = h[order], doc[order], place[order]
-            start = _starts(h)
-            least = np.repeat(start, np.diff(np.append(start, len(h))))
+            h, doc, place, least = _with_least(h, doc, place)
             gone = doc > doc[least]
             src, at = doc[least][gone], place[least][gone]
             doc, place = doc[gone], place[gone]
