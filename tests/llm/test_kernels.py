@@ -115,9 +115,33 @@ def test_graph_finds_what_brute_force_finds():
     centres = rng.normal(size=(120, 24))
     v = np.concatenate([centres, centres[rng.integers(0, 120, 1500)] + rng.normal(scale=0.03, size=(1500, 24)), np.tile(centres[:1], (40, 1)) + rng.normal(scale=0.01, size=(40, 24))])
     v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-    found = hnsw.Graph(v, np.arange(len(v))).within(v, 0.98, np.arange(len(v)))
+    graph = hnsw.Graph.load(v, hnsw.Graph(v, np.arange(len(v))).dump())
     truth = v @ v.T >= 0.98
-    assert sum(truth[k][f].sum() for k, f in enumerate(found)) >= 0.99 * truth.sum()
+    np.fill_diagonal(truth, False)
+    width, audit = graph.width_for(v, np.arange(len(v)), 0.98)
+    assert audit[1] > 0 and audit[0] >= 0.98 * audit[1] and audit[2] >= 0.95 * audit[3] == 0.95 * 64
+    x, y, crowd = graph.within(v, np.arange(len(v)), 0.98, width)
+    assert truth[x, y][x != y].all()
+    sparse = ~np.isin(np.arange(len(v)), crowd)
+    assert (x != y).sum() >= 0.99 * truth[sparse].sum()
+
+
+def test_audit_sees_a_graph_that_finds_nothing():
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(3000, 16))
+    v[1::2] = v[::2] + rng.normal(scale=0.01, size=(1500, 16))
+    v = hnsw.unit(v.ravel(), 16).astype(np.float32)
+    graph = hnsw.Graph(v, np.arange(len(v)))
+    wide, audit = graph.width_for(v, np.arange(len(v)), 0.98)
+    assert wide < len(v) and audit[1] >= 60
+    graph.beam = lambda q, s, l, w, own=None: (np.full((len(q), w), -1, np.int32), np.full((len(q), w), -np.inf, np.float32))
+    width, audit = graph.width_for(v, np.arange(len(v)), 0.98)
+    assert width >= len(v)
+
+
+def test_unit_vectors_of_extreme_components():
+    v = hnsw.unit(np.array([1e300, 1e300, 1e-310, 1e-310, 3.0, 4.0]), 2)
+    assert np.allclose(v, [[0.5**0.5] * 2, [0.5**0.5] * 2, [0.6, 0.8]])
 
 
 def distance(a, b):

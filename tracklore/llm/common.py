@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Key tables of at most this many rows may be broadcast (8 bytes a row); larger ones are shuffled.
@@ -76,13 +76,14 @@ def keys_hint(keys: DataFrame) -> DataFrame:
 SALTS = 16
 
 
-def sized_join(rows: DataFrame, table: DataFrame, on: list[str], row_bytes: int, how: str = "inner") -> DataFrame:
+def sized_join(rows: DataFrame, table: DataFrame, on: list[str], row_bytes: int | Column, how: str = "inner") -> DataFrame:
     """rows joined with a table that has each key once, whatever share of rows a key holds.
 
     The table is broadcast if its counted rows take at most BROADCAST_ROWS words of 8 bytes; else it is copied SALTS
     times, and each key's rows are dealt to the copies.
     """
-    if table.count() * row_bytes <= 8 * BROADCAST_ROWS:
+    size = table.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0
+    if size <= 8 * BROADCAST_ROWS:
         return rows.join(table.hint("broadcast"), on, how)
     table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))

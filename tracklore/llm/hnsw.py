@@ -2,28 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklore.llm.common import Scratch, components, cut, empty_safe
+from tracklore.llm.common import Scratch, components, cut, sized_join
 
-#: Vectors in a shard's graph and in a block of queries.
-SHARD, BLOCK = 16_384, 4_096
-#: Query blocks that one graph built in a task is searched from: at most so many times BLOCK vectors in a row.
-BATCH = 16
+#: Vectors in a shard, at most, and bytes of their components: longer vectors make smaller shards.
+SHARD, SHARD_BYTES = 16_384, 1 << 25
 #: Links of a node, beam while building, first beam while searching, nodes expanded at once.
 LINKS, BUILD_BEAM, FIRST_BEAM, EXPAND = 16, 48, 64, 4
 #: Links to a node, at least, and slots of a node for links that see to it.
 INWARD, SPARE = 3, 6
 #: Each level keeps one node in so many of the one below.
 LEVEL = 16
-#: Audited queries of each block and shard, and the share of their links that must be found from this side alone; each
-#: pair is looked for from both sides.
-AUDIT, RECALL = 64, 0.98
+#: Audited queries of each search, the shares of their links and of their nearest others that a beam must find before it is
+#: used, and the share of all audited ones, summed by label, below which the job fails.
+AUDIT, LINK_RECALL, NEAR_RECALL, LEAST_RECALL = 64, 0.98, 0.95, 0.9
 _CELLS = 1 << 25
 
 
@@ -189,80 +187,179 @@ class Graph:
             nodes, sims = np.take_along_axis(nodes, best, 1), np.take_along_axis(sims, best, 1)
         return nodes, sims
 
-    def within(self, queries: np.ndarray, least: float, starts: np.ndarray | None = None) -> list[np.ndarray]:
-        """For each query the nodes found at a similarity of least or more: the beam that the audit passes, or wider."""
+    def dump(self) -> bytes:
+        """The levels, as bytes: a graph is built once and read by every search."""
+        out = io.BytesIO()
+        np.savez(out, *[x for nodes, links in self.levels for x in (nodes.astype(np.int32), links[nodes])])
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, vectors: np.ndarray, kept: bytes) -> Graph:
+        graph = cls.__new__(cls)
+        graph.v, graph.levels = vectors, []
+        with np.load(io.BytesIO(kept)) as found:
+            arrays = [found[f"arr_{k}"] for k in range(len(found.files))]
+        for nodes, own in zip(arrays[::2], arrays[1::2], strict=True):
+            links = np.full((len(vectors), LINKS + SPARE), -1, np.int32)
+            links[nodes] = own
+            graph.levels.append((nodes.astype(np.int64), links))
+        return graph
+
+    def _entry(self, queries: np.ndarray) -> np.ndarray:
+        return self.descend(queries, len(self.levels) - 1) if len(self.levels) > 1 else np.tile(self.levels[0][0][:16], (len(queries), 1))
+
+    def width_for(self, queries: np.ndarray, own: np.ndarray, least: float) -> tuple[int, list[int]]:
+        """The beam that passes an audit against brute force, and what the audit counted: links found and there are, and
+        nearest others found and there are. A query's own node, where the graph holds it, counts for nothing."""
         audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-        truth = queries[audit] @ self.v.T >= least
+        sims = queries[audit] @ self.v.T
+        mine = own[audit]
+        sims[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -np.inf
+        links, nearest = sims >= least, sims.argmax(1)
+        some = np.isfinite(sims.max(1))
+        links_there, near_there = int(links.sum()), int(some.sum())
         width = FIRST_BEAM
         while width < len(self.v):
-            found = self._within(queries[audit], least, None if starts is None else starts[audit], width)
-            if sum(row[f].sum() for row, f in zip(truth, found, strict=True)) >= RECALL * truth.sum():
-                break
+            nodes, found = self.beam(queries[audit], self._entry(queries[audit]), self.levels[-1][1], width)
+            hits = (np.take_along_axis(links, np.maximum(nodes, 0), 1) & (nodes >= 0)).sum(1)
+            hits = int(np.where(found[:, -1] >= least, links.sum(1), hits).sum())  # those with full beams are met with all vectors
+            near = int(((nodes == nearest[:, None]) & some[:, None]).any(1).sum())
+            if hits >= LINK_RECALL * links_there and near >= NEAR_RECALL * near_there:
+                return width, [hits, links_there, near, near_there]
             width *= 2
-        return self._within(queries, least, starts, width)
-
-    def _within(self, queries: np.ndarray, least: float, starts: np.ndarray | None, width: int) -> list[np.ndarray]:
-        n, links = len(self.v), self.levels[-1][1]
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(queries)
-        todo = np.arange(len(queries))
-        while len(todo) and width < n:
-            entry = self.descend(queries[todo], len(self.levels) - 1) if len(self.levels) > 1 else np.tile(self.levels[0][0][:16], (len(todo), 1))
-            if starts is not None:
-                entry = np.concatenate((entry, starts[todo][:, None]), 1)
-            nodes, sims = self.beam(queries[todo], entry, links, width)
-            full = sims[:, -1] >= least  # the beam may have cut links off
-            for k in np.flatnonzero(~full):
-                out[todo[k]] = nodes[k][sims[k] >= least]
-            todo, width = todo[full], 4 * width
-        for a in range(0, len(todo), 256):
-            sims = queries[todo[a : a + 256]] @ self.v.T >= least
-            for k, row in zip(todo[a : a + 256], sims, strict=True):
-                out[k] = np.flatnonzero(row)
-        return out
+        return width, [links_there, links_there, near_there, near_there]
 
+    def within(self, queries: np.ndarray, own: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node) of the links found, and the queries whose beam may have cut links off at four times the width.
 
-def _unit(flat: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        Those must be met with all vectors.
+        """
+        left, right, todo = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(queries))
+        for w in (width, 4 * width):
+            if not len(todo) or w >= len(self.v):
+                break
+            entry = self._entry(queries[todo])
+            entry = np.concatenate((entry, own[todo][:, None]), 1)
+            nodes, sims = self.beam(queries[todo], entry, self.levels[-1][1], w)
+            good = sims >= least
+            full = good[:, -1]
+            q, k = np.nonzero(good & ~full[:, None])
+            left.append(todo[q])
+            right.append(nodes[q, k].astype(np.int64))
+            todo = todo[full]
+        return np.concatenate(left), np.concatenate(right), todo
+
+
+def unit(flat: np.ndarray, dim: int) -> np.ndarray:
+    """Vectors of length 1: scaled by the largest component first, so that no square overflows or vanishes."""
     v = flat.reshape(-1, dim).astype(np.float64)
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    return v, v.astype(np.float32)
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
 
+SHARDS = pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("part", pa.int32()), ("ids", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary()), ("graph", pa.binary())])
 
-def _block(key: tuple, group: pa.Table) -> pa.Table:
-    """A block's ids and vectors in one row, in the order of their ids."""
+
+def _sharded(key: tuple, group: pa.Table) -> pa.Table:
+    """One shard in one row: its ids, how often each occurs, its vectors, in the order of the ids, and their graph."""
     group = group.sort_by("rep")
     ids = group["rep"].to_numpy()
-    flat = np.concatenate([np.asarray(x, np.float64) for x in group["vector"].to_pylist()])
-    return pa.table({"label": [key[0]], "dim": [key[1]], "part": [key[2]], "ids": pa.array([ids.tobytes()]), "vectors": pa.array([flat.tobytes()])}, schema=_BLOCK_TYPE)
-
-
-_BLOCK_TYPE = pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("part", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())])
-_BLOCK_SCHEMA = "label long, dim int, part int, ids binary, vectors binary"
-
-
-def _search(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, graph, exact = None, None, None
-        for batch in empty_safe(batches):
-            for row in batch.to_pylist():
-                if last != (row["label"], row["dim"], row["part"]):
-                    last = (row["label"], row["dim"], row["part"])
-                    ids = np.frombuffer(row["ids"], np.int64)
-                    exact, single = _unit(np.frombuffer(row["vectors"]), row["dim"])
-                    graph = Graph(single, ids)
-                for queries, vectors in zip(row["query_ids"], row["query_vectors"], strict=True):
-                    queries = np.frombuffer(queries, np.int64)
-                    q, single = _unit(np.frombuffer(vectors), row["dim"])
-                    at = np.minimum(np.searchsorted(ids, queries), len(ids) - 1)
-                    own = np.where(ids[at] == queries, at, -1)
-                    found = graph.within(single, least - 1e-5, own)
-                    n = [len(f) for f in found]
-                    left = np.repeat(np.arange(len(queries)), n)
-                    right = np.concatenate(found) if len(found) else np.zeros(0, int)
-                    for a in range(0, len(left), 1 << 16):
-                        i, j = left[a : a + (1 << 16)], right[a : a + (1 << 16)]
-                        keep = (np.einsum("ij,ij->i", q[i], exact[j]) >= least) & (queries[i] != ids[j])
-                        x, y = queries[i[keep]], ids[j[keep]]
-                        yield pa.RecordBatch.from_pydict({"u": pa.array(np.maximum(x, y)), "v": pa.array(np.minimum(x, y))})
+    flat = group["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    graph = Graph(unit(flat, key[1].as_py()).astype(np.float32), ids)
+    row = {"label": [key[0].as_py()], "dim": [key[1].as_py()], "part": [key[2].as_py()], "ids": [ids.tobytes()], "copies": [group["copies"].to_numpy().astype(np.int64).tobytes()], "vectors": [flat.tobytes()], "graph": [graph.dump()]}
+    return pa.table(row, schema=SHARDS)
+
+
+class Union:
+    """Components of nodes met so far; pairs come in arrays."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            self.flatten()
+            i, j = self.up[i], self.up[j]
+            i, j = np.maximum(i, j), np.minimum(i, j)
+            apart = i != j
+            i, j = i[apart], j[apart]
+            np.minimum.at(self.up, i, j)
+
+    def flatten(self) -> np.ndarray:
+        while True:
+            up = self.up[self.up]
+            if np.array_equal(up, self.up):
+                return up
+            self.up = up
+
+
+class Side:
+    def __init__(self, row: dict):
+        self.ids = np.frombuffer(row["ids"], np.int64)
+        self.copies = np.frombuffer(row["copies"], np.int64)
+        self.exact = unit(np.frombuffer(row["vectors"]), row["dim"])
+        self.single = self.exact.astype(np.float32)
+        self.graph = Graph.load(self.single, row["graph"])
+
+
+def _met(least: float):
+    """Two shards, or one with itself: each side's vectors search the other's graph.
+
+    What either side finds counts for both, after the cosine in double precision. A vector with more links than a beam
+    holds is met with the whole other side, and its links are counted without being listed, so a group of near copies
+    costs one row of similarities for each of its vectors in turn. Rows of kind 0 are (vector, other rows linked, a
+    vector of its component here); kinds 1 and 2 are the audits of links and of nearest others.
+    """
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        sides = [Side(r) for r in group.sort_by("part").to_pylist()]
+        same = len(sides) == 1
+        a, b = sides[0], sides[-1]
+        base = 0 if same else len(a.ids)
+        union, counts = Union(base + len(b.ids)), np.zeros(base + len(b.ids), np.int64)
+        pairs, dense, told = [np.zeros(0, np.int64)], np.zeros(len(counts), bool), []
+        crowds = []
+        for q, g, q_base, g_base in ((a, b, 0, base), (b, a, base, 0))[: 1 if same else 2]:
+            own = np.arange(len(q.ids)) if same else np.full(len(q.ids), -1)
+            width, audit = g.graph.width_for(q.single, own, least - 1e-5)
+            told.append(audit)
+            x, y, full = g.graph.within(q.single, own, least - 1e-5, width)
+            keep = np.zeros(len(x), bool)
+            for lo in range(0, len(x), 1 << 16):
+                i, j = x[lo : lo + (1 << 16)], y[lo : lo + (1 << 16)]
+                keep[lo : lo + (1 << 16)] = np.einsum("ij,ij->i", q.exact[i], g.exact[j]) >= least
+            x, y = x[keep] + q_base, y[keep] + g_base
+            x, y = np.minimum(x, y), np.maximum(x, y)
+            pairs.append((x * len(counts) + y)[x != y])
+            dense[full + q_base] = True
+            crowds.append((q, g, q_base, g_base, full))
+        for q, g, q_base, g_base, full in crowds:
+            for lo in range(0, len(full), 128):
+                i = full[lo : lo + 128]
+                near = q.exact[i] @ g.exact.T >= least
+                if same:
+                    near[np.arange(len(i)), i] = False
+                counts[i + q_base] = near @ g.copies
+                x, y = np.nonzero(near)
+                x, y = i[x] + q_base, y + g_base
+                union.add(x, y)
+                sparse = ~dense[y]
+                x, y = np.minimum(x, y)[sparse], np.maximum(x, y)[sparse]
+                pairs.append(x * len(counts) + y)
+        pairs = np.unique(np.concatenate(pairs))
+        x, y = pairs // max(len(counts), 1), pairs % max(len(counts), 1)
+        union.add(x, y)
+        copies = a.copies if same else np.concatenate((a.copies, b.copies))
+        for i, j in ((x, y), (y, x)):
+            own = ~dense[i]
+            np.add.at(counts, i[own], copies[j[own]])
+        ids = a.ids if same else np.concatenate((a.ids, b.ids))
+        some = np.flatnonzero(counts)
+        rows = [(np.zeros(len(some), np.int32), ids[some], counts[some], ids[union.flatten()[some]])]
+        total = np.sum(told, axis=0)
+        label = key[0].as_py()
+        rows.append((np.array([1, 2], np.int32), np.array([label, label]), total[[0, 2]], total[[1, 3]]))
+        return pa.table(dict(zip(("kind", "u", "n", "v"), (pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)), strict=True)))
 
     return run
 
@@ -270,43 +367,45 @@ def _search(least: float):
 def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of vectors (vec_id, embedding, label).
 
-    Equal vectors of one label are one class. Each label's classes are dealt by hash to shards of about SHARD, and to
-    query blocks of about BLOCK; each shard's graph is searched from every block of its label, BATCH blocks to a task. Found
-    pairs are verified by cosine in double precision; beams widen where they may cut links off, and for a whole block
-    until an audit against brute force finds RECALL of its links. n_links counts the other rows linked directly;
-    component_id is the least vec_id reachable, itself included; kept tells vec_id = component_id. A null label, and
+    Equal vectors of one label are one class. Each label's classes are dealt by hash to shards, each shard's graph is
+    built once, and each two shards of a label are met in one task, where each side's vectors search the other's graph.
+    Found pairs are verified by cosine in double precision; beams widen where they may cut links off, and for a whole
+    search until an audit against brute force passes; the job fails if the audits of a label, summed, find less than
+    LEAST_RECALL. n_links counts the other rows linked directly; component_id is the least vec_id reachable, itself
+    included; kept tells vec_id = component_id. A null label, and
     a vector that is null, zero, or has null or non-finite components links with nothing; vectors of different lengths
     don't link. A null vec_id has null results; rows that repeat a vec_id are taken as equal rows and count as others.
     Other columns are ignored. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
-    whole = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    fine = F.coalesce((F.size("vector") > 0) & (whole > 0) & (whole < float("inf")), F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    finite = F.forall("vector", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    fine = F.coalesce(finite & F.exists("vector", lambda x: x != 0), F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     with Scratch(spark) as scratch:
         good = rows.where(fine)
         classes = scratch.table(good.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("vector")))
-        sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-        sizes = scratch.table(sizes.select("label", "dim", F.ceil(F.col("n") / SHARD).cast("int").alias("shards"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-        parts, tasks = sizes.agg(F.sum("shards"), F.sum(F.col("shards") * F.col("blocks"))).first()
-        dealt = classes.join(sizes.hint("merge"), ["label", "dim"])
-
-        def packed(count: str, seed: int) -> DataFrame:
-            keyed = dealt.select("label", "dim", F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(count)).cast("int").alias("part"), "rep", "vector")
-            return scratch.table(keyed.groupBy("label", "dim", "part").applyInArrow(_block, _BLOCK_SCHEMA))
-
-        shards = packed("shards", 1)
-        blocks = packed("blocks", 2).join(sizes.hint("merge"), ["label", "dim"])
-        blocks = blocks.select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("part"), F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.floor(F.col("part") / BATCH).alias("batch"))
-        blocks = blocks.groupBy("label", "dim", "part", "batch").agg(F.collect_list("query_ids").alias("query_ids"), F.collect_list("query_vectors").alias("query_vectors")).drop("batch")
-        work = shards.join(blocks.hint("shuffle_hash"), ["label", "dim", "part"]).repartition(max(1, min(tasks or 1, 10_000)))
-        pairs = scratch.table(work.mapInArrow(_search(least), "u long, v long").distinct())
-        ends = pairs.select(F.col("u").alias("rep"), F.col("v").alias("other")).unionAll(pairs.select("v", "u"))
-        copies = classes.select("rep", "copies")
-        linked = ends.join(copies.toDF("other", "n").hint("merge"), "other").groupBy("rep").agg(F.sum("n").alias("linked"))
-        found = copies.join(linked.hint("merge"), "rep", "left").join(components(pairs).toDF("rep", "component").hint("merge"), "rep", "left")
+        most = F.greatest(F.least(F.lit(SHARD), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("dim")))), F.lit(FIRST_BEAM))
+        sizes = scratch.table(classes.groupBy("label", "dim").agg(F.count("*").alias("n")).select("label", "dim", F.ceil(F.col("n") / most).cast("int").alias("shards")))
+        dealt = sized_join(classes, sizes, ["label", "dim"], 16)
+        dealt = dealt.select("label", "dim", F.pmod(F.xxhash64("rep"), "shards").cast("int").alias("part"), "rep", "copies", "vector")
+        shards = scratch.table(dealt.groupBy("label", "dim", "part").applyInArrow(_sharded, "label long, dim int, part int, ids binary, copies binary, vectors binary, graph binary"))
+        tasks = sizes.agg(F.sum(F.expr("shards * (shards + 1) / 2").cast("long"))).first()[0] or 1
+        other = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("other")
+        meetings = sized_join(shards, sizes, ["label", "dim"], 16).select("*", other)
+        meetings = meetings.select("label", "dim", F.least("part", "other").alias("s"), F.greatest("part", "other").alias("t"), "part", "ids", "copies", "vectors", "graph")
+        met = meetings.repartition(min(tasks, 10_000), "label", "dim", "s", "t").groupBy("label", "dim", "s", "t").applyInArrow(_met(least), "kind int, u long, n long, v long")
+        met = scratch.table(met)
+        audits = met.where("kind > 0").groupBy("u", "kind").agg(F.sum("n").alias("found"), F.sum("v").alias("there"))
+        low = audits.where(F.col("found") < LEAST_RECALL * F.col("there")).limit(5).collect()
+        if low:
+            raise RuntimeError(f"recall is too low: {[(r.u, 'links' if r.kind == 1 else 'nearest', r.found, r.there) for r in low]}")
+        met = met.where("kind = 0")
+        linked = met.groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("linked"))
+        parts = components(met.select("u", "v")).toDF("rep", "component")
+        found = classes.groupBy("rep").agg(F.sum("copies").alias("copies")).join(linked.hint("merge"), "rep", "left").join(parts.hint("merge"), "rep", "left")
         found = found.select("rep", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
-        member = good.select("vec_id", "label", "vector").join(classes.select("label", "vector", "rep").hint("merge"), ["label", "vector"]).select("vec_id", "rep")
+        several = classes.where("copies > 1").select("label", "vector", "rep")
+        member = sized_join(good.select("vec_id", "label", "vector"), several, ["label", "vector"], 8 * F.size("vector") + 32, "left").select("vec_id", F.coalesce("rep", "vec_id").alias("rep"))
         member = cut(member.join(found.hint("merge"), "rep").select("vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id")))
     rest = rows.where(~fine).select("vec_id", F.when(F.col("vec_id").isNotNull(), F.lit(0).cast("long")).alias("n_links"), F.col("vec_id").alias("component_id"))
     return member.unionAll(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
