@@ -121,13 +121,13 @@ r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i +
 l AS (SELECT doc_id, host, text, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 k AS (SELECT *, trim(regexp_replace(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g')) AS k FROM l),
 h AS (SELECT host, count(DISTINCT text) AS t FROM w GROUP BY host),
-b AS (SELECT host, k FROM (SELECT host, k, count(DISTINCT text) AS n FROM k GROUP BY host, k) JOIN h USING (host) WHERE n >= 50 AND n > 0.10 * t),
+b AS (SELECT host, k FROM (SELECT host, k, count(DISTINCT text) AS n FROM k GROUP BY host, k) JOIN h USING (host) WHERE n >= 3 AND n > 0.10 * t OR n >= 10000),
 u AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM l GROUP BY doc_id),
 x AS (SELECT doc_id, sum(n)::BIGINT AS n FROM k JOIN b USING (host, k) GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(a) AS n_words, length(array_to_string(a, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   coalesce(u.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(x.n, 0) AS boilerplate_words
   FROM w LEFT JOIN u ON u.doc_id = w.doc_id LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN x ON x.doc_id = w.doc_id)
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * boilerplate_words <= n_words AS kept FROM m
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * boilerplate_words <= n_words AND n_words - boilerplate_words >= 50 AS kept FROM m
 """,
 }
