@@ -10,18 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklore.llm import textkernel as tk
-from tracklore.llm.common import cut, empty_safe
+from tracklore.llm.common import cut, empty_safe, sized_join
 
-#: Cells of a language's hashed trigram profile; labelled rows of each language it is learnt from, at most; languages at most.
-CELLS, PROFILE_ROWS, LANGUAGES = 1 << 14, 2_000, 100
+#: Cells of a language's hashed trigram profile; labelled rows of each language that it is learnt from, about, at most.
+CELLS, PROFILE_ROWS = 1 << 14, 2_000
 #: Weight of the text's log likelihood per trigram-ending byte, as neighbouring trigrams share evidence.
 TEMPER = 0.25
 #: Pseudo-counts that a host borrows from its suffix, a suffix from all rows, and each declared value or suffix from none.
 HOST, SUFFIX, FLAT = 8.0, 32.0, 1.0
 #: Least fused probability of the language of an accepted text: the usual threshold of language filters for web text.
 CERTAIN = 0.65
-#: Declared values and suffixes told apart, the commonest first; the others are one value.
-VALUES = 500
 
 
 def _cells(data: np.ndarray) -> np.ndarray:
@@ -41,25 +39,39 @@ def _cells(data: np.ndarray) -> np.ndarray:
     return cell
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, cell, n): the cells of each batch's texts by language."""
+    for batch in empty_safe(batches):
+        langs = batch.column("lang").dictionary_encode()
+        of, names = langs.indices.to_numpy(), langs.dictionary
+        total = np.zeros((len(names), CELLS), np.int64)
+        for a, _, data, offsets in tk.slices(batch.column("text")):
+            cell = _cells(data)
+            text = np.searchsorted(offsets, np.arange(len(data)), "right") - 1
+            good = cell >= 0
+            np.add.at(total, (of[a + text[good]], cell[good]), 1)
+        lang, cell = np.nonzero(total)
+        yield pa.RecordBatch.from_pydict({"lang": names.take(pa.array(lang)), "cell": pa.array(cell, pa.int32()), "n": pa.array(total[lang, cell])})
+
+
 def _profile(key: tuple, group: pa.Table) -> pa.Table:
     total = np.zeros(CELLS)
-    for batch in group.select(["text"]).to_batches():
-        for _, _, data, _ in tk.slices(batch.column("text")):
-            cell = _cells(data)
-            total += np.bincount(cell[cell >= 0], minlength=CELLS)
+    total[group["cell"].to_numpy()] = group["n"].to_numpy()
     return pa.table({"lang": pa.array([key[0].as_py()]), "counts": pa.array([total.tobytes()])})
 
 
 def profiles(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, log likelihood of each cell by language) from rows (lang, text); null languages are left out."""
+    """(languages, log likelihood of each cell by language) from rows (lang, text); null languages are left out.
+
+    Each row is picked by chance, so that a language has about PROFILE_ROWS, whatever rows are alike; each batch's cells
+    are summed by language and cell, so a task holds CELLS counts of a language and the driver as many of each.
+    """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.lower("lang").alias("lang"), "text")
-    names = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    sizes = {r["lang"]: r["n"] for r in rows.where(F.col("lang").isin(names)).groupBy("lang").agg(F.count("*").alias("n")).collect()} if names else {}
-    share = F.lit(0.0)
-    for name, n in sizes.items():
-        share = F.when(F.col("lang") == name, F.lit(PROFILE_ROWS / n)).otherwise(share)
-    spot = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    found = rows.where(spot < share).groupBy("lang").applyInArrow(_profile, "lang string, counts binary").collect()
+    sizes = cut(rows.groupBy("lang").agg(F.count("*").alias("rows")))
+    spot = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30)
+    picked = sized_join(rows.withColumn("spot", spot), sizes, ["lang"], 40).where(F.col("spot") * F.col("rows") < PROFILE_ROWS).select("lang", "text")
+    cells = picked.mapInArrow(_counted, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    found = cells.groupBy("lang").applyInArrow(_profile, "lang string, counts binary").collect()
     counts = {r["lang"]: np.frombuffer(r["counts"]) for r in found}
     names = sorted(counts)
     table = np.stack([counts[x] for x in names]) + 0.5 if names else np.zeros((0, CELLS))
@@ -99,16 +111,14 @@ def _sums(rows: DataFrame, k: int, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.array(*[F.sum(F.col("post")[i]) for i in range(k)]).alias("sums"))
 
 
-def _likelihood_of(rows: DataFrame, key: str, k: int) -> Column:
-    """log p(value of key | language) for each language, for the VALUES commonest values, from grouped sums."""
-    top = _sums(rows.where(F.col(key) != ""), k, key).orderBy(F.desc(F.aggregate("sums", F.lit(0.0), lambda a, b: a + b)), key).limit(VALUES).collect()
-    if not top:
-        return F.array(*[F.lit(0.0)] * k)
-    total = np.sum([r["sums"] for r in top], axis=0) + FLAT * (len(top) + 1)
-    table = [(r[key], np.log((np.array(r["sums"]) + FLAT) / total).tolist()) for r in top]
-    pairs = F.create_map(*[x for name, row in table for x in (F.lit(name), F.array(*map(F.lit, row)))])
-    rest = F.array(*map(F.lit, np.log(FLAT / total).tolist()))
-    return F.when(F.col(key) == "", F.array(*[F.lit(0.0)] * k)).otherwise(F.coalesce(F.try_element_at(pairs, F.col(key)), rest))
+def _with_likelihoods(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """rows with <key>_loglik: log p(value of key | language) for each language, from sums grouped by value; '' tells nothing."""
+    sums = cut(_sums(rows.where(F.col(key) != ""), k, key))
+    total = sums.agg(F.count("*"), *[F.sum(F.col("sums")[i]) for i in range(k)]).first()
+    of = [(x or 0.0) + FLAT * (total[0] + 1) for x in total[1:]]
+    table = sums.select(key, F.array(*[F.log((F.col("sums")[i] + FLAT) / of[i]) for i in range(k)]).alias(f"{key}_loglik"))
+    none = F.array(*[F.lit(0.0)] * k)
+    return sized_join(rows, table, [key], 8 * k + 32, "left").withColumn(f"{key}_loglik", F.coalesce(f"{key}_loglik", none))
 
 
 def language_id(rows: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -117,7 +127,7 @@ def language_id(rows: DataFrame, labelled: DataFrame) -> DataFrame:
     labelled (lang, text) gives the trigram profiles. Text likelihoods by language give text posteriors, and their sums,
     grouped over all rows, give how likely each declared language and suffix is in each language, and the share of each
     language in a host, smoothed by its suffix's, which is smoothed by that of all. A row's own posterior is taken out
-    of its host's sum. All four are fused by Bayes' rule. accepted is false for a text without letters, for one that no
+    of its host's sum. All four are fused by Bayes' rule, for any number of languages and values. accepted is false for a text without letters, for one that no
     language explains better than equally likely trigrams would, for one whose fused language is less probable than
     CERTAIN, and for one whose text alone speaks for another language than the fused one. Null and empty texts have no likelihood, so the other
     evidence decides their lang; null declared, host or suffix is no evidence; a null id stays null; rows that repeat
@@ -139,12 +149,13 @@ def language_id(rows: DataFrame, labelled: DataFrame) -> DataFrame:
     every = (every + 1) / (every + 1).sum()
     suffixes = _sums(seen, k, "suffix")
     share = [((F.col("suffix_sums")[i] + SUFFIX * float(every[i])) / (F.aggregate("suffix_sums", F.lit(0.0), lambda a, b: a + b) + SUFFIX)) for i in range(k)]
-    hosts = _sums(seen, k, "host", "suffix").join(suffixes.select("suffix", F.col("sums").alias("suffix_sums")).hint("merge"), "suffix")
-    hosts = hosts.select("host", "suffix", F.col("sums").alias("host_sums"), F.array(*share).alias("parent"))
-    joined = seen.join(hosts.hint("merge"), ["host", "suffix"])
+    hosts = sized_join(_sums(seen, k, "host", "suffix"), cut(suffixes.select("suffix", F.col("sums").alias("suffix_sums"))), ["suffix"], 8 * k + 32)
+    hosts = cut(hosts.select("host", "suffix", F.col("sums").alias("host_sums"), F.array(*share).alias("parent")))
+    joined = sized_join(seen, hosts, ["host", "suffix"], 16 * k + 64)
+    joined = _with_likelihoods(_with_likelihoods(joined, "declared", k), "suffix", k)
     others = F.zip_with("host_sums", "post", lambda a, b: F.greatest(a - b, F.lit(0.0)))
     prior = F.zip_with(others, "parent", lambda a, b: F.log(a + HOST * b))
-    parts = [F.transform("loglik", lambda x: x * TEMPER), prior, _likelihood_of(seen, "declared", k), _likelihood_of(seen, "suffix", k)]
+    parts = [F.transform("loglik", lambda x: x * TEMPER), prior, F.col("declared_loglik"), F.col("suffix_loglik")]
     total = parts[0]
     for part in parts[1:]:
         total = F.zip_with(total, part, lambda a, b: a + b)
