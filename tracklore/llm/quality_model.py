@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +14,8 @@ from tracklore.llm import textkernel as tk
 from tracklore.llm.bpe import LETTER, NUMBER, OTHER, byte_classes
 from tracklore.llm.common import cut, empty_safe
 
-#: Random features, width of the kernel in standard deviations, ridge, groups of partial sums, bins of the calibration.
-FEATURES, WIDTH, RIDGE, SUMS, BINS = 256, 4.0, 1e-3, 16, 200
+#: Random features, width of the kernel in standard deviations, ridge, partial sums added in one group, bins of the calibration.
+FEATURES, WIDTH, RIDGE, FAN_IN, BINS = 256, 4.0, 1e-3, 8, 200
 STATISTICS = ["log_words", "log_bytes", "mean_word", "spread_word", "distinct", "repeat_next", "repeat_two", "repeat_three", "letters", "numbers", "others", "upper", "symbols", "exclaims", "bars", "lines", "repeat_lines", "words_a_line", "short_words", "long_words", "symbol_words", "upper_words"]
 _COUNTED = {"symbols": b"#*$%&|<>", "exclaims": b"!?", "bars": b"|"}
 
@@ -97,27 +98,35 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _sums(features: Fourier):
-    """The normal equations of one partition, as one row."""
+    """The normal equations of one partition, as one row: the upper triangle and the right side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = FEATURES + 1
-        gram, right, rows = np.zeros((d, d)), np.zeros(d), 0
+        part, gram, right, rows = TaskContext.get().partitionId(), np.zeros((d, d)), np.zeros(d), 0
         for batch in empty_safe(batches):
             z, y = features(_matrix(batch)), np.asarray(batch.column("y"), float)
             gram += z.T @ z
             right += z.T @ y
             rows += len(y)
         if rows:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([rows % SUMS], pa.int32()), "sums": pa.array([np.append(gram.ravel(), right).tobytes()])})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "sums": pa.array([np.append(gram[np.triu_indices(d)], right).tobytes()])})
 
     return run
 
 
 def _added(key: tuple, group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x) for x in group["sums"].to_pylist())
+    total = sum(np.frombuffer(x.as_buffer()) for x in group["sums"])
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()])})
 
 
+def _total(sums: DataFrame, parts: int) -> np.ndarray:
+    """The sum of all rows: FAN_IN neighbouring partitions' in one group, and again, until few are left."""
+    while parts > FAN_IN:
+        sums = sums.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("part").applyInArrow(_added, "part int, sums binary")
+        parts = -(-parts // FAN_IN)
+    return sum(np.frombuffer(r["sums"]) for r in sums.collect())
+
+
 def _raw(features: Fourier, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in empty_safe(batches):
@@ -143,27 +152,31 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out_of: int = 3, hel
     """(doc_id, held_out, score, predicted) of each row of docs (doc_id, text); labels are (doc_id, quality).
 
     Every whole text is measured once (STATISTICS). Of the labelled rows whose crc32(doc_id as text) mod held_out_of is
-    not held_out, all are learnt from: their partitions' normal equations are summed in two levels, ridge weights are
+    not held_out, all are learnt from: their partitions' normal equations are summed in levels of FAN_IN, ridge weights are
     solved for on the driver, and raw scores are calibrated by isotonic regression over BINS quantile bins, whose counts
     Spark sums. Ties of raw scores share a bin. Null and empty texts have zero statistics and are scored so; a null
-    doc_id is not held out and stays null; rows that repeat get equal results; null labels are not learnt from; with no
+    doc_id is not held out and stays null; rows that repeat get equal results; null labels are not learnt from, and
+    of a doc_id labelled again the greater label counts, once; with no
     labels of both kinds the score is 1 for all. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     key = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(held_out_of)) == held_out
     measured = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measured, "doc_id long, x array<double>"))
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("y IN (0, 1)").where(~key)
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").where(~key)
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     train = cut(measured.join(known.hint("merge"), "doc_id").select("x", "y"))
-    stats = train.agg(F.count("*"), F.avg("y"), *[f(F.col("x")[k]) for k in range(len(STATISTICS)) for f in (F.avg, F.stddev_pop)]).first()
+    stats = train.withColumn("part", F.spark_partition_id()).agg(F.count("*"), F.avg("y"), F.max("part"), *[f(F.col("x")[k]) for k in range(len(STATISTICS)) for f in (F.avg, F.stddev_pop)]).first()
     if not stats[0] or stats[1] in (0.0, 1.0):
         scored = measured.select("doc_id", F.lit(1.0).alias("score"))
     else:
-        mean, spread = np.array(stats[2::2]), np.array(stats[3::2])
+        mean, spread = np.array(stats[3::2]), np.array(stats[4::2])
         features = Fourier(mean, np.where(spread > 1e-9, spread, 1.0))
-        sums = train.mapInArrow(_sums(features), "part int, sums binary").groupBy("part").applyInArrow(_added, "part int, sums binary")
+        total = _total(train.mapInArrow(_sums(features), "part int, sums binary"), stats[2] + 1)
         d = FEATURES + 1
-        total = sum(np.frombuffer(r["sums"]) for r in sums.collect())
-        weights = np.linalg.solve(total[: d * d].reshape(d, d) + RIDGE * stats[0] / FEATURES * np.eye(d), total[d * d :])
+        gram = np.zeros((d, d))
+        gram[np.triu_indices(d)] = total[:-d]
+        gram = gram + np.triu(gram, 1).T
+        weights = np.linalg.solve(gram + RIDGE * stats[0] / FEATURES * np.eye(d), total[-d:])
         raw = cut(train.mapInArrow(_raw(features, weights), "y double, raw double"))
         edges = sorted(set(raw.approxQuantile("raw", [k / BINS for k in range(1, BINS)], 0.2 / BINS)))
         bin_ = F.size(F.filter(F.lit(edges), lambda e: e <= F.col("raw"))) if edges else F.lit(0)
