@@ -164,8 +164,8 @@ def test_automaton_meets_the_trie_like_edit_distance(terms, word, edits):
 
 def test_context_tells_quotation_from_abuse():
     words = 'he said "moron" to them'.split()
-    assert toxicity.context(words, 2, [0, 0, 1, 0, 0])[0]
-    assert not toxicity.context("you moron you".split(), 1, [0, 1, 0])[0]
+    assert toxicity.context(words, 2, [0, 0, 1, 0, 0], frozenset(["said"]))[0]
+    assert not toxicity.context("you moron you".split(), 1, [0, 1, 0], frozenset(["said"]))[0]
 
 
 def test_isotonic_means():

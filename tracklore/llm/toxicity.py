@@ -17,16 +17,12 @@ from tracklore.llm.common import cut, empty_safe
 FIT_ROWS = 20_000
 #: Lengths of the stems tried as terms; a term needs so many toxic documents and this share of all it is in.
 STEMS, SUPPORT, PRECISION = range(3, 10), 8, 0.85
-#: Terms in the lexicon at most, and words on either side that make up a context.
-TERMS, WINDOW = 500, 6
-#: Words that report speech rather than address someone: fixed values.
-REPORTING = frozenset("said says quote quoted quotes called word term wrote dit mot wort sagte nannte dijo palabra".split())
+#: Words on either side that make up a context, and the share of harmless texts among those where a word of a context reports.
+WINDOW, REPORTS = 6, 0.9
 QUOTES = frozenset("\"'“”„«»‘’`")
 FEATURES = ["exact", "fuzzy", "quoted", "dense", "any_exact", "any_fuzzy"]
 
 
-#: Characters of a word that its automaton holds: more than those of the longest term and its edits, so later ones are its ending.
-LONGEST = 40
 #: What stands between words, as where the terms are learnt.
 BETWEEN = regex.compile(r"[^\p{L}\p{N}]+")
 
@@ -51,6 +47,11 @@ class Trie:
                     self.end.append(False)
                 node = self.next[node][c]
             self.end[node] = True
+        longest = max(map(len, terms), default=1)
+        #: Characters of a word that its automaton holds: those of the longest term and more than two edits; later ones are its ending.
+        self.width = longest + 5
+        if self.width > 62:
+            raise ValueError(f"terms of {longest} characters don't fit an automaton")
 
     def exact(self, word: str) -> bool:
         """Whether a term starts the word."""
@@ -71,11 +72,12 @@ class Trie:
         characters met with d edits. A word leaves a branch where no state is left.
         """
         n = len(words)
-        letters = np.array(words, f"U{LONGEST}").view(np.uint32).reshape(n, LONGEST)
-        size = np.array([min(len(w), LONGEST) for w in words], np.uint64)
+        width = self.width
+        letters = np.array(words, f"U{width}").view(np.uint32).reshape(n, width)
+        size = np.array([min(len(w), width) for w in words], np.uint64)
         one = np.uint64(1)
         full, goal = (np.uint64(2) << size) - one, one << size
-        bit = one << np.arange(LONGEST, dtype=np.uint64)
+        bit = one << np.arange(width, dtype=np.uint64)
         places = {c: ((letters == ord(c)) * bit).sum(1, dtype=np.uint64) for c in {c for node in self.next for c in node}}
         out = np.zeros(n, bool)
         for e in np.unique(edits).tolist():
@@ -135,7 +137,7 @@ class Matcher:
         edits = edits_of(size)
         near = np.flatnonzero((found == 0) & (edits > 0) & (size + edits >= self.shortest))
         if len(near):
-            found[near[self.trie.fuzzy([pieces[k][:LONGEST] for k in near.tolist()], edits[near], starts=True)]] = 2
+            found[near[self.trie.fuzzy([pieces[k][: self.trie.width] for k in near.tolist()], edits[near], starts=True)]] = 2
         out = np.zeros(len(words), np.uint8)
         out[of[found == 2]] = 2
         out[of[found == 1]] = 1
@@ -163,17 +165,48 @@ class Matcher:
         return found[which]
 
 
-def context(words: list[str], k: int, kinds: list[int]) -> tuple[bool, int]:
+def context(words: list[str], k: int, kinds: list[int], reporting: frozenset[str]) -> tuple[bool, int]:
     """Of the term at place k: whether its window quotes it, and how many other terms the window holds."""
     a, b = max(0, k - WINDOW), k + WINDOW + 1
     around = words[a:b]
     marked = words[k][0] in QUOTES and words[k].rstrip(".,;:!?")[-1:] in QUOTES
     opened = any(w[0] in QUOTES for w in words[a : k + 1]) and any(w.rstrip(".,;:!?")[-1:] in QUOTES for w in words[k:b])
-    reported = any(core(w) in REPORTING for w in around)
+    reported = any(core(w) in reporting for w in around)
     return marked or opened and reported, sum(1 for x in kinds[a:b] if x) - 1
 
 
-def _features(terms: list[str]):
+def _contexts(terms: list[str]):
+    """(word, toxic) of each word that stands in the context of a term, once a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(terms)
+        for batch in empty_safe(batches):
+            toxic = batch.column("toxic").to_pylist()
+            found, said = [], []
+            for a, _, data, offsets in tk.slices(batch.column("text"), 1 << 19):
+                w = tk.words(data, offsets)
+                hits = np.flatnonzero(matcher.of(w))
+                raw = data.tobytes()
+                for text in np.unique(np.searchsorted(w.of, hits, "right") - 1).tolist():
+                    lo, hi = int(w.of[text]), int(w.of[text + 1])
+                    own = hits[(hits >= lo) & (hits < hi)]
+                    near = np.unique(np.clip(own[:, None] + np.arange(-WINDOW, WINDOW + 1), lo, hi - 1))
+                    words = {core(raw[w.starts[k] : w.ends[k]].decode("utf-8", "replace")) for k in np.setdiff1d(near, own).tolist()} - {""}
+                    found += words
+                    said += [toxic[a + text]] * len(words)
+            yield pa.RecordBatch.from_pydict({"word": pa.array(found, pa.string()), "toxic": pa.array(said, pa.int32())})
+
+    return run
+
+
+def learn_reporting(labelled: DataFrame, terms: list[str]) -> frozenset[str]:
+    """Words that report speech: those in contexts of terms that stand nearly only in harmless texts, in any language."""
+    near = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_contexts(terms), "word string, toxic int")
+    near = near.groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("good"), F.count("*").alias("n"))
+    return frozenset(r["word"] for r in near.where((F.col("good") >= SUPPORT) & (F.col("good") >= REPORTS * F.col("n"))).collect())
+
+
+def _features(terms: list[str], reporting: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(terms)
         for batch in empty_safe(batches):
@@ -189,7 +222,7 @@ def _features(terms: list[str]):
                     own = kinds[lo:hi].tolist()
                     tokens = [raw[x:y].decode("utf-8", "replace") for x, y in zip(w.starts[lo:hi].tolist(), w.ends[lo:hi].tolist(), strict=True)]
                     for k in np.flatnonzero(kinds[lo:hi]).tolist():
-                        quoted, near = context(tokens, k, own)
+                        quoted, near = context(tokens, k, own, reporting)
                         out[text, 2 if quoted else own[k] - 1] += 1
                         out[text, 3] += not quoted and near > 0
                 out[:, 4], out[:, 5] = out[:, 0] > 0, out[:, 1] > 0
@@ -205,7 +238,7 @@ def learn_terms(labelled: DataFrame) -> list[str]:
     """Terms that mark toxic texts among labelled rows (text, toxic): the shortest stems that are precise enough,
     each made as long as nearly all of its documents allow.
 
-    Counts of documents by stem are grouped by Spark; TERMS at most reach the driver.
+    Counts of documents by stem are grouped by Spark; what reaches the driver is bounded by the labelled rows and SUPPORT.
     """
     word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word")
     words = labelled.select("toxic", word).where(F.length("word") >= 3).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
@@ -213,14 +246,14 @@ def learn_terms(labelled: DataFrame) -> list[str]:
     stems = stems.groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     base = labelled.agg(F.avg("toxic")).first()[0] or 0.0
     least = max(PRECISION, min(0.98, 3 * base))
-    found = stems.where((F.col("bad") >= SUPPORT) & (F.col("bad") >= least * (F.col("bad") + F.col("good")))).orderBy(F.desc("bad"), "stem").limit(20 * TERMS).collect()
+    found = stems.where((F.col("bad") >= SUPPORT) & (F.col("bad") >= least * (F.col("bad") + F.col("good")))).collect()
     terms: list[str] = []
     for r in sorted(found, key=lambda r: (len(r["stem"]), -r["bad"], r["stem"])):
         if not any(r["stem"].startswith(t) for t in terms):
             terms.append(r["stem"])
     support = {r["stem"]: r["bad"] for r in found}
     terms = [max((s for s in support if s.startswith(t) and support[s] >= 0.95 * support[t]), key=len) for t in terms]
-    return sorted(sorted(terms, key=lambda t: (-support[t], t))[:TERMS])
+    return sorted(set(terms))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -242,21 +275,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, held_out:
     """(doc_id, held_out, score, predicted, features) of each row of docs (doc_id, text); labels are (doc_id, toxic).
 
     Rows whose crc32(doc_id as text) mod held_out_of is held_out are never learnt from. The lexicon comes from stems of
-    words in at most FIT_ROWS labelled rows. Every word of every whole text is met with it: a word that a term starts is
+    words in at most FIT_ROWS labelled rows, and so do the words that report speech. Every word of every whole text is met with it: a word that a term starts is
     a hit, one within an automaton's few edits of a term, or starting so, a misspelt hit; parts of a word between other
     characters than letters and digits are met too, and no word is too long; a window of WINDOW words on either side tells quoted
     hits from abuse. A logistic model on the counts gives the score. Null and empty texts have no hits and are scored
     so; a null doc_id is not held out and stays null; rows that repeat get equal results; null labels are not learnt
-    from; with no labels of both kinds the score is the share of toxic ones, or 0. Other columns are ignored.
+    from, and of a doc_id labelled again the greater label counts, once; with no labels of both kinds the score is the share of toxic ones, or 0. Other columns are ignored.
     """
     key = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(held_out_of)) == held_out
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~key)
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(FIT_ROWS)
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     labelled = cut(docs.join(F.broadcast(known), "doc_id"))
     terms = learn_terms(labelled)
+    reporting = learn_reporting(labelled, terms)
     schema = "doc_id long, features array<double>"
-    fit = labelled.select("doc_id", "text").mapInArrow(_features(terms), schema).select("doc_id", F.col("features").alias("x"))
+    fit = labelled.select("doc_id", "text").mapInArrow(_features(terms, reporting), schema).select("doc_id", F.col("features").alias("x"))
     fit = fit.join(F.broadcast(known), "doc_id").select("x", "toxic").toPandas()
     y = fit["toxic"].to_numpy(float)
     if len(set(y)) == 2:
@@ -267,5 +301,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, held_out:
     margin = F.lit(float(w[-1]))
     for k in range(len(FEATURES)):
         margin = margin + F.lit(float(w[k])) * F.col("features")[k]
-    out = docs.mapInArrow(_features(terms), schema).withColumn("score", 1 / (1 + F.exp(-margin)))
+    out = docs.mapInArrow(_features(terms, reporting), schema).withColumn("score", 1 / (1 + F.exp(-margin)))
     return out.select("doc_id", F.coalesce(key, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "features")
