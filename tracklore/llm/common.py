@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Key tables of at most this many rows may be broadcast (8 bytes a row); larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -21,10 +21,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one in the warehouse's file
+    system, or on one machine a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        found = getattr(shared_dir, "own", None)
+        if not found and spark.sparkContext.master.startswith("local["):
+            found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        found = found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
         shared_dir.own = found
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
@@ -32,7 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder until nothing refers to it."""
+    """df, computed once and kept in the shared folder, for results that outlive a Scratch.
+
+    Its files go when nothing refers to it where spark.cleaner.referenceTracking.cleanCheckpoints is set, as it should
+    be on a cluster; else with the folder.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -53,11 +61,6 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Removes one table that no later step reads."""
-        for file in df.inputFiles()[:1]:
-            self._delete(file.rsplit("/", 1)[0])
-
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
