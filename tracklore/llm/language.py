@@ -22,20 +22,20 @@ HOST, SUFFIX, FLAT = 8.0, 32.0, 1.0
 CERTAIN = 0.65
 
 
-def _cells(data: np.ndarray) -> np.ndarray:
-    """Cell of the trigram that ends at each byte, letters in lower case; -1 where it holds no letter."""
+def _cells(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Cell of the trigram that ends at each byte of its text, letters in lower case; -1 where it holds no letter."""
     low = data.astype(np.uint32)
     low[(data >= 65) & (data <= 90)] += 32
-    letter = (low >= 128) | (low >= 97) & (low <= 122)
-    low = np.where(letter, low, np.uint32(32))
-    gram = low.copy()
-    gram[1:] |= low[:-1] << np.uint32(8)
-    gram[2:] |= low[:-2] << np.uint32(16)
+    low = np.where((low >= 128) | (low >= 97) & (low <= 122), low, np.uint32(32))
+    starts = offsets[:-1][np.diff(offsets) > 0]
+    before = [low]
+    for _ in range(2):  # the byte before, a space where a text begins
+        last = np.concatenate((np.full(1, 32, np.uint32), before[-1][:-1]))[: len(low)]
+        last[starts] = 32
+        before.append(last)
+    gram = before[0] | before[1] << np.uint32(8) | before[2] << np.uint32(16)
     cell = ((gram * np.uint32(0x9E3779B1)) >> np.uint32(18)).astype(np.int32)
-    some = letter.copy()
-    some[1:] |= letter[:-1]
-    some[2:] |= letter[:-2]
-    cell[~some] = -1
+    cell[(before[0] == 32) & (before[1] == 32) & (before[2] == 32)] = -1
     return cell
 
 
@@ -46,7 +46,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, names = langs.indices.to_numpy(), langs.dictionary
         total = np.zeros((len(names), CELLS), np.int64)
         for a, _, data, offsets in tk.slices(batch.column("text")):
-            cell = _cells(data)
+            cell = _cells(data, offsets)
             text = np.searchsorted(offsets, np.arange(len(data)), "right") - 1
             good = cell >= 0
             np.add.at(total, (of[a + text[good]], cell[good]), 1)
@@ -84,7 +84,7 @@ def _likelihoods(model):
         for batch in empty_safe(batches):
             out = []
             for _, _, data, offsets in tk.slices(batch.column("text")):
-                cell = _cells(data)
+                cell = _cells(data, offsets)
                 good = cell >= 0
                 n = np.concatenate(([0], np.cumsum(good)))
                 rows = [n[offsets[1:]] - n[offsets[:-1]]]
