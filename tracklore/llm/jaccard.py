@@ -26,6 +26,8 @@ SETS = "doc_id long, n_shingles long, k1 long, k2 long"
 HOT = "h long, n long"
 #: Pairs that one copy of a document's set is met with, and rows of a long column in one tile of its product.
 PAIRS, TILE = 1_000, 2_048
+#: Tiles that short ones of the long columns share, for each block of columns.
+SHARED = 32
 #: Rounds in which a long column ties its documents to one of them, before all its pairs between components are tried.
 STARS = 2
 PAIR = ["a", "b", "n_a", "n_b", "hits"]
@@ -241,7 +243,7 @@ def _tiles(rows: DataFrame, columns: int, scratch: Scratch) -> DataFrame:
     every = rows.withColumn("side", F.lit(0)).withColumn("c", own["wide"]).withColumn("o", F.explode(split[0]))
     others = rows.where("other").withColumn("side", F.lit(1)).withColumn("c", F.explode(split[1])).withColumn("o", own["high"])
     long = (F.col("wide") > 1) | (F.col("high") > 1)
-    tile = F.when(long, F.col("h")).otherwise(F.pmod("h", F.lit(columns))).alias("tile")
+    tile = F.when(long, F.col("h")).otherwise(F.pmod("h", F.lit(SHARED * columns))).alias("tile")
     return every.unionByName(others).select(tile, *[F.when(long, F.col(x)).otherwise(-1).alias(x) for x in ("c", "o")], "h", "doc", "part", "n", "other", "side")
 
 
