@@ -284,33 +284,43 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"src": batch.column("doc_id").take(take), "src_copy": batch.column("copy").take(take), "src_start": pa.array(rows[0], pa.int64()), "n": pa.array(rows[1], pa.int64()), "digest": pa.array(rows[2], pa.binary())})
 
 
-def _results(whole: bool):
-    """Counts of each text's words and removed words, and the kept text, or its digest only.
+def _kept(text: str | None, spans: list[dict]) -> tuple[int, list[bytes]]:
+    """How many words a text has, and those left: a repeat goes where its words are those of the document that it
+    repeats, by digests of the words."""
+    words = (text or "").encode().split()
+    kept, at = [], 0
+    for x in spans:
+        if x["end"] > at and _digest(words, x["start"], x["end"]) == x["digest"]:
+            kept += words[at : max(at, x["start"])]
+            at = x["end"]
+    return len(words), kept + words[at:]
 
-    A repeat is removed where its words are those of the document that it repeats, by digests of the words.
-    """
+
+def _results(whole: bool):
+    """Counts of each text's words and removed words, and the kept text, or its digest only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in empty_safe(batches):
             spans = batch.column("spans").to_pylist() if "spans" in batch.schema.names else [()] * batch.num_rows
-            texts, n_words, removed, out = batch.column("text"), [], [], []
-            for k, own in enumerate(spans):
-                words = (texts[k].as_py() or "").encode().split()
-                kept, at = [], 0
-                for x in own:
-                    if x["end"] > at and _digest(words, x["start"], x["end"]) == x["digest"]:
-                        kept += words[at : max(at, x["start"])]
-                        at = x["end"]
-                kept += words[at:]
-                n_words.append(len(words))
-                removed.append(len(words) - len(kept))
-                text = b" ".join(kept)
-                out.append(text.decode() if whole else hashlib.sha256(text).hexdigest())
+            n_words, removed, out = [], [], []
+            for text, own in zip(batch.column("text"), spans, strict=True):
+                n, kept = _kept(text.as_py(), own)
+                n_words.append(n)
+                removed.append(n - len(kept))
+                kept = b" ".join(kept)
+                out.append(kept.decode() if whole else hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept" if whole else "kept_sha256": pa.array(out, pa.string())})
 
     return run
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with what is left of their texts."""
+    for batch in empty_safe(batches):
+        out = [b" ".join(_kept(text.as_py(), own)[1]).decode() for text, own in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], names=["row", "text"])
+
+
 def repeats(docs: DataFrame, scratch: Scratch, length: int = 50) -> DataFrame:
     """(doc_id, copy, spans): maximal repeats of each row of docs (doc_id, copy, text), with digests of the repeated words.
 
@@ -344,6 +354,10 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = 50) -> DataFrame:
     return cut(told.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list(F.struct("start", "end", "digest"))).alias("spans")))
 
 
+def _with_copy(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("copy", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(COPY)))
+
+
 def substring_dedup(docs: DataFrame, length: int = 50, whole: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of each row of docs (doc_id, text): kept is the text less repeated windows.
 
@@ -354,7 +368,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, whole: bool = True) -> Da
     ignored. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs = docs.withColumn("copy", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(COPY)))
+    docs = _with_copy(docs)
     with Scratch(docs.sparkSession) as scratch:
         spans = repeats(docs, scratch, length)
     ids = keys_hint(spans.select("doc_id", "copy"))
@@ -362,3 +376,14 @@ def substring_dedup(docs: DataFrame, length: int = 50, whole: bool = True) -> Da
     rest = docs.join(ids, ["doc_id", "copy"], "left_anti").mapInArrow(_results(whole), schema)
     less = docs.join(spans.hint("shuffle_hash"), ["doc_id", "copy"]).mapInArrow(_results(whole), schema)
     return rest.unionAll(less)
+
+
+def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+    """docs with all their columns, text less repeated windows as substring_dedup has it; texts that lose nothing stay as they are."""
+    row = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
+    own = _with_copy(docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    with Scratch(docs.sparkSession) as scratch:
+        spans = repeats(own.select("doc_id", "copy", "text"), scratch, length)
+    rest = own.join(keys_hint(spans.select("doc_id", "copy")), ["doc_id", "copy"], "left_anti").select("row", "text")
+    less = own.join(spans.hint("shuffle_hash"), ["doc_id", "copy"]).select("row", "text", "spans").mapInArrow(_texts, rest.schema)
+    return rest.unionAll(less).select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
