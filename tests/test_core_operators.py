@@ -1,6 +1,7 @@
 """Small cases by hand and properties of the operators that SQL does not check."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -135,9 +136,10 @@ def test_censored_points_avoid_the_mask(spark):
 
 
 def test_constrained_union_respects_span(spark):
-    edges = spark.createDataFrame([(0, 0, z, 1, z * 1000 + 1, (z + 1) * 1000 + 1) for z in range(5)], "block int, t int, z int, gap int, a long, b long")
+    edges = spark.createDataFrame([(0, 0, z, 1, 1500, 1500) for z in range(5)], "block long, t int, z int, gap int, la long, lb long")
     got = K.constrained_union(edges, 3).toPandas()
-    assert (got.groupby("component").node.agg(lambda n: n.max() // 1000 - n.min() // 1000 + 1) <= 3).all()
+    assert (got.groupby(["component_z", "component_label"]).z.agg(lambda n: n.max() - n.min() + 1) <= 3).all()
+    assert got.label.tolist() == [1500] * 6 and sorted(got.component_z) == [0, 0, 0, 3, 3, 3]
 
 
 def test_validation_errors(spark):
@@ -174,3 +176,107 @@ def test_file_tools(spark):
     assert status == {"b1": "INCOMPLETE", "b2": "SKIPPED"}
     parts = S.split_files(spark.range(40).select(F.col("id").cast("string").alias("path")), (0.7, 0.15), 1)
     assert {r.part: r["count"] for r in parts.groupBy("part").count().collect()} == {"train": 28, "validation": 6, "test": 6}
+
+
+def keyhole_cost(track, found, r):
+    """Plain version of one cell: track is (last, velocity or None, gap), both places (z, y, x, volume, intensity)."""
+    last, velocity, gap = track
+    n = gap + 1
+    if abs(found[0] - last[0]) > r.max_z_step * n:
+        return math.inf
+    vec = [(found[0] - last[0]) * r.z_weight, found[1] - last[1], found[2] - last[2]]
+    far = math.hypot(*vec)
+    size = math.hypot(*velocity)
+    if r.method == "keyhole" and size > r.least_speed:
+        ahead = sum(a * b for a, b in zip(vec, velocity)) / size
+        aside = math.hypot(*[a - ahead * b / size for a, b in zip(vec, velocity)])
+        cone = 0 <= ahead <= r.forward_distance * n and math.atan2(aside, ahead + 1e-6) <= math.radians(r.cone_degrees)
+        if not (cone or far <= r.back_radius):
+            return math.inf
+        cost = math.hypot(*[a - b * n for a, b in zip(vec, velocity)])
+    else:
+        if far > r.max_distance * n:
+            return math.inf
+        cost = far
+    if r.method != "nearest":
+        for k, w in ((3, r.volume_weight), (4, r.intensity_weight)):
+            a, b = last[k], found[k]
+            if math.isfinite(a) and math.isfinite(b):
+                cost += w * r.max_distance * abs(a - b) / max(abs(a), abs(b), 1e-6)
+    return cost
+
+
+@pytest.mark.parametrize("method", ["nearest", "lap", "keyhole"])
+def test_costs_against_plain_python(method):
+    rng = np.random.default_rng(8)
+    r = K.LinkRules(method, 30.0, 3.0, 2, z_weight=2.0, volume_weight=0.3, intensity_weight=0.2, forward_distance=25.0, back_radius=6.0)
+    places = np.column_stack((rng.integers(0, 8, 40), rng.uniform(0, 60, (40, 2)), rng.uniform(1, 9, (40, 2))))
+    places[::7, 3] = np.nan
+    active = [{"last": p.tolist(), "speed": ([0.0] * 3 if k % 3 == 0 else rng.normal(0, 6, 3).tolist()), "gap": k % 3} for k, p in enumerate(places)]
+    now = places[rng.permutation(40)] + np.array([0, 3, -2, 0, 0])
+    now[3, 4] = np.nan
+    got = K.costs(active, now, r)
+    want = np.array([[keyhole_cost((t["last"], t["speed"], t["gap"]), p, r) for p in now.tolist()] for t in active])
+    assert np.isfinite(want).sum() > 100 and np.array_equal(np.isfinite(got), np.isfinite(want))
+    assert np.allclose(got[np.isfinite(want)], want[np.isfinite(want)])
+
+
+@pytest.mark.parametrize("method", ["nearest", "lap", "keyhole"])
+def test_linking_against_plain_python(spark, method):
+    rng = np.random.default_rng(2)
+    rows = [(b, t, k, float(rng.integers(0, 3)), 10.0 * k + 3 * t + rng.normal(), 5.0 * k + rng.normal(), float(rng.integers(1, 50)), None if k == 2 else 1.0) for b in range(3) for t in range(8) for k in range(6) if rng.random() > 0.15]
+    r = K.LinkRules(method, 12.0, 2.0, 1, volume_weight=0.1, cost_cutoff=11.0)
+    want = {}
+    for b in range(3):
+        active, next_id = [], 1
+        for t in range(8):
+            now = [x for x in rows if x[0] == b and x[1] == t]
+            if not now:
+                continue
+            place = [[x if x is not None else math.nan for x in row[3:]] for row in now]
+            best = (math.inf, ())
+            def search(i, used, cost, pairs):
+                nonlocal best
+                if i == len(active):
+                    key = (-len(pairs), cost)
+                    if best[0] == math.inf or key < best[0]:
+                        best = (key, tuple(pairs))
+                    return
+                for j, p in enumerate(place):
+                    c = keyhole_cost((active[i][1], active[i][2], active[i][3]), p, r)
+                    if j not in used and math.isfinite(c):
+                        search(i + 1, used | {j}, cost + c, [*pairs, (i, j, c)])
+                search(i + 1, used, cost, pairs)
+            search(0, frozenset(), 0.0, [])
+            ids = {}
+            for i, j, c in best[1]:
+                if c <= r.cost_cutoff:
+                    active[i] = [active[i][0], place[j], [place[j][0] - active[i][1][0], place[j][1] - active[i][1][1], place[j][2] - active[i][1][2]], -1]
+                    ids[j] = active[i][0]
+            active = [[a[0], a[1], a[2], a[3] + 1] for a in active]
+            active = [a for a in active if a[3] <= r.max_gap]
+            for j in range(len(now)):
+                if j not in ids:
+                    ids[j] = next_id
+                    active.append([next_id, place[j], [0.0] * 3, 0])
+                    next_id += 1
+                want[(b, t, now[j][2])] = ids[j]
+    df = spark.createDataFrame(rows, "block_name long, time int, object_label long, centroid_z double, centroid_y double, centroid_x double, volume_voxels double, mean_intensity double")
+    got = {(x.block_name, x.time, x.object_label): x.track_id for x in K.link_tracks(df, r).collect()}
+    assert got == want
+
+
+def test_stream_gives_last_frames_and_tells_late_ones(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    schema = "block_name long, time int, object_label long, centroid_z double, centroid_y double, centroid_x double, volume_voxels double, mean_intensity double, at timestamp"
+    at = datetime(2024, 1, 1)
+    row = lambda b, t, k=1: (b, t, k, 0.0, float(t), 0.0, 1.0, 1.0, at + timedelta(minutes=t))
+    folder = str(tmp_path / "in")
+    for part in ([row(1, t) for t in range(4)], [row(1, 1, 2), row(2, 30)], [row(2, 60)], [row(2, 90)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    query = Q.link_stream(stream, K.LinkRules(max_distance=5.0), delay=1, acquired="at").writeStream.format("memory").queryName("linked_late").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted(map(tuple, spark.table("linked_late").where("block_name = 1").collect()), key=str)
+    assert [(r[1], r[2], r[3]) for r in got] == [(0, 1, 1), (1, 1, 1), (1, 2, None), (2, 1, 1), (3, 1, 1)]

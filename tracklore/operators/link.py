@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class LinkRules:
-    """Method and gates of a tracker; distances are in pixels, z already weighted by z_weight."""
+    """Method and gates of a tracker; distances are in pixels, z already weighted by z_weight.
+
+    max_distance and forward_distance grow with the frames that a track was missing, back_radius does not.
+    """
 
     method: str = "nearest"
     max_distance: float = 32.0
@@ -21,21 +24,31 @@ class LinkRules:
     z_weight: float = 1.0
     volume_weight: float = 0.0
     intensity_weight: float = 0.0
-    cone_degrees: float = 60.0
-    back_radius: float = 0.5
+    cost_cutoff: float = float("inf")
+    cone_degrees: float = 80.0
+    forward_distance: float = 45.0
+    back_radius: float = 12.0
+    least_speed: float = 1e-3
 
 
 def assign(cost: np.ndarray, cutoff: float) -> list[tuple[int, int]]:
     """Pairs (row, column) of least total cost; cells that are not finite are never chosen, nor are costs over cutoff.
 
-    Shortest augmenting paths with potentials over the smaller side, as cost matrices of one frame are small.
+    Pairs that have no other choice are taken at once; for the rest, shortest augmenting paths with potentials over the
+    smaller side, as cost matrices of one frame are small.
     """
+    finite = np.isfinite(cost)
+    alone = finite & (finite.sum(1, keepdims=True) == 1) & (finite.sum(0, keepdims=True) == 1)
+    if alone.any():
+        r, c = np.nonzero(alone)
+        taken = [(i, j) for i, j in zip(r.tolist(), c.tolist(), strict=True) if cost[i, j] <= cutoff]
+        rows, cols = np.flatnonzero(finite.any(1) & ~alone.any(1)), np.flatnonzero(finite.any(0) & ~alone.any(0))
+        return sorted(taken + [(int(rows[i]), int(cols[j])) for i, j in assign(cost[np.ix_(rows, cols)], cutoff)])
     rows, cols = cost.shape
     if not rows or not cols:
         return []
     if rows > cols:
         return sorted((r, c) for c, r in assign(cost.T, cutoff))
-    finite = np.isfinite(cost)
     big = (np.abs(cost[finite]).max() if finite.any() else 0.0) * (rows + 1) + 1e6
     a = np.where(finite, cost, big)
     u, v = np.zeros(rows + 1), np.zeros(cols + 1)
@@ -71,23 +84,23 @@ def costs(active: list[dict], now: np.ndarray, rules: LinkRules) -> np.ndarray:
     d = now[None, :, :3] - last[:, None, :3]
     flat = d * np.array([z, 1.0, 1.0])
     distance = np.sqrt((flat**2).sum(2))
-    ok = (np.abs(d[:, :, 0]) <= rules.max_z_step * reach) & (distance <= rules.max_distance * reach)
-    out = distance
-    if rules.method == "lap":
-        for k, weight in ((3, rules.volume_weight), (4, rules.intensity_weight)):
-            a, b = last[:, None, k], now[None, :, k]
-            out = out + weight * rules.max_distance * np.abs(a - b) / np.maximum(np.maximum(np.abs(a), np.abs(b)), 1e-6)
-    elif rules.method == "keyhole":
+    ok, out = distance <= rules.max_distance * reach, distance
+    if rules.method == "keyhole":
         speed = np.array([t["speed"] for t in active])
         size = np.sqrt((speed**2).sum(1))[:, None]
-        moving = size > 1e-3
+        moving = size > rules.least_speed
+        forward = (flat * speed[:, None, :]).sum(2) / np.maximum(size, 1e-12)
+        aside = np.sqrt(np.maximum(distance**2 - forward**2, 0))
+        cone = (forward >= 0) & (forward <= rules.forward_distance * reach) & (np.arctan2(aside, forward + 1e-6) <= np.radians(rules.cone_degrees))
+        ok = np.where(moving, cone | (distance <= rules.back_radius), ok)
         ahead = flat - speed[:, None, :] * reach[:, :, None]
-        miss = np.sqrt((ahead**2).sum(2))
-        cosine = (flat * speed[:, None, :]).sum(2) / np.maximum(distance * size, 1e-9)
-        cone = (cosine >= np.cos(np.radians(rules.cone_degrees))) | (distance <= rules.back_radius * rules.max_distance * reach)
-        ok &= ~moving | cone
-        out = np.where(moving, miss, distance)
-    return np.where(ok, out, np.inf)
+        out = np.where(moving, np.sqrt((ahead**2).sum(2)), distance)
+    if rules.method in ("lap", "keyhole"):
+        for k, weight in ((3, rules.volume_weight), (4, rules.intensity_weight)):
+            a, b = last[:, None, k], now[None, :, k]
+            gap = np.abs(a - b) / np.maximum(np.maximum(np.abs(a), np.abs(b)), 1e-6)
+            out = out + weight * rules.max_distance * np.where(np.isfinite(a) & np.isfinite(b), gap, 0.0)
+    return np.where(ok & (np.abs(d[:, :, 0]) <= rules.max_z_step * reach), out, np.inf)
 
 
 class Tracker:
@@ -99,12 +112,12 @@ class Tracker:
     def step(self, rows: np.ndarray) -> list[int]:
         """Track ids of a frame's detections; a frame without any row never comes, so absent frames do not age tracks."""
         ids = [0] * len(rows)
-        pairs = assign(costs(self.active, rows, self.rules), np.inf) if self.active else []
+        pairs = assign(costs(self.active, rows, self.rules), self.rules.cost_cutoff) if self.active else []
         taken = set()
         for a, j in pairs:
             t = self.active[a]
             scale = np.array([self.rules.z_weight, 1.0, 1.0])
-            t["speed"] = ((rows[j, :3] - np.asarray(t["last"][:3])) * scale / (t["gap"] + 1)).tolist()
+            t["speed"] = ((rows[j, :3] - np.asarray(t["last"][:3])) * scale).tolist()
             t["last"], t["gap"] = rows[j].tolist(), 0
             ids[j] = t["id"]
             taken.add(a)
@@ -160,32 +173,33 @@ def candidate_links(detections: DataFrame, rules: LinkRules) -> DataFrame:
 
 
 def constrained_union(edges: DataFrame, max_span: int) -> DataFrame:
-    """(block, t, node, component) from edges (block, t, z, gap, a, b): unions in order of z, gap, a, b, span at most max_span.
+    """(block, t, z, label, component_z, component_label) from edges (block, t, z, gap, la, lb): unions in order of z, gap, la, lb.
 
-    A node is z * 1000 + label. The result depends on the order, so each frame's few edges are joined in one task.
+    An edge ties the mask (z, la) to (z + gap, lb), unless the object would span more than max_span slices; a component
+    is named by its least mask. The result depends on the order, so each frame's few edges are joined in one task.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[int, int] = {}
-        span: dict[int, tuple[int, int]] = {}
+        parent: dict[tuple[int, int], tuple[int, int]] = {}
+        span: dict[tuple[int, int], tuple[int, int]] = {}
 
-        def root(x: int) -> int:
+        def root(x: tuple[int, int]) -> tuple[int, int]:
             while parent[x] != x:
                 parent[x] = parent[parent[x]]
                 x = parent[x]
             return x
 
-        for a, b in pdf.sort_values(["z", "gap", "a", "b"])[["a", "b"]].itertuples(index=False):
-            for x in (a, b):
+        for z, gap, la, lb in pdf[["z", "gap", "la", "lb"]].sort_values(["z", "gap", "la", "lb"]).itertuples(index=False):
+            ends = (int(z), int(la)), (int(z + gap), int(lb))
+            for x in ends:
                 if x not in parent:
-                    parent[x], span[x] = x, (x // 1000, x // 1000)
-            x, y = root(a), root(b)
+                    parent[x], span[x] = x, (x[0], x[0])
+            x, y = map(root, ends)
             lo, hi = min(span[x][0], span[y][0]), max(span[x][1], span[y][1])
             if x != y and hi - lo + 1 <= max_span:
                 parent[max(x, y)] = min(x, y)
                 span[min(x, y)] = (lo, hi)
-        nodes = sorted(parent)
-        return pd.DataFrame({"block": pdf["block"].iloc[0], "t": pdf["t"].iloc[0], "node": nodes, "component": [root(n) for n in nodes]})
-
-    return edges.groupBy("block", "t").applyInPandas(run, "block int, t int, node long, component long")
+        rows = [(*n, *root(n)) for n in sorted(parent)]
+        return pd.DataFrame(rows, columns=["z", "label", "component_z", "component_label"]).assign(block=pdf["block"].iloc[0], t=pdf["t"].iloc[0])[["block", "t", "z", "label", "component_z", "component_label"]]
 
+    return edges.groupBy("block", "t").applyInPandas(run, "block long, t int, z int, label long, component_z int, component_label long")

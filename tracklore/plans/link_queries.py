@@ -20,14 +20,14 @@ def _det(spark, sf):
 
 
 def _edges(spark, sf):
-    v = voxels(spark, sf).where("intensity > 60000")
+    v = voxels(spark, sf).where("intensity > 40000")
     e = V.slice_overlaps(v, V.slice_nodes(v, 2), 2).where("fraction >= 0.3")
-    return e.select("block", "t", F.col("za").alias("z"), (F.col("zb") - F.col("za")).alias("gap"), (F.col("za") * 1000 + F.col("la")).cast("long").alias("a"), (F.col("zb") * 1000 + F.col("lb")).cast("long").alias("b"))
+    return e.select("block", "t", F.col("za").alias("z"), (F.col("zb") - F.col("za")).alias("gap"), "la", "lb")
 
 
 def _features(spark, sf):
     e = table(spark, sf, "embeddings")
-    return e.select("vec_id", F.col("label"), F.slice("embedding", 1, 6).alias("x"))
+    return e.select("vec_id", F.col("label"), F.col("embedding").alias("x"))
 
 
 def _files(spark, sf):
@@ -38,7 +38,7 @@ QUERIES = {
     "candidate_links": lambda spark, sf: rounded(K.candidate_links(_det(spark, sf), RULES)),
     "linked_nearest": lambda spark, sf: K.link_tracks(_det(spark, sf), RULES),
     "linked_lap": lambda spark, sf: K.link_tracks(_det(spark, sf), K.LinkRules("lap", 400.0, 20.0, 1, volume_weight=0.5, intensity_weight=0.5)),
-    "linked_keyhole": lambda spark, sf: K.link_tracks(_det(spark, sf), K.LinkRules("keyhole", 400.0, 20.0, 1)),
+    "linked_keyhole": lambda spark, sf: K.link_tracks(_det(spark, sf), K.LinkRules("keyhole", 400.0, 20.0, 1, volume_weight=0.5, forward_distance=500.0, back_radius=100.0)),
     "constrained_objects": lambda spark, sf: K.constrained_union(_edges(spark, sf), 4),
     "normalised_scalars": lambda spark, sf: table(spark, sf, "orders").select(
         "o_orderkey", normalise_id(F.concat(F.col("o_custkey").cast("string"), F.lit(".0"))).alias("id"), parse_bool(F.col("o_orderstatus")).alias("flag"), parse_bool((F.col("o_custkey") % 3 - 1).cast("string"), positive_only=True).alias("positive"),

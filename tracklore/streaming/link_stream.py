@@ -15,33 +15,49 @@ from tracklore.operators.link import LINKED, PLACE, LinkRules, Tracker
 STATE = "tracks string, held string"
 
 
-def _advance(rules: LinkRules, delay: int):
-    """Frames are held until one delay frames later has come, as all of a frame's detections are needed together."""
+def _advance(rules: LinkRules, delay: int, timed: bool, patience: int):
+    """Frames are held until one delay frames later has come, as all of a frame's detections are needed together, or
+    until the watermark has passed the block's last detection by patience milliseconds."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker, held = Tracker(rules), pd.DataFrame()
+        tracker, held, done = Tracker(rules), pd.DataFrame(), None
         if state.exists:
             kept, rows = state.get
             kept = json.loads(kept)
-            tracker = Tracker(rules, kept["active"], kept["next_id"])
+            tracker, done = Tracker(rules, kept["active"], kept["next_id"]), kept["done"]
             held = pd.DataFrame(json.loads(rows))
         rows = pd.concat([held, *batches])
-        ready = rows[rows["time"] <= rows["time"].max() - delay] if len(rows) else rows
-        rest = rows.drop(ready.index) if len(ready) == 0 else rows[rows["time"] > rows["time"].max() - delay]
-        out = []
-        for _, frame in ready.sort_values(["time", "object_label"], kind="stable").groupby("time", sort=True):
+        seen = rows["acquired"].max() if timed and len(rows) else None
+        late = rows[rows["time"] <= done] if done is not None and len(rows) else rows.iloc[:0]
+        rows = rows.drop(late.index) if not len(late) else rows[rows["time"] > done]
+        last = (rows["time"].max() - (0 if state.hasTimedOut else delay)) if len(rows) else None
+        ready = rows[rows["time"] <= last] if last is not None else rows
+        rest = rows[rows["time"] > last] if last is not None else rows
+        out = [late[["block_name", "time", "object_label"]].assign(track_id=None)] if len(late) else []
+        for time, frame in ready.sort_values(["time", "object_label"], kind="stable").groupby("time", sort=True) if len(ready) else ():
             out.append(frame[["block_name", "time", "object_label"]].assign(track_id=tracker.step(frame[PLACE].to_numpy(float))))
-        state.update((json.dumps({"active": tracker.active, "next_id": tracker.next_id}), rest.to_json(orient="records")))
-        if out:
-            yield pd.concat(out)
+            done = int(time)
+        state.update((json.dumps({"active": tracker.active, "next_id": tracker.next_id, "done": done}), rest.to_json(orient="records")))
+        if timed and len(rest) and seen is not None:
+            state.setTimeoutTimestamp(max(int(seen) + patience, state.getCurrentWatermarkMs() + 1))
+        for found in out:
+            yield found.astype({"track_id": "Int64"})
 
     return run
 
 
-def link_stream(detections: DataFrame, rules: LinkRules, delay: int = 1) -> DataFrame:
-    """link_tracks on a stream of detections: frames in order within a block, up to delay frames late."""
-    rows = detections.select(F.col("block_name").cast("long"), F.col("time").cast("int"), F.col("object_label").cast("long"), *PLACE)
-    return rows.groupBy("block_name").applyInPandasWithState(_advance(rules, delay), LINKED, STATE, "append", GroupStateTimeout.NoTimeout)
+def link_stream(detections: DataFrame, rules: LinkRules, delay: int = 1, acquired: str | None = None, patience: str = "1 minute", patience_ms: int = 60_000) -> DataFrame:
+    """link_tracks on a stream of detections: frames in order within a block, up to delay frames late.
+
+    With a timestamp column acquired, a block's last frames are linked once the watermark, patience behind the newest
+    detection, has passed them by patience_ms; without one they wait for more. A detection of a frame that is linked
+    already comes out with a null track_id, so none is lost without a trace.
+    """
+    place = [F.col("block_name").cast("long"), F.col("time").cast("int"), F.col("object_label").cast("long"), *PLACE]
+    if acquired is None:
+        return detections.select(*place).groupBy("block_name").applyInPandasWithState(_advance(rules, delay, False, 0), LINKED, STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = detections.withWatermark(acquired, patience).select(*place, acquired, F.unix_millis(acquired).alias("acquired"))
+    return rows.groupBy("block_name").applyInPandasWithState(_advance(rules, delay, True, patience_ms), LINKED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _crossings(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
