@@ -86,7 +86,7 @@ def interpolated(samples: DataFrame, block: str, value: str, frames: int) -> Dat
     """A value at every frame between samples, linear between neighbours, held at the edges, rounded half to even."""
     spine = samples.select(block).distinct().select(block, F.explode(F.sequence(F.lit(0), F.lit(frames - 1))).alias("time"))
     spine = spine.unionAll(samples.select(block, F.col("time").cast("int"))).distinct()
-    s = spine.join(samples.select(block, "time", F.col(value).cast("double").alias("v")), [block, "time"], "left")
+    s = spine.join(samples.select(block, "time", F.col(value).cast("double").alias("v")).hint("merge"), [block, "time"], "left")
     w = W.partitionBy(block).orderBy("time")
     at = F.when(F.col("v").isNotNull(), F.struct(F.col("time").alias("t"), "v"))
     s = s.withColumns({"a": F.last(at, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), "b": F.first(at, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))})
@@ -131,7 +131,7 @@ def nearest_in_frame(points: DataFrame, detections: DataFrame, limit: float) ->
     m = m.withColumns({"k": F.row_number().over(w), "second": F.lead("distance").over(w)}).where("k = 1")
     best = m.select("gt_id", "block_name", "time", "row_id", "distance", F.col("second").alias("second_distance"), (F.col("second") - F.col("distance")).alias("margin"))
     best = best.withColumn("ambiguous", F.size(F.collect_set("gt_id").over(W.partitionBy("block_name", "time", "row_id"))) > 1)
-    return points.select("gt_id", "block_name", "time").join(best, ["gt_id", "block_name", "time"], "left")
+    return points.select("gt_id", "block_name", "time").join(best.hint("merge"), ["gt_id", "block_name", "time"], "left")
 
 
 def link_scores(matches: DataFrame) -> DataFrame:

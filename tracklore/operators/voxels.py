@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -54,11 +55,13 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFram
 
 
 def _kept(df: DataFrame) -> DataFrame:
+    """df, cut by a checkpoint in spark.checkpoint.dir, which a cluster must name; one machine has a folder of its own."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
 
 
@@ -121,7 +124,7 @@ def face_area(voxels: DataFrame, key: list[str], xy_um: float, z_um: float) -> D
     faces = v.select(*key, "z", "y", "x", near).select(*key, *[(F.col(c) + F.col(f"o.{c}")).alias(c) for c in "zyx"], "o.area")
     shown = faces.join(v.hint("merge"), [*key, "z", "y", "x"], "left_anti").groupBy(*key).agg(F.sum("area").alias("surface_area"))
     size = v.groupBy(*key).agg((F.count("*") * (xy_um * xy_um * z_um)).alias("volume"))
-    s = size.join(shown, key)
+    s = size.join(shown.hint("merge"), key)
     ball = F.pow(F.lit(math.pi), F.lit(1 / 3)) * F.pow(6 * F.col("volume"), F.lit(2 / 3))
     return s.withColumns({"sphericity": ball / F.col("surface_area"), "area_to_volume": F.col("surface_area") / F.col("volume"), "compactness": 36 * math.pi * F.col("volume") * F.col("volume") / F.pow("surface_area", F.lit(3.0))})
 
@@ -156,9 +159,9 @@ def density(pixels: DataFrame, key: list[str], sigma: float, r: int) -> DataFram
 
 def dense_region(pixels: DataFrame, key: list[str], sigma: float, r: int, quantile: float, floor: float, closing: int) -> DataFrame:
     """Where pixels are dense: over a quantile of the density at occupied pixels and a floor, closed by a disk."""
-    d = density(pixels, key, sigma, r)
-    at = d.join(pixels, [*key, "y", "x"], "left_semi").groupBy(*key).agg(F.greatest(F.percentile("density", F.lit(quantile)), F.lit(floor)).alias("cut"))
-    mask = d.join(at, key).where(F.col("density") >= F.col("cut")).select(*key, "y", "x")
+    d = _kept(density(pixels, key, sigma, r))
+    at = d.join(pixels.hint("merge"), [*key, "y", "x"], "left_semi").groupBy(*key).agg(F.greatest(F.percentile("density", F.lit(quantile)), F.lit(floor)).alias("cut"))
+    mask = d.join(at.hint("merge"), key).where(F.col("density") >= F.col("cut")).select(*key, "y", "x")
     return eroded(dilated(mask, key, closing), key, closing)
 
 
@@ -174,22 +177,27 @@ def segment_crossings(links: DataFrame, mask: DataFrame, key: list[str], samples
     f = F.col("k") / float(samples - 1)
     s = links.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     s = s.withColumns({"y": F.rint(F.col("y0") + (F.col("y1") - F.col("y0")) * f).cast("int"), "x": F.rint(F.col("x0") + (F.col("x1") - F.col("x0")) * f).cast("int")})
-    hit = s.join(mask.select(*key, "y", "x"), [*key, "y", "x"], "left_semi").select("link_id").distinct().withColumn("crosses", F.lit(True))
-    return links.join(hit, "link_id", "left").withColumn("crosses", F.coalesce("crosses", F.lit(False)))
+    hit = s.join(mask.select(*key, "y", "x").hint("merge"), [*key, "y", "x"], "left_semi").select("link_id").distinct().withColumn("crosses", F.lit(True))
+    return links.join(hit.hint("merge"), "link_id", "left").withColumn("crosses", F.coalesce("crosses", F.lit(False)))
 
 
 def signed_distance(pixels: DataFrame, mask: DataFrame, key: list[str], reach: int) -> DataFrame:
-    """Distance of each pixel to the mask's other side, negative inside, null beyond reach; cells of that size meet."""
-    edge_out = dilated(mask, key, 1).join(mask, [*key, "y", "x"], "left_anti")
-    p = pixels.join(mask.select(*key, "y", "x").distinct().withColumn("_in", F.lit(True)), [*key, "y", "x"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
-    sides = mask.select(*key, "y", "x").distinct().withColumn("_in", F.lit(False)).unionByName(edge_out.withColumn("_in", F.lit(True)))
+    """Distance of each pixel to the mask's other side, negative inside, null beyond reach; cells of that size meet.
+
+    Only pixels at the mask's edge, on either side, can be nearest, so only they are met.
+    """
+    mask = mask.select(*key, "y", "x").distinct()
+    edge_out = dilated(mask, key, 1).join(mask.hint("merge"), [*key, "y", "x"], "left_anti")
+    inner = eroded(mask, key, 1)
+    p = pixels.join(mask.withColumn("_in", F.lit(True)).hint("merge"), [*key, "y", "x"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+    sides = mask.join(inner.hint("merge"), [*key, "y", "x"], "left_anti").withColumn("_in", F.lit(False)).unionByName(edge_out.withColumn("_in", F.lit(True)))
     cell = lambda c: F.floor(F.col(c) / reach)
     near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("o")
     q = p.select(*key, "y", "x", "_in", near).withColumns({"_cy": cell("y") + F.col("o.a"), "_cx": cell("x") + F.col("o.b")})
     t = sides.select(*key, "_in", F.col("y").alias("my"), F.col("x").alias("mx")).withColumns({"_cy": cell("my"), "_cx": cell("mx")})
     d = F.sqrt((F.col("y") - F.col("my")) ** 2 + (F.col("x") - F.col("mx")) ** 2)
     best = q.join(t.hint("merge"), [*key, "_in", "_cy", "_cx"]).groupBy(*key, "y", "x").agg(F.min(d).alias("d")).where(F.col("d") <= reach)
-    return p.join(best, [*key, "y", "x"], "left").select(*key, "y", "x", F.when(F.col("_in"), -F.col("d")).otherwise(F.col("d")).alias("distance"))
+    return p.join(best.hint("merge"), [*key, "y", "x"], "left").select(*key, "y", "x", F.when(F.col("_in"), -F.col("d")).otherwise(F.col("d")).alias("distance"))
 
 
 def object_overlap(voxels: DataFrame, mask: DataFrame, key: list[str]) -> DataFrame:
@@ -206,7 +214,7 @@ def best_shift(mask: DataFrame, intensity: DataFrame, key: list[str], reach: int
     span = range(-reach, reach + 1)
     offsets = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in span for b in span])
     s = mask.select(*key, "y", "x", F.explode(offsets).alias("o"))
-    s = s.select(*key, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "o.dy", "o.dx").join(intensity, [*key, "y", "x"])
+    s = s.select(*key, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "o.dy", "o.dx").join(intensity.hint("merge"), [*key, "y", "x"])
     g = s.groupBy(*key, "dy", "dx").agg(F.avg("intensity").alias("score"))
     return g.groupBy(*key).agg(F.max_by(F.struct("dy", "dx", "score"), F.struct("score", (-F.abs("dy") - F.abs("dx")), "dy", "dx")).alias("b")).select(*key, "b.*")
 
@@ -240,9 +248,11 @@ def polygon_pixels(polygons: DataFrame, key: list[str], height: int, width: int)
     w = W.partitionBy(*key).orderBy("i")
     first = lambda c: F.first(c).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     e = polygons.select(*key, F.col("y").alias("y0"), F.col("x").alias("x0"), F.coalesce(F.lead("y").over(w), first("y")).alias("y1"), F.coalesce(F.lead("x").over(w), first("x")).alias("x1")).where("y0 <> y1")
-    e = e.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).where("y >= least(y0, y1) AND y < greatest(y0, y1)")
+    low, high = F.greatest(F.ceil(F.least("y0", "y1")), F.lit(0)).cast("int"), F.least(F.ceil(F.greatest("y0", "y1")) - 1, F.lit(height - 1)).cast("int")
+    e = e.where(low <= high).withColumn("y", F.explode(F.sequence(low, high)))
     at = F.col("x0") + (F.col("y") - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
-    e = e.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).where(F.col("x") < at)
+    last = F.least(F.ceil(at) - 1, F.lit(width - 1)).cast("int")
+    e = e.where(last >= 0).withColumn("x", F.explode(F.sequence(F.lit(0), last)))
     return e.groupBy(*key, "y", "x").agg(F.count("*").alias("n")).where("n % 2 = 1").drop("n")
 
 

@@ -6,19 +6,20 @@ from pyspark.sql import functions as F
 
 from tracklore.functions.scalar import rounded
 from tracklore.operators import series as R
-from tracklore.plans.views import BIG, DET, big_detections, detections, table
+from tracklore.plans.views import BIG, FRM, big_detections, block_frames
 
 KEY = ["block_name", "track_id"]
 
 
 def _frames(spark, sf):
-    d = detections(spark, sf).where("object_label % 3 <> 0")
+    """A block's days as frames; days without an event are at zero."""
+    d = block_frames(spark, sf).withColumn("time", F.datediff("day", F.lit("2024-01-01")))
     return R.frame_series(d, "block_name", {"n": F.count("*"), "volume": F.sum("volume_voxels"), "n_low": F.count_if(F.col("centroid_z") < 10)})
 
 
 _FRAMES = (
-    DET
-    + """, dd AS (SELECT * FROM det WHERE object_label % 3 <> 0),
+    FRM
+    + """, dd AS (SELECT * REPLACE (datediff('day', DATE '2024-01-01', day)::INT AS time) FROM frm),
 sp AS (SELECT block_name, unnest(range(a, b + 1))::INT AS time FROM (SELECT block_name, min(time) AS a, max(time) AS b FROM dd GROUP BY block_name)),
 ag AS (SELECT block_name, time, count(*) AS n, sum(volume_voxels) AS volume, count(*) FILTER (centroid_z < 10) AS n_low FROM dd GROUP BY block_name, time),
 fr AS (SELECT sp.block_name, sp.time, coalesce(n, 0) AS n, coalesce(volume, 0) AS volume, coalesce(n_low, 0) AS n_low FROM sp LEFT JOIN ag USING (block_name, time))"""
@@ -56,8 +57,7 @@ ls AS (SELECT block_name, gt_id, time, next_time, link_type, CASE link_type WHEN
 
 
 def _shifts(spark, sf):
-    d = detections(spark, sf).where("track_id = 'click'")
-    return d.select("block_name", "time", (F.col("volume_voxels") % 9 - 4).alias("dy"), (F.col("centroid_z") % 7 - 3).alias("dx"))
+    return block_frames(spark, sf).select("block_name", "time", (F.col("volume_voxels") % 9 - 4).alias("dy"), (F.col("centroid_z") % 7 - 3).alias("dx"))
 
 
 QUERIES = {
@@ -72,7 +72,7 @@ QUERIES = {
     "region_exposure": lambda spark, sf: rounded(R.exposure(_distance(spark, sf), KEY, F.col("distance") <= 0, F.col("distance") <= 5, F.greatest(-F.col("distance") / 20, F.lit(0.0)), F.abs("distance"))),
     "mask_forward_fill": lambda spark, sf: R.forward_fill(_frames(spark, sf), "block_name", F.col("volume") >= 150).select("block_name", "time", "source_time"),
     "cumulative_drift": lambda spark, sf: rounded(R.drift(_shifts(spark, sf), "block_name", 3.0)),
-    "interpolated_shifts": lambda spark, sf: R.interpolated(_shifts(spark, sf).where("time % 4 = 1"), "block_name", "dy", 16),
+    "interpolated_shifts": lambda spark, sf: R.interpolated(_shifts(spark, sf).where("time % 4 = 1"), "block_name", "dy", 100),
     "ground_truth_matches": lambda spark, sf: rounded(R.nearest_in_frame(*_points(spark, sf), 6.0)),
     "ground_truth_links": lambda spark, sf: _scores(spark, sf),
     "ground_truth_summary": lambda spark, sf: rounded(R.link_summary(_scores(spark, sf), "block_name", "gt_id")),
@@ -104,10 +104,10 @@ SELECT g.block_name, g.track_id, g.n, round(net_approach, 6) + 0 AS net_approach
     "region_exposure": f"""WITH {_DIST}, g AS (SELECT block_name, track_id, avg((distance <= 0)::INT) AS i, avg((distance <= 5)::INT) AS n, bool_or(distance <= 0) AS e, avg(greatest(-distance / 20, 0)) AS mo, max(greatest(-distance / 20, 0)) AS xo, avg(abs(distance)) AS md, min(abs(distance)) AS nd FROM di GROUP BY ALL)
 SELECT block_name, track_id, round(i, 6) AS inside_fraction, round(n, 6) AS near_fraction, e AS ever_inside, round(mo, 6) AS mean_overlap, round(xo, 6) + 0 AS max_overlap, round(md, 6) AS mean_distance, nd AS min_distance, CASE WHEN i = 1 THEN 'inside' WHEN e THEN 'mixed' WHEN n > 0 THEN 'boundary' ELSE 'outside' END AS region_type FROM g""",
     "mask_forward_fill": f"WITH {_FRAMES} SELECT block_name, time, last_value(CASE WHEN volume >= 150 THEN time END IGNORE NULLS) OVER (PARTITION BY block_name ORDER BY time ROWS UNBOUNDED PRECEDING) AS source_time FROM fr",
-    "cumulative_drift": f"""WITH {DET}, s AS (SELECT block_name, time, volume_voxels % 9 - 4 AS dy, centroid_z % 7 - 3 AS dx FROM det WHERE track_id = 'click')
+    "cumulative_drift": f"""WITH {FRM}, s AS (SELECT block_name, time, volume_voxels % 9 - 4 AS dy, centroid_z % 7 - 3 AS dx FROM frm)
 SELECT *, sum(CASE WHEN abs(dy) <= 3 AND abs(dx) <= 3 THEN dy ELSE 0 END) OVER w AS drift_dy, sum(CASE WHEN abs(dy) <= 3 AND abs(dx) <= 3 THEN dx ELSE 0 END) OVER w AS drift_dx FROM s WINDOW w AS (PARTITION BY block_name ORDER BY time ROWS UNBOUNDED PRECEDING)""",
-    "interpolated_shifts": f"""WITH {DET}, s AS (SELECT block_name, time, volume_voxels % 9 - 4 AS v FROM det WHERE track_id = 'click' AND time % 4 = 1),
-sp AS (SELECT block_name, unnest(range(0, 16)) AS time FROM (SELECT DISTINCT block_name FROM s)),
+    "interpolated_shifts": f"""WITH {FRM}, s AS (SELECT block_name, time, volume_voxels % 9 - 4 AS v FROM frm WHERE time % 4 = 1),
+sp AS (SELECT block_name, unnest(range(0, 100)) AS time FROM (SELECT DISTINCT block_name FROM s)),
 j AS (SELECT sp.block_name, sp.time, (SELECT max(time) FROM s WHERE s.block_name = sp.block_name AND s.time <= sp.time) AS ta, (SELECT min(time) FROM s WHERE s.block_name = sp.block_name AND s.time >= sp.time) AS tb FROM sp)
 SELECT block_name, time, (CASE WHEN x - floor(x) = 0.5 THEN 2 * floor((floor(x) + 1) / 2) ELSE floor(x + 0.5) END)::INT AS dy FROM (
   SELECT j.block_name, j.time, CASE WHEN tb > ta THEN a.v + (b.v - a.v) * (j.time - ta) / (tb - ta) ELSE coalesce(a.v, b.v) END AS x

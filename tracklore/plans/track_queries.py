@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracklore.functions.scalar import rounded
 from tracklore.operators import tracks as T
-from tracklore.plans.views import BIG, DET, META, big_detections, detections, subjects
+from tracklore.plans.views import BIG, DET, FRM, META, big_detections, block_frames, detections, subjects
 
 #: Added before rounding where values are short decimals, so that none lies between two results.
 NUDGE = 1.3e-9
@@ -44,7 +44,7 @@ QUERIES = {
     "split_merge_flags": lambda spark, sf: rounded(T.split_merge(big_detections(spark, sf))),
     "track_steps": lambda spark, sf: rounded(T.steps(detections(spark, sf)).select("block_name", "track_id", "time", "time_gap", "step_distance_3d", "step_distance_xy", "step_z_slices")),
     "long_tracks": lambda spark, sf: T.keep_long(detections(spark, sf), 14).select("block_name", "track_id", "time"),
-    "jump_checks": lambda spark, sf: rounded(T.jumps(detections(spark, sf).where("object_label % 5 <> 0"), 20, 2)),
+    "jump_checks": lambda spark, sf: rounded(T.jumps(block_frames(spark, sf), 20, 2)),
     "track_motion": lambda spark, sf: rounded(T.motion(big_detections(spark, sf), 0.5, 2.0)),
     "running_metrics": lambda spark, sf: rounded(T.running(detections(spark, sf))),
     "directionality_by_relative_time": lambda spark, sf: rounded(T.relative_bins(big_detections(spark, sf), 10)),
@@ -108,8 +108,8 @@ k AS (SELECT *, concat_ws(';', CASE WHEN step_spike THEN 'step_spike' END, CASE
 SELECT block_name, track_id, {_R("max_step", "median_step", "volume_cv_pop", "max_volume_fold", "max_intensity_fold", "step_to_median")}, step_spike, volume_jump, high_volume_cv, intensity_jump, split_merge_reason, split_merge_reason <> '' AS split_merge_warning FROM k""",
     "track_steps": f"WITH {DET_STEP} SELECT block_name, track_id, time, time_gap, round(d3, 6) AS step_distance_3d, round(d2, 6) AS step_distance_xy, round(dz, 6) + 0 AS step_z_slices FROM s",
     "long_tracks": f"WITH {DET} SELECT block_name, track_id, time FROM det WHERE (block_name, track_id) IN (SELECT (block_name, track_id) FROM det GROUP BY block_name, track_id HAVING count(DISTINCT time) >= 14)",
-    "jump_checks": f"""WITH {DET}, gone AS (SELECT * FROM det WHERE object_label % 5 <> 0),
-{STEP.format(src="gone")}
+    "jump_checks": f"""WITH {FRM},
+{STEP.format(src="frm")}
 SELECT block_name, track_id, time, dz AS step_z_slices, time_gap, CASE WHEN time_gap = 1 THEN 'consecutive' WHEN time_gap <= 2 THEN 'gap_closing' ELSE 'beyond_gap' END AS kind FROM s WHERE abs(dz) > 20""",
     "track_motion": f"""WITH {BIG},
 u AS (SELECT block_name, track_id, time, centroid_x * 0.5 AS x, centroid_y * 0.5 AS y, centroid_z * 2.0 AS z FROM big),

@@ -62,19 +62,34 @@ META = """meta AS (
     (250.0 + 50 * (s_suppkey % 7))::DOUBLE AS time_interval_seconds, CASE WHEN s_suppkey % 2 = 0 THEN 'treated' ELSE 'untreated' END AS condition FROM supplier)"""
 
 
+def block_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as detections whose time is the frame of their block, so a track (an event type) has gaps."""
+    e = table(spark, sf_dir, "events")
+    k = F.regexp_extract("props", r'"k": *(\d+)', 1).cast("int")
+    return e.select(
+        F.col("user_id").alias("block_name"), F.col("event_type").alias("track_id"), (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("time"), F.to_date("ts").alias("day"),
+        (k % 40).cast("double").alias("centroid_z"), (F.hour("ts") * 60 + F.minute("ts")).cast("double").alias("centroid_y"), F.col("value").alias("centroid_x"), (1 + F.col("event_id") % 97).cast("double").alias("volume_voxels"), F.col("value").alias("mean_intensity"),
+    )
+
+
+FRM = r"""frm AS (
+  SELECT user_id AS block_name, event_type AS track_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS time, ts::DATE AS day,
+    (regexp_extract(props, '"k": *(\d+)', 1)::INT % 40)::DOUBLE AS centroid_z, (hour(ts) * 60 + minute(ts))::DOUBLE AS centroid_y, value AS centroid_x, (1 + event_id % 97)::DOUBLE AS volume_voxels, value AS mean_intensity FROM events)"""
+
+
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as voxels, one value for each place: the largest intensity."""
+    """lineitem as voxels, one value for each place, the largest intensity: a supplier is a block, so blocks grow with the table."""
     x = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_suppkey") % 4).cast("int").alias("block"), F.col("l_linenumber").alias("t"), (F.col("l_quantity").cast("int") % 8).alias("z"),
-        (F.col("l_partkey") % 32).cast("int").alias("y"), (F.col("l_orderkey") % 32).cast("int").alias("x"), F.col("l_extendedprice").alias("intensity"),
+        F.col("l_suppkey").alias("block"), F.col("l_linenumber").alias("t"), (F.col("l_quantity").cast("int") % 8).alias("z"),
+        (F.col("l_partkey") % 8).cast("int").alias("y"), (F.col("l_orderkey") % 8).cast("int").alias("x"), F.col("l_extendedprice").alias("intensity"),
     )
     x = x.groupBy("block", "t", "z", "y", "x").agg(F.max("intensity").alias("intensity"))
-    return x.withColumn("label", (1 + F.floor(F.col("y") / 8) * 4 + F.floor(F.col("x") / 8)).cast("int"))
+    return x.withColumn("label", (1 + F.floor(F.col("y") / 4) * 2 + F.floor(F.col("x") / 4)).cast("int"))
 
 
 VOX = """vox AS (
-  SELECT block, t, z, y, x, max(i) AS intensity, (1 + (y // 8) * 4 + x // 8)::INT AS label FROM (
-    SELECT (l_suppkey % 4)::INT AS block, l_linenumber AS t, (l_quantity::INT % 8)::INT AS z, (l_partkey % 32)::INT AS y, (l_orderkey % 32)::INT AS x, l_extendedprice AS i FROM lineitem)
+  SELECT block, t, z, y, x, max(i) AS intensity, (1 + (y // 4) * 2 + x // 4)::INT AS label FROM (
+    SELECT l_suppkey AS block, l_linenumber AS t, (l_quantity::INT % 8)::INT AS z, (l_partkey % 8)::INT AS y, (l_orderkey % 8)::INT AS x, l_extendedprice AS i FROM lineitem)
   GROUP BY block, t, z, y, x)"""
 
 
