@@ -8,14 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracklore.operators.lineage import kept, quantiles, running
 
-def average_rank(*keys: str, by: str = "value") -> Column:
-    """Rank of a value within its keys, ties at their mean."""
-    return F.rank().over(W.partitionBy(*keys).orderBy(by)) + (F.count("*").over(W.partitionBy(*keys, by)) - 1) / 2.0
+
+def average_ranks(rows: DataFrame, keys: list[str], by: str, name: str = "rank") -> DataFrame:
+    """(keys, by, rank): the rank of each distinct value within its keys, ties at their mean, from counts of values."""
+    counts = rows.groupBy(*keys, by).agg(F.count("*").alias("_c"))
+    return running(counts, keys, by, {"_up": (F.sum, F.col("_c"))}).select(*keys, by, (F.col("_up") - (F.col("_c") - 1) / 2.0).alias(name))
 
 
 def normal_tail(z: Column) -> Column:
-    """Two-sided tail of a standard normal, by the rational approximation of the error function (error under 2e-7).
+    """Two-sided tail of a standard normal, by the rational approximation of the error function.
+
+    Its absolute error is under 2e-7, so smaller tails, and q values from them, only tell that they are small.
 
     Fixed values: the five coefficients and the scale of the approximation.
     """
@@ -28,14 +33,23 @@ def normal_tail(z: Column) -> Column:
 def effect_sizes(long: DataFrame, a: str, b: str, group: str = "genotype") -> DataFrame:
     """Medians, Cliff's delta, U and its normal p of each feature between groups a and b, and q within all features.
 
-    Delta comes from rank sums, so no pair of rows is formed; U's variance is corrected for ties.
+    Delta comes from rank sums over counts of distinct values, so no pair of rows is formed and no feature is one task's
+    work; U's variance is corrected for ties.
     """
     v = long.where(F.col("value").isNotNull() & F.col(group).isin(a, b))
-    r = v.withColumn("r", average_rank("feature")).withColumn("ties", F.count("*").over(W.partitionBy("feature", "value")))
-    in_a, in_b = F.col(group) == a, F.col(group) == b
-    g = r.groupBy("feature").agg(
-        F.count(F.when(in_a, 1)).alias("n_a"), F.count(F.when(in_b, 1)).alias("n_b"), F.median(F.when(in_a, F.col("value"))).alias("median_a"), F.median(F.when(in_b, F.col("value"))).alias("median_b"),
-        F.sum(F.when(in_b, F.col("r"))).alias("rank_sum"), F.sum(F.col("ties") * F.col("ties") - 1).cast("double").alias("tie_sum"),
+    counts = v.groupBy("feature", "value").agg(F.count(F.when(F.col(group) == a, 1)).alias("a"), F.count(F.when(F.col(group) == b, 1)).alias("b"))
+    up = running(counts, ["feature"], "value", {"up_a": (F.sum, F.col("a")), "up_b": (F.sum, F.col("b"))})
+    totals = counts.groupBy("feature").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+    ties = F.col("a") + F.col("b")
+    rank = F.col("up_a") + F.col("up_b") - (ties - 1) / 2.0
+
+    def middle(side: str) -> Column:
+        n, up_to = F.col(f"n_{side}"), F.col(f"up_{side}")
+        return (F.min(F.when(up_to > F.floor((n - 1) / 2), F.col("value"))) + F.min(F.when(up_to > F.floor(n / 2), F.col("value")))) / 2
+
+    g = up.join(totals.hint("merge"), "feature").groupBy("feature").agg(
+        F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), middle("a").alias("median_a"), middle("b").alias("median_b"),
+        F.sum(F.col("b") * rank).alias("rank_sum"), F.sum((ties * ties - 1).cast("double") * ties).alias("tie_sum"),
     )
     n, m = F.col("n_b").cast("double"), F.col("n_a").cast("double")
     total = n + m
@@ -48,12 +62,14 @@ def effect_sizes(long: DataFrame, a: str, b: str, group: str = "genotype") -> Da
 
 def benjamini_hochberg(df: DataFrame, p: str, q: str, *family: str) -> DataFrame:
     """Step-up q values within each family; a null p has a null q."""
-    key = [*family, F.col(p).isNull()]
-    m = F.count(p).over(W.partitionBy(*family))
-    rank = F.row_number().over(W.partitionBy(*key).orderBy(p))
-    raw = df.withColumn("_raw", F.when(F.col(p).isNotNull(), F.col(p) * m / rank)).withColumn("_rank", rank)
-    back = W.partitionBy(*key).orderBy(F.desc("_rank")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return raw.withColumn(q, F.when(F.col(p).isNotNull(), F.least(F.min("_raw").over(back), F.lit(1.0)))).drop("_raw", "_rank")
+    keys = list(family)
+    counts = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("_c"))
+    up = running(counts, keys, p, {"_up": (F.sum, F.col("_c"))})
+    m = counts.groupBy(*keys).agg(F.sum("_c").alias("_m"))
+    up = up.join(m.hint("merge"), keys) if keys else up.withColumn("_m", F.lit(m.first()[0]))
+    back = running(up.withColumn("_raw", F.col(p) * F.col("_m") / F.col("_up")), keys, p, {"_q": (F.min, F.col("_raw"))}, down=True)
+    found = back.select(*keys, p, F.least("_q", F.lit(1.0)).alias(q))
+    return df.join(found.hint("merge"), [*keys, p], "left").select(*df.columns, q)
 
 
 def spearman(long: DataFrame, subject: str = "subject") -> DataFrame:
@@ -61,7 +77,9 @@ def spearman(long: DataFrame, subject: str = "subject") -> DataFrame:
     v = long.where("value IS NOT NULL").select(subject, "feature", "value")
     a, b = v.toDF(subject, "feature_a", "va"), v.toDF(subject, "feature_b", "vb")
     p = a.join(b.hint("merge"), subject).where("feature_a < feature_b")
-    p = p.withColumns({"ra": average_rank("feature_a", "feature_b", by="va"), "rb": average_rank("feature_a", "feature_b", by="vb")})
+    p = kept(p)
+    for by, name in (("va", "ra"), ("vb", "rb")):
+        p = p.join(average_ranks(p, ["feature_a", "feature_b"], by, name).hint("merge"), ["feature_a", "feature_b", by])
     return p.groupBy("feature_a", "feature_b").agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
 
 
@@ -79,8 +97,8 @@ def variance_shares(long: DataFrame, group: str) -> DataFrame:
 
 def robust_z(long: DataFrame) -> DataFrame:
     """(x - median) / IQR of each feature, by its standard deviation where the IQR is 0, and the tertile of x."""
-    q = [F.percentile("value", F.lit(p)).alias(n) for p, n in ((0.25, "q1"), (0.5, "med"), (0.75, "q3"), (0.333, "t1"), (0.667, "t2"))]
-    s = long.groupBy("feature").agg(*q, F.stddev_samp("value").alias("sd"))
+    s = quantiles(long, ["feature"], "value", {"q1": 0.25, "med": 0.5, "q3": 0.75, "t1": 0.333, "t2": 0.667}).drop("n")
+    s = long.groupBy("feature").agg(F.stddev_samp("value").alias("sd")).join(s.hint("merge"), "feature", "left")
     iqr = F.col("q3") - F.col("q1")
     scale = F.when(iqr > 0, iqr).when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
     state = F.when(F.col("value") <= F.col("t1"), "low").when(F.col("value") <= F.col("t2"), "middle").otherwise("high")
@@ -89,18 +107,19 @@ def robust_z(long: DataFrame) -> DataFrame:
 
 def standardised(long: DataFrame) -> DataFrame:
     """Values less their feature's mean over its population deviation, missing ones at the median first."""
-    m = long.groupBy("feature").agg(F.median("value").alias("med"))
-    v = long.join(m.hint("merge"), "feature").withColumn("value", F.coalesce("value", "med")).drop("med")
+    m = quantiles(long, ["feature"], "value", {"med": 0.5}).drop("n")
+    v = long.join(m.hint("merge"), "feature", "left").withColumn("value", F.coalesce("value", "med")).drop("med")
     s = v.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
     return v.join(s.hint("merge"), "feature").withColumn("z", F.when(F.col("sd") > 0, (F.col("value") - F.col("mean")) / F.col("sd")).otherwise(0.0)).drop("mean", "sd")
 
 
 def classification(rows: DataFrame, *keys: str, score: str = "score", truth: str = "truth") -> DataFrame:
     """Confusion counts, balanced accuracy and rank-based AUC of (truth 0/1, score) in each group of keys."""
-    r = rows.where(F.col(score).isNotNull() & F.col(truth).isNotNull()).withColumn("r", average_rank(*keys, by=score))
-    said = F.col(score) >= 0.5
-    yes, no = F.col(truth) == 1, F.col(truth) == 0
-    g = r.groupBy(*keys).agg(F.count_if(yes & said).alias("tp"), F.count_if(yes & ~said).alias("fn"), F.count_if(no & said).alias("fp"), F.count_if(no & ~said).alias("tn"), F.sum(F.when(yes, F.col("r"))).alias("rank_sum"))
+    r = rows.where(F.col(score).isNotNull() & F.col(truth).isNotNull()).groupBy(*keys, score).agg(F.count_if(F.col(truth) == 1).alias("yes"), F.count_if(F.col(truth) == 0).alias("no"))
+    r = running(r, list(keys), score, {"up": (F.sum, F.col("yes") + F.col("no"))})
+    said, rank = F.col(score) >= 0.5, F.col("up") - (F.col("yes") + F.col("no") - 1) / 2.0
+    of = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+    g = r.groupBy(*keys).agg(of("yes", said).alias("tp"), of("yes", ~said).alias("fn"), of("no", said).alias("fp"), of("no", ~said).alias("tn"), F.sum(F.col("yes") * rank).alias("rank_sum"))
     p, n = F.col("tp") + F.col("fn"), F.col("fp") + F.col("tn")
     both = (p > 0) & (n > 0)
     return g.withColumns({"balanced_accuracy": F.when(both, (F.col("tp") / p + F.col("tn") / n) / 2), "auc": F.when(both, (F.col("rank_sum") - p * (p + 1) / 2) / (p * n))}).drop("rank_sum")
@@ -109,9 +128,9 @@ def classification(rows: DataFrame, *keys: str, score: str = "score", truth: str
 def roc(rows: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
     """(threshold, tpr, fpr) at each distinct score; scores are grouped first, and only those are put in order."""
     g = rows.groupBy(score).agg(F.sum(truth).alias("p"), F.sum(1 - F.col(truth)).alias("n"))
-    down = W.partitionBy().orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    every = W.partitionBy()
-    return g.select(F.col(score).alias("threshold"), (F.sum("p").over(down) / F.sum("p").over(every)).alias("tpr"), (F.sum("n").over(down) / F.sum("n").over(every)).alias("fpr"))
+    every = g.agg(F.sum("p"), F.sum("n")).first()
+    up = running(g, [], score, {"up_p": (F.sum, F.col("p")), "up_n": (F.sum, F.col("n"))}, down=True)
+    return up.select(F.col(score).alias("threshold"), F.try_divide("up_p", F.lit(every[0])).alias("tpr"), F.try_divide("up_n", F.lit(every[1])).alias("fpr"))
 
 
 def top_features(effects: DataFrame, k: int, *family: str) -> DataFrame:
@@ -132,11 +151,13 @@ def stable_features(selection: DataFrame, least: float, most: int, fallback: int
 def frozen_scores(long: DataFrame, model: DataFrame, intercept: float) -> tuple[DataFrame, DataFrame]:
     """Margins and probabilities of subjects under frozen coefficients, and each feature's contribution.
 
-    model is (feature, imputer_median, scaler_mean, scaler_scale, coefficient), a few rows, joined by hash.
+    model is (feature, imputer_median, scaler_mean, scaler_scale, coefficient), of any number of features: its rows are
+    counted, and dealt to parts of about a thousand that each subject meets.
     """
-    subjects = long.select("subject").distinct()
-    grid = subjects.crossJoin(F.broadcast(model.limit(10_000)))
-    v = grid.join(long.select("subject", "feature", "value"), ["subject", "feature"], "left")
+    parts = max(1, -(-model.count() // 1_000))
+    subjects = long.select("subject").distinct().withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    grid = subjects.join(model.withColumn("_part", F.pmod(F.xxhash64("feature"), F.lit(parts)).cast("int")).hint("broadcast" if parts <= 100 else "merge"), "_part").drop("_part")
+    v = grid.join(long.select("subject", "feature", "value").hint("merge"), ["subject", "feature"], "left")
     z = (F.coalesce("value", "imputer_median") - F.col("scaler_mean")) / F.col("scaler_scale")
     parts = v.withColumns({"missing": F.col("value").isNull(), "z": z}).withColumn("contribution", F.col("z") * F.col("coefficient"))
     parts = parts.select("subject", "feature", "missing", "z", "contribution")
@@ -151,7 +172,7 @@ def compatibility(parts: DataFrame) -> DataFrame:
 
 def brown_forsythe(long: DataFrame, group: str) -> DataFrame:
     """F of a one-way analysis of absolute distances from group medians, for each feature."""
-    m = long.groupBy("feature", group).agg(F.median("value").alias("med"))
+    m = quantiles(long, ["feature", group], "value", {"med": 0.5}).drop("n")
     d = long.join(m.hint("merge"), ["feature", group]).select("feature", F.col(group).alias("g"), F.abs(F.col("value") - F.col("med")).alias("value"))
     v = variance_shares(d, "g")
     return v.select("feature", "k", "n_total", ((F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("n_total") - F.col("k")))).alias("f"))
@@ -165,10 +186,13 @@ def ellipses(points: DataFrame, group: str, x: str, y: str, quantile: float = 5.
 
 
 def subject_distances(z: DataFrame) -> DataFrame:
-    """Distance of each two subjects in scaled features (subject, feature, z)."""
-    a, b = z.select(F.col("subject").alias("a"), "feature", F.col("z").alias("za")), z.select(F.col("subject").alias("b"), "feature", F.col("z").alias("zb"))
+    """Distance of each two subjects of a cohort in scaled features (subject, feature, z), block by block of subjects."""
+    blocks = max(1, -(-z.select("subject").distinct().count() // 500))
+    block, every = F.pmod(F.xxhash64("subject"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = z.select(F.col("subject").alias("a"), "feature", F.col("z").alias("za"), block.alias("i"), every.alias("j"))
+    b = z.select(F.col("subject").alias("b"), "feature", F.col("z").alias("zb"), every.alias("i"), block.alias("j"))
     d = F.col("za") - F.col("zb")
-    return a.join(b.hint("merge"), "feature").where("a < b").groupBy("a", "b").agg(F.sqrt(F.sum(d * d)).alias("distance"))
+    return a.join(b.hint("merge"), ["i", "j", "feature"]).where("a < b").groupBy("a", "b").agg(F.sqrt(F.sum(d * d)).alias("distance"))
 
 
 def exact_mean_difference(values: DataFrame, n_a: int) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracklore.operators.lineage import kept
+
 NODE = ["block", "t", "z", "label"]
 
 
@@ -40,13 +41,13 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFram
     Every round is one join and two aggregations, cut by a checkpoint; only a count of changes reaches the driver.
     """
     both = edges.select("a", "b").unionAll(edges.select("b", "a")).distinct()
-    both = _kept(both)
-    now = _kept(nodes.select("node", F.col("node").alias("component")).distinct())
+    both = kept(both)
+    now = kept(nodes.select("node", F.col("node").alias("component")).distinct())
     for _ in range(rounds):
         told = both.join(now.withColumnsRenamed({"node": "b", "component": "c"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
         step = now.join(told, "node", "left").select("node", F.least("component", "c").alias("n"), F.col("component").alias("old"))
         ahead = step.select(F.col("node").alias("n"), F.col("n").alias("nn"))
-        step = _kept(step.join(ahead, "n", "left").select("node", F.least("n", F.coalesce("nn", "n")).alias("component"), "old"))
+        step = kept(step.join(ahead, "n", "left").select("node", F.least("n", F.coalesce("nn", "n")).alias("component"), "old"))
         changed = step.where("component <> old").isEmpty()
         now = step.select("node", "component")
         if changed:
@@ -54,17 +55,6 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFram
     raise RuntimeError("components did not settle")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df, cut by a checkpoint in spark.checkpoint.dir, which a cluster must name; one machine has a folder of its own."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
-
-
 def reconstruct(voxels: DataFrame, least_area: int, max_gap: int, max_distance: float, least_fraction: float, least_iou: float, least_slices: int) -> DataFrame:
     """Voxels with their 3D object: masks tied by overlaps, components of enough slices, numbered in each frame."""
     nodes = slice_nodes(voxels, least_area)
@@ -159,7 +149,7 @@ def density(pixels: DataFrame, key: list[str], sigma: float, r: int) -> DataFram
 
 def dense_region(pixels: DataFrame, key: list[str], sigma: float, r: int, quantile: float, floor: float, closing: int) -> DataFrame:
     """Where pixels are dense: over a quantile of the density at occupied pixels and a floor, closed by a disk."""
-    d = _kept(density(pixels, key, sigma, r))
+    d = kept(density(pixels, key, sigma, r))
     at = d.join(pixels.hint("merge"), [*key, "y", "x"], "left_semi").groupBy(*key).agg(F.greatest(F.percentile("density", F.lit(quantile)), F.lit(floor)).alias("cut"))
     mask = d.join(at.hint("merge"), key).where(F.col("density") >= F.col("cut")).select(*key, "y", "x")
     return eroded(dilated(mask, key, closing), key, closing)

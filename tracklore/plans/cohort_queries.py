@@ -117,8 +117,8 @@ QUERIES = {
     "frozen_compatibility": lambda spark, sf: rounded(S.compatibility(S.frozen_scores(_gappy(spark, sf), _model(spark), 0.1)[1])),
     "brown_forsythe": lambda spark, sf: rounded(S.brown_forsythe(fish_features(spark, sf), "genotype"), 4),
     "ellipses": lambda spark, sf: rounded(S.ellipses(table(spark, sf, "part").select("p_brand", F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 100).alias("y")), "p_brand", "x", "y"), 4),
-    "subject_distances": lambda spark, sf: rounded(S.subject_distances(S.standardised(fish_features(spark, sf).where("subject % 10 = fish % 10"))), 5),
-    "exact_mean_difference": lambda spark, sf: rounded(S.exact_mean_difference(table(spark, sf, "customer").where("c_nationkey < 16").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("value")).select(F.col("c_nationkey").alias("subject"), (F.col("c_nationkey") % 3 == 0).alias("in_a"), "value"), 6)),
+    "subject_distances": lambda spark, sf: rounded(S.subject_distances(S.standardised(fish_features(spark, sf).groupBy(F.col("fish").alias("subject"), "feature").agg(F.avg("value").alias("value")))), 5),
+    "exact_mean_difference": lambda spark, sf: rounded(S.exact_mean_difference(table(spark, sf, "customer").groupBy(F.concat_ws(" ", "c_mktsegment", (F.col("c_nationkey") % 3).cast("string")).alias("subject")).agg(F.avg("c_acctbal").alias("value")).withColumn("in_a", F.col("subject") < "F"), 6)),
     "feature_stability": lambda spark, sf: rounded(S.stable_features(_selection(spark, sf), 0.8, 12), nudge=1.3e-9),
 }
 
@@ -176,10 +176,10 @@ SELECT round(score, 6) AS threshold, round(sum(p) OVER (ORDER BY score DESC) / s
 SELECT feature, count(*) AS k, sum(n)::BIGINT AS n_total, round(sum(n * (m - gm) ** 2) / (count(*) - 1) / (sum(n * s) / (sum(n) - count(*))), 4) AS f FROM g JOIN t USING (feature) GROUP BY feature""",
     "ellipses": """WITH g AS (SELECT p_brand, avg(p_size) AS mx, avg(p_retailprice / 100) AS my, var_samp(p_size) AS a, var_samp(p_retailprice / 100) AS c, covar_samp(p_size, p_retailprice / 100) AS b FROM part GROUP BY p_brand)
 SELECT p_brand, round(mx, 4) AS mx, round(my, 4) AS my, round(sqrt(5.991464547107979 * ((a + c) / 2 + sqrt((a - c) ** 2 / 4 + b * b))), 4) AS major, round(sqrt(5.991464547107979 * greatest((a + c) / 2 - sqrt((a - c) ** 2 / 4 + b * b), 0)), 4) AS minor, round(atan2(2 * b, a - c) / 2, 4) + 0 AS angle FROM g""",
-    "subject_distances": f"""WITH {FISH}, v AS (SELECT * FROM feat WHERE subject % 10 = fish % 10), s AS (SELECT feature, avg(value) AS mean, stddev_pop(value) AS sd FROM v GROUP BY feature), z AS (SELECT subject, feature, CASE WHEN sd > 0 THEN (value - mean) / sd ELSE 0 END AS z FROM v JOIN s USING (feature))
+    "subject_distances": f"""WITH {FISH}, v AS (SELECT fish AS subject, feature, avg(value) AS value FROM feat GROUP BY ALL), s AS (SELECT feature, avg(value) AS mean, stddev_pop(value) AS sd FROM v GROUP BY feature), z AS (SELECT subject, feature, CASE WHEN sd > 0 THEN (value - mean) / sd ELSE 0 END AS z FROM v JOIN s USING (feature))
 SELECT x.subject AS a, y.subject AS b, round(sqrt(sum((x.z - y.z) ** 2)), 5) AS distance FROM z x JOIN z y ON x.feature = y.feature AND x.subject < y.subject GROUP BY ALL""",
-    "exact_mean_difference": """WITH s AS (SELECT c_nationkey AS k, c_nationkey % 3 = 0 AS in_a, avg(c_acctbal) AS v, (row_number() OVER (ORDER BY c_nationkey) - 1)::INT AS bit FROM customer WHERE c_nationkey < 16 GROUP BY c_nationkey),
-e AS (SELECT id, avg(v) FILTER ((id >> bit) & 1 = 1) - avg(v) FILTER ((id >> bit) & 1 = 0) AS d FROM (SELECT unnest(range(0, 65536)) AS id) JOIN s ON true WHERE bit_count(id) = 6 GROUP BY id),
+    "exact_mean_difference": """WITH g AS (SELECT c_mktsegment || ' ' || c_nationkey % 3 AS k, avg(c_acctbal) AS v FROM customer GROUP BY ALL), s AS (SELECT k, k < 'F' AS in_a, v, (row_number() OVER (ORDER BY k) - 1)::INT AS bit FROM g),
+e AS (SELECT id, avg(v) FILTER ((id >> bit) & 1 = 1) - avg(v) FILTER ((id >> bit) & 1 = 0) AS d FROM (SELECT unnest(range(0, 32768)) AS id) JOIN s ON true WHERE bit_count(id) = 6 GROUP BY id),
 o AS (SELECT avg(v) FILTER (in_a) - avg(v) FILTER (NOT in_a) AS observed FROM s)
 SELECT round(any_value(observed), 6) + 0 AS observed, count(*) AS n_assignments, round(count(*) FILTER (abs(d) >= abs(observed) - 1e-12) / count(*), 6) AS p FROM e, o""",
     "feature_stability": """WITH x AS (SELECT l_linenumber % 5 AS fold, 'f' || l_partkey % 12 AS feature, l_discount - 0.05 AS c FROM lineitem),
