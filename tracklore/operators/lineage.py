@@ -21,6 +21,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table of parameters, computed once: to be broadcast if it is counted to be small, else to be sorted and merged."""
+    table = kept(table)
+    return table.hint("broadcast" if table.count() <= most else "merge")
+
+
 def running(rows: DataFrame, keys: list[str], by: str, values: dict[str, tuple[Callable[[Column], Column], Column]], down: bool = False) -> DataFrame:
     """rows with further columns: an aggregate (sum, min or max) of a value over the key's rows up to and with each, in order of by.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracklore.operators.lineage import kept, quantiles, running
+from tracklore.operators.lineage import kept, quantiles, running, sized
 
 
 def average_ranks(rows: DataFrame, keys: list[str], by: str, name: str = "rank") -> DataFrame:
@@ -102,15 +102,15 @@ def robust_z(long: DataFrame) -> DataFrame:
     iqr = F.col("q3") - F.col("q1")
     scale = F.when(iqr > 0, iqr).when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
     state = F.when(F.col("value") <= F.col("t1"), "low").when(F.col("value") <= F.col("t2"), "middle").otherwise("high")
-    return long.join(s.hint("merge"), "feature").withColumns({"z": (F.col("value") - F.col("med")) / scale, "state": state}).drop("q1", "med", "q3", "t1", "t2", "sd")
+    return long.join(sized(s), "feature").withColumns({"z": (F.col("value") - F.col("med")) / scale, "state": state}).drop("q1", "med", "q3", "t1", "t2", "sd")
 
 
 def standardised(long: DataFrame) -> DataFrame:
     """Values less their feature's mean over its population deviation, missing ones at the median first."""
     m = quantiles(long, ["feature"], "value", {"med": 0.5}).drop("n")
-    v = long.join(m.hint("merge"), "feature", "left").withColumn("value", F.coalesce("value", "med")).drop("med")
+    v = long.join(sized(m), "feature", "left").withColumn("value", F.coalesce("value", "med")).drop("med")
     s = v.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
-    return v.join(s.hint("merge"), "feature").withColumn("z", F.when(F.col("sd") > 0, (F.col("value") - F.col("mean")) / F.col("sd")).otherwise(0.0)).drop("mean", "sd")
+    return v.join(sized(s), "feature").withColumn("z", F.when(F.col("sd") > 0, (F.col("value") - F.col("mean")) / F.col("sd")).otherwise(0.0)).drop("mean", "sd")
 
 
 def classification(rows: DataFrame, *keys: str, score: str = "score", truth: str = "truth") -> DataFrame:
@@ -173,7 +173,7 @@ def compatibility(parts: DataFrame) -> DataFrame:
 def brown_forsythe(long: DataFrame, group: str) -> DataFrame:
     """F of a one-way analysis of absolute distances from group medians, for each feature."""
     m = quantiles(long, ["feature", group], "value", {"med": 0.5}).drop("n")
-    d = long.join(m.hint("merge"), ["feature", group]).select("feature", F.col(group).alias("g"), F.abs(F.col("value") - F.col("med")).alias("value"))
+    d = long.join(sized(m), ["feature", group]).select("feature", F.col(group).alias("g"), F.abs(F.col("value") - F.col("med")).alias("value"))
     v = variance_shares(d, "g")
     return v.select("feature", "k", "n_total", ((F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("n_total") - F.col("k")))).alias("f"))
 
