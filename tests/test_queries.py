@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from tracklore.plans import cohort_queries, link_queries, report_queries, series_queries, track_queries, voxel_queries
+from tracklore.plans import cohort_queries, link_queries, report_queries, series_queries, stream_queries, track_queries, voxel_queries
 
 SF = "/root/testdata/sf0.001"
-PLANS = (track_queries, cohort_queries, series_queries, voxel_queries, link_queries, report_queries)
+PLANS = (track_queries, cohort_queries, series_queries, voxel_queries, link_queries, report_queries, stream_queries)
 CASES = [(m, n) for m in PLANS for n in m.ORACLE_SQL]
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracklore.functions.scalar import MAD_SCALE
+from tracklore.operators.lineage import kept
 
 #: Features that get a limit per subject; fixed values.
 LIMITED = ["max_step", "max_speed", "total_path", "net_displacement", "max_volume_fold", "max_intensity_fold"]
@@ -36,9 +37,10 @@ def outlier_flags(tracks: DataFrame, group: str, features: Sequence[str] = LIMIT
     Steps and speeds over the limit exclude; paths and displacements only with a short track or a straight one; folds
     only warn. Limits are one row per subject, joined by hash on the subject.
     """
+    tracks = kept(tracks)  # limits, and the tracks that meet them, are of one computation
     limits = robust_limits(unpivot(tracks, [group], features), group)
     wide = limits.groupBy(group).pivot("feature", list(features)).agg(F.first("robust_upper_threshold"))
-    t = tracks.join(wide.select(group, *[F.col(f).alias(f"limit_{f}") for f in features]), group, "left")
+    t = tracks.join(wide.hint("merge").select(group, *[F.col(f).alias(f"limit_{f}") for f in features]), group, "left")
     over = {f: F.coalesce((F.col(f) > F.col(f"limit_{f}")) & (F.col("track_length") >= min_length), F.lit(False)) for f in features}
     strong = F.coalesce((F.col("track_length") < 10) | (F.col("directionality") > 0.85), F.lit(False))
     no = F.lit(False)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracklore.functions.scalar import norm
+from tracklore.functions.scalar import middle_of, norm
 from tracklore.operators import stats as S
 from tracklore.operators.lineage import kept, quantiles
 from tracklore.operators.tracks import KEY, by_time
@@ -254,7 +254,7 @@ def top_variance(long: DataFrame, k: int, chosen: DataFrame) -> DataFrame:
 
 def sample_each(rows: DataFrame, group: Sequence[str], ids: Sequence[str], n: int, seed: int) -> DataFrame:
     """n rows of each group, those of least hash of their id and the seed."""
-    w = W.partitionBy(*group).orderBy(F.xxhash64(*ids, F.lit(seed)), *ids)
+    w = W.partitionBy(*group).orderBy(F.md5(F.concat_ws(":", *ids, F.lit(seed))), *ids)
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
@@ -282,15 +282,23 @@ def chosen_union(selection: DataFrame) -> DataFrame:
     return g.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n_folds"), "feature")))
 
 
+def named_order(c: str, values: Sequence[str]) -> Column:
+    """The place of a column's value in a named order, to sort by; values that are not named come last."""
+    rank = F.lit(len(values))
+    for k, v in enumerate(values):
+        rank = F.when(F.col(c) == v, k).otherwise(rank)
+    return rank
+
+
 def in_order(rows: DataFrame, **orders: Sequence[str]) -> DataFrame:
-    """Rows by named orders of their columns' values; values that are not named come last, by name."""
-    keys = []
-    for c, values in orders.items():
-        rank = F.lit(len(values))
-        for k, v in enumerate(values):
-            rank = F.when(F.col(c) == v, k).otherwise(rank)
-        keys += [rank, F.col(c)]
-    return rows.orderBy(*keys)
+    """Rows by named orders of their columns' values, then by name."""
+    return rows.orderBy(*[k for c, values in orders.items() for k in (named_order(c, values), F.col(c))])
+
+
+def feret_proxies(rows: DataFrame, a: str, b: str, c: str) -> DataFrame:
+    """Largest, middle and least of three lengths."""
+    three = [F.col(x) for x in (a, b, c)]
+    return rows.withColumns({"feret_max": F.greatest(*three), "feret_median": middle_of(*three), "feret_min": F.least(*three)})
 
 
 def without_subjects(rows: DataFrame, subject: str, names: Sequence[str]) -> DataFrame:

@@ -53,11 +53,12 @@ class QualityRules:
     remove_static: bool = True
 
 
-def quality(tracks: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:  # noqa: B008
-    """One row of movement, volume and intensity features per track, with its flags."""
-    s = steps(tracks, rules.z_weight)
-    ends = {f"{c}{k}": f(f"centroid_{c}", "time") for c in "zyx" for k, f in ((0, F.min_by), (1, F.max_by))}
-    aggs = [v.alias(k) for k, v in ends.items()]
+def _ends() -> dict[str, Column]:
+    return {f"{c}{k}": f(f"centroid_{c}", "time") for c in "zyx" for k, f in ((0, F.min_by), (1, F.max_by))}
+
+
+def _quality_sums() -> list[Column]:
+    aggs = [v.alias(k) for k, v in _ends().items()]
     aggs += [F.count_distinct("time").alias("track_length"), F.min("time").alias("start_time"), F.max("time").alias("end_time")]
     for d in ("3d", "xy"):
         c = f"step_distance_{d}"
@@ -66,7 +67,10 @@ def quality(tracks: DataFrame, rules: QualityRules = QualityRules()) -> DataFram
     for c in "zyx":
         aggs += [(F.max(f"centroid_{c}") - F.min(f"centroid_{c}")).alias(f"{c}_range"), F.avg(f"centroid_{c}").alias(f"mean_{c}")]
     aggs += [F.avg("volume_voxels").alias("mean_volume"), F.min("volume_voxels").alias("min_volume"), F.max("volume_voxels").alias("max_volume"), F.stddev_samp("volume_voxels").alias("volume_sd"), F.avg("mean_intensity").alias("mean_intensity")]
-    q = s.groupBy(*KEY).agg(*aggs)
+    return aggs
+
+
+def _with_quality(q: DataFrame, rules: QualityRules) -> DataFrame:
     dx, dy, dz = (F.col(f"{c}1") - F.col(f"{c}0") for c in "xyz")
     q = q.withColumns({"duration": F.col("end_time") - F.col("start_time") + 1, "net_displacement_3d": norm(dx, dy, dz * rules.z_weight), "net_displacement_xy": norm(dx, dy), "net_z_displacement_slices": dz})
     q = q.withColumns(
@@ -81,7 +85,12 @@ def quality(tracks: DataFrame, rules: QualityRules = QualityRules()) -> DataFram
             "possibly_static": (F.col("net_displacement_3d") < rules.static_displacement) & (F.col("track_length") >= rules.long_track),
         }
     )
-    return q.drop("volume_sd", *ends)
+    return q.drop("volume_sd", *_ends())
+
+
+def quality(tracks: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:  # noqa: B008
+    """One row of movement, volume and intensity features per track, with its flags."""
+    return _with_quality(steps(tracks, rules.z_weight).groupBy(*KEY).agg(*_quality_sums()), rules)
 
 
 def _fold(value: str) -> Column:
@@ -90,16 +99,26 @@ def _fold(value: str) -> Column:
     return F.when((now > 1e-6) & (before > 1e-6), F.greatest(now / before, before / now))
 
 
-def split_merge(tracks: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:  # noqa: B008
-    """Flags of tracks that seem to join or split objects, with the reasons."""
-    s = steps(tracks, rules.z_weight).withColumns({"volume_fold": _fold("volume_voxels"), "intensity_fold": _fold("mean_intensity")})
-    g = s.groupBy(*KEY).agg(
+def _with_folds(s: DataFrame) -> DataFrame:
+    return s.withColumns({"volume_fold": _fold("volume_voxels"), "intensity_fold": _fold("mean_intensity")})
+
+
+def _split_sums() -> list[Column]:
+    return [
         F.coalesce(F.max("step_distance_3d"), F.lit(0.0)).alias("max_step"),
         F.coalesce(F.median("step_distance_3d"), F.lit(0.0)).alias("median_step"),
         F.when((F.count("volume_voxels") >= 2) & (F.avg("volume_voxels") > 1e-6), F.stddev_pop("volume_voxels") / (F.avg("volume_voxels") + 1e-6)).alias("volume_cv_pop"),
         F.max("volume_fold").alias("max_volume_fold"),
         F.max("intensity_fold").alias("max_intensity_fold"),
-    )
+    ]
+
+
+def split_merge(tracks: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:  # noqa: B008
+    """Flags of tracks that seem to join or split objects, with the reasons."""
+    return _with_split(_with_folds(steps(tracks, rules.z_weight)).groupBy(*KEY).agg(*_split_sums()), rules)
+
+
+def _with_split(g: DataFrame, rules: QualityRules) -> DataFrame:
     g = g.withColumn("step_to_median", F.when(F.col("median_step") > 1e-6, F.col("max_step") / F.col("median_step")))
     flags = {
         "step_spike": (F.col("step_to_median") > rules.max_step_ratio) & (F.col("max_step") > rules.min_step),
@@ -121,7 +140,8 @@ def graded(tracks: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame
 
     A step spike alone does not exclude a good track from the clean ones.
     """
-    q = quality(tracks, rules).join(split_merge(tracks, rules), KEY, "left")
+    g = _with_folds(steps(tracks, rules.z_weight)).groupBy(*KEY).agg(*_quality_sums(), *_split_sums())
+    q = _with_split(_with_quality(g, rules), rules)
     against = {"short_track": F.col("track_length") < rules.min_length, "high_step_distance": F.col("max_step_distance_3d") > rules.max_step, "high_z_range": F.col("z_range") > rules.max_z_range}
     if rules.remove_static:
         against["possibly_static"] = F.col("possibly_static")

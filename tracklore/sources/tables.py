@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracklore.functions.scalar import number
+from tracklore.operators.lineage import running
 
 
 def resolve_columns(df: DataFrame, roles: dict[str, Sequence[str]], defaults: dict[str, object] | None = None, required: Sequence[str] = ()) -> DataFrame:
@@ -99,12 +100,19 @@ def pixel_sizes(blocks: DataFrame, overrides: DataFrame, known: DataFrame, defau
     return blocks.select("block").join(o, "block", "left").join(k, "block", "left").select("block", F.coalesce("_o", "_k", F.lit(default)).alias("xy_um"))
 
 
-def split_files(files: DataFrame, shares: tuple[float, float], seed: int) -> DataFrame:
-    """train, validation and test by a hash order of paths, without a random generator."""
-    w = W.partitionBy().orderBy(F.xxhash64("path", F.lit(seed)), "path")
-    f = files.select("path").distinct().withColumns({"k": F.row_number().over(w), "n": F.count("*").over(W.partitionBy())})
-    part = F.when(F.col("k") <= F.round(F.col("n") * shares[0]), "train").when(F.col("k") <= F.round(F.col("n") * (shares[0] + shares[1])), "validation").otherwise("test")
-    return f.select("path", part.alias("part"))
+def split_files(files: DataFrame, shares: tuple[float, float], seed: int, old: DataFrame | None = None) -> DataFrame:
+    """(path, part): train, validation and test by a hash order of paths, without a random generator.
+
+    Paths of old (path, part) keep their part; only the others are dealt, among themselves.
+    """
+    new = files.select("path").distinct()
+    new = new if old is None else new.join(old.select("path"), "path", "left_anti")
+    new = new.withColumn("_h", F.concat(F.md5(F.concat_ws(":", "path", F.lit(seed))), F.col("path")))
+    new = running(new, [], "_h", {"k": (F.sum, F.lit(1))})
+    n = new.count()
+    part = F.when(F.col("k") <= round(n * shares[0]), "train").when(F.col("k") <= round(n * (shares[0] + shares[1])), "validation").otherwise("test")
+    found = new.select("path", part.alias("part"))
+    return found if old is None else old.select("path", "part").unionAll(found)
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", **options: str) -> None:

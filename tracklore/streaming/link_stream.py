@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracklore.operators.lineage import kept
 from tracklore.operators.link import LINKED, PLACE, LinkRules, Tracker
 
 STATE = "tracks string, held string"
@@ -89,11 +90,27 @@ def sessions(events: DataFrame, time: str, key: str, gap: str, late: str) -> Dat
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), key, "n")
 
 
-def keep_last_writer(path: str, key: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: the latest row of each key as Parquet, one folder per batch, read with the newest last."""
+def keep_last_writer(path: str, key: list[str], order: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that upserts: a Parquet table with the latest row of each key.
+
+    Keys are dealt to buckets by hash; a batch's rows are merged with what their buckets hold, and only those buckets
+    are written again. A batch that is replayed changes nothing.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy(*key).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in key]), order).alias("r")).select(*key, "r.*")
-        last.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number:09d}")
+        spark = batch.sparkSession
+        fresh = kept(batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")))
+        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            fresh = fresh.unionByName(spark.read.schema(fresh.schema).parquet(path).where(F.col("bucket").isin(touched)))
+        rest = [c for c in fresh.columns if c not in (*key, "bucket")]
+        last = kept(fresh.groupBy("bucket", *key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*key, "r.*", "bucket"))
+        last.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return write
+
+
+def replay(stream: DataFrame, write: Callable[[DataFrame, int], None], state: str, mode: str = "append") -> None:
+    """Runs a stream over all that is there now, batch by batch, and ends."""
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
