@@ -25,7 +25,7 @@ def _folder(spark: SparkSession) -> str:
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/[e]vents.parquet"  # a pattern, as a stream takes one file only so
-    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(path)
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _replayed(spark, stream: DataFrame, mode: str) -> DataFrame:
@@ -36,11 +36,12 @@ def _replayed(spark, stream: DataFrame, mode: str) -> DataFrame:
 
 
 def event_windows(spark, sf_dir):
-    return _replayed(spark, L.windowed_counts(_events(spark, sf_dir), "ts", "event_type", "6 hours", "1 hour"), "complete")
+    return _replayed(spark, L.windowed_counts(_events(spark, sf_dir), "ts", "event_type", "6 hours", "1 hour"), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def event_sessions(spark, sf_dir):
-    return _replayed(spark, L.sessions(_events(spark, sf_dir), "ts", "user_id", "2 hours", "1 hour"), "complete")
+    found = _replayed(spark, L.sessions(_events(spark, sf_dir), "ts", "user_id", "2 hours", "1 hour"), "complete")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
 def latest_events(spark, sf_dir):
