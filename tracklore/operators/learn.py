@@ -12,33 +12,28 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a subject table, at most.
 SUBJECTS = 5_000
 
 
-def _moments(df: DataFrame, p: int) -> tuple[np.ndarray, np.ndarray]:
-    """Means and covariance of the p values of column x, from one aggregation."""
-    x = [F.col("x")[i].cast("double") for i in range(p)]
-    aggs = [F.avg(v) for v in x] + [F.covar_samp(x[i], x[j]) for i in range(p) for j in range(i, p)]
-    row = list(df.agg(*aggs).first())
-    cov = np.zeros((p, p))
-    cov[np.triu_indices(p)] = row[p:]
-    return np.array(row[:p]), cov + np.triu(cov, 1).T
-
-
 def pca_scores(df: DataFrame, k: int) -> DataFrame:
-    """Scores of x on its first k principal axes, signs set so that each axis's largest loading is positive."""
-    p = len(df.select("x").first()["x"])
-    mean, cov = _moments(df, p)
-    values, axes = np.linalg.eigh(cov)
-    axes = axes[:, np.argsort(-values)][:, :k]
+    """Scores of x, of any width, on its first k principal axes, signs set so that each axis's largest loading is positive."""
+    rows = df.withColumn("features", array_to_vector(F.col("x").cast("array<double>")))
+    axes = PCA(k=k, inputCol="features", outputCol="pc").fit(rows).pc.toArray()
+    mean = rows.agg(Summarizer.mean(F.col("features"))).first()[0].toArray()
     axes = axes * np.sign(axes[np.abs(axes).argmax(0), range(k)])
-    score = [sum(((F.col("x")[i].cast("double") - float(mean[i])) * float(axes[i, j]) for i in range(p)), F.lit(0.0)).alias(f"pc{j + 1}") for j in range(k)]
-    return df.select(*[c for c in df.columns if c != "x"], *score)
+
+    def score(j: int) -> Column:
+        products = F.zip_with(F.col("x").cast("array<double>"), F.array(*map(F.lit, axes[:, j].tolist())), lambda a, b: a * b)
+        return F.aggregate(products, F.lit(-float(mean @ axes[:, j])), lambda s, v: s + v)
+
+    return df.select(*[c for c in df.columns if c != "x"], *[score(j).alias(f"pc{j + 1}") for j in range(k)])
 
 
 def kmeans(df: DataFrame, k: int, seed: int = 42) -> DataFrame:
@@ -48,7 +43,7 @@ def kmeans(df: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return model.transform(rows).drop("features", "x")
 
 
-def group_split_check(df: DataFrame, seed: int = 42) -> DataFrame:
+def group_split_check(df: DataFrame, seed: int = 42, trees: int = 300) -> DataFrame:
     """Accuracy of a forest with rows split at random and with whole groups held out: a gap shows leakage between groups.
 
     The class is the parity of the label; a group is the row id modulo 20.
@@ -56,7 +51,7 @@ def group_split_check(df: DataFrame, seed: int = 42) -> DataFrame:
     rows = df.select("vec_id", (F.col("label") % 2).cast("double").alias("y"), (F.col("vec_id") % 20).alias("g"), array_to_vector(F.col("x").cast("array<double>")).alias("features"))
     out = None
     for name, part in (("random", F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(5)) == 0), ("group", F.pmod(F.xxhash64("g", F.lit(seed)), F.lit(5)) == 0)):
-        forest = RandomForestClassifier(numTrees=20, seed=seed, labelCol="y", featuresCol="features").fit(rows.where(~part))
+        forest = RandomForestClassifier(numTrees=trees, seed=seed, labelCol="y", featuresCol="features").fit(rows.where(~part))
         found = forest.transform(rows.where(part)).agg(F.lit(name).alias("split"), F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("y")).cast("int")).alias("accuracy"))
         out = found if out is None else out.unionAll(found)
     return out

@@ -53,7 +53,7 @@ QUERIES = {
     "leave_one_out": lambda spark, sf: L.leave_one_out(L.subject_matrix(spark, sf), [0.1, 1.0, 10.0]),
     "label_permutation": lambda spark, sf: L.permutation_test(L.subject_matrix(spark, sf), [1.0], 20, 42),
     "bootstrap_delta": lambda spark, sf: L.bootstrap_delta(L.two_groups(spark, sf), 200, 42),
-    "two_way_factorial": lambda spark, sf: L.factorial(L.factor_rows(spark, sf)),
+    "two_way_factorial": lambda spark, sf: rounded(L.factorial(L.factor_rows(spark, sf)), 3),
     "cell_forest_split": lambda spark, sf: L.group_split_check(_features(spark, sf)),
 }
 
@@ -69,4 +69,9 @@ SELECT block, count(*) AS expected, count(*) FILTER (p) AS present, CASE WHEN co
     "frame_intervals": """WITH d AS (SELECT user_id AS block, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts)) / 1e6 AS d FROM (SELECT DISTINCT user_id, ts FROM events))
 SELECT block, count(*) AS n, round(avg(d) + 1.3e-7, 4) AS mean, round(median(d) + 1.3e-7, 4) AS median, round(stddev_samp(d) + 1.3e-7, 4) AS sd, round(min(d) + 1.3e-7, 4) AS min, round(max(d) + 1.3e-7, 4) AS max FROM d GROUP BY block""",
     "pixel_sizes": "SELECT s_suppkey AS block, CASE WHEN s_suppkey % 5 = 0 THEN 0.25 WHEN s_suppkey % 3 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS xy_um FROM supplier",
+    "two_way_factorial": """WITH r AS (SELECT (o_custkey % 3 = 0)::INT AS a, (o_orderkey % 2 = 0)::INT AS b, unnest(['total', 'priority']) AS feature, unnest([o_totalprice, length(o_orderpriority)::DOUBLE]) AS v FROM orders),
+c AS (SELECT feature, a, b, count(*) AS n, avg(v) AS m, greatest(sum(v * v) - count(*) * avg(v) ** 2, 0) / (1 - 1 / count(*)) ** 2 / count(*) ** 2 AS s FROM r GROUP BY ALL),
+w AS (SELECT feature, max(m) FILTER (a = 0 AND b = 0) AS m00, max(m) FILTER (a = 1 AND b = 0) AS m10, max(m) FILTER (a = 0 AND b = 1) AS m01, max(m) FILTER (a = 1 AND b = 1) AS m11, max(s) FILTER (a = 0 AND b = 0) AS s00, max(s) FILTER (a = 1 AND b = 0) AS s10, max(s) FILTER (a = 0 AND b = 1) AS s01, max(s) FILTER (a = 1 AND b = 1) AS s11 FROM c GROUP BY feature),
+t AS (SELECT feature, unnest(['constant', 'a', 'b', 'a:b']) AS term, unnest([m00, m10 - m00, m01 - m00, m11 - m10 - m01 + m00]) AS e, unnest([s00, s10 + s00, s01 + s00, s11 + s10 + s01 + s00]) AS v FROM w)
+SELECT feature, term, round(e, 3) + 0 AS estimate, round(e * e / v, 3) AS f FROM t""",
 }
