@@ -140,8 +140,9 @@ def _linked(rules: LinkRules):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["time", "object_label"], kind="stable")
         tracker, ids = Tracker(rules), []
-        for _, frame in pdf.groupby("time", sort=True):
-            ids += tracker.step(frame[PLACE].to_numpy(float))
+        place, time = pdf[PLACE].to_numpy(float), pdf["time"].to_numpy()
+        for frame in np.split(place, np.flatnonzero(time[1:] != time[:-1]) + 1):
+            ids += tracker.step(frame)
         return pdf[["block_name", "time", "object_label"]].assign(track_id=ids)
 
     return run

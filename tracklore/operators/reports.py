@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracklore.functions.scalar import middle_of, norm
 from tracklore.operators import stats as S
-from tracklore.operators.lineage import kept, quantiles
+from tracklore.operators.lineage import kept, quantiles, sized
 from tracklore.operators.tracks import KEY, by_time
 
 #: Limits of the motility classes: fixed values.
@@ -385,3 +385,67 @@ def harvest(spark, folder: str, pattern: str) -> DataFrame:
     return r.select(*[F.regexp_extract(path, pattern, k).alias(n) for k, n in ((1, "method"), (2, "model"), (3, "dataset"))], "*")
 
 
+
+
+def choose_features(df: DataFrame, priority: Sequence[str], ids: Sequence[str], most: int) -> list[str]:
+    """Up to most features: those of the priority list that are there, then the other numeric columns but ids."""
+    numeric = [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint", "tinyint") and c not in ids]
+    return [*(c for c in priority if c in numeric), *(c for c in numeric if c not in priority)][:most]
+
+
+def inventory(files: DataFrame, path: str, excluded: DataFrame) -> DataFrame:
+    """Files with the date and acquisition of their names, what is wrong with each, and whether its date and acquisition are excluded.
+
+    excluded is (date, acquisition), a null acquisition standing for all of its date.
+    """
+    parts = name_parts(F.col(path))
+    f = files.select(path, parts["date"].alias("date"), parts["acquisition"].alias("acquisition"))
+    e = excluded.groupBy("date").agg(F.bool_or(F.col("acquisition").isNull()).alias("_all"), F.collect_set("acquisition").alias("_some"))
+    f = f.join(e.hint("merge"), "date", "left")
+    error = F.when(F.col("date").isNull(), "no date").when(F.col("acquisition").isNull(), "no acquisition")
+    return f.select(path, "date", "acquisition", error.alias("error"), F.coalesce(F.col("_all") | F.array_contains("_some", F.col("acquisition")), F.lit(False)).alias("excluded"))
+
+
+def track_lengths(rows: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Mean, median and largest of each length over each track, and its change from the first to the last time."""
+    aggs = [x for c in columns for x in (F.avg(c).alias(f"{c}_mean"), F.median(c).alias(f"{c}_median"), F.max(c).alias(f"{c}_max"), (F.max_by(c, "time") - F.min_by(c, "time")).alias(f"{c}_change"))]
+    return rows.groupBy(*key).agg(F.count("*").alias("n"), *aggs)
+
+
+def subject_medians(long: DataFrame, subject: str, low: float, high: float) -> DataFrame:
+    """Median and IQR of each feature in each subject, and the feature's limits of display over all rows."""
+    own = quantiles(long, [subject, "feature"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    every = quantiles(long, ["feature"], "value", {"low": low, "high": high}).drop("n")
+    return own.join(sized(every), "feature").select(subject, "feature", "n", "median", (F.col("q3") - F.col("q1")).alias("iqr"), "low", "high")
+
+
+def separation(points: DataFrame, subject: str, group: str, x: str, y: str) -> DataFrame:
+    """How far two groups of a cohort stand apart in a plane: distance of centres, scatter within, their ratio, silhouette.
+
+    Distances of subjects are those of a cohort's few rows, joined block by block.
+    """
+    g = points.groupBy(group).agg(F.avg(x).alias("mx"), F.avg(y).alias("my"))
+    d = points.join(sized(g), group).withColumn("d", norm(F.col(x) - F.col("mx"), F.col(y) - F.col("my")))
+    c = d.groupBy(group).agg(F.first("mx").alias("mx"), F.first("my").alias("my"), F.avg("d").alias("scatter"))
+    ends = c.agg(F.min_by(F.struct("mx", "my"), group).alias("a"), F.max_by(F.struct("mx", "my"), group).alias("b"), F.avg("scatter").alias("within"))
+    ends = ends.select(norm(F.col("a.mx") - F.col("b.mx"), F.col("a.my") - F.col("b.my")).alias("between"), "within").first()
+    long = points.select(F.col(subject).alias("subject"), F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("z")) for n in (x, y)])).alias("v")).select("subject", "v.*")
+    pairs = S.subject_distances(long)
+    both = pairs.select("a", "b", "distance").unionAll(pairs.select("b", "a", "distance"))
+    kind = points.select(F.col(subject).alias("a"), F.col(group).alias("ga"))
+    both = both.join(sized(kind), "a").join(sized(kind.toDF("b", "gb")), "b")
+    s = both.groupBy("a").agg(F.avg(F.when(F.col("ga") == F.col("gb"), F.col("distance"))).alias("own"), F.avg(F.when(F.col("ga") != F.col("gb"), F.col("distance"))).alias("other"))
+    silhouette = F.when(F.col("own").isNull(), 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other"))
+    return s.agg(F.lit(ends["between"]).alias("between"), F.lit(ends["within"]).alias("within"), F.lit(ends["between"] / ends["within"]).alias("ratio"), F.avg(silhouette).alias("silhouette"))
+
+
+def frozen_projection(long: DataFrame, train: Column, loadings: DataFrame) -> DataFrame:
+    """Scores of all subjects on frozen axes: medians, means and scales come from the training subjects alone.
+
+    long is (subject, feature, value), a row for each; loadings is (axis, feature, loading).
+    """
+    fitted = quantiles(long.where(train), ["feature"], "value", {"median": 0.5}).drop("n")
+    filled = long.join(sized(fitted), "feature").withColumn("value", F.coalesce("value", "median"))
+    scale = filled.where(train).groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    z = filled.join(sized(scale), "feature").withColumn("z", F.when(F.col("sd") > 0, (F.col("value") - F.col("mean")) / F.col("sd")).otherwise(0.0))
+    return z.join(sized(loadings), "feature").groupBy("subject", "axis").agg(F.sum(F.col("z") * F.col("loading")).alias("score"))

@@ -155,9 +155,25 @@ QUERIES = {
     "file_name_parts": lambda spark, sf: _paths(spark, sf).select("p_partkey", *[c.alias(n) for n, c in P.name_parts(F.col("path")).items()]),
     "metadata_template": lambda spark, sf: P.metadata_template(table(spark, sf, "part"), "p_brand"),
     "odd_scalars": lambda spark, sf: rounded(_odd_scalars(spark, sf)),
+    "chosen_values": lambda spark, sf: rounded(table(spark, sf, "lineitem").agg(*[F.avg(c).alias(c) for c in P.choose_features(table(spark, sf, "lineitem"), ["l_tax", "l_nothing", "l_discount"], ["l_orderkey", "l_partkey", "l_suppkey"], 4)])),
+    "file_inventory": lambda spark, sf: P.inventory(_paths(spark, sf).withColumn("path", F.when(F.col("p_partkey") % 10 == 0, "data/x.tif").otherwise(F.col("path"))), "path", table(spark, sf, "nation").select(F.format_string("2024%02d%02d", (F.col("n_nationkey") % 12 + 1).cast("int"), (F.col("n_nationkey") % 28 + 1).cast("int")).alias("date"), F.when(F.col("n_nationkey") % 3 > 0, F.col("n_nationkey") % 9).cast("int").alias("acquisition"))),
+    "feret_summary": lambda spark, sf: rounded(P.track_lengths(P.feret_proxies(voxels(spark, sf).groupBy("block", F.col("t").alias("time"), "label").agg(*[(F.max(c) - F.min(c) + 1).alias(c) for c in "zyx"]), "z", "y", "x"), ["block", "label"], ["feret_max", "feret_min"])),
+    "subject_medians": lambda spark, sf: rounded(P.subject_medians(fish_features(spark, sf), "fish", 0.01, 0.99), 5),
+    "group_separation": lambda spark, sf: rounded(P.separation(_nations(spark, sf), "subject", "genotype", "x", "y"), 5),
+    "frozen_projection": lambda spark, sf: rounded(P.frozen_projection(CQ._gappy(spark, sf).select("subject", "feature", "value"), F.col("subject") % 2 == 0, _loadings(spark, sf)), 5),
 }
 
 
+def _nations(spark, sf):
+    c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("subject")).agg((F.avg("c_acctbal") / 1000).alias("x"), (F.stddev_pop("c_acctbal") / 1000).alias("y"))
+    return c.withColumn("genotype", F.when(F.col("subject") % 3 == 0, "MUT").otherwise("WT"))
+
+
+def _loadings(spark, sf):
+    f = fish_features(spark, sf).select("feature").distinct()
+    return f.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("axis"), "feature").withColumn("loading", (F.length("feature") % 5 - 2) / (F.col("axis") * 2.0))
+
+
 def _union(tables):
     out = tables[0]
     for t in tables[1:]:
@@ -256,4 +272,20 @@ SELECT "column", count(*) AS n, count(k.l) AS matched, round(count(k.l) / count(
     "metadata_template": "SELECT DISTINCT p_brand, NULL::VARCHAR AS genotype, NULL::VARCHAR AS fish_id FROM part",
     "odd_scalars": f"""SELECT o_orderkey, [true, true, true, false, true, true, false, false, false][o_orderkey % 9 + 1] AS flag, [true, true, true, false, true, true, true, false, false][o_orderkey % 9 + 1] AS flag_t, [true, true, true, false, true, false, false, false, false][o_orderkey % 9 + 1] AS positive,
   [12.5, NULL, NULL, NULL, -3, 7, NULL][o_orderkey % 7 + 1]::DOUBLE AS number, {_PICK(["91", "91", "91", "a7", "0.5", "-3"]).replace("o_orderkey", "o_orderkey")} AS id, {_PICK(["WT", "WT", "MUT", "MUT", "MUT", "HET", "+/+"])} AS "group", {_PICK(["WT", "WT", "MUT", "MUT", "MUT", "HET", "+/+"])} AS group_m, {_PICK(["WT", "WT", "MUT", "MUT", "KO LINE", "HET", "WT"])} AS group_e FROM orders""",
+    "chosen_values": "SELECT round(avg(l_tax), 6) AS l_tax, round(avg(l_discount), 6) AS l_discount, round(avg(l_linenumber), 6) AS l_linenumber, round(avg(l_quantity), 6) AS l_quantity FROM lineitem",
+    "file_inventory": """WITH f AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN 'data/x.tif' ELSE 'data/' || ['WT', 'mut', 'other'][p_partkey % 3 + 1] || '/Fish_' || p_size || ' 2024' || lpad((p_partkey % 12 + 1)::VARCHAR, 2, '0') || lpad((p_partkey % 28 + 1)::VARCHAR, 2, '0') || '_block' || p_partkey % 9 || '.tif' END AS path,
+  CASE WHEN p_partkey % 10 > 0 THEN '2024' || lpad((p_partkey % 12 + 1)::VARCHAR, 2, '0') || lpad((p_partkey % 28 + 1)::VARCHAR, 2, '0') END AS date, CASE WHEN p_partkey % 10 > 0 THEN (p_partkey % 9)::INT END AS acquisition FROM part),
+x AS (SELECT '2024' || lpad((n_nationkey % 12 + 1)::VARCHAR, 2, '0') || lpad((n_nationkey % 28 + 1)::VARCHAR, 2, '0') AS date, CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey % 9 END AS acquisition FROM nation)
+SELECT path, date, acquisition, CASE WHEN date IS NULL THEN 'no date' END AS error, coalesce(EXISTS (SELECT 1 FROM x WHERE x.date = f.date AND (x.acquisition IS NULL OR x.acquisition = f.acquisition)), false) AS excluded FROM f""",
+    "feret_summary": f"""WITH {VOX}, o AS (SELECT block, t AS time, label, max(z) - min(z) + 1 AS z, max(y) - min(y) + 1 AS y, max(x) - min(x) + 1 AS x FROM vox GROUP BY ALL), p AS (SELECT *, greatest(z, y, x) AS a, least(z, y, x) AS b FROM o)
+SELECT block, label, count(*) AS n, round(avg(a), 6) AS feret_max_mean, median(a)::DOUBLE AS feret_max_median, max(a) AS feret_max_max, arg_max(a, time) - arg_min(a, time) AS feret_max_change, round(avg(b), 6) AS feret_min_mean, median(b)::DOUBLE AS feret_min_median, max(b) AS feret_min_max, arg_max(b, time) - arg_min(b, time) AS feret_min_change FROM p GROUP BY block, label""",
+    "subject_medians": f"""WITH {FISH}, l AS (SELECT feature, quantile_cont(value, 0.01) AS low, quantile_cont(value, 0.99) AS high FROM feat GROUP BY feature), m AS (SELECT fish, feature, count(value) AS n, median(value) AS median, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM feat GROUP BY ALL)
+SELECT fish, feature, n, round(median, 5) AS median, round(iqr, 5) AS iqr, round(low, 5) AS low, round(high, 5) AS high FROM m JOIN l USING (feature)""",
+    "group_separation": """WITH p AS (SELECT c_nationkey AS k, CASE WHEN c_nationkey % 3 = 0 THEN 'MUT' ELSE 'WT' END AS g, avg(c_acctbal) / 1000 AS x, stddev_pop(c_acctbal) / 1000 AS y FROM customer GROUP BY c_nationkey), c AS (SELECT g, avg(x) AS mx, avg(y) AS my FROM p GROUP BY g),
+w AS (SELECT avg(s) AS within FROM (SELECT g, avg(sqrt((x - mx) ** 2 + (y - my) ** 2)) AS s FROM p JOIN c USING (g) GROUP BY g)), b AS (SELECT sqrt((m.mx - n.mx) ** 2 + (m.my - n.my) ** 2) AS between FROM c m JOIN c n ON m.g = 'MUT' AND n.g = 'WT'),
+d AS (SELECT a.k, avg(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) FILTER (a.g = b.g) AS own, avg(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) FILTER (a.g <> b.g) AS other FROM p a JOIN p b ON a.k <> b.k GROUP BY a.k)
+SELECT round(any_value(between), 5) AS between, round(any_value(within), 5) AS within, round(any_value(between / within), 5) AS ratio, round(avg(CASE WHEN own IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END), 5) AS silhouette FROM d, w, b""".replace(" AS between", ' AS "between"').replace("(between", '("between"').replace("any_value(between", 'any_value("between"'),
+    "frozen_projection": f"""WITH {CQ._GAPPY}, m AS (SELECT feature, median(value) AS med FROM gap WHERE subject % 2 = 0 GROUP BY feature), f AS (SELECT subject, feature, coalesce(value, med) AS v FROM gap JOIN m USING (feature)), s AS (SELECT feature, avg(v) AS mean, stddev_pop(v) AS sd FROM f WHERE subject % 2 = 0 GROUP BY feature),
+l AS (SELECT axis, feature, (length(feature) % 5 - 2) / (axis * 2.0::DOUBLE) AS w FROM (SELECT DISTINCT feature FROM gap), (SELECT unnest([1, 2]) AS axis))
+SELECT subject, axis, round(sum(CASE WHEN sd > 0 THEN (v - mean) / sd ELSE 0 END * w), 5) + 0 AS score FROM f JOIN s USING (feature) JOIN l USING (feature) GROUP BY subject, axis""",
 }
