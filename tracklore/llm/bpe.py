@@ -136,6 +136,8 @@ class Encoder:
     """
 
     def __init__(self, tokens: list[bytes], added: dict[bytes, int] | None = None):
+        if len(tokens) > 1 << 16:
+            raise ValueError(f"{len(tokens)} tokens: two ranks must fit 32 bits")
         self.tokens, self.added = tokens, added or {}
         self.literal = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         rank = {t: i for i, t in enumerate(tokens)}
