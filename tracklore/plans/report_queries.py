@@ -138,10 +138,10 @@ QUERIES = {
     "block_audit": lambda spark, sf: P.block_audit(table(spark, sf, "supplier"), "s_suppkey", {"balance is negative": F.col("s_acctbal") >= 0, "nation is missing": F.col("s_nationkey") > 2}, F.col("s_suppkey") % 7 == 0),
     "first_ground_truth": lambda spark, sf: rounded(P.first_of_each(table(spark, sf, "events").select("user_id", "event_type", F.when(F.col("event_id") % 6 != 0, F.col("value")).alias("y"), "event_id"), ["user_id", "event_type"], [F.col("event_id")], ["y"])),
     "fold_filter": lambda spark, sf: P.fold_filter(_folds(spark, sf), "fold", 0.3, 0.85, ["balance", "balance_again", "nation", "same", "sparse"]),
-    "z_range_summary": lambda spark, sf: rounded(P.distribution(T.summary(big_detections(spark, sf)).withColumn("z_range", F.col("z_range") + F.col("mean_volume") / 100), "z_range"), 5),
-    "group_distributions": lambda spark, sf: rounded(P.distribution(_morph(spark, sf), "centroid_x", "condition", "genotype"), 5),
+    "z_range_summary": lambda spark, sf: rounded(P.distribution(T.summary(big_detections(spark, sf)).withColumn("z_range", F.col("z_range") + F.col("mean_volume") / 100), "z_range"), 7),
+    "group_distributions": lambda spark, sf: rounded(P.distribution(_morph(spark, sf), "centroid_x", "condition", "genotype"), 7),
     "volume_histogram": lambda spark, sf: rounded(P.histogram(T.summary(big_detections(spark, sf)), "duration", 10, 0.995)),
-    "start_and_end_shapes": lambda spark, sf: rounded(P.start_and_end(_morph(spark, sf), ["volume_voxels", "centroid_x"], "genotype"), 5),
+    "start_and_end_shapes": lambda spark, sf: rounded(P.start_and_end(_morph(spark, sf), ["volume_voxels", "centroid_x"], "genotype"), 7),
     "retained_tracks": lambda spark, sf: P.retained(big_detections(spark, sf).where("track_id % 2 = 0 AND block_name % 4 <> 1"), subjects(spark, sf)),
     "top_variance": lambda spark, sf: rounded(P.top_variance(fish_features(spark, sf), 2, fish_features(spark, sf).where("feature = 'scaled'").select("feature").distinct()), 4),
     "spread_frames": lambda spark, sf: P.spread(block_frames(spark, sf).select("block_name", "time"), ["block_name"], "time", 2, 1),
@@ -186,7 +186,7 @@ _EXC = _SM + """, ex AS (SELECT block_name, track_id, step_spike AND NOT volume_
   concat_ws(';', CASE WHEN high_volume_cv THEN 'high_volume_cv' END, CASE WHEN intensity_jump THEN 'intensity_jump' END, CASE WHEN volume_jump AND step_spike THEN 'volume_jump_with_step_spike' END) AS exclusion_reason,
   concat_ws(';', CASE WHEN volume_jump THEN 'volume_jump' END, CASE WHEN high_volume_cv THEN 'high_volume_cv' END, CASE WHEN intensity_jump THEN 'intensity_jump' END) AS strict_reason FROM h)"""
 _ANG = lambda a, b: f"sqrt(avg(sin(CASE WHEN d{a} <> 0 OR d{b} <> 0 THEN atan2(d{b}, d{a}) END)) ** 2 + avg(cos(CASE WHEN d{a} <> 0 OR d{b} <> 0 THEN atan2(d{b}, d{a}) END)) ** 2) AS {a}{b}, atan2(avg(sin(CASE WHEN d{a} <> 0 OR d{b} <> 0 THEN atan2(d{b}, d{a}) END)), avg(cos(CASE WHEN d{a} <> 0 OR d{b} <> 0 THEN atan2(d{b}, d{a}) END))) AS m{a}{b}"
-_DIST = lambda v, t, *g: f"SELECT {''.join(c + ', ' for c in g)}count({v}) AS n, round(avg({v}), 5) AS mean, round(quantile_cont({v}, 0.25), 5) AS q25, round(median({v}), 5) AS median, round(quantile_cont({v}, 0.75), 5) AS q75, round(quantile_cont({v}, 0.9), 5) AS q90 FROM {t}{' GROUP BY ALL' if g else ''}"
+_DIST = lambda v, t, *g: f"SELECT {''.join(c + ', ' for c in g)}count({v}) AS n, round(avg({v}), 7) AS mean, round(quantile_cont({v}, 0.25), 7) AS q25, round(median({v}), 7) AS median, round(quantile_cont({v}, 0.75), 7) AS q75, round(quantile_cont({v}, 0.9), 7) AS q90 FROM {t}{' GROUP BY ALL' if g else ''}"
 _OVER = lambda v: f"round(avg({v}), 5) AS {v}_mean, round(median({v}), 5) AS {v}_median, round(stddev_pop({v}), 5) AS {v}_sd, round(CASE WHEN avg({v}) <> 0 THEN stddev_pop({v}) / avg({v}) END, 5) + 0 AS {v}_cv, round(arg_max({v}, time) - arg_min({v}, time), 5) + 0 AS {v}_change, round(CASE WHEN count(*) > 1 THEN regr_slope({v}, time) END, 5) + 0 AS {v}_slope"
 _PICK = lambda texts: "[" + ", ".join(f"'{t}'" for t in texts) + f"][o_orderkey % {len(texts)} + 1]"
 _EFF = lambda v, n: f"(SELECT feature, 2 * (sum(r) FILTER (genotype = 'MUT') - count(*) FILTER (genotype = 'MUT') * (count(*) FILTER (genotype = 'MUT') + 1) / 2) / (count(*) FILTER (genotype = 'MUT') * count(*) FILTER (genotype = 'WT')) - 1 AS {n} FROM (SELECT *, rank() OVER (PARTITION BY feature ORDER BY {v}) + (count(*) OVER (PARTITION BY feature, {v}) - 1) / 2.0 AS r FROM sf WHERE {v} IS NOT NULL) GROUP BY feature)"
@@ -254,7 +254,7 @@ SELECT s_suppkey, CASE WHEN s THEN 'skipped' WHEN e IS NOT NULL THEN 'failed' EL
     "volume_histogram": f"""WITH {BIG}, d AS (SELECT max(time) - min(time) + 1 AS d FROM big GROUP BY block_name, track_id), l AS (SELECT min(d) AS lo, quantile_cont(d, 0.995) AS hi FROM d),
 b AS (SELECT least(floor((d - lo) / ((hi - lo) / 10)), 9)::INT AS bin, (hi - lo) / 10 AS w FROM d, l WHERE d BETWEEN lo AND hi) SELECT bin, count(*) AS n, round(count(*) / sum(count(*)) OVER () / any_value(w), 6) AS density FROM b GROUP BY bin""",
     "start_and_end_shapes": f"""WITH {_MORPH}, e AS (SELECT genotype, block_name, track_id, arg_min(volume_voxels, time) AS a, arg_max(volume_voxels, time) AS b, arg_min(centroid_x, time) AS c, arg_max(centroid_x, time) AS d FROM mo GROUP BY ALL)
-SELECT genotype, count(*) AS n_tracks, round(median(a), 5) AS start_volume_voxels, round(median(b), 5) AS end_volume_voxels, round(median(c), 5) AS start_centroid_x, round(median(d), 5) AS end_centroid_x FROM e GROUP BY genotype""",
+SELECT genotype, count(*) AS n_tracks, round(median(a), 7) AS start_volume_voxels, round(median(b), 7) AS end_volume_voxels, round(median(c), 7) AS start_centroid_x, round(median(d), 7) AS end_centroid_x FROM e GROUP BY genotype""",
     "retained_tracks": f"WITH {BIG}, {META}, n AS (SELECT block_name, count(DISTINCT track_id) AS n FROM big WHERE track_id % 2 = 0 AND block_name % 4 <> 1 GROUP BY block_name) SELECT block_name, time_interval_seconds, coalesce(n, 0) AS n_tracks FROM meta LEFT JOIN n USING (block_name)",
     "top_variance": f"WITH {FISH} SELECT feature, round(var_samp(value), 4) AS variance FROM feat WHERE feature <> 'scaled' GROUP BY feature ORDER BY variance DESC, feature LIMIT 2",
     "spread_frames": f"""WITH {FRM}, i AS (SELECT block_name, time, row_number() OVER (PARTITION BY block_name ORDER BY time) - 2 AS i, count(*) OVER (PARTITION BY block_name) - 2 AS n FROM frm), j AS (SELECT *, CASE WHEN i < floor(n / 3) THEN 0 WHEN i < floor(n * 2 / 3) THEN 1 ELSE 2 END AS third FROM i WHERE i >= 0 AND i < n)
