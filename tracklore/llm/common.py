@@ -120,7 +120,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     else:
         e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = e.join(least.hint("merge"), "u")
+    joined = sized_join(e, least, ["u"], 16)
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
