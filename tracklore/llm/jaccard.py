@@ -25,7 +25,7 @@ SHORT = 6
 SETS = "doc_id long, n_shingles long, k1 long, k2 long"
 HOT = "h long, n long"
 #: Pairs that one copy of a document's set is met with, and rows of a long column in one tile of its product.
-PAIRS, TILE = 1_000, 2_048
+PAIRS, TILE = 1_000, 512
 #: Tiles that short ones of the long columns share, for each block of columns.
 SHARED = 32
 #: Rounds in which a long column ties its documents to one of them, before all its pairs between components are tried.
