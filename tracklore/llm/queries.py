@@ -13,6 +13,7 @@ from tracklore.llm.hnsw import near_vectors
 from tracklore.llm.jaccard import jaccard_groups
 from tracklore.llm.language import language_id, page_fields
 from tracklore.llm.packing import pack_documents
+from tracklore.llm.periodic import periodic_runs, run_digests, with_periodic_tails
 from tracklore.llm.quality_model import quality_scores
 from tracklore.llm.quality_rules import quality_rules
 from tracklore.llm.sharding import shard
@@ -63,6 +64,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "toxic")).drop("features")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_periodic_tails(read_table(spark, sf_dir, "documents", "doc_id", "text")), least=12, whole=False))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -129,5 +135,23 @@ m AS (SELECT w.doc_id, len(a) AS n_words, length(array_to_string(a, '')) AS word
   FROM w LEFT JOIN u ON u.doc_id = w.doc_id LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN x ON x.doc_id = w.doc_id)
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * boilerplate_words <= n_words AND n_words - boilerplate_words >= 50 AS kept FROM m
+""",
+    "op12_periodic_runs": r"""
+WITH c AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  xor(4294967295, list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END)) AS h FROM documents),
+g AS (SELECT *, len(w) AS n, h // 10 AS g, (h // 10) % greatest(len(w), 1) AS a FROM c),
+t AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM g),
+x AS (SELECT doc_id, unnest(w) AS v, unnest(range(n)) AS i FROM t),
+p AS (SELECT x.doc_id, y.i - x.i AS d, x.i FROM x JOIN x y ON x.doc_id = y.doc_id AND x.v = y.v AND x.i < y.i),
+l AS (SELECT doc_id, d, min(i) AS s, count(*) AS c FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, d ORDER BY i) AS k FROM p) GROUP BY doc_id, d, k),
+r AS (SELECT doc_id, s, c + d AS length, min(d) AS q FROM l WHERE c >= greatest(12 - d, d) GROUP BY doc_id, s, c + d),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, s, q) = 1),
+f AS (SELECT doc_id, count(*) AS n, string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q) AS f FROM r GROUP BY doc_id),
+o AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + length)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(v, ' ' ORDER BY i) AS k FROM x ANTI JOIN o USING (doc_id, i) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(f.n, 0) AS n_runs, b.s AS start, b.length, b.q AS period, 1000 * b.length // b.q AS exponent_milli,
+  sha256(coalesce(f.f, '')) AS runs_sha256, sha256(coalesce(k.k, '')) AS collapsed_sha256
+FROM t LEFT JOIN b ON b.doc_id = t.doc_id LEFT JOIN f ON f.doc_id = t.doc_id LEFT JOIN k ON k.doc_id = t.doc_id
 """,
 }
