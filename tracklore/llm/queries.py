@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracklore.llm.bpe import bpe_round_trip
 from tracklore.llm.common import read_table
+from tracklore.llm.fingerprint import edited_and_next
 from tracklore.llm.hnsw import near_vectors
 from tracklore.llm.jaccard import jaccard_groups
 from tracklore.llm.language import language_id, page_fields
@@ -68,6 +69,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(with_periodic_tails(read_table(spark, sf_dir, "documents", "doc_id", "text")), least=12, whole=False))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_and_next(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {
