@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracklore.llm.bpe import bpe_round_trip
 from tracklore.llm.common import read_table
@@ -13,6 +14,7 @@ from tracklore.llm.fingerprint import edited_and_next
 from tracklore.llm.hnsw import near_vectors
 from tracklore.llm.jaccard import jaccard_groups
 from tracklore.llm.language import language_id, page_fields
+from tracklore.llm.negatives import hard_negatives
 from tracklore.llm.packing import pack_documents
 from tracklore.llm.periodic import periodic_runs, run_digests, with_periodic_tails
 from tracklore.llm.quality_model import quality_scores
@@ -65,6 +67,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "toxic")).drop("features")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", label).withColumn("anchor", F.col("vec_id") % 50 == 0), scale=256.0, positives=5, negatives=3, low=50, high=95)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(with_periodic_tails(read_table(spark, sf_dir, "documents", "doc_id", "text")), least=12, whole=False))
 
@@ -84,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_fingerprints": op13_fingerprints,
 }
@@ -141,6 +150,17 @@ m AS (SELECT w.doc_id, len(a) AS n_words, length(array_to_string(a, '')) AS word
   FROM w LEFT JOIN u ON u.doc_id = w.doc_id LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN x ON x.doc_id = w.doc_id)
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * boilerplate_words <= n_words AND n_words - boilerplate_words >= 50 AS kept FROM m
+""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, v.vec_id AS b, a.label = v.label AS same, list_inner_product(a.e, v.e)::BIGINT AS score
+  FROM v a JOIN v ON a.vec_id <> v.vec_id AND len(a.e) = len(v.e) WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (SELECT p.a, p.b, p.score AS p, s.b AS n, s.score, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS r
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT a AS anchor_id, b AS positive_id, r::INTEGER AS rank, n AS negative_id, p AS positive_score, score AS negative_score FROM n WHERE r <= 3
 """,
     "op12_periodic_runs": r"""
 WITH c AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
