@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 #: Texts that count as true for each flag reader; fixed values.
 TRUE_WORDS = {"plain": ("true", "1", "yes", "y"), "with_t": ("true", "1", "yes", "y", "t")}
 #: Texts that name the two groups exactly; fixed values.
-WILD_TYPE_WORDS = ("wt", "wildtype", "wild-type", "wild type", "+/+")
-MUTANT_WORDS = ("mut", "mutant", "homo", "hom", "-/-")
+WILD_TYPE_WORDS = ("wt", "wildtype", "wild_type", "control")
+MUTANT_WORDS = ("mut", "mutant", "tert", "tert_mutant", "tert-/ -", "tert-/-")
+#: Patterns that name the two groups within a text in upper case, and within one in lower case; fixed values.
+WILD_TYPE_PATTERN, MUTANT_PATTERN = r"(^|[^A-Z])WT([^A-Z]|$)|WILD TYPE", r"MUT"
+WILD_TYPE_IN_NAME, MUTANT_IN_NAME = r"(?U)\bwt\b|wildtype|wild_type", r"(?U)\bmut\b|mutant|tert"
 #: Scale of the median absolute deviation to a standard deviation: fixed value.
 MAD_SCALE = 1.4826
 
@@ -22,11 +25,32 @@ def number(c: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
-def parse_bool(c: Column, words: str = "plain", positive_only: bool = False) -> Column:
-    """A flag from text, number or boolean; null and unknown text are false."""
-    x = c.cast("string").try_cast("double")
+def parse_bool(c: Column, words: str = "plain", positive_only: bool = False, numbers: bool = True) -> Column:
+    """A flag from text, number or boolean; null and unknown text are false.
+
+    With numbers, text that is a number is true unless zero, or if positive; without, only the words are true, so that
+    2 and 1.0 as text are false.
+    """
+    text = c.cast("string")
+    word = F.lower(F.trim(text)).isin(*TRUE_WORDS[words])
+    if not numbers:
+        return F.coalesce(word, F.lit(False))
+    x = text.try_cast("double")
     truthy = x > 0 if positive_only else x != 0
-    return F.coalesce(F.when(x.isNotNull(), truthy), F.lower(F.trim(c.cast("string"))).isin(*TRUE_WORDS[words]), F.lit(False))
+    return F.coalesce(F.when(x.isNotNull() & ~F.isnan(x), truthy), word, F.lit(False))
+
+
+def column_flags(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with a flag read as the whole column suggests: if any of its texts is a number, positive numbers are true and
+    all else is false; if none is, the plain words are, as they stand but for case."""
+    text = F.col(column).cast("string")
+    x = number(text)
+    if df.agg(F.bool_or(x.isNotNull() | text.try_cast("double").isin(float("inf"), float("-inf")))).first()[0]:
+        flag = text.try_cast("double") > 0
+        flag = flag & ~F.isnan(text.try_cast("double"))
+    else:
+        flag = F.lower(text).isin(*TRUE_WORDS["plain"])
+    return df.withColumn(name, F.coalesce(flag, F.lit(False)))
 
 
 def normalise_id(c: Column) -> Column:
@@ -37,14 +61,30 @@ def normalise_id(c: Column) -> Column:
 
 
 def group_name(c: Column, rule: str = "wild_type_first") -> Column:
-    """WT or MUT from free text: by pattern in either order, or by exact words."""
-    text = F.lower(F.trim(c))
-    wild, mutant = text.rlike(r"wt|wild"), text.rlike(r"mut|hom|ko")
+    """WT or MUT from free text, which stays as it is where neither is found; null stays null.
+
+    By pattern: WT between other signs than letters or WILD TYPE, and MUT anywhere, in either order; or by exact words.
+    """
+    text = F.trim(c)
     if rule == "exact":
-        return F.when(text.isin(*WILD_TYPE_WORDS), "WT").when(text.isin(*MUTANT_WORDS), "MUT").otherwise(F.upper(F.trim(c)))
+        word = F.lower(text)
+        return F.when(word.isin(*WILD_TYPE_WORDS), "WT").when(word.isin(*MUTANT_WORDS), "MUT").otherwise(text)
+    wild, mutant = F.upper(text).rlike(WILD_TYPE_PATTERN), F.upper(text).rlike(MUTANT_PATTERN)
     if rule == "mutant_first":
-        return F.when(mutant, "MUT").when(wild, "WT").otherwise(F.upper(F.trim(c)))
-    return F.when(wild, "WT").when(mutant, "MUT").otherwise(F.upper(F.trim(c)))
+        return F.when(mutant, "MUT").when(wild, "WT").otherwise(c)
+    return F.when(wild, "WT").when(mutant, "MUT").otherwise(text)
+
+
+def group_in_name(c: Column) -> Column:
+    """WT or MUT that a file name or other text tells, else null."""
+    text = F.lower(c)
+    return F.when(text.rlike(WILD_TYPE_IN_NAME), "WT").when(text.rlike(MUTANT_IN_NAME), "MUT")
+
+
+def safe_name(c: Column) -> Column:
+    """Text with runs of anything but word signs, hyphens and dots as one underscore, none at the ends."""
+    text = F.regexp_replace(F.regexp_replace(c, r"(?U)[^\w\-.]+", "_"), "_+", "_")
+    return F.regexp_replace(text, "^_+|_+$", "")
 
 
 def track_key(block: Column, track: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracklore.functions.scalar import middle_of, norm
+from tracklore.functions.scalar import group_in_name, middle_of, norm, safe_name
 from tracklore.operators import stats as S
 from tracklore.operators.lineage import kept, quantiles, sized
 from tracklore.operators.tracks import KEY, by_time
@@ -367,10 +367,8 @@ def share_text(part: Column, whole: Column, digits: int = 1) -> Column:
 def name_parts(path: Column) -> dict[str, Column]:
     """Subject, safe name, date and acquisition number of a file name, and the genotype that its text tells."""
     name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[A-Za-z0-9]+$", "")
-    text = F.lower(path)
-    genotype = F.when(text.rlike(r"(^|[^a-z])(wt|wild)"), "WT").when(text.rlike(r"(^|[^a-z])(mut|hom|ko)"), "MUT")
     found = lambda p: F.nullif(F.regexp_extract(name, p, 1), F.lit(""))
-    return {"subject": found(r"(?i)(fish[_-]?\d+)"), "safe_name": F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_"), "date": found(r"(\d{8})"), "acquisition": found(r"(?i)block[_-]?(\d+)").try_cast("int"), "genotype": genotype}
+    return {"subject": found(r"(?i)(fish[_-]?\d+)"), "safe_name": safe_name(name), "date": found(r"(\d{8})"), "acquisition": found(r"(?i)block[_-]?(\d+)").try_cast("int"), "genotype": group_in_name(path)}
 
 
 def metadata_template(files: DataFrame, block: str) -> DataFrame:

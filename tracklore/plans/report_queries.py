@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracklore.functions.scalar import group_name, normalise_id, number, parse_bool, rounded
+from tracklore.functions.scalar import column_flags, group_in_name, group_name, normalise_id, number, parse_bool, rounded, safe_name
 from tracklore.operators import regions as G
 from tracklore.operators import reports as P
 from tracklore.operators import tracks as T
@@ -102,9 +102,12 @@ def _odd_scalars(spark, sf):
     """Texts that reach every branch of the readers, one for each order."""
     o = table(spark, sf, "orders")
     pick = lambda texts: F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("o_orderkey") % len(texts) + 1).cast("int"))
-    flag, num = pick(["True", " yes ", "Y", "0", "1.0", "-2", "t", "no", ""]), pick(["12.5", "abc", "NaN", "inf", "-3", " 7 ", ""])
-    group, id_ = pick(["WT", "wild-type", "Mutant", "hom", "KO line", " het ", "+/+"]), pick(["91", "91.0", " 91 ", "a7", "0.5", "-3.0"])
-    return o.select("o_orderkey", parse_bool(flag).alias("flag"), parse_bool(flag, words="with_t").alias("flag_t"), parse_bool(flag, positive_only=True).alias("positive"), number(num).alias("number"), normalise_id(id_).alias("id"), group_name(group).alias("group"), group_name(group, "mutant_first").alias("group_m"), group_name(group, "exact").alias("group_e"))
+    flag, num = pick(["True", " yes ", "Y", "0", "1.0", "-2", "t", "no", "", "2", "1", "NaN"]), pick(["12.5", "abc", "NaN", "inf", "-3", " 7 ", ""])
+    group, id_ = pick(["WT", "wild type 2", "Mutant", "growth", "control", "TERT", "Unknown", " het ", "tert-/-", "wild-type", "Line WT-MUT", "wt_1 wildtype"]), pick(["91", "91.0", " 91 ", "a7", "0.5", "-3.0"])
+    o = column_flags(column_flags(o.withColumns({"_n": flag, "_w": pick(["True", " yes ", "Y", "t", "no"])}), "_n", "by_numbers"), "_w", "by_words")
+    flags = {"flag": parse_bool(flag), "words_only": parse_bool(flag, numbers=False), "words_t": parse_bool(flag, "with_t", numbers=False), "flag_t": parse_bool(flag, "with_t"), "positive": parse_bool(flag, positive_only=True)}
+    groups = {"group": group_name(group), "group_m": group_name(group, "mutant_first"), "group_e": group_name(group, "exact"), "group_in_name": group_in_name(group), "safe_name": safe_name(F.concat(F.lit("  "), group, F.lit("&& x.1_")))}
+    return o.select("o_orderkey", "by_numbers", "by_words", number(num).alias("number"), normalise_id(id_).alias("id"), *[c.alias(n) for n, c in (flags | groups).items()])
 
 
 QUERIES = {
@@ -197,6 +200,8 @@ c AS (SELECT *, sum(n) OVER w AS cw, sum(n * level) OVER w AS cm, sum(n) OVER p
 bv AS (SELECT block, level, CASE WHEN tw > cw THEN (cw * (tw - cw))::DOUBLE * (cm / cw - (tm - cm) / (tw - cw)) ** 2 ELSE -1 END AS bt FROM c),
 ot AS (SELECT block, level AS threshold FROM bv QUALIFY row_number() OVER (PARTITION BY block ORDER BY round(bt, 6) DESC, level) = 1)"""
 
+_FLAGS = lambda told: f"[{', '.join('true' if x == 'T' else 'false' for x in told)}][o_orderkey % {len(told)} + 1]"
+
 ORACLE_SQL = {
     "censored_objects": f"WITH {_OBJ} SELECT block, t, label, round(rd.y, 6) AS y, round(rd.x, 6) AS x, n, overlapping FROM rd WHERE NOT overlapping AND NOT EXISTS (SELECT 1 FROM px WHERE px.block = rd.block AND px.t = rd.t AND px.y = ry AND px.x = rx)",
     "region_states": f"WITH {_STATES} SELECT block_name, track_id, time, state FROM st",
@@ -240,9 +245,12 @@ SELECT genotype, start_state, end_state, count(*) AS n, round(count(*) / sum(cou
     "contribution_change": f"WITH {_CONTR}, g AS (SELECT feature, avg(value) FILTER (condition = 'untreated') AS b, avg(value) FILTER (condition = 'treated') AS a FROM co GROUP BY feature) SELECT feature, round(b, 5) AS before, round(a, 5) AS after, round(a - b, 5) + 0 AS change FROM g",
     "signal_change": f"""WITH {_CONTR}, g AS (SELECT feature, avg(value) FILTER (condition = 'untreated' AND genotype = 'MUT') - avg(value) FILTER (condition = 'untreated' AND genotype = 'WT') AS b, avg(value) FILTER (condition = 'treated' AND genotype = 'MUT') - avg(value) FILTER (condition = 'treated' AND genotype = 'WT') AS a FROM co GROUP BY feature)
 SELECT feature, round(b, 5) + 0 AS before, round(a, 5) + 0 AS after, round(abs(a) - abs(b), 5) + 0 AS change, CASE WHEN abs(a) > abs(b) THEN 'clearer' WHEN abs(a) < abs(b) THEN 'fuzzier' ELSE 'unchanged' END AS signal FROM g""",
-    "nearest_other": f"""WITH {BIG}, d AS (SELECT p.track_id AS gt_id, p.block_name, p.time, q.track_id AS other, sqrt((p.centroid_y - q.centroid_y) ** 2 + (p.centroid_x - q.centroid_x) ** 2) AS distance FROM big p JOIN big q ON p.block_name = q.block_name AND p.time = q.time AND p.track_id <> q.track_id),
-b AS (SELECT * FROM d WHERE distance <= 6 QUALIFY row_number() OVER (PARTITION BY gt_id, block_name, time ORDER BY distance, other) = 1)
-SELECT big.track_id AS gt_id, big.block_name, big.time, other, round(distance, 6) AS distance FROM big LEFT JOIN b ON b.gt_id = big.track_id AND b.block_name = big.block_name AND b.time = big.time""",
+    "nearest_other": f"""WITH {BIG.replace("big AS (", "big AS MATERIALIZED (")},
+p AS MATERIALIZED (SELECT *, floor(centroid_y / 6) + a AS cy, floor(centroid_x / 6) + b AS cx FROM big, (VALUES (-1), (0), (1)) u(a), (VALUES (-1), (0), (1)) v(b)),
+q AS MATERIALIZED (SELECT block_name, time, track_id AS other, centroid_y AS oy, centroid_x AS ox, floor(centroid_y / 6) AS cy, floor(centroid_x / 6) AS cx FROM big),
+d AS (SELECT track_id, block_name, time, other, sqrt((centroid_y - oy) ** 2 + (centroid_x - ox) ** 2) AS d FROM p JOIN q USING (block_name, time, cy, cx) WHERE track_id <> other),
+m AS (SELECT track_id, block_name, time, min({{'d': d, 'other': other}}) FILTER (d IS NOT NULL) AS m FROM (SELECT * FROM d WHERE d <= 6 UNION ALL SELECT track_id, block_name, time, NULL, NULL FROM big) GROUP BY track_id, block_name, time)
+SELECT track_id AS gt_id, block_name, time, m.other AS other, round(m.d, 6) AS distance FROM m""",
     "feature_availability": """SELECT 'c_acctbal' AS feature, 'present' AS status, count(c_acctbal) AS n_nonmissing, count(DISTINCT c_acctbal) AS n_unique FROM customer UNION ALL SELECT 'gappy', 'present', count(c_acctbal) FILTER (c_custkey % 4 <> 0), count(DISTINCT c_acctbal) FILTER (c_custkey % 4 <> 0) FROM customer
 UNION ALL SELECT 'balance', 'derived', count(c_acctbal), count(DISTINCT c_acctbal) FROM customer UNION ALL SELECT 'speed', 'missing', 0, 0""",
     "block_audit": """WITH e AS (SELECT s_suppkey, s_suppkey % 7 = 0 AS s, CASE WHEN s_acctbal < 0 THEN 'balance is negative' WHEN s_nationkey <= 2 THEN 'nation is missing' END AS e FROM supplier)
@@ -270,8 +278,11 @@ SELECT "column", count(*) AS n, count(k.l) AS matched, round(count(k.l) / count(
     "file_name_parts": """SELECT p_partkey, 'Fish_' || p_size AS subject, 'Fish_' || p_size || '_2024' || lpad((p_partkey % 12 + 1)::VARCHAR, 2, '0') || lpad((p_partkey % 28 + 1)::VARCHAR, 2, '0') || '_block' || p_partkey % 9 AS safe_name,
   '2024' || lpad((p_partkey % 12 + 1)::VARCHAR, 2, '0') || lpad((p_partkey % 28 + 1)::VARCHAR, 2, '0') AS date, (p_partkey % 9)::INT AS acquisition, CASE p_partkey % 3 WHEN 0 THEN 'WT' WHEN 1 THEN 'MUT' END AS genotype FROM part""",
     "metadata_template": "SELECT DISTINCT p_brand, NULL::VARCHAR AS genotype, NULL::VARCHAR AS fish_id FROM part",
-    "odd_scalars": f"""SELECT o_orderkey, [true, true, true, false, true, true, false, false, false][o_orderkey % 9 + 1] AS flag, [true, true, true, false, true, true, true, false, false][o_orderkey % 9 + 1] AS flag_t, [true, true, true, false, true, false, false, false, false][o_orderkey % 9 + 1] AS positive,
-  [12.5, NULL, NULL, NULL, -3, 7, NULL][o_orderkey % 7 + 1]::DOUBLE AS number, {_PICK(["91", "91", "91", "a7", "0.5", "-3"]).replace("o_orderkey", "o_orderkey")} AS id, {_PICK(["WT", "WT", "MUT", "MUT", "MUT", "HET", "+/+"])} AS "group", {_PICK(["WT", "WT", "MUT", "MUT", "MUT", "HET", "+/+"])} AS group_m, {_PICK(["WT", "WT", "MUT", "MUT", "KO LINE", "HET", "WT"])} AS group_e FROM orders""",
+    "odd_scalars": f"""SELECT o_orderkey, {_FLAGS("TTTFTTFFFTTF")} AS flag, {_FLAGS("TTTFFFFFFFTF")} AS words_only, {_FLAGS("TTTFFFTFFFTF")} AS words_t, {_FLAGS("TTTFTTTFFTTF")} AS flag_t, {_FLAGS("TTTFTFFFFTTF")} AS positive, {_FLAGS("FFFFTFFFFTTF")} AS by_numbers, {_FLAGS("TFTFF")} AS by_words,
+  [12.5, NULL, NULL, NULL, -3, 7, NULL][o_orderkey % 7 + 1]::DOUBLE AS number, {_PICK(["91", "91", "91", "a7", "0.5", "-3"])} AS id, {_PICK(["WT", "WT", "MUT", "growth", "control", "TERT", "Unknown", "het", "tert-/-", "wild-type", "WT", "WT"])} AS "group",
+  {_PICK(["WT", "WT", "MUT", "growth", "control", "TERT", "Unknown", " het ", "tert-/-", "wild-type", "MUT", "WT"])} AS group_m, {_PICK(["WT", "wild type 2", "MUT", "growth", "WT", "MUT", "Unknown", "het", "MUT", "wild-type", "Line WT-MUT", "wt_1 wildtype"])} AS group_e,
+  list_extract(['WT', NULL, 'MUT', NULL, NULL, 'MUT', NULL, NULL, 'MUT', NULL, 'WT', 'WT'], (o_orderkey % 12 + 1)::INT) AS group_in_name,
+  {_PICK(["WT_x.1", "wild_type_2_x.1", "Mutant_x.1", "growth_x.1", "control_x.1", "TERT_x.1", "Unknown_x.1", "het_x.1", "tert-_-_x.1", "wild-type_x.1", "Line_WT-MUT_x.1", "wt_1_wildtype_x.1"])} AS safe_name FROM orders""",
     "chosen_values": "SELECT round(avg(l_tax), 6) AS l_tax, round(avg(l_discount), 6) AS l_discount, round(avg(l_linenumber), 6) AS l_linenumber, round(avg(l_quantity), 6) AS l_quantity FROM lineitem",
     "file_inventory": """WITH f AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN 'data/x.tif' ELSE 'data/' || ['WT', 'mut', 'other'][p_partkey % 3 + 1] || '/Fish_' || p_size || ' 2024' || lpad((p_partkey % 12 + 1)::VARCHAR, 2, '0') || lpad((p_partkey % 28 + 1)::VARCHAR, 2, '0') || '_block' || p_partkey % 9 || '.tif' END AS path,
   CASE WHEN p_partkey % 10 > 0 THEN '2024' || lpad((p_partkey % 12 + 1)::VARCHAR, 2, '0') || lpad((p_partkey % 28 + 1)::VARCHAR, 2, '0') END AS date, CASE WHEN p_partkey % 10 > 0 THEN (p_partkey % 9)::INT END AS acquisition FROM part),

@@ -40,11 +40,14 @@ def _points(spark, sf):
     return p, d.select("block_name", "time", "row_id", F.col("centroid_y").alias("y"), F.col("centroid_x").alias("x"))
 
 
-_POINTS = BIG + """, pt AS (SELECT track_id AS gt_id, block_name, time, centroid_y + track_id % 3 AS y, centroid_x + 1.5 AS x FROM big WHERE track_id % 7 = 0),
-ds AS (SELECT pt.gt_id, pt.block_name, pt.time, track_id AS row_id, sqrt((centroid_y - y) ** 2 + (centroid_x - x) ** 2) AS d FROM pt JOIN big ON pt.block_name = big.block_name AND pt.time = big.time),
-rk AS (SELECT *, row_number() OVER w AS k, lead(d) OVER w AS s FROM ds WHERE d <= 6 WINDOW w AS (PARTITION BY gt_id, block_name, time ORDER BY d, row_id)),
-bm AS (SELECT *, count(*) OVER (PARTITION BY block_name, time, row_id) > 1 AS ambiguous FROM rk WHERE k = 1),
-mt AS (SELECT pt.gt_id, pt.block_name, pt.time, row_id, d AS distance, s AS second_distance, s - d AS margin, ambiguous FROM pt LEFT JOIN bm ON bm.gt_id = pt.gt_id AND bm.block_name = pt.block_name AND bm.time = pt.time)"""
+_POINTS = BIG.replace("big AS (", "big AS MATERIALIZED (") + """, pt AS (SELECT track_id AS gt_id, block_name, time, centroid_y + track_id % 3 AS y, centroid_x + 1.5 AS x FROM big WHERE track_id % 7 = 0),
+pc AS MATERIALIZED (SELECT *, floor(y / 6) + a AS cy, floor(x / 6) + b AS cx FROM pt, (VALUES (-1), (0), (1)) u(a), (VALUES (-1), (0), (1)) v(b)),
+dc AS MATERIALIZED (SELECT track_id AS row_id, block_name, time, centroid_y, centroid_x, floor(centroid_y / 6) AS cy, floor(centroid_x / 6) AS cx FROM big),
+ds AS (SELECT gt_id, block_name, time, row_id, sqrt((centroid_y - y) ** 2 + (centroid_x - x) ** 2) AS d FROM pc JOIN dc USING (block_name, time, cy, cx)),
+al AS (SELECT gt_id, block_name, time, list_sort(list({'d': d, 'row_id': row_id}) FILTER (d IS NOT NULL)) AS l
+  FROM (SELECT gt_id, block_name, time, d, row_id FROM ds WHERE d <= 6 UNION ALL SELECT gt_id, block_name, time, NULL, NULL FROM pt) GROUP BY gt_id, block_name, time),
+mt AS MATERIALIZED (SELECT gt_id, block_name, time, l[1].row_id AS row_id, l[1].d AS distance, l[2].d AS second_distance, l[2].d - l[1].d AS margin,
+  CASE WHEN l[1].row_id IS NOT NULL THEN count(*) OVER (PARTITION BY block_name, time, l[1].row_id) > 1 END AS ambiguous FROM al)"""
 
 
 def _scores(spark, sf):
