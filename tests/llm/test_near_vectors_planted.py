@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 
-from tracklore.llm.hnsw import near_vectors
+from tracklore.llm.hnsw import LINK_RECALL, Graph, near_vectors, unit
 
 
 def planted():
@@ -58,3 +58,19 @@ def test_repeated_ids_and_extreme_components(spark):
     assert sorted(r.vec_id for r in got) == [1, 2, 3, 4, 4, 4, 5, 6]
     by = {r.vec_id: r for r in got}
     assert {k: by[k].component_id for k in by} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6}
+
+
+def test_small_graphs_are_searched_and_the_audit_counts_what_searches_find():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 24))
+    v = unit(np.repeat(centres, 10, axis=0) + 0.01 * rng.normal(size=(200, 24)), 24)
+    single = v.astype(np.float32)
+    for n in (50, 200):
+        graph, own = Graph(single[:n], np.arange(n)), np.arange(n)
+        width, told = graph.width_for(single[:n], own, 0.98)
+        assert width < n and told[0] >= LINK_RECALL * told[1] and told[1] > 0
+        q, k, rest = graph.within(single[:n], own, 0.98, width)
+        links = v[:n] @ v[:n].T >= 0.98
+        np.fill_diagonal(links, False)
+        if n <= 64:
+            assert links[q, k].sum() + links[rest].sum() == links.sum() and len(rest) < n

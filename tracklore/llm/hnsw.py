@@ -15,6 +15,8 @@ from tracklore.llm.common import Scratch, components, cut, sized_join
 SHARD, SHARD_BYTES = 16_384, 1 << 25
 #: Links of a node, beam while building, first beam while searching, nodes expanded at once.
 LINKS, BUILD_BEAM, FIRST_BEAM, EXPAND = 16, 48, 64, 4
+#: First beam in a small graph, and share of a graph that the first beam may take.
+LEAST_BEAM = 8
 #: Links to a node, at least, and slots of a node for links that see to it.
 INWARD, SPARE = 3, 6
 #: Each level keeps one node in so many of the one below.
@@ -210,7 +212,12 @@ class Graph:
 
     def width_for(self, queries: np.ndarray, own: np.ndarray, least: float) -> tuple[int, list[int]]:
         """The beam that passes an audit against brute force, and what the audit counted: links found and there are, and
-        nearest others found and there are. A query's own node, where the graph holds it, counts for nothing."""
+        nearest others found and there are. A query's own node, where the graph holds it, counts for nothing.
+
+        Links are searched for as within does, so what it finds for vectors with full beams is measured, too. The first
+        beam grows with the graph, so small graphs are searched, not met with; where all queries are audited, all links
+        must be found.
+        """
         audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
         sims = queries[audit] @ self.v.T
         mine = own[audit]
@@ -218,13 +225,14 @@ class Graph:
         links, nearest = sims >= least, sims.argmax(1)
         some = np.isfinite(sims.max(1))
         links_there, near_there = int(links.sum()), int(some.sum())
-        width = FIRST_BEAM
+        wanted = LINK_RECALL if len(audit) < len(queries) else 1.0
+        width = min(FIRST_BEAM, max(LEAST_BEAM, len(self.v) // LEAST_BEAM))
         while width < len(self.v):
-            nodes, found = self.beam(queries[audit], self._entry(queries[audit]), self.levels[-1][1], width)
-            hits = (np.take_along_axis(links, np.maximum(nodes, 0), 1) & (nodes >= 0)).sum(1)
-            hits = int(np.where(found[:, -1] >= least, links.sum(1), hits).sum())  # those with full beams are met with all vectors
+            nodes, _ = self.beam(queries[audit], self._entry(queries[audit]), self.levels[-1][1], width)
             near = int(((nodes == nearest[:, None]) & some[:, None]).any(1).sum())
-            if hits >= LINK_RECALL * links_there and near >= NEAR_RECALL * near_there:
+            q, k, rest = self.within(queries[audit], mine, least, width)
+            hits = int(links[q, k].sum() + links[rest].sum())  # the rest are met with all vectors
+            if hits >= wanted * links_there and near >= NEAR_RECALL * near_there:
                 return width, [hits, links_there, near, near_there]
             width *= 2
         return width, [links_there, links_there, near_there, near_there]
