@@ -14,6 +14,8 @@ from tracklore.llm.common import cut, empty_safe, sized_join
 
 #: Cells of a language's hashed trigram profile; labelled rows of each language that it is learnt from, about, at most.
 CELLS, PROFILE_ROWS = 1 << 14, 2_000
+#: A value of lang is a language if one labelled row in so many has it: so the model has this many languages at most.
+LANGUAGE_SHARE = 1_000
 #: Weight of the text's log likelihood per trigram-ending byte, as neighbouring trigrams share evidence.
 TEMPER = 0.25
 #: Pseudo-counts that a host borrows from its suffix, a suffix from all rows, and each declared value or suffix from none.
@@ -61,15 +63,20 @@ def _profile(key: tuple, group: pa.Table) -> pa.Table:
 
 
 def profiles(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, log likelihood of each cell by language) from rows (lang, text); null languages are left out.
+    """(languages, log likelihood of each cell by language) from rows (lang, text); null languages are left out, and
+    values of fewer rows than LANGUAGE_SHARE asks for.
 
-    Each row is picked by chance, so that a language has about PROFILE_ROWS, whatever rows are alike; each batch's cells
-    are summed by language and cell, so a task holds CELLS counts of a language and the driver as many of each.
+    Texts are picked by their hash, so that a language has about PROFILE_ROWS different ones, whatever the order of rows
+    is; equal texts count once. Each batch's cells are summed by language and cell, so a task holds CELLS counts of a
+    language and the driver as many of each of at most LANGUAGE_SHARE.
     """
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.lower("lang").alias("lang"), "text")
-    sizes = cut(rows.groupBy("lang").agg(F.count("*").alias("rows")))
-    spot = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30)
-    picked = sized_join(rows.withColumn("spot", spot), sizes, ["lang"], 40).where(F.col("spot") * F.col("rows") < PROFILE_ROWS).select("lang", "text")
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.lower("lang").alias("lang"), "text", F.xxhash64("text").alias("key"))
+    sizes = cut(rows.groupBy("lang", "key").agg(F.count("*").alias("copies")).groupBy("lang").agg(F.count("*").alias("texts"), F.sum("copies").alias("rows")))
+    total = sizes.agg(F.sum("rows")).first()[0] or 0
+    sizes = sizes.where(F.col("rows") * LANGUAGE_SHARE >= total).select("lang", "texts")
+    spot = F.pmod("key", F.lit(1 << 30)) / float(1 << 30)
+    picked = rows.join(F.broadcast(sizes), "lang").where(spot * F.col("texts") < PROFILE_ROWS)
+    picked = picked.groupBy("lang", "key").agg(F.min("text").alias("text")).select("lang", "text")
     cells = picked.mapInArrow(_counted, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     found = cells.groupBy("lang").applyInArrow(_profile, "lang string, counts binary").collect()
     counts = {r["lang"]: np.frombuffer(r["counts"]) for r in found}
