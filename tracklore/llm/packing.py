@@ -111,7 +111,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_i
     """Pieces of each row of docs (doc_id, text) with their places in sequences of at most capacity tokens.
 
     A document is its ids, with the vocabulary's added tokens found in its text, and the end id; one longer than capacity is cut into pieces of capacity, of which the first
-    takes what is over. Pieces are dealt by hash to groups that fill about GROUP_SEQUENCES sequences each, as many
+    takes what is over. Pieces are dealt by a hash of their row number to groups that fill about GROUP_SEQUENCES sequences each, as many
     groups as the tokens need, and each group is packed by best-fit decreasing: the longest piece first, into the open
     sequence with the least room that takes it. Null and empty texts are the end id alone. A null doc_id stays null;
     rows that repeat are packed each; other columns are ignored. An empty table gives no rows.
@@ -121,5 +121,5 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_i
     pieces = cut(docs.mapInArrow(_pieces(shared, capacity, end_id), PIECES))
     tokens = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(tokens / (capacity * GROUP_SEQUENCES)))
-    dealt = pieces.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("bin_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))  # pieces that are alike are dealt, too
     return dealt.groupBy("bin_group").applyInArrow(_pack(capacity), PACKED)
