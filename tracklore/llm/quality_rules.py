@@ -124,14 +124,18 @@ def quality_rules(docs: DataFrame, host: str = "source", whole: bool = False) ->
     in lines that the host repeats across documents, which are removed; kept is false also where less than half of the
     words are left, or under 50. Distinct texts are counted, so groups of copies do not make their own lines boilerplate; the limits
     of a line act alike in hosts of every size. Null and empty texts have
-    no words and fail. A null host is the host of its kind ''; a null doc_id stays null; rows that repeat get equal
+    no words and fail. A null host is the same host as an empty one; a null doc_id stays null; rows that repeat get equal
     results. Other columns are ignored. An empty table gives no rows.
     """
     out = _measured(docs.select("doc_id", "text", host), host)
     less = [F.col("less").alias("text")] if whole else []
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "boilerplate_words", "base_failed", "kept", *less)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "boilerplate_words", *less)
 
 
 def cleaned(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns; text is without the lines that are boilerplate."""
+    """The rows of docs that the rules keep, with all their columns; text is without the lines that are boilerplate.
+
+    Null and empty texts have no words and go; a null host is the same host as an empty one; null ids and extra columns
+    stay; rows that repeat have one verdict. An empty table gives no rows.
+    """
     return _measured(docs, host).where("kept").select(*[F.col("less").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -379,7 +379,11 @@ def substring_dedup(docs: DataFrame, length: int = 50, whole: bool = True) -> Da
 
 
 def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
-    """docs with all their columns, text less repeated windows as substring_dedup has it; texts that lose nothing stay as they are."""
+    """docs with all their columns, text less repeated windows as substring_dedup has it; texts that lose nothing stay as they are.
+
+    Null and empty texts stay; a null doc_id neither loses words nor costs others any; rows that repeat a doc_id cost
+    each other nothing; extra columns stay, whatever their names. An empty table gives no rows.
+    """
     row = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
     own = _with_copy(docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
     with Scratch(docs.sparkSession) as scratch:
