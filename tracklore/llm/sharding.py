@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracklore.llm.common import cut
+from tracklore.llm.common import cut, sized_join
 
 #: Ranges cut for each shard at first, and for each range that a boundary cuts later, with sampled keys for each range on
 #: average: they bound what the driver sees, whatever the input.
@@ -140,11 +140,8 @@ def shard(docs: DataFrame, shards: int) -> DataFrame:
     groups = max(1, round((n or 0) / NUMBERED))
     number = reduce(lambda a, b: a + b, [_reached(k).cast("int") for k in bounds], F.lit(0))
     rows = rows.withColumns({"shard": number.cast("int"), "group": F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")})
-    first, seen = [], {}
-    for s, g, count in sorted(tuple(r) for r in rows.groupBy("shard", "group").agg(F.count("*")).collect()):
-        first.append((s, g, seen.get(s, 0)))
-        seen[s] = seen.get(s, 0) + count
-    first = F.broadcast(docs.sparkSession.createDataFrame(first or [(0, 0, 0)], "shard int, group int, first long"))
+    before = W.partitionBy("shard").orderBy("group").rowsBetween(W.unboundedPreceding, -1)
+    first = rows.groupBy("shard", "group").agg(F.count("*").alias("n")).select("shard", "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     order = F.row_number().over(W.partitionBy("shard", "group").orderBy("row"))
-    out = rows.withColumn("number", order).join(first, ["shard", "group"]).withColumn("slot", F.col("first") + F.col("number") - 1)
+    out = sized_join(rows.withColumn("number", order), cut(first), ["shard", "group"], 16).withColumn("slot", F.col("first") + F.col("number") - 1)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
