@@ -275,7 +275,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, held_out:
     """(doc_id, held_out, score, predicted, features) of each row of docs (doc_id, text); labels are (doc_id, toxic).
 
     Rows whose crc32(doc_id as text) mod held_out_of is held_out are never learnt from. The lexicon comes from stems of
-    words in at most FIT_ROWS labelled rows, and so do the words that report speech. Every word of every whole text is met with it: a word that a term starts is
+    words in at most FIT_ROWS labelled rows, one a doc_id (of several texts the least), and so do the words that report speech. Every word of every whole text is met with it: a word that a term starts is
     a hit, one within an automaton's few edits of a term, or starting so, a misspelt hit; parts of a word between other
     characters than letters and digits are met too, and no word is too long; a window of WINDOW words on either side tells quoted
     hits from abuse. A logistic model on the counts gives the score. Null and empty texts have no hits and are scored
@@ -286,11 +286,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, held_out:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~key)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    labelled = cut(docs.join(F.broadcast(known), "doc_id"))
+    labelled = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    labelled = cut(labelled)
     terms = learn_terms(labelled)
     reporting = learn_reporting(labelled, terms)
     schema = "doc_id long, features array<double>"
-    fit = labelled.select("doc_id", "text").mapInArrow(_features(terms, reporting), schema).select("doc_id", F.col("features").alias("x"))
+    fit = labelled.select("doc_id", "text").mapInArrow(_features(terms, reporting), schema).select("doc_id", F.col("features").alias("x"))  # FIT_ROWS rows at most
     fit = fit.join(F.broadcast(known), "doc_id").select("x", "toxic").toPandas()
     y = fit["toxic"].to_numpy(float)
     if len(set(y)) == 2:
