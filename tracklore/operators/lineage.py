@@ -63,3 +63,39 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, fl
         part = at - F.floor(at)
         g = g.withColumn(name, F.col(f"_lo_{name}") + F.when(part > 0, part * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))).otherwise(0.0))
     return g.select(*keys, "n", *shares)
+
+
+def _tied(edges: DataFrame, large: bool) -> DataFrame:
+    """One step over edges (u, v): a node's larger neighbours, or it and its smaller ones, are tied to the least of them all."""
+    if large:
+        own = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    else:
+        own = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = own.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    joined = own.join(least.hint("merge"), "u")
+    if large:
+        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+    return out.where("u <> v").distinct()
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(u, component) for every node of the edges (u, v), both long: component is the least node that u reaches.
+
+    Nodes are tied to the least of their neighbourhood, larger and smaller ones in turn, until all are tied to their
+    component's least: as many rounds as the logarithm of the nodes, each cut by a checkpoint. Only a count and a
+    checksum of a round reach the driver.
+    """
+    edges = kept(edges.select("u", "v").distinct())
+    now, seen = edges.where("u <> v"), None
+    for _ in range(rounds):
+        now = kept(_tied(_tied(now, large=True), large=False))
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == seen:
+            break
+        seen = mark
+    else:
+        raise RuntimeError("components did not settle")
+    nodes = edges.select("u").unionAll(edges.select(F.col("v").alias("u"))).distinct()
+    return nodes.join(now.select("u", F.col("v").alias("component")).hint("merge"), "u", "left").select("u", F.coalesce("component", "u").alias("component"))
