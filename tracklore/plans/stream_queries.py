@@ -56,6 +56,47 @@ def stream_crossings(spark, sf_dir):
     return _replayed(spark, L.crossing_stream(e), "append")
 
 
+STEPS, LATE = 5, "7 days"
+
+
+def _arriving(spark, sf_dir) -> list[DataFrame]:
+    """events in the order in which they arrive: six days a step; some one step after their own, some of the first two
+    steps with the last one, which is too late; at the end one row of later days, which closes what is open."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("at"))
+    own = F.least(F.floor((F.dayofmonth("at") - 1) / 6), F.lit(STEPS - 1)).cast("int")
+    step = F.when((own <= 1) & (F.col("event_id") % 101 == 5), STEPS - 1).when(F.col("event_id") % 50 == 7, F.least(own + 1, F.lit(STEPS - 1))).otherwise(own)
+    e = e.withColumn("step", step)
+    end = e.agg(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), (F.max("at") + F.expr("INTERVAL 40 DAYS")).alias("at"))
+    return [*[e.where(F.col("step") == k).drop("step") for k in range(STEPS)], end]
+
+
+def _in_steps(spark, sf_dir, made) -> DataFrame:
+    """What a stream gives whose input grows step by step, and which is started again after each from what it kept."""
+    folder = _folder(spark)
+    steps = _arriving(spark, sf_dir)
+    for k, rows in enumerate(steps):
+        rows.write.parquet(f"{folder}/in/step={k}")
+        stream = made(spark.readStream.schema(steps[0].schema).parquet(f"{folder}/in/*"))
+        L.replay(stream, lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}"), f"{folder}/state")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows/*")
+
+
+def late_windows(spark, sf_dir):
+    return _in_steps(spark, sf_dir, lambda e: L.windowed_counts(e, "at", "event_type", "6 hours", LATE)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def late_sessions(spark, sf_dir):
+    found = _in_steps(spark, sf_dir, lambda e: L.sessions(e, "at", "user_id", "2 hours", LATE))
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+def crossing_counts(spark, sf_dir):
+    inside = lambda e: e.select(F.col("user_id").alias("track_id"), "at", F.col("event_id").alias("number"), (F.col("value") > 20).alias("inside"))
+    with L.rocks_state(spark):
+        found = _in_steps(spark, sf_dir, lambda e: L.crossing_counts(L.crossings_in_order(inside(e), LATE), "1 day"))
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 def _paths(spark, sf_dir, root):
     p = table(spark, sf_dir, "part")
     return p.select(F.concat_ws("/", F.lit(root), "p_brand", F.concat(F.lit("f"), F.col("p_partkey").cast("string"))).alias("path"), F.col("p_partkey").alias("key"), (F.col("p_size") % 3).alias("priority"))
@@ -66,6 +107,9 @@ QUERIES = {
     "event_sessions": event_sessions,
     "latest_events": latest_events,
     "stream_crossings": stream_crossings,
+    "late_windows": late_windows,
+    "late_sessions": late_sessions,
+    "crossing_counts": crossing_counts,
     "resolved_columns": lambda spark, sf: rounded(S.resolve_columns(table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("Track"), F.col("o_totalprice").alias("VOLUME")), {"track_id": ["id", "track"], "volume_voxels": ["volume", "area"], "mean_intensity": ["intensity"]}, {"mean_intensity": 0.0}, ["track_id"])),
     "unioned_sources": lambda spark, sf: rounded(S.union_sources({"supplier": table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance")), "customer": table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment")})),
     "valid_metadata": lambda spark, sf: rounded(S.validated_metadata(table(spark, sf, "orders").select(F.col("o_custkey").alias("block"), F.when(F.col("o_orderkey") % 5 == 0, "n/a").when(F.col("o_orderkey") % 7 == 0, "-3").otherwise((F.col("o_orderkey") % 50).cast("string")).alias("seconds")), "block", "seconds", strict=False)),
@@ -93,8 +137,14 @@ def _zero_based(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", (F.col("l_linenumber") - P.time_offset(rows, "l_linenumber", 7)).cast("int").alias("frame"))
 
 
+_IN_TIME = "it AS (SELECT * FROM events WHERE NOT (day(ts) <= 12 AND event_id % 101 = 5))"
 _PATH = "SELECT 'img/' || p_brand || '/f' || p_partkey AS path, p_partkey AS key FROM part"
 ORACLE_SQL = {
+    "late_windows": f"WITH {_IN_TIME} SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n FROM it GROUP BY ALL",
+    "late_sessions": f"""WITH {_IN_TIME}, g AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL '2 hours', true)::INT AS new FROM it WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT min(ts) AS start, max(ts) + INTERVAL '2 hours' AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, k""",
+    "crossing_counts": f"""WITH {_IN_TIME}, l AS (SELECT user_id, event_id, ts, value > 20 AS i, lag(value > 20) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM it), c AS (SELECT *, CASE WHEN i THEN 'entry' ELSE 'exit' END AS event FROM l WHERE i <> p),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id, event ORDER BY ts, event_id) AS total FROM c) SELECT date_trunc('day', ts)::TIMESTAMP AS start, event, count(*) AS n, max(total) AS largest_total FROM k GROUP BY ALL""",
     "event_windows": "SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "event_sessions": """WITH g AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL '2 hours', true)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT min(ts) AS start, max(ts) + INTERVAL '2 hours' AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, k""",

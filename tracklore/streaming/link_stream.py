@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracklore.operators.lineage import kept
@@ -38,7 +40,7 @@ def _advance(rules: LinkRules, delay: int, timed: bool, patience: int):
         for time, frame in ready.sort_values(["time", "object_label"], kind="stable").groupby("time", sort=True) if len(ready) else ():
             out.append(frame[["block_name", "time", "object_label"]].assign(track_id=tracker.step(frame[PLACE].to_numpy(float))))
             done = int(time)
-        state.update((json.dumps({"active": tracker.active, "next_id": tracker.next_id, "done": done}), rest.to_json(orient="records")))
+        state.update((json.dumps({"active": tracker.active, "next_id": tracker.next_id, "done": done}), json.dumps(rest.to_dict("records"))))
         if timed and len(rest) and seen is not None:
             state.setTimeoutTimestamp(max(int(seen) + patience, state.getCurrentWatermarkMs() + 1))
         for found in out:
@@ -62,31 +64,116 @@ def link_stream(detections: DataFrame, rules: LinkRules, delay: int = 1, acquire
 
 
 def _crossings(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    was = state.get[0] if state.exists else None
+    seen, was = state.get if state.exists else (None, None)
     rows = pd.concat(list(batches)).sort_values("time")
     out = []
     for time, inside in zip(rows["time"].tolist(), rows["inside"].tolist(), strict=True):
+        if seen is not None and time < seen:
+            out.append((key[0], key[1], time, "late"))
+            continue
         if was is not None and inside != was:
             out.append((key[0], key[1], time, "entry" if inside else "exit"))
-        was = bool(inside)
-    state.update((was,))
+        seen, was = int(time), bool(inside)
+    state.update((seen, was))
     if out:
         yield pd.DataFrame(out, columns=["block_name", "track_id", "time", "event"])
 
 
 def crossing_stream(rows: DataFrame) -> DataFrame:
-    """Entries and exits of tracks (block_name, track_id, time, inside) against the last state of each."""
+    """Entries and exits of tracks (block_name, track_id, time, inside) against the last state of each.
+
+    A row of an earlier frame than the last one seen changes nothing and comes out as late; crossings_in_order waits for
+    such rows.
+    """
     rows = rows.select(F.col("block_name").cast("long"), F.col("track_id").cast("long"), F.col("time").cast("int"), "inside")
-    return rows.groupBy("block_name", "track_id").applyInPandasWithState(_crossings, "block_name long, track_id long, time int, event string", "inside boolean", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("block_name", "track_id").applyInPandasWithState(_crossings, "block_name long, track_id long, time int, event string", "time int, inside boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+class Crossings(StatefulProcessor):
+    """Rows of a track are held in a list until the watermark has passed them, and then met in order with the last state;
+    a map counts each kind of event of the track. State that nothing has touched for ttl milliseconds goes; 0 keeps it."""
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        ttl = self.ttl or None
+        self.handle = handle
+        self.held = handle.getListState("held", "us long, number long, inside boolean", ttl)
+        self.last = handle.getValueState("last", "inside boolean", ttl)
+        self.counts = handle.getMapState("counts", "event string", "n long", ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh = pd.concat(list(rows))
+        self.held.appendList(list(zip(fresh["us"].tolist(), fresh["number"].tolist(), fresh["inside"].tolist(), strict=True)))
+        for us in sorted({us // 1000 for us in fresh["us"].tolist()}):
+            self.handle.registerTimer(us + 1)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.held.get())
+        done = [r for r in rows if r[0] // 1000 < passed]
+        if not done:
+            yield pd.DataFrame()
+            return
+        was = self.last.get()[0] if self.last.exists() else None
+        out = []
+        for us, number, inside in done:
+            if was is not None and inside != was:
+                event = "entry" if inside else "exit"
+                n = (self.counts.getValue((event,))[0] if self.counts.containsKey((event,)) else 0) + 1
+                self.counts.updateValue((event,), (n,))
+                out.append((key[0], pd.Timestamp(us, unit="us", tz="UTC"), number, event, n))
+            was = inside
+        self.last.update((was,))
+        rest = rows[len(done) :]
+        self.held.put(rest) if rest else self.held.clear()
+        yield pd.DataFrame(out, columns=["track_id", "at", "number", "event", "total"]) if out else pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def crossings_in_order(rows: DataFrame, late: str, ttl: int = 0) -> DataFrame:
+    """Entries and exits of tracks (track_id, at, number, inside), rows in order of at and number however they arrive.
+
+    Rows later than the watermark are dropped; others wait until it has passed them. total counts the events of this kind
+    of the track so far. The result has the event time at, so that windows can follow in the same stream. The session
+    must keep state in RocksDB (rocks_state).
+    """
+    rows = rows.select(F.col("track_id").cast("long").alias("track_id"), "at", F.col("number").cast("long").alias("number"), "inside", F.unix_micros("at").alias("us")).withWatermark("at", late)
+    schema = "track_id long, at timestamp, number long, event string, total long"
+    return rows.groupBy("track_id").transformWithStateInPandas(Crossings(ttl), schema, "Append", "EventTime", eventTimeColumnName="at")
+
+
+def crossing_counts(events: DataFrame, width: str) -> DataFrame:
+    """Entries and exits by window: how many, and the largest count that a track has reached; a window comes out once the
+    watermark has passed it."""
+    g = events.groupBy(F.window("at", width), "event").agg(F.count("*").alias("n"), F.max("total").alias("largest_total"))
+    return g.select(F.col("window.start").alias("start"), "event", "n", "largest_total")
+
+
+@contextlib.contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started here keep their state in RocksDB, which list, map and timer state need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
 
 
 def windowed_counts(events: DataFrame, time: str, kind: str, width: str, late: str) -> DataFrame:
-    """Counts of events by tumbling window and kind; rows later than the watermark are dropped."""
+    """Counts of events by tumbling window and kind. In append mode a window comes out once the watermark has passed it, and
+    rows later than that are dropped; in complete mode all windows are kept and every row counts."""
     return events.withWatermark(time, late).groupBy(F.window(time, width), kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), kind, "n")
 
 
 def sessions(events: DataFrame, time: str, key: str, gap: str, late: str) -> DataFrame:
-    """Sessions of each key: runs of events no further apart than the gap."""
+    """Sessions of each key: runs of events no further apart than the gap; late rows as in windowed_counts."""
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), key, "n")
 
 
