@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from tracklore.plans import cohort_queries, inference_queries, link_queries, mask_queries, report_queries, series_queries, stream_queries, track_queries, voxel_queries
+from tracklore.plans import cohort_queries, inference_queries, link_queries, mask_queries, model_queries, report_queries, series_queries, stream_queries, track_queries, voxel_queries
 
 SF = "/root/testdata/sf0.001"
-PLANS = (track_queries, cohort_queries, series_queries, voxel_queries, mask_queries, inference_queries, link_queries, report_queries, stream_queries)
+PLANS = (track_queries, cohort_queries, series_queries, voxel_queries, mask_queries, inference_queries, model_queries, link_queries, report_queries, stream_queries)
 CASES = [(m, n) for m in PLANS for n in m.ORACLE_SQL]
 
 
