@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracklore.operators.lineage import components, kept
+from tracklore.operators.morphology import links_across
+
 
 @dataclass(frozen=True)
 class LinkRules:
@@ -109,6 +114,12 @@ class Tracker:
     def __init__(self, rules: LinkRules, active: list[dict] | None = None, next_id: int = 1):
         self.rules, self.active, self.next_id = rules, active or [], next_id
 
+    def wait(self, frames: int) -> None:
+        """Ages all tracks by frames in which none of them can go on."""
+        for t in self.active:
+            t["gap"] += frames
+        self.active = [t for t in self.active if t["gap"] <= self.rules.max_gap]
+
     def step(self, rows: np.ndarray) -> list[int]:
         """Track ids of a frame's detections; a frame without any row never comes, so absent frames do not age tracks."""
         ids = [0] * len(rows)
@@ -157,6 +168,121 @@ def link_tracks(detections: DataFrame, rules: LinkRules) -> DataFrame:
     return rows.groupBy("block_name").applyInPandas(_linked(rules), LINKED)
 
 
+#: Detections of the components that one group links, about; a larger component is a group of its own.
+BUCKET = 20_000
+
+
+def gate(rules: LinkRules) -> float:
+    """How far apart, a frame, two detections of one track can be at most."""
+    if rules.method != "keyhole":
+        return rules.max_distance
+    cone = math.cos(math.radians(rules.cone_degrees))
+    return max(rules.max_distance, rules.back_radius, rules.forward_distance / cone if cone > 1e-9 else float("inf"))
+
+
+def _apart(rules: LinkRules):
+    """Frames of each component of a bucket, linked in order."""
+
+    def one(pdf: pd.DataFrame) -> list[int]:
+        tracker, ids, last = Tracker(rules), [], None
+        place, frame = pdf[PLACE].to_numpy(float), pdf["_frame"].to_numpy()
+        for own in np.split(np.arange(len(pdf)), np.flatnonzero(frame[1:] != frame[:-1]) + 1):
+            now = int(frame[own[0]])
+            if last is not None and now - last > 1:
+                tracker.wait(now - last - 1)
+            ids += tracker.step(place[own])
+            last = now
+        return ids
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["block_name", "_part", "_frame", "object_label"], kind="stable")
+        key = pdf[["block_name", "_part"]].to_numpy()
+        ids = [i for own in np.split(np.arange(len(pdf)), np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1) for i in one(pdf.iloc[own])]
+        return pdf[["block_name", "time", "object_label", "_frame", "_part"]].assign(_local=ids)
+
+    return run
+
+
+def link_apart(detections: DataFrame, rules: LinkRules) -> DataFrame:
+    """link_tracks for blocks that are too large for one task: the same tracks, from parts of a block that no gate joins.
+
+    Two detections that no chain of gates joins never meet in a cost, so frames of each component of the graph of gated
+    pairs are linked in order apart, and tracks age by the frames of their block that a component has no detection in.
+    Pairs come from cells of the gate's size by equality. Tracks are numbered by their first detection, as in one pass. A
+    block whose detections are all within each other's gates is one component.
+    """
+    rows = detections.select(F.col("block_name").cast("long"), F.col("time").cast("int"), F.col("object_label").cast("long"), *PLACE)
+    rows = kept(rows.withColumn("_node", F.monotonically_increasing_id()))
+    frames = rows.select("block_name", "time").distinct().withColumn("_frame", F.row_number().over(W.partitionBy("block_name").orderBy("time")))
+    rows = rows.join(frames.hint("merge"), ["block_name", "time"])
+    size, far = gate(rules), rules.max_gap + 1
+    cell = lambda c: F.floor(F.col(c) / (size * far))
+    if math.isinf(size):
+        of, alone = rows.withColumn("_part", F.lit(0).cast("long")), None
+    else:
+        to = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.lit(a).alias("a"), F.lit(b).alias("b")) for g in range(1, far + 1) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("o")
+        a = rows.select("block_name", "_frame", F.col("_node").alias("u"), *[F.col(c).alias(f"_{c}") for c in PLACE[:3]], to).select("block_name", (F.col("_frame") + F.col("o.g")).alias("_frame"), "u", *[f"_{c}" for c in PLACE[:3]], F.col("o.g").alias("g"), (F.floor(F.col("_centroid_y") / (size * far)) + F.col("o.a")).alias("_y"), (F.floor(F.col("_centroid_x") / (size * far)) + F.col("o.b")).alias("_x"))
+        b = rows.select("block_name", "_frame", F.col("_node").alias("v"), *PLACE[:3], cell("centroid_y").alias("_y"), cell("centroid_x").alias("_x"))
+        d = {c: F.col(f"centroid_{c}") - F.col(f"_centroid_{c}") for c in "zyx"}
+        near = (d["z"] * rules.z_weight) ** 2 + d["y"] ** 2 + d["x"] ** 2 <= (F.lit(size) * F.col("g")) ** 2 * (1 + 1e-9)
+        pairs = a.join(b.hint("merge"), ["block_name", "_frame", "_y", "_x"]).where(near & (F.abs(d["z"]) <= rules.max_z_step * F.col("g"))).select("u", "v")
+        found = components(pairs).select(F.col("u").alias("_node"), F.col("component").alias("_part"))
+        found = kept(found)
+        of = rows.join(found.hint("merge"), "_node")
+        alone = rows.join(found.hint("merge"), "_node", "left_anti").select("block_name", "time", "object_label", "_frame", F.col("_node").alias("_part"), F.lit(1).cast("long").alias("_local"))
+    schema = "block_name long, time int, object_label long, _frame int, _part long, _local long"
+    buckets = max(1, -(-of.count() // BUCKET))
+    linked = of.groupBy(F.pmod(F.xxhash64("block_name", "_part"), F.lit(buckets)).alias("_bucket")).applyInPandas(_apart(rules), schema)
+    linked = kept(linked if alone is None else linked.unionAll(alone))
+    starts = linked.groupBy("block_name", "_part", "_local").agg(F.min(F.struct("_frame", "object_label")).alias("_first"))
+    ids = starts.withColumn("track_id", F.row_number().over(W.partitionBy("block_name").orderBy("_first", "_part")).cast("long"))
+    return linked.join(ids.drop("_first").hint("merge"), ["block_name", "_part", "_local"]).select("block_name", "time", "object_label", "track_id")
+
+
+def stopped_at_mask(tracks: DataFrame, mask: DataFrame, samples: int = 80) -> DataFrame:
+    """tracks (block_name, time, track_id, y, x) without rows in the mask, runs (block_name, time, y, x0, x1); a track is cut where
+    the line from one of its rows to the next meets the mask in any frame from the one to the other, and what follows has a
+    track_id of its own. Tracks are numbered anew within a block by their old number and time.
+    """
+    rows = tracks.withColumns({"_y": F.rint("y").cast("int"), "_x": F.rint("x").cast("int")})
+    inside = rows.join(mask.select("block_name", "time", F.col("y").alias("_y"), "x0", "x1").hint("merge"), ["block_name", "time", "_y"]).where("_x BETWEEN x0 AND x1").select("block_name", "time", "track_id").distinct()
+    rows = rows.join(inside.hint("merge"), ["block_name", "time", "track_id"], "left_anti").drop("_y", "_x")
+    w = W.partitionBy("block_name", "track_id").orderBy("time")
+    rows = kept(rows.withColumn("link_id", F.monotonically_increasing_id()))
+    links = rows.select("block_name", "link_id", F.lag("time").over(w).alias("t0"), F.col("time").alias("t1"), F.lag("y").over(w).alias("y0"), F.lag("x").over(w).alias("x0"), F.col("y").alias("y1"), F.col("x").alias("x1")).where("t0 IS NOT NULL")
+    cut = links_across(links, mask, ["block_name"], "time", samples).where("crosses").select("link_id", F.lit(1).alias("_cut"))
+    rows = rows.join(cut.hint("merge"), "link_id", "left").withColumn("_piece", F.sum(F.coalesce("_cut", F.lit(0))).over(w))
+    pieces = rows.select("block_name", "track_id", "_piece").distinct().withColumn("_new", F.row_number().over(W.partitionBy("block_name").orderBy("track_id", "_piece")).cast("long"))
+    return rows.join(pieces.hint("merge"), ["block_name", "track_id", "_piece"]).drop("_piece", "_cut", "link_id").withColumnRenamed("track_id", "uncut_track_id").withColumnRenamed("_new", "track_id")
+
+
+def link_by_mode(detections: DataFrame, methods: list[LinkRules], mode: str = "all", mask: DataFrame | None = None, flags: list[str] | None = None, samples: int = 80) -> DataFrame:
+    """Tracks of every method, with tracking_method and is_default; the default is the keyhole tracker's, else the first's.
+
+    In any mode but all, detections with a flag or in the mask are left out before linking, and tracks are cut at the mask
+    afterwards; a detection's region is not looked at otherwise.
+    """
+    rows = detections
+    if mode != "all":
+        for f in flags or []:
+            rows = rows.where(~F.coalesce(F.col(f).cast("boolean"), F.lit(False)))
+    names = [m.method for m in methods]
+    default = "keyhole" if "keyhole" in names else names[0]
+    out = None
+    for rules in methods:
+        if mode != "all" and mask is not None:
+            at = rows.withColumns({"_y": F.rint("centroid_y").cast("int"), "_x": F.rint("centroid_x").cast("int")})
+            inside = at.join(mask.select("block_name", "time", F.col("y").alias("_y"), "x0", "x1").hint("merge"), ["block_name", "time", "_y"]).where("_x BETWEEN x0 AND x1").select("block_name", "time", "object_label").distinct()
+            free = rows.join(inside.hint("merge"), ["block_name", "time", "object_label"], "left_anti")
+            tracks = link_tracks(free, rules).join(free.select("block_name", "time", "object_label", F.col("centroid_y").alias("y"), F.col("centroid_x").alias("x")).hint("merge"), ["block_name", "time", "object_label"])
+            tracks = stopped_at_mask(tracks, mask, samples).select("block_name", "time", "object_label", "track_id")
+        else:
+            tracks = link_tracks(rows, rules)
+        tracks = tracks.withColumns({"tracking_method": F.lit(rules.method), "is_default": F.lit(rules.method == default)})
+        out = tracks if out is None else out.unionAll(tracks)
+    return out
+
+
 def candidate_links(detections: DataFrame, rules: LinkRules) -> DataFrame:
     """Pairs of detections up to max_gap + 1 frames apart within the gates, by grid cells of the largest reach."""
     r = rules.max_distance * (rules.max_gap + 1)

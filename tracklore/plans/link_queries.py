@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tracklore.functions.scalar import group_name, normalise_id, number, parse_bool, rounded, track_key
 from tracklore.operators import learn as L
 from tracklore.operators import link as K
+from tracklore.operators import morphology as M
 from tracklore.operators import voxels as V
-from tracklore.plans.views import DET, detections, table, voxels
+from tracklore.plans.views import DET, VOX, detections, table, voxels
 from tracklore.sources import tables as S
 
 RULES = K.LinkRules(max_distance=400.0, max_z_step=20.0, max_gap=1)
@@ -34,10 +35,26 @@ def _files(spark, sf):
     return table(spark, sf, "part").select((F.col("p_partkey") % 40).alias("block"), F.concat_ws("/", F.lit("run"), F.col("p_brand"), F.concat(F.col("p_type"), F.lit("_"), F.col("p_partkey").cast("string"))).alias("path"))
 
 
+def _strip(spark, sf):
+    """A mask over the first days of each block: rows 600 to 700, all columns."""
+    rows = F.explode(F.sequence(F.lit(600), F.lit(700)))
+    return _det(spark, sf).select("block_name", "time").distinct().where("time < 5").select("block_name", "time", rows.alias("y"), F.lit(-1000).alias("x0"), F.lit(100_000).alias("x1"))
+
+
+def _label_tracks(spark, sf):
+    """Centres of labels as tracks over frames, and masks of bright pixels."""
+    v = voxels(spark, sf).withColumnsRenamed({"block": "block_name", "t": "time"})
+    tracks = v.groupBy("block_name", "time", F.col("label").cast("long").alias("track_id")).agg((F.avg("y") + 0.01).alias("y"), (F.avg("x") + 0.01).alias("x"))
+    return tracks, M.runs_of(v.where("intensity > 80000").select("block_name", "time", "y", "x"), ["block_name", "time"])
+
+
 QUERIES = {
     "candidate_links": lambda spark, sf: rounded(K.candidate_links(_det(spark, sf), RULES)),
     "linked_nearest": lambda spark, sf: K.link_tracks(_det(spark, sf), RULES),
     "linked_lap": lambda spark, sf: K.link_tracks(_det(spark, sf), K.LinkRules("lap", 400.0, 20.0, 1, volume_weight=0.5, intensity_weight=0.5)),
+    "linked_apart": lambda spark, sf: K.link_apart(_det(spark, sf), K.LinkRules(max_distance=60.0, max_z_step=12.0, max_gap=1)),
+    "linked_by_mode": lambda spark, sf: K.link_by_mode(_det(spark, sf), [K.LinkRules(max_distance=200.0, max_z_step=20.0, max_gap=1), K.LinkRules("keyhole", 200.0, 20.0, 1, forward_distance=200.0)], "outside_only", _strip(spark, sf)),
+    "tracks_stopped_at_mask": lambda spark, sf: rounded(K.stopped_at_mask(*_label_tracks(spark, sf), samples=9), 5),
     "linked_keyhole": lambda spark, sf: K.link_tracks(_det(spark, sf), K.LinkRules("keyhole", 400.0, 20.0, 1, volume_weight=0.5, forward_distance=500.0, back_radius=100.0)),
     "constrained_objects": lambda spark, sf: K.constrained_union(_edges(spark, sf), 4),
     "normalised_scalars": lambda spark, sf: table(spark, sf, "orders").select(
@@ -58,6 +75,13 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "tracks_stopped_at_mask": f"""WITH {VOX}, mk AS (SELECT DISTINCT block, t, y, x FROM vox WHERE intensity > 80000), tr AS (SELECT block, t, label AS k, avg(y) + 0.01 AS y, avg(x) + 0.01 AS x FROM vox GROUP BY ALL),
+fr AS (SELECT tr.* FROM tr ANTI JOIN mk ON mk.block = tr.block AND mk.t = tr.t AND mk.y = round_even(tr.y, 0)::INT AND mk.x = round_even(tr.x, 0)::INT),
+ln AS (SELECT *, lag(t) OVER w AS t0, lag(y) OVER w AS y0, lag(x) OVER w AS x0 FROM fr WINDOW w AS (PARTITION BY block, k ORDER BY t)),
+pt AS (SELECT block, k, t AS t1, unnest(range(t0, t + 1)) AS t, y0, x0, y AS y1, x AS x1 FROM ln WHERE t0 IS NOT NULL), ri AS (SELECT DISTINCT block, k, t1, t, round_even(y0 + (y1 - y0) * s / 8.0, 0)::INT AS y, round_even(x0 + (x1 - x0) * s / 8.0, 0)::INT AS x FROM pt, (SELECT unnest(range(9)) AS s)),
+h AS (SELECT DISTINCT block, k, t1 AS t, 1 AS c FROM ri SEMI JOIN mk USING (block, t, y, x)),
+pc AS (SELECT fr.*, sum(coalesce(c, 0)) OVER (PARTITION BY fr.block, fr.k ORDER BY fr.t) AS p FROM fr LEFT JOIN h ON h.block = fr.block AND h.k = fr.k AND h.t = fr.t)
+SELECT block AS block_name, t AS time, k AS uncut_track_id, round(y, 5) AS y, round(x, 5) AS x, dense_rank() OVER (PARTITION BY block ORDER BY k, p) AS track_id FROM pc""",
     "candidate_links": f"""WITH {DET} SELECT a.block_name, a.time AS time_a, a.object_label AS label_a, b.time, b.object_label AS label_b, b.time - a.time AS frames,
   round(sqrt((a.centroid_x - b.centroid_x) ** 2 + (a.centroid_y - b.centroid_y) ** 2 + (a.centroid_z - b.centroid_z) ** 2), 6) AS distance FROM det a JOIN det b ON a.block_name = b.block_name AND b.time - a.time IN (1, 2)
 WHERE sqrt((a.centroid_x - b.centroid_x) ** 2 + (a.centroid_y - b.centroid_y) ** 2 + (a.centroid_z - b.centroid_z) ** 2) <= 400 * (b.time - a.time) AND abs(a.centroid_z - b.centroid_z) <= 20 * (b.time - a.time)""",
