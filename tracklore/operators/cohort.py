@@ -148,9 +148,15 @@ def common_features(tables: DataFrame, source: str, n: int) -> DataFrame:
     return tables.groupBy("feature").agg(F.count_distinct(source).alias("n")).where(F.col("n") == n).select("feature")
 
 
+#: Conditions whose sets are compared with each other, at most.
+CONDITIONS = 1_000
+
+
 def jaccard_sets(sets: DataFrame) -> DataFrame:
-    """Overlap of each two conditions' feature sets (condition, features)."""
+    """Overlap of each two conditions' feature sets (condition, features), which are few: over CONDITIONS are refused."""
+    if sets.count() > CONDITIONS:
+        raise ValueError(f"more than {CONDITIONS} conditions")
     a, b = sets.toDF("a", "fa"), sets.toDF("b", "fb")
     both, any_ = F.array_intersect("fa", "fb"), F.array_union("fa", "fb")
-    pairs = a.join(b, F.col("a") < F.col("b"))
+    pairs = a.join(b.hint("broadcast"), F.col("a") < F.col("b"))
     return pairs.select("a", "b", F.concat_ws("|", F.array_sort(both)).alias("shared"), F.concat_ws("|", F.array_sort(F.array_except("fa", "fb"))).alias("only_a"), F.concat_ws("|", F.array_sort(F.array_except("fb", "fa"))).alias("only_b"), (F.size(both) / F.size(any_)).alias("jaccard"))

@@ -74,9 +74,11 @@ def elapsed_msd(points: DataFrame, width: float, *group: str) -> DataFrame:
     w = W.partitionBy(*KEY).orderBy("elapsed")
     p = points.withColumns({f"_{c}": F.first(c).over(w) for c in "xyz"} | {"_n": F.count("*").over(W.partitionBy(*KEY))}).where("_n >= 2")
     p = p.withColumn("squared", sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in "xyz"), F.lit(0.0))).withColumn("minutes", F.rint(F.col("elapsed") / width) * width)
-    q = [F.percentile("squared", F.lit(x)).alias(n) for x, n in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))]
-    g = p.groupBy(*group, "minutes").agg(F.avg("squared").alias("mean"), *q, F.coalesce(F.stddev_samp("squared"), F.lit(0.0)).alias("_sd"), F.count("*").alias("n"), F.count_distinct(F.struct(*KEY)).alias("n_tracks"))
-    return g.withColumn("sem", F.col("_sd") / F.sqrt("n")).drop("_sd")
+    p = kept(p.select(*group, *[k for k in KEY if k not in group], "minutes", "squared"))
+    keys = [*group, "minutes"]
+    q = quantiles(p, keys, "squared", {"q25": 0.25, "median": 0.5, "q75": 0.75}).drop("n")
+    g = p.groupBy(*keys).agg(F.avg("squared").alias("mean"), F.coalesce(F.stddev_samp("squared"), F.lit(0.0)).alias("_sd"), F.count("*").alias("n"), F.count_distinct(F.struct(*KEY)).alias("n_tracks"))
+    return g.join(q.hint("merge"), keys).withColumn("sem", F.col("_sd") / F.sqrt("n")).select(*keys, "mean", "q25", "median", "q75", "n", "n_tracks", "sem")
 
 
 def by_subject(msd: DataFrame, group: str, value: str = "mean") -> DataFrame:
@@ -86,8 +88,10 @@ def by_subject(msd: DataFrame, group: str, value: str = "mean") -> DataFrame:
 
 def durations(points: DataFrame, limits: Sequence[float], *group: str) -> DataFrame:
     """Tracks of each group by how long they last: counts over each limit, median and longest."""
-    d = points.groupBy(*group, *KEY).agg((F.max("elapsed") - F.min("elapsed")).alias("d"))
-    return d.groupBy(*group).agg(F.count("*").alias("n_tracks"), F.median("d").alias("median"), F.max("d").alias("longest"), *[F.count_if(F.col("d") >= x).alias(f"n_{x:g}") for x in limits])
+    d = kept(points.groupBy(*group, *KEY).agg((F.max("elapsed") - F.min("elapsed")).alias("d")))
+    counts = d.groupBy(*group).agg(F.count("*").alias("n_tracks"), F.max("d").alias("longest"), *[F.count_if(F.col("d") >= x).alias(f"n_{x:g}") for x in limits])
+    middle = quantiles(d, list(group), "d", {"median": 0.5}).drop("n")
+    return counts.join(middle.hint("merge"), list(group)) if group else counts.join(F.broadcast(middle))
 
 
 def variance_partition(long: DataFrame, group: str, subject: str) -> DataFrame:
@@ -110,7 +114,10 @@ def qc_sensitivity(normal: DataFrame, strict: DataFrame, a: str, b: str) -> Data
     for by, name in (("value", "rn"), ("strict", "rs")):
         j = j.join(S.average_ranks(j, ["feature"], by, name).hint("merge"), ["feature", by])
     change = F.abs(F.col("strict") - F.col("value"))
-    g = j.groupBy("feature").agg(F.count("*").alias("n_shared"), F.corr("rn", "rs").alias("spearman"), F.median(change).alias("median_absolute_change"), F.median(F.when(F.col("value") != 0, change / F.abs("value") * 100)).alias("median_relative_change_pct"))
+    g = j.groupBy("feature").agg(F.count("*").alias("n_shared"), F.corr("rn", "rs").alias("spearman"))
+    moved = kept(j.select("feature", change.alias("change"), F.when(F.col("value") != 0, change / F.abs("value") * 100).alias("relative")))
+    for column, name in (("change", "median_absolute_change"), ("relative", "median_relative_change_pct")):
+        g = g.join(quantiles(moved, ["feature"], column, {name: 0.5}).drop("n").hint("merge"), "feature", "left")
     for table, name in ((normal, "normal"), (strict, "strict")):
         g = g.join(S.effect_sizes(table, a, b).select("feature", F.col("cliffs_delta").alias(f"{name}_delta")).hint("merge"), "feature", "left")
     return g.withColumns({"delta_change": F.abs(F.col("strict_delta") - F.col("normal_delta")), "same_direction": F.signum("strict_delta") == F.signum("normal_delta")})
@@ -236,7 +243,11 @@ def histogram(rows: DataFrame, value: str, bins: int, top: float, *group: str) -
 def start_and_end(tracks: DataFrame, features: Sequence[str], group: str) -> DataFrame:
     """Median of each feature at the first and the last observation of tracks, by group."""
     g = tracks.groupBy(group, *KEY).agg(*[f(c, "time").alias(f"{n}_{c}") for c in features for f, n in ((F.min_by, "start"), (F.max_by, "end"))])
-    return g.groupBy(group).agg(F.count("*").alias("n_tracks"), *[F.median(f"{n}_{c}").alias(f"{n}_{c}") for c in features for n in ("start", "end")])
+    names = [f"{n}_{c}" for c in features for n in ("start", "end")]
+    g = kept(g.select(group, *[F.col(n).cast("double").alias(n) for n in names]))
+    middle = quantiles(g.unpivot(group, names, "_name", "_value"), [group, "_name"], "_value", {"_median": 0.5})
+    wide = middle.groupBy(group).pivot("_name", names).agg(F.first("_median"))
+    return g.groupBy(group).agg(F.count("*").alias("n_tracks")).join(wide.hint("merge"), group)
 
 
 def retained(tracks: DataFrame, metadata: DataFrame) -> DataFrame:

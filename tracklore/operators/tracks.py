@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracklore.functions.scalar import norm, ratio, wrap_angle
+from tracklore.operators.lineage import kept, quantiles
 
 KEY = ["block_name", "track_id"]
 
@@ -199,8 +200,9 @@ def relative_bins(tracks: DataFrame, bins: int, value: str = "running_directiona
     """Median, quartiles and counts of a running value by bin of relative time, right-closed, the lowest included."""
     r = running(tracks).where(F.col("relative_time").isNotNull() & F.col(value).isNotNull())
     r = r.withColumn("bin", F.greatest(F.ceil(F.col("relative_time") * bins), F.lit(1)).cast("int"))
-    q = [F.percentile(value, F.lit(p)).alias(f"q{int(100 * p)}") for p in (0.25, 0.5, 0.75)]
-    return r.groupBy("bin").agg(*q, F.count("*").alias("n"), F.count_distinct(F.struct(*KEY)).alias("n_tracks"))
+    r = kept(r.select(*KEY, "bin", value))
+    q = quantiles(r, ["bin"], value, {f"q{int(100 * p)}": p for p in (0.25, 0.5, 0.75)})
+    return q.join(r.groupBy("bin").agg(F.count_distinct(F.struct(*KEY)).alias("n_tracks")).hint("merge"), "bin").select("bin", "q25", "q50", "q75", "n", "n_tracks")
 
 
 def turning_histogram(tracks: DataFrame, bins: int = 24) -> DataFrame:

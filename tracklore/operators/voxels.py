@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracklore.operators import lineage
 from tracklore.operators.lineage import kept
 
 NODE = ["block", "t", "z", "label"]
@@ -28,11 +29,12 @@ def slice_overlaps(voxels: DataFrame, nodes: DataFrame, max_gap: int) -> DataFra
     up = v.select("block", "t", "y", "x", F.explode(F.sequence(F.lit(1), F.lit(max_gap))).alias("gap"), F.col("z").alias("za"), F.col("label").alias("la")).withColumn("z", F.col("za") + F.col("gap"))
     pairs = up.join(v.withColumnRenamed("label", "lb").hint("merge"), ["block", "t", "z", "y", "x"]).groupBy("block", "t", "za", "la", F.col("z").alias("zb"), "lb").agg(F.count("*").alias("overlap"))
     for s in "ab":
-        own = nodes.select("block", "t", F.col("z").alias(f"z{s}"), F.col("label").alias(f"l{s}"), F.col("area").alias(f"area_{s}"), F.col("cy").alias(f"cy_{s}"), F.col("cx").alias(f"cx_{s}"))
+        own = nodes.select("block", "t", F.col("z").alias(f"z{s}"), F.col("label").alias(f"l{s}"), F.col("area").alias(f"area_{s}"), F.col("cy").alias(f"cy_{s}"), F.col("cx").alias(f"cx_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in nodes.columns if c == "node"])
         pairs = pairs.join(own.hint("merge"), ["block", "t", f"z{s}", f"l{s}"])
     dy, dx = F.col("cy_a") - F.col("cy_b"), F.col("cx_a") - F.col("cx_b")
+    ids = ["node_a", "node_b"] if "node" in nodes.columns else []
     more = {"fraction": F.col("overlap") / F.least("area_a", "area_b"), "iou": F.col("overlap") / (F.col("area_a") + F.col("area_b") - F.col("overlap")), "distance": F.sqrt(dy * dy + dx * dx)}
-    return pairs.withColumns(more).select("block", "t", "za", "la", "zb", "lb", "overlap", *more)
+    return pairs.withColumns(more).select("block", "t", "za", "la", "zb", "lb", "overlap", *more, *ids)
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -57,14 +59,14 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFram
 
 def reconstruct(voxels: DataFrame, least_area: int, max_gap: int, max_distance: float, least_fraction: float, least_iou: float, least_slices: int) -> DataFrame:
     """Voxels with their 3D object: masks tied by overlaps, components of enough slices, numbered in each frame."""
-    nodes = slice_nodes(voxels, least_area)
+    nodes = kept(slice_nodes(voxels, least_area).withColumn("node", F.monotonically_increasing_id()))
     good = slice_overlaps(voxels, nodes, max_gap).where((F.col("distance") <= max_distance) & ((F.col("fraction") >= least_fraction) | (F.col("iou") >= least_iou)))
-    name = lambda z, l: F.struct("block", "t", F.col(z).alias("z"), F.col(l).alias("label"))
-    found = components(nodes.select(name("z", "label").alias("node")), good.select(name("za", "la").alias("a"), name("zb", "lb").alias("b")))
-    spans = found.groupBy("component").agg(F.count_distinct("node.z").alias("slices")).where(F.col("slices") >= least_slices)
-    ids = spans.select("component", F.dense_rank().over(W.partitionBy("component.block", "component.t").orderBy("component.z", "component.label")).alias("object_id"))
-    at = found.join(ids, "component").select("node.*", "object_id")
-    return voxels.join(at, NODE)
+    found = lineage.components(good.select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))).select(F.col("u").alias("node"), "component")
+    found = kept(nodes.select(*NODE, "node").join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    spans = found.groupBy("block", "t", "component").agg(F.count_distinct("z").alias("slices"), F.min(F.struct("z", "label")).alias("first")).where(F.col("slices") >= least_slices)
+    ids = spans.select("component", F.row_number().over(W.partitionBy("block", "t").orderBy("first")).alias("object_id"))
+    at = found.join(ids.hint("merge"), "component").select(*NODE, "object_id")
+    return voxels.join(at.hint("merge"), NODE)
 
 
 def object_features(voxels: DataFrame, key: list[str]) -> DataFrame:
