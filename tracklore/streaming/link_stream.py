@@ -22,6 +22,8 @@ def _advance(rules: LinkRules, delay: int, timed: bool, patience: int):
     """Frames are held until one delay frames later has come, as all of a frame's detections are needed together, or
     until the watermark has passed the block's last detection by patience milliseconds."""
 
+    kinds = ["block_name", "time", "object_label", *PLACE, *(["acquired"] if timed else [])]
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tracker, held, done = Tracker(rules), pd.DataFrame(), None
         if state.exists:
@@ -40,7 +42,7 @@ def _advance(rules: LinkRules, delay: int, timed: bool, patience: int):
         for time, frame in ready.sort_values(["time", "object_label"], kind="stable").groupby("time", sort=True) if len(ready) else ():
             out.append(frame[["block_name", "time", "object_label"]].assign(track_id=tracker.step(frame[PLACE].to_numpy(float))))
             done = int(time)
-        state.update((json.dumps({"active": tracker.active, "next_id": tracker.next_id, "done": done}), json.dumps(rest.to_dict("records"))))
+        state.update((json.dumps({"active": tracker.active, "next_id": tracker.next_id, "done": done}), json.dumps(rest[kinds].to_dict("records") if len(rest) else [])))
         if timed and len(rest) and seen is not None:
             state.setTimeoutTimestamp(max(int(seen) + patience, state.getCurrentWatermarkMs() + 1))
         for found in out:
