@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tracklore.functions.scalar import rounded
 from tracklore.operators import heldout as H
+from tracklore.operators import spectrum as P
 from tracklore.operators import stats as S
 from tracklore.operators import subsets as U
-from tracklore.plans.views import table
+from tracklore.plans.views import fish_features, table
 
 GROUPS = 24
 FEATURES = ["quantity", "price"]
@@ -73,12 +74,18 @@ QUERIES = {
     "cells_left_out_margins": lambda spark, sf: rounded(_folds(spark, sf, "svm"), 5),
     "cells_left_out_tuned": lambda spark, sf: rounded(_tuned(spark, sf), 5),
     "frozen_by_condition": lambda spark, sf: rounded(_frozen(spark, sf), 5),
+    "feature_spectrum": lambda spark, sf: rounded(P.spectrum(table(spark, sf, "embeddings").select(F.slice("embedding", 1, 2).alias("x")), ["first", "second"], 2), 4),
+    "chosen_clusters": lambda spark, sf: P.choose_clusters(table(spark, sf, "embeddings").select("label", F.col("embedding").alias("x")), range(2, 7))[0],
+    "cluster_shares": lambda spark, sf: P.cluster_shares(P.choose_clusters(table(spark, sf, "embeddings").select("label", F.col("embedding").alias("x")), range(2, 7))[1], "label"),
+    "effect_intervals": lambda spark, sf: rounded(P.effect_intervals(fish_features(spark, sf), "WT", "MUT", 2000), 5),
     "subset_screen": lambda spark, sf: rounded(U.screen(_subjects(spark, sf), ["a", "b", "c", "d"], most=2, families={"spread": ["b", "c"]}).where("size = 2").drop("delta_r_squared", "delta_balanced_accuracy", "delta_auc"), 5),
     "subset_ablation": lambda spark, sf: rounded(U.screen(_subjects(spark, sf), ["a", "b", "c", "d"], most=3), 5),
     "backward_elimination": lambda spark, sf: rounded(U.eliminate(_subjects(spark, sf), ["a", "b", "c", "d"]), 5),
 }
 
 ORACLE_SQL = {
+    "feature_spectrum": """WITH r AS (SELECT corr(embedding[1], embedding[2]) AS r FROM embeddings), c AS (SELECT unnest([1, 2])::INT AS component, unnest([1 + abs(r), 1 - abs(r)]) AS v, unnest([sign(r), -sign(r)]) AS s FROM r)
+SELECT component, f.feature, round(sqrt(v / 2) * CASE WHEN i = 1 THEN 1 ELSE s END, 4) AS loading, 50.0::DOUBLE AS contribution, round(v, 4) AS variance, round(v / 2, 4) AS share, round(CASE component WHEN 1 THEN v / 2 ELSE 1 END, 4) AS cumulative FROM c, (VALUES ('first', 1), ('second', 2)) f(feature, i)""",
     "cells_left_out_discriminant": f"""WITH r AS (SELECT (l_suppkey % {GROUPS})::INT AS g, (l_suppkey % {GROUPS} % 3 = 0)::INT AS y, l_quantity + l_suppkey % 5 AS q, l_extendedprice / 1000 AS p FROM lineitem), c AS (SELECT g, y, q + 6 * y AS u, p - 4 * y AS v FROM r),
 s AS (SELECT g, y, count(*)::DOUBLE AS n, sum(u) AS u, sum(v) AS v, sum(u * u) AS uu, sum(v * v) AS vv, sum(u * v) AS uv FROM c GROUP BY g, y),
 f AS (SELECT o.g AS fold, s.y, sum(n) AS n, sum(u) AS u, sum(v) AS v, sum(uu) AS uu, sum(vv) AS vv, sum(uv) AS uv FROM (SELECT DISTINCT g FROM s) o JOIN s ON s.g <> o.g GROUP BY o.g, s.y),
