@@ -15,7 +15,7 @@ def test_scores_of_one_kind_of_labels_are_that_kind(spark):
     for label in (0, 1):
         got = quality_scores(docs, docs.select("doc_id", F.lit(label).alias("quality"))).select("score", "predicted").distinct().collect()
         assert [tuple(r) for r in got] == [(float(label), label)]
-    assert {r.score for r in quality_scores(docs, docs.select("doc_id", F.lit(None).cast("int").alias("quality"))).collect()} == {0.5}
+    assert {r.score for r in quality_scores(docs, docs.select("doc_id", F.lit(None).cast("int").alias("quality"))).collect()} == {1.0}
 
 
 def test_an_id_that_half_of_all_rows_have_is_learnt_from_once(spark):

@@ -157,7 +157,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out_of: int = 3, hel
     Spark sums. Ties of raw scores share a bin. Null and empty texts have zero statistics and are scored so; a null
     doc_id is not held out and stays null; rows that repeat get equal results; null labels are not learnt from, and
     of a doc_id labelled again the greater label counts, once; with
-    labels of one kind that label is the score of all, without labels 0.5. Other columns are ignored. An empty table gives no rows.
+    labels of one kind that label is the score of all, without labels it is 1. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     key = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(held_out_of)) == held_out
@@ -167,7 +167,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out_of: int = 3, hel
     train = cut(measured.join(known.hint("merge"), "doc_id").select("x", "y"))
     stats = train.withColumn("part", F.spark_partition_id()).agg(F.count("*"), F.avg("y"), F.max("part"), *[f(F.col("x")[k]) for k in range(len(STATISTICS)) for f in (F.avg, F.stddev_pop)]).first()
     if not stats[0] or stats[1] in (0.0, 1.0):
-        scored = measured.select("doc_id", F.lit(stats[1] if stats[0] else 0.5).alias("score"))
+        scored = measured.select("doc_id", F.lit(stats[1] if stats[0] else 1.0).alias("score"))
     else:
         mean, spread = np.array(stats[3::2]), np.array(stats[4::2])
         features = Fourier(mean, np.where(spread > 1e-9, spread, 1.0))
