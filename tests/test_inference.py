@@ -136,3 +136,20 @@ def test_permutation_tests_of_a_cohort(spark):
     of = np.array([g for _, g, _ in who])
     null = [ratio(of[np.random.default_rng([42, i]).permutation(36)]) for i in range(199)]
     assert wide.f == pytest.approx(ratio(of)) and wide.p == pytest.approx((sum(f >= ratio(of) * (1 - 1e-12) for f in null) + 1) / 200)
+
+
+def test_q_values_of_few_and_of_many_alike(spark, monkeypatch):
+    from tracklore.operators import stats as S
+
+    rng = np.random.default_rng(6)
+    rows = [(f"f{k}", "ab"[k % 2], float(round(p, 2)) if k % 11 else None) for k, p in enumerate(rng.random(120) ** 2)]
+    df = spark.createDataFrame(rows, "feature string, family string, p double")
+    for family in ([], ["family"]):
+        few = {r.feature: r.q for r in S.benjamini_hochberg(df, "p", "q", *family).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(S, "FEW", 0)
+            many = {r.feature: r.q for r in S.benjamini_hochberg(df, "p", "q", *family).collect()}
+        assert few == pytest.approx(many, nan_ok=True)
+        for f, g, p in rows:
+            own = sorted(x for _, h, x in rows if x is not None and (not family or h == g))
+            assert few[f] is None if p is None else few[f] == pytest.approx(min(1.0, min(x * len(own) / (sum(y <= x for y in own)) for x in own if x >= p)))

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tracklore.operators.lineage import kept, quantiles, running, sized
 
 
+#: Distinct p values that windows of whole families run over, at most.
+FEW = 50_000
+
+
 def average_ranks(rows: DataFrame, keys: list[str], by: str, name: str = "rank") -> DataFrame:
     """(keys, by, rank): the rank of each distinct value within its keys, ties at their mean, from counts of values."""
     counts = rows.groupBy(*keys, by).agg(F.count("*").alias("_c"))
@@ -61,9 +65,19 @@ def effect_sizes(long: DataFrame, a: str, b: str, group: str = "genotype") -> Da
 
 
 def benjamini_hochberg(df: DataFrame, p: str, q: str, *family: str) -> DataFrame:
-    """Step-up q values within each family; a null p has a null q."""
+    """Step-up q values within each family; a null p has a null q.
+
+    Distinct values of p are counted: a few run over windows of their families, more over ranges.
+    """
     keys = list(family)
-    counts = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("_c"))
+    df = kept(df)
+    counts = kept(df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("_c")))
+    if counts.count() <= FEW:
+        every, upto = W.partitionBy(*keys), W.partitionBy(*keys).orderBy(p).rowsBetween(W.unboundedPreceding, 0)
+        raw = F.col(p) * F.sum("_c").over(every) / F.sum("_c").over(upto)
+        down = W.partitionBy(*keys).orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
+        found = counts.withColumn("_raw", raw).select(*keys, p, F.least(F.min("_raw").over(down), F.lit(1.0)).alias(q))
+        return df.join(found.hint("merge"), [*keys, p], "left").select(*df.columns, q)
     up = running(counts, keys, p, {"_up": (F.sum, F.col("_c"))})
     m = counts.groupBy(*keys).agg(F.sum("_c").alias("_m"))
     up = up.join(m.hint("merge"), keys) if keys else up.withColumn("_m", F.lit(m.first()[0]))
