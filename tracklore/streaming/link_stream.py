@@ -91,9 +91,14 @@ def crossing_stream(rows: DataFrame) -> DataFrame:
     return rows.groupBy("block_name", "track_id").applyInPandasWithState(_crossings, "block_name long, track_id long, time int, event string", "time int, inside boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Tracks share state by buckets, so that calls for state follow buckets, not tracks or rows.
+BUCKETS = 1024
+
+
 class Crossings(StatefulProcessor):
-    """Rows of a track are held in a list until the watermark has passed them, and then met in order with the last state;
-    a map counts each kind of event of the track. State that nothing has touched for ttl milliseconds goes; 0 keeps it."""
+    """Rows of a bucket of tracks are held in a list until the watermark has passed them, and then met in order with the
+    last state of their track; a map keeps that and counts each kind of event of the track. One timer of a bucket is set,
+    for its earliest row that is held. State that nothing has touched for ttl milliseconds goes; 0 keeps it."""
 
     def __init__(self, ttl: int):
         self.ttl = ttl
@@ -101,52 +106,61 @@ class Crossings(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         ttl = self.ttl or None
         self.handle = handle
-        self.held = handle.getListState("held", "us long, number long, inside boolean", ttl)
-        self.last = handle.getValueState("last", "inside boolean", ttl)
-        self.counts = handle.getMapState("counts", "event string", "n long", ttl)
+        self.held = handle.getListState("held", "track_id long, us long, number long, inside boolean", ttl)
+        self.tracks = handle.getMapState("tracks", "track_id long", "inside boolean, entries long, exits long", ttl)
+        self.timer = handle.getValueState("timer", "ms long", ttl)
+
+    def _wake(self, us: int) -> None:
+        """Sets the timer for a row at us, unless an earlier one is set."""
+        ms, was = us // 1000 + 1, self.timer.get()[0] if self.timer.exists() else None
+        if was is None or ms < was:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fresh = pd.concat(list(rows))
-        self.held.appendList(list(zip(fresh["us"].tolist(), fresh["number"].tolist(), fresh["inside"].tolist(), strict=True)))
-        for us in sorted({us // 1000 for us in fresh["us"].tolist()}):
-            self.handle.registerTimer(us + 1)
+        self.held.appendList(list(zip(*[fresh[c].tolist() for c in ("track_id", "us", "number", "inside")], strict=True)))
+        self._wake(int(fresh["us"].min()))
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.held.get())
-        done = [r for r in rows if r[0] // 1000 < passed]
-        if not done:
-            yield pd.DataFrame()
-            return
-        was = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for us, number, inside in done:
+        done, rest = [], []
+        for row in self.held.get():
+            (done if row[1] // 1000 < passed else rest).append(tuple(row))
+        known, touched, out = {k[0]: tuple(v) for k, v in self.tracks.iterator()}, {}, []
+        for track, us, number, inside in sorted(done):
+            was, entries, exits = touched.get(track) or known.get(track) or (None, 0, 0)
             if was is not None and inside != was:
-                event = "entry" if inside else "exit"
-                n = (self.counts.getValue((event,))[0] if self.counts.containsKey((event,)) else 0) + 1
-                self.counts.updateValue((event,), (n,))
-                out.append((key[0], pd.Timestamp(us, unit="us", tz="UTC"), number, event, n))
-            was = inside
-        self.last.update((was,))
-        rest = rows[len(done) :]
-        self.held.put(rest) if rest else self.held.clear()
+                entries, exits = (entries + 1, exits) if inside else (entries, exits + 1)
+                out.append((track, pd.Timestamp(us, unit="us", tz="UTC"), number, "entry" if inside else "exit", entries if inside else exits))
+            touched[track] = (inside, entries, exits)
+        for track, state in touched.items():
+            self.tracks.updateValue((track,), state)
+        self.timer.clear()
+        if rest:
+            self.held.put(rest)
+            self._wake(min(r[1] for r in rest))
+        else:
+            self.held.clear()
         yield pd.DataFrame(out, columns=["track_id", "at", "number", "event", "total"]) if out else pd.DataFrame()
 
     def close(self) -> None:
         pass
 
 
-def crossings_in_order(rows: DataFrame, late: str, ttl: int = 0) -> DataFrame:
+def crossings_in_order(rows: DataFrame, late: str, ttl: int = 0, buckets: int = BUCKETS) -> DataFrame:
     """Entries and exits of tracks (track_id, at, number, inside), rows in order of at and number however they arrive.
 
     Rows later than the watermark are dropped; others wait until it has passed them. total counts the events of this kind
     of the track so far. The result has the event time at, so that windows can follow in the same stream. The session
     must keep state in RocksDB (rocks_state).
     """
-    rows = rows.select(F.col("track_id").cast("long").alias("track_id"), "at", F.col("number").cast("long").alias("number"), "inside", F.unix_micros("at").alias("us")).withWatermark("at", late)
+    rows = rows.select(F.col("track_id").cast("long").alias("track_id"), "at", F.col("number").cast("long").alias("number"), "inside", F.unix_micros("at").alias("us"), F.pmod(F.xxhash64(F.col("track_id").cast("long")), F.lit(buckets)).alias("bucket")).withWatermark("at", late)
     schema = "track_id long, at timestamp, number long, event string, total long"
-    return rows.groupBy("track_id").transformWithStateInPandas(Crossings(ttl), schema, "Append", "EventTime", eventTimeColumnName="at")
+    return rows.groupBy("bucket").transformWithStateInPandas(Crossings(ttl), schema, "Append", "EventTime", eventTimeColumnName="at")
 
 
 def crossing_counts(events: DataFrame, width: str) -> DataFrame:
