@@ -1,7 +1,10 @@
 """Operators at the bounds that large tables reach: calls for state, ties of sums, memory of a task, rounds over a graph."""
 
 import pandas as pd
+from pyspark.sql import functions as F
 
+from tracklore.operators import reports as P
+from tracklore.operators import voxels as V
 from tracklore.streaming import link_stream as L
 
 
@@ -85,3 +88,30 @@ def test_crossings_set_one_timer_of_a_bucket():
     assert len(found) == 5 * 39 and handle.list.now is None and not handle.timers
     for _, of in found.groupby(["track_id", "event"]):
         assert of.sort_values("number")["total"].tolist() == list(range(1, len(of) + 1))
+
+
+def test_step_angles_do_not_follow_the_order_of_sums(spark):
+    # headings of 90, -90 and 180 degrees: the mean sine is zero but for noise, whose sign the order of its terms decides
+    found = set()
+    for steps in ((90, 270, 180, 180), (270, 90, 180, 180), (180, 90, 270, 180), (180, 180, 270, 90), (180,), (180, 180, 180)):
+        at, rows = {"x": 0.0, "y": 0.0}, [(1, 1, 0, 0.0, 0.0, 0.0)]
+        for k, turn in enumerate(steps):
+            at = {"x": at["x"] + {90: 0.0, 270: 0.0, 180: -1.0}[turn], "y": at["y"] + {90: 1.0, 270: -1.0, 180: -0.0}[turn]}
+            rows.append((1, 1, k + 1, 0.0, at["y"], at["x"]))
+        tracks = spark.createDataFrame(rows, "block_name long, track_id long, time int, centroid_z double, centroid_y double, centroid_x double")
+        found.add(round(P.step_angles(tracks).first()["xy_mean_deg"], 9))
+    assert found == {180.0}
+    noise = spark.createDataFrame([(1, 1, 0, 0.0, 0.0, 0.0), (1, 1, 1, 0.0, -1e-17, -1.0)], "block_name long, track_id long, time int, centroid_z double, centroid_y double, centroid_x double")
+    assert P.step_angles(noise).first()["xy_mean_deg"] == 180.0
+
+
+def test_dense_region_keeps_densities_that_tie(spark, monkeypatch):
+    # sums in other orders differ by noise, which must not part equal densities at the quantile
+    exact = V.density
+    noise = (F.pmod(F.xxhash64("f", "y", "x"), F.lit(5)) - 2) * 1e-16
+    monkeypatch.setattr(V, "density", lambda *a: exact(*a).withColumn("density", F.col("density") + noise))
+    pattern = [(0, 0), (0, 5), (5, 0), (5, 5), (9, 9), (9, 14)]
+    rows = [(f, y, x) for f in range(20) for y, x in pattern]
+    found = V.dense_region(spark.createDataFrame(rows, "f int, y int, x int"), ["f"], 1.0, 2, 0.5, 0.01, 1)
+    assert found.groupBy("y", "x").count().where("count <> 20").isEmpty()
+    assert found.join(spark.createDataFrame(rows, "f int, y int, x int"), ["f", "y", "x"]).count() == len(rows)

@@ -150,9 +150,12 @@ def density(pixels: DataFrame, key: list[str], sigma: float, r: int) -> DataFram
 
 
 def dense_region(pixels: DataFrame, key: list[str], sigma: float, r: int, quantile: float, floor: float, closing: int) -> DataFrame:
-    """Where pixels are dense: over a quantile of the density at occupied pixels and a floor, closed by a disk."""
-    d = kept(density(pixels, key, sigma, r))
-    at = d.join(pixels.hint("merge"), [*key, "y", "x"], "left_semi").groupBy(*key).agg(F.greatest(F.percentile("density", F.lit(quantile)), F.lit(floor)).alias("cut"))
+    """Where pixels are dense: over a quantile of the density at occupied pixels and a floor, closed by a disk.
+
+    Densities and the quantile count to nine digits, so that equal ones tie in whatever order they are summed.
+    """
+    d = kept(density(pixels, key, sigma, r).withColumn("density", F.round("density", 9)))
+    at = d.join(pixels.hint("merge"), [*key, "y", "x"], "left_semi").groupBy(*key).agg(F.greatest(F.round(F.percentile("density", F.lit(quantile)), 9), F.lit(floor)).alias("cut"))
     mask = d.join(at.hint("merge"), key).where(F.col("density") >= F.col("cut")).select(*key, "y", "x")
     return eroded(dilated(mask, key, closing), key, closing)
 

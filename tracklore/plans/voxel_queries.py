@@ -80,7 +80,7 @@ SELECT block, t, label, round(vol, 6) AS volume, round(sa, 6) AS surface_area, r
     "dilated_mask": f"WITH {_PIX} {_DIL('px', 2)}",
     "eroded_mask": f"WITH {_PIX}, d AS ({_DIL('px', 3)}) {_ERO('d', 2)}",
     "pixel_density": f"WITH {_DENS} SELECT block, t, y, x, round(density, 6) AS density FROM de",
-    "dense_region": f"""WITH {_DENS}, c AS (SELECT block, t, greatest(quantile_cont(density, 0.7), 0.08) AS cut FROM de SEMI JOIN px USING (block, t, y, x) GROUP BY ALL), m AS (SELECT block, t, y, x FROM de JOIN c USING (block, t) WHERE density >= cut), d AS ({_DIL('m', 1)}) {_ERO('d', 1)}""",
+    "dense_region": f"""WITH {_DENS}, dr AS (SELECT * REPLACE (round(density, 9) AS density) FROM de), c AS (SELECT block, t, greatest(round(quantile_cont(density, 0.7), 9), 0.08) AS cut FROM dr SEMI JOIN px USING (block, t, y, x) GROUP BY ALL), m AS (SELECT block, t, y, x FROM dr JOIN c USING (block, t) WHERE density >= cut), d AS ({_DIL('m', 1)}) {_ERO('d', 1)}""",
     "points_in_mask": f"WITH {_PIX}, p AS (SELECT block, t, y + 0.5 AS y, x + 0.25 AS x, y + y % 2 AS ry, x AS rx FROM pl) SELECT p.block, p.t, p.y, p.x, px.y IS NOT NULL AS inside FROM p LEFT JOIN px ON px.block = p.block AND px.t = p.t AND px.y = ry AND px.x = rx",
     "object_region_overlap": f"""WITH {_PIX}, ms AS (SELECT *, y // 4 + 1 AS cid FROM px), p AS (SELECT DISTINCT block, t, label, y, x FROM vox), j AS (SELECT p.block, p.t, p.label, cid, count(*) AS n FROM p LEFT JOIN ms USING (block, t, y, x) GROUP BY ALL),
 g AS (SELECT block, t, label, sum(n)::BIGINT AS pixels, coalesce(sum(n) FILTER (cid IS NOT NULL), 0)::BIGINT AS overlap FROM j GROUP BY ALL), b AS (SELECT block, t, label, cid FROM j WHERE cid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY block, t, label ORDER BY n DESC, cid) = 1)
