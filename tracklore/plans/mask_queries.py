@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from tracklore.operators import morphology as M
-from tracklore.plans.views import VOX, table, voxels
+from tracklore.plans.views import VOX, dealt, table, voxels
 
 SIZE = 32
 FRAME = ["block", "t"]
@@ -15,7 +15,7 @@ FRAME = ["block", "t"]
 
 def plates(spark, sf):
     """lineitem as images of every supplier's own: the largest price at each place, lighter towards the middle; 0 where no row is."""
-    x = table(spark, sf, "lineitem").select(
+    x = dealt(spark, sf, "lineitem", table(spark, sf, "lineitem"), "l_suppkey").select(
         F.col("l_suppkey").alias("block"), ((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 3) % SIZE).cast("int").alias("y"), ((F.col("l_partkey") * 5 + F.col("l_quantity").cast("long")) % SIZE).cast("int").alias("x"), F.col("l_extendedprice").alias("v"),
     )
     middle = F.pow(F.col("y") - 14, F.lit(2)) + F.pow(F.col("x") - 17, F.lit(2))
