@@ -181,18 +181,24 @@ def signed_distance(pixels: DataFrame, mask: DataFrame, key: list[str], reach: i
 
     Only pixels at the mask's edge, on either side, can be nearest, so only they are met.
     """
+    places = lambda d, p, m: d.select(*key, "y", "x", F.lit(p).alias("_p"), F.lit(m).alias("_in"), F.lit(not p).alias("_hit"))
     mask = mask.select(*key, "y", "x").distinct()
-    edge_out = dilated(mask, key, 1).join(mask.hint("merge"), [*key, "y", "x"], "left_anti")
-    inner = eroded(mask, key, 1)
-    p = pixels.join(mask.withColumn("_in", F.lit(True)).hint("merge"), [*key, "y", "x"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
-    sides = mask.join(inner.hint("merge"), [*key, "y", "x"], "left_anti").withColumn("_in", F.lit(False)).unionByName(edge_out.withColumn("_in", F.lit(True)))
+    near = mask.select(*key, "y", "x", F.explode(disk(1)).alias("o")).where("o.dy <> 0 OR o.dx <> 0").select(*key, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
+    at = places(pixels, 1, False).unionAll(places(mask, 0, True)).unionAll(places(near, 0, False))
+    at = at.groupBy(*key, "y", "x").agg(F.sum("_p").alias("_n"), F.bool_or("_in").alias("_in"), F.count_if("_hit").alias("_hits")).withColumn("_edge", F.when(F.col("_in"), F.col("_hits") < 5).otherwise(F.col("_hits") > 0))
+    # a place looks for edges of the other side in its own cell and those around; an edge offers itself in its cell
     cell = lambda c: F.floor(F.col(c) / reach)
-    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("o")
-    q = p.select(*key, "y", "x", "_in", near).withColumns({"_cy": cell("y") + F.col("o.a"), "_cx": cell("x") + F.col("o.b")})
-    t = sides.select(*key, "_in", F.col("y").alias("my"), F.col("x").alias("mx")).withColumns({"_cy": cell("my"), "_cx": cell("mx")})
-    d = F.sqrt((F.col("y") - F.col("my")) ** 2 + (F.col("x") - F.col("mx")) ** 2)
-    best = q.join(t.hint("merge"), [*key, "_in", "_cy", "_cx"]).groupBy(*key, "y", "x").agg(F.min(d).alias("d")).where(F.col("d") <= reach)
-    return p.join(best.hint("merge"), [*key, "y", "x"], "left").select(*key, "y", "x", F.when(F.col("_in"), -F.col("d")).otherwise(F.col("d")).alias("distance"))
+    around = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: F.struct((F.floor(k / 3) - 1).cast("int").alias("a"), (k % 3 - 1).cast("int").alias("b"), F.lit(True).alias("asks")))
+    own = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(False).alias("asks")))
+    asked = F.explode(F.concat(F.when(F.col("_n") > 0, around).otherwise(F.slice(around, 1, 0)), F.when(F.col("_edge"), own).otherwise(F.slice(own, 1, 0)))).alias("o")
+    met = at.select(*key, "y", "x", "_in", "_n", asked).select(*key, "y", "x", "_n", "o.asks", F.when(F.col("o.asks"), ~F.col("_in")).otherwise(F.col("_in")).alias("_side"), (cell("y") + F.col("o.a")).alias("_cy"), (cell("x") + F.col("o.b")).alias("_cx"))
+    cells = met.groupBy(*key, "_side", "_cy", "_cx").agg(F.collect_list(F.when(F.col("asks"), F.struct("y", "x", "_n"))).alias("_asking"), F.collect_list(F.when(~F.col("asks"), F.struct("y", "x"))).alias("_edges"))
+    found = cells.select(*key, (~F.col("_side")).alias("_in"), F.explode("_asking").alias("q"), "_edges")
+    square = F.array_min(F.transform("_edges", lambda e: (F.col("q.y") - e.y) * (F.col("q.y") - e.y) + (F.col("q.x") - e.x) * (F.col("q.x") - e.x)))
+    best = found.select(*key, "_in", "q.y", "q.x", F.col("q._n").alias("_n"), F.sqrt(square).alias("d")).groupBy(*key, "y", "x").agg(F.first("_in").alias("_in"), F.first("_n").alias("_n"), F.min("d").alias("d"))
+    d = F.when(F.col("d") <= reach, F.col("d"))
+    signed = best.select(*key, "y", "x", F.when(F.col("_in"), -d).otherwise(d).alias("distance"), "_n")
+    return signed.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n")
 
 
 def object_overlap(voxels: DataFrame, mask: DataFrame, key: list[str]) -> DataFrame:
