@@ -215,10 +215,9 @@ def turning_histogram(tracks: DataFrame, bins: int = 24) -> DataFrame:
 
 
 def lag_msd(tracks: DataFrame, most: int) -> DataFrame:
-    """Mean squared displacement of each track by row lag: all pairs of detections lag rows apart, by one equi-join."""
-    rows = tracks.withColumn("rn", F.row_number().over(by_time())).select(*KEY, "rn", *[F.col(f"centroid_{c}").alias(c) for c in "zyx"])
-    ahead = rows.select(*KEY, F.explode(F.sequence(F.lit(1), F.lit(most))).alias("lag"), "rn", *[F.col(c).alias(f"{c}0") for c in "zyx"]).withColumn("rn", F.col("rn") + F.col("lag"))
-    pairs = ahead.join(rows.hint("merge"), [*KEY, "rn"])
+    """Mean squared displacement of each track by row lag: all pairs of detections lag rows apart, looked up ahead in its window."""
+    ahead = F.array(*[F.struct(F.lit(k).alias("lag"), *[F.lead(f"centroid_{c}", k).over(by_time()).alias(c) for c in "zyx"], F.lead("time", k).over(by_time()).isNotNull().alias("there")) for k in range(1, most + 1)])
+    pairs = tracks.withColumn("ahead", ahead).select(*KEY, *[F.col(f"centroid_{c}").alias(f"{c}0") for c in "zyx"], F.explode("ahead").alias("p")).where("p.there").select(*KEY, "p.lag", *[f"{c}0" for c in "zyx"], *[f"p.{c}" for c in "zyx"])
     d2 = sum(((F.col(c) - F.col(f"{c}0")) * (F.col(c) - F.col(f"{c}0")) for c in "zyx"), F.lit(0.0))
     return pairs.groupBy(*KEY, "lag").agg(F.avg(d2).alias("msd"), F.count("*").alias("n_pairs"))
 
