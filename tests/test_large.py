@@ -5,8 +5,11 @@ from pyspark.sql import functions as F
 
 from tracklore.operators import reports as P
 from tracklore.operators import voxels as V
+from tracklore.plans import series_queries, track_queries, views, voxel_queries
 from tracklore.streaming import link_stream as L
 
+SF = "/root/testdata/sf0.001"
+
 
 class _State:
     def __init__(self):
@@ -115,3 +118,35 @@ def test_dense_region_keeps_densities_that_tie(spark, monkeypatch):
     found = V.dense_region(spark.createDataFrame(rows, "f int, y int, x int"), ["f"], 1.0, 2, 0.5, 0.01, 1)
     assert found.groupBy("y", "x").count().where("count <> 20").isEmpty()
     assert found.join(spark.createDataFrame(rows, "f int, y int, x int"), ["f", "y", "x"]).count() == len(rows)
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_views_deal_their_table_once_to_tasks_that_follow_it(spark, monkeypatch):
+    monkeypatch.setattr(views, "ROWS", 500, raising=False)
+    for view in (views.big_detections, views.voxels):
+        assert view(spark, SF).rdd.getNumPartitions() >= 10
+    for name in ("eroded_mask", "pixel_density", "slice_nodes"):
+        assert _exchanges(voxel_queries.QUERIES[name](spark, SF)) == 1
+    assert _exchanges(track_queries.QUERIES["track_quality"](spark, SF)) == 1
+    assert series_queries.QUERIES["interpolated_shifts"](spark, SF).count() > 0
+
+
+def test_signed_distances_deal_their_inputs_only(spark):
+    assert _exchanges(voxel_queries.QUERIES["signed_distances"](spark, SF)) <= 3
+
+
+def test_lags_are_looked_up_in_one_window(spark):
+    assert _exchanges(track_queries.QUERIES["msd_log_fit"](spark, SF)) == 1
+
+
+def test_nearest_other_asks_in_few_cells(spark):
+    points = spark.range(400).select(F.col("id").alias("gt_id"), F.lit(1).alias("block_name"), F.lit(0).alias("time"), (F.col("id") * 7.3 % 97).alias("y"), (F.col("id") * 3.1 % 89).alias("x"))
+    found = {r["gt_id"]: (r["other"], r["distance"]) for r in P.nearest_other(points, 6.0).collect()}
+    at = [(r["gt_id"], r["y"], r["x"]) for r in points.collect()]
+    for i, y, x in at:
+        near = min((((y - b) ** 2 + (x - c) ** 2) ** 0.5, j) for j, b, c in at if j != i)
+        assert found[i] == ((near[1], near[0]) if near[0] <= 6 else (None, None))
+    assert "Generate explode(array" not in P.nearest_other(points, 6.0)._jdf.queryExecution().optimizedPlan().toString()
