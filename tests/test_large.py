@@ -3,6 +3,8 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tracklore.operators import lineage
+from tracklore.operators import morphology as M
 from tracklore.operators import reports as P
 from tracklore.operators import voxels as V
 from tracklore.plans import series_queries, track_queries, views, voxel_queries
@@ -150,3 +152,16 @@ def test_nearest_other_asks_in_few_cells(spark):
         near = min((((y - b) ** 2 + (x - c) ** 2) ** 0.5, j) for j, b, c in at if j != i)
         assert found[i] == ((near[1], near[0]) if near[0] <= 6 else (None, None))
     assert "Generate explode(array" not in P.nearest_other(points, 6.0)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parts_take_no_rounds_over_the_graph(spark, monkeypatch):
+    snake = [(b, y, x) for b in range(3) for y in range(0, 21) for x in range(12) if y % 2 == 0 or x == (11 if y % 4 == 1 else 0)]
+    runs = M.runs_of(spark.createDataFrame([*snake, (1, 30, 0), (2, 31, 5), (2, 31, 6)], "block long, y int, x int"), ["block"])
+    found = lambda: sorted(M.parts(runs, ["block"], corners=False).groupBy("block", "part").agg(F.first("area").alias("area"), F.count("*").alias("runs")).select("block", "area", "runs").collect())
+    monkeypatch.setattr(lineage, "LARGE", 0)
+    rounds = found()
+    monkeypatch.undo()
+    calls = []
+    monkeypatch.setattr(lineage, "components", lambda *a: calls.append(a))
+    assert found() == rounds == [(0, 142, 21), (1, 1, 1), (1, 142, 21), (2, 2, 1), (2, 142, 21)]
+    assert not calls

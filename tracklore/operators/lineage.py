@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -99,3 +101,37 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     nodes = edges.select("u").unionAll(edges.select(F.col("v").alias("u"))).distinct()
     return nodes.join(now.select("u", F.col("v").alias("component")).hint("merge"), "u", "left").select("u", F.coalesce("component", "u").alias("component"))
+
+
+#: Edges that one task settles, about, and edges of one key from which on its graph is settled in rounds over all tasks.
+EDGES, LARGE = 200_000, 2_000_000
+
+
+def _least(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Nodes of a task's edges with the least node that each reaches: the least label spreads, and jumps ahead."""
+    edges = [t.to_numpy(np.int64) for t in tables]
+    nodes, ends = np.unique(np.concatenate(edges) if edges else np.empty((0, 2), np.int64), return_inverse=True)
+    u, v = ends.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while (label[u] != label[v]).any():
+        low = np.minimum(label[u], label[v])
+        np.minimum.at(label, label[u], low)
+        np.minimum.at(label, label[v], low)
+        while (label != label[label]).any():
+            label = label[label]
+    yield pd.DataFrame({"u": nodes, "component": nodes[label]})
+
+
+def components_within(edges: DataFrame, key: list[str], each: int | None = None, large: int | None = None) -> DataFrame:
+    """components of edges (key, u, v) that never leave their key: whole keys are settled in a task, without rounds.
+
+    A key of more than large edges is settled by components with others of its size.
+    """
+    edges = kept(edges.select(*key, "u", "v"))
+    heavy = kept(edges.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > (large or LARGE)).drop("n"))
+    light, rest = edges, None
+    if not heavy.isEmpty():
+        light, rest = edges.join(heavy.hint("merge"), key, "left_anti"), edges.join(heavy.hint("merge"), key, "left_semi")
+    tasks = max(-(-edges.count() // (each or EDGES)), edges.sparkSession.sparkContext.defaultParallelism)
+    found = light.repartition(tasks, *key).select("u", "v").mapInPandas(_least, "u long, component long")
+    return found if rest is None else found.unionAll(components(rest.select("u", "v")))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracklore.operators.lineage import components, kept
+from tracklore.operators.lineage import components_within, kept
 
 #: Bins of the histogram that the threshold between dark and light comes from.
 BINS = 256
@@ -77,7 +77,7 @@ def parts(runs: DataFrame, key: list[str], corners: bool) -> DataFrame:
     below = own.select(*key, (F.col("y") - 1).alias("y"), F.col("x0").alias("_a"), F.col("x1").alias("_b"), F.col("run").alias("v"))
     reach = 1 if corners else 0
     ties = own.join(below.hint("merge"), [*key, "y"]).where((F.col("x0") <= F.col("_b") + reach) & (F.col("_a") <= F.col("x1") + reach))
-    found = components(ties.select(F.col("run").alias("u"), "v")).select(F.col("u").alias("run"), F.col("component").alias("part"))
+    found = components_within(ties.select(*key, F.col("run").alias("u"), "v"), key).select(F.col("u").alias("run"), F.col("component").alias("part"))
     of = own.join(found.hint("merge"), "run", "left").withColumn("part", F.coalesce("part", "run")).drop("run")
     sizes = of.groupBy("part").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"), F.min(F.struct("y", F.col("x0").alias("x"))).alias("first"))
     return of.join(sizes.hint("merge"), "part")
