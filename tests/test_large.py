@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tracklore.operators import lineage
+from tracklore.operators import link as K
 from tracklore.operators import morphology as M
 from tracklore.operators import reports as P
 from tracklore.operators import voxels as V
@@ -165,3 +166,12 @@ def test_parts_take_no_rounds_over_the_graph(spark, monkeypatch):
     monkeypatch.setattr(lineage, "components", lambda *a: calls.append(a))
     assert found() == rounds == [(0, 142, 21), (1, 1, 1), (1, 142, 21), (2, 2, 1), (2, 142, 21)]
     assert not calls
+
+
+def test_small_frames_share_a_group(spark):
+    edges = spark.createDataFrame([(b, 1, z, 1, 1 + b % 2, 1) for b in range(300) for z in range(6)], "block long, t int, z int, gap int, la int, lb int")
+    found = K.constrained_union(edges, 4)
+    assert "_bucket" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["block"], r["z"], r["label"]): (r["component_z"], r["component_label"]) for r in found.collect()}
+    assert len(got) == 150 * 7 + 150 * 12
+    assert [got[(0, z, 1)][0] for z in range(7)] == [0, 0, 0, 0, 4, 4, 4] and all(got[(b, z, 1)] == got[(0, z, 1)] for b in range(0, 300, 2) for z in range(7))

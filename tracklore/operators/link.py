@@ -303,30 +303,34 @@ def constrained_union(edges: DataFrame, max_span: int) -> DataFrame:
     """(block, t, z, label, component_z, component_label) from edges (block, t, z, gap, la, lb): unions in order of z, gap, la, lb.
 
     An edge ties the mask (z, la) to (z + gap, lb), unless the object would span more than max_span slices; a component
-    is named by its least mask. The result depends on the order, so each frame's few edges are joined in one task.
+    is named by its least mask. The result depends on the order, so a frame's few edges are joined in one task, which takes
+    about BUCKET edges of many frames.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[tuple[int, int], tuple[int, int]] = {}
-        span: dict[tuple[int, int], tuple[int, int]] = {}
+        parent: dict[tuple[int, ...], tuple[int, ...]] = {}
+        span: dict[tuple[int, ...], tuple[int, int]] = {}
 
-        def root(x: tuple[int, int]) -> tuple[int, int]:
+        def root(x: tuple[int, ...]) -> tuple[int, ...]:
             while parent[x] != x:
                 parent[x] = parent[parent[x]]
                 x = parent[x]
             return x
 
-        for z, gap, la, lb in pdf[["z", "gap", "la", "lb"]].sort_values(["z", "gap", "la", "lb"]).itertuples(index=False):
-            ends = (int(z), int(la)), (int(z + gap), int(lb))
+        columns = pdf.sort_values(["z", "gap", "la", "lb"])[["block", "t", "z", "gap", "la", "lb"]]
+        for block, t, z, gap, la, lb in zip(*[columns[c].tolist() for c in columns], strict=True):
+            ends = (block, t, z, la), (block, t, z + gap, lb)
             for x in ends:
                 if x not in parent:
-                    parent[x], span[x] = x, (x[0], x[0])
+                    parent[x], span[x] = x, (x[2], x[2])
             x, y = map(root, ends)
             lo, hi = min(span[x][0], span[y][0]), max(span[x][1], span[y][1])
             if x != y and hi - lo + 1 <= max_span:
                 parent[max(x, y)] = min(x, y)
                 span[min(x, y)] = (lo, hi)
-        rows = [(*n, *root(n)) for n in sorted(parent)]
-        return pd.DataFrame(rows, columns=["z", "label", "component_z", "component_label"]).assign(block=pdf["block"].iloc[0], t=pdf["t"].iloc[0])[["block", "t", "z", "label", "component_z", "component_label"]]
+        rows = [(*n, *root(n)[2:]) for n in parent]
+        return pd.DataFrame(rows, columns=["block", "t", "z", "label", "component_z", "component_label"])
 
-    return edges.groupBy("block", "t").applyInPandas(run, "block long, t int, z int, label long, component_z int, component_label long")
+    edges = kept(edges.select("block", "t", "z", "gap", "la", "lb"))
+    buckets = max(1, -(-edges.count() // BUCKET), edges.sparkSession.sparkContext.defaultParallelism)
+    return edges.groupBy(F.pmod(F.xxhash64("block", "t"), F.lit(buckets)).alias("_bucket")).applyInPandas(run, "block long, t int, z int, label long, component_z int, component_label long")
