@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -188,14 +190,57 @@ def carried(runs: DataFrame, frames: DataFrame, key: list[str], time: str, least
     return runs.join(of.hint("merge"), [*key, time]).withColumnRenamed(time, "carried_from").withColumnRenamed("_to", time)
 
 
+#: Links that one group meets with the masks of their frames, about, and samples of links looked up at a time.
+LINKS, SAMPLES = 20_000, 1_000_000
+
+
+def _crossing(images: list[str], samples: int):
+    """The links of a bucket of images that a run of their image covers a sample of."""
+
+    def run(links: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros(len(links) + len(runs), np.int64)
+        for c in images:
+            code = pd.factorize(pd.concat([links[c], runs[c]]))[0].astype(np.int64)
+            image = pd.factorize(image * (code.max(initial=0) + 1) + code)[0].astype(np.int64)
+        of, image = image[: len(links)], image[len(links) :]
+        y, x0, x1 = (runs[c].to_numpy(np.int64) for c in ("y", "x0", "x1"))
+        hit = np.zeros(len(links), bool)
+        if len(runs) and len(links):
+            low, left = y.min(), x0.min()
+            high, wide = y.max() - low + 1, max(x1.max(), x0.max()) - left + 2
+            rows, row = np.unique(image * high + y - low, return_inverse=True)
+            order = np.argsort(row * wide + x0 - left, kind="stable")
+            start, end = (row * wide + x0 - left)[order], np.maximum.accumulate((row * wide + x1 - left)[order])
+            f = np.arange(samples) / float(samples - 1)
+            ends = links[["y0", "x0", "y1", "x1"]].to_numpy(float)
+            each = max(1, SAMPLES // samples)
+            for k in range(0, len(links), each):
+                a, b, c, d = (v[:, None] for v in ends[k : k + each].T)
+                py, px = np.rint(a + (c - a) * f), np.rint(b + (d - b) * f)
+                good = (py >= low) & (py < low + high) & (px >= left) & (px < left + wide - 1)
+                which, sample = np.nonzero(good)
+                key = of[k : k + each][which] * high + py[which, sample].astype(np.int64) - low
+                at = np.minimum(np.searchsorted(rows, key), len(rows) - 1)
+                place = at * wide + px[which, sample].astype(np.int64) - left
+                before = np.searchsorted(start, place, side="right") - 1
+                hit[k + which[(rows[at] == key) & (before >= 0) & (end[before] >= place)]] = True
+        return pd.DataFrame({"link_id": links["link_id"].to_numpy()[hit]})
+
+    return run
+
+
 def links_across(links: DataFrame, runs: DataFrame, key: list[str], time: str, samples: int) -> DataFrame:
     """(link_id, crosses): whether a link (key, link_id, t0, t1, y0, x0, y1, x1) meets the mask in any frame from t0 to t1.
 
-    Its pixels are those of samples places from one end to the other, met with the runs of their rows.
+    Its pixels are those of samples places from one end to the other. Links and runs are dealt to buckets of images by their
+    frame, where samples are made and looked up, so that only links move.
     """
-    f = F.col("k") / float(samples - 1)
-    at = links.select(*key, "link_id", F.explode(F.sequence("t0", "t1")).alias(time), "y0", "x0", "y1", "x1").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    place = lambda a, b: F.rint(F.col(a) + (F.col(b) - F.col(a)) * f).cast("int")
-    at = at.select(*key, "link_id", time, place("y0", "y1").alias("y"), place("x0", "x1").alias("x")).distinct()
-    hit = at.join(runs.select(*key, time, "y", "x0", "x1").hint("merge"), [*key, time, "y"]).where("x BETWEEN x0 AND x1").select("link_id").distinct().withColumn("crosses", F.lit(True))
-    return links.select("link_id").join(hit.hint("merge"), "link_id", "left").select("link_id", F.coalesce("crosses", F.lit(False)).alias("crosses"))
+    links = kept(links.select(*key, "link_id", "t0", "t1", "y0", "x0", "y1", "x1"))
+    at = links.select(*key, "link_id", F.explode(F.sequence("t0", "t1")).alias(time), *[F.col(c).cast("double").alias(c) for c in ("y0", "x0", "y1", "x1")])
+    at = at.dropna(subset=[*key, time, "y0", "x0", "y1", "x1"])
+    masks = runs.select(*[F.col(c).cast(t).alias(c) for c, t in at.dtypes if c in (*key, time)], "y", "x0", "x1").dropna()
+    buckets = max(1, -(-links.count() // LINKS), links.sparkSession.sparkContext.defaultParallelism)
+    bucket = F.pmod(F.xxhash64(*key, time), F.lit(buckets)).alias("_bucket")
+    kind = dict(links.dtypes)["link_id"]
+    hit = at.withColumn("_bucket", bucket).groupBy("_bucket").cogroup(masks.withColumn("_bucket", bucket).groupBy("_bucket")).applyInPandas(_crossing([*key, time], samples), f"link_id {kind}")
+    return links.select("link_id").join(hit.distinct().withColumn("crosses", F.lit(True)).hint("merge"), "link_id", "left").select("link_id", F.coalesce("crosses", F.lit(False)).alias("crosses"))
