@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracklore.operators.lineage import components, kept
+from tracklore.operators.lineage import components_within, kept
 from tracklore.operators.morphology import links_across
 
 
@@ -144,17 +145,205 @@ class Tracker:
 
 
 PLACE = ["centroid_z", "centroid_y", "centroid_x", "volume_voxels", "mean_intensity"]
+#: Stands for a null block in a task, where numbers would else become floats.
+NONE = -(2**63)
+LINKED = "block_name long, time int, object_label long, track_id long"
+
+
+#: Detections of a frame up to which blocks are stepped together, and cells of their cost matrices at a time.
+TOGETHER, CELLS = 64, 1_000_000
+
+
+def _assign_many(cost: np.ndarray, n: np.ndarray, m: np.ndarray, cutoff: float) -> np.ndarray:
+    """assign of many matrices at once, cost (b, rows, columns) of which n and m are real: the column of each row, or -1."""
+    out = np.full(cost.shape[:2], -1)
+    finite = np.isfinite(cost)
+    alone = finite & (finite.sum(2, keepdims=True) == 1) & (finite.sum(1, keepdims=True) == 1)
+    b, i, j = np.nonzero(alone & (cost <= cutoff))
+    out[b, i] = j
+    some = alone.any((1, 2))[:, None]
+    rows = np.where(some, finite.any(2) & ~alone.any(2), np.arange(cost.shape[1]) < n[:, None])
+    cols = np.where(some, finite.any(1) & ~alone.any(1), np.arange(cost.shape[2]) < m[:, None])
+    of = np.flatnonzero((finite & ~alone).any((1, 2)))
+    if not len(of):
+        return out
+    rows, cols, size = rows[of], cols[of], max(cost.shape[1:])
+    r, c = np.argsort(~rows, axis=1, kind="stable"), np.argsort(~cols, axis=1, kind="stable")
+    own = np.full((len(of), size, size), np.inf)
+    own[:, : r.shape[1], : c.shape[1]] = cost[of[:, None, None], r[:, :, None], c[:, None, :]]
+    n, m = rows.sum(1), cols.sum(1)
+    turned = n > m
+    own[turned] = own[turned].transpose(0, 2, 1)
+    low, high = np.minimum(n, m), np.maximum(n, m)
+    real = (np.arange(size)[:, None] < low[:, None, None]) & (np.arange(size) < high[:, None, None])
+    good = np.isfinite(own) & real
+    big = np.where(good, np.abs(own), 0.0).max((1, 2)) * (low + 1) + 1e6
+    a = np.where(good, own, np.where(real, big[:, None, None], np.inf))
+    u, v, owner = np.zeros((len(of), size + 1)), np.zeros((len(of), size + 1)), np.zeros((len(of), size + 1), int)
+    for k in range(1, int(low.max()) + 1):
+        q = np.flatnonzero(low >= k)
+        owner[q, 0] = k
+        least, way, done = np.full(u.shape, np.inf), np.zeros(u.shape, int), np.zeros(u.shape, bool)
+        at, ended = np.zeros(len(of), int), q
+        while len(q):
+            done[q, at[q]] = True
+            row = owner[q, at[q]]
+            slack = a[q, row - 1] - u[q, row][:, None] - v[q, 1:]
+            shut, near, ways = done[q], least[q], way[q]
+            better = ~shut[:, 1:] & (slack < near[:, 1:])
+            near[:, 1:][better] = slack[better]
+            ways[:, 1:] = np.where(better, at[q][:, None], ways[:, 1:])
+            reach = np.where(shut[:, 1:], np.inf, near[:, 1:])
+            nxt = reach.argmin(1) + 1
+            step = reach[np.arange(len(q)), nxt - 1]
+            x, y = np.nonzero(shut)
+            u[q[x], owner[q[x], y]] += step[x]
+            v[q] -= np.where(shut, step[:, None], 0.0)
+            least[q], way[q] = np.where(shut, near, near - step[:, None]), ways
+            at[q] = nxt
+            q = q[owner[q, nxt] > 0]
+        q = ended
+        while len(q):
+            to = way[q, at[q]]
+            owner[q, at[q]] = owner[q, to]
+            at[q] = to
+            q = q[to > 0]
+    b, col = np.nonzero(owner[:, 1:])
+    row = owner[b, col + 1] - 1
+    took = good[b, row, col] & (own[b, row, col] <= cutoff)
+    b, row, col = b[took], row[took], col[took]
+    i, j = np.where(turned[b], col, row), np.where(turned[b], row, col)
+    out[of[b], r[b, i]] = c[b, j]
+    return out
+
+
+def _costs_many(last: np.ndarray, speed: np.ndarray, gap: np.ndarray, now: np.ndarray, rules: LinkRules) -> np.ndarray:
+    """costs of many blocks at once; places that are padded are not numbers and beyond every gate."""
+    reach = (gap + 1.0)[:, :, None]
+    d = now[:, None, :, :3] - last[:, :, None, :3]
+    flat = d * np.array([rules.z_weight, 1.0, 1.0])
+    distance = np.sqrt((flat**2).sum(3))
+    ok, out = distance <= rules.max_distance * reach, distance
+    if rules.method == "keyhole":
+        size = np.sqrt((speed**2).sum(2))[:, :, None]
+        moving = size > rules.least_speed
+        forward = (flat * speed[:, :, None, :]).sum(3) / np.maximum(size, 1e-12)
+        aside = np.sqrt(np.maximum(distance**2 - forward**2, 0))
+        cone = (forward >= 0) & (forward <= rules.forward_distance * reach) & (np.arctan2(aside, forward + 1e-6) <= np.radians(rules.cone_degrees))
+        ok = np.where(moving, cone | (distance <= rules.back_radius), ok)
+        ahead = flat - speed[:, :, None, :] * reach[:, :, :, None]
+        out = np.where(moving, np.sqrt((ahead**2).sum(3)), distance)
+    if rules.method in ("lap", "keyhole"):
+        for k, weight in ((3, rules.volume_weight), (4, rules.intensity_weight)):
+            x, y = last[:, :, None, k], now[:, None, :, k]
+            apart = np.abs(x - y) / np.maximum(np.maximum(np.abs(x), np.abs(y)), 1e-6)
+            out = out + weight * rules.max_distance * np.where(np.isfinite(x) & np.isfinite(y), apart, 0.0)
+    return np.where(ok & (np.abs(d[:, :, :, 0]) <= rules.max_z_step * reach), out, np.inf)
+
+
+def _fronts(values: list[np.ndarray], keep: np.ndarray) -> list[np.ndarray]:
+    """values (b, k, ...) with those to keep moved to the front in their order, and as wide as the most that are kept."""
+    order = np.argsort(~keep, axis=1, kind="stable")[:, : max(int(keep.sum(1).max()), 1)]
+    return [v[np.arange(len(v))[:, None], order] for v in values]
+
+
+def _steps(place: np.ndarray, first: np.ndarray, size: np.ndarray, wait: np.ndarray, of: list[np.ndarray], rules: LinkRules, ids: np.ndarray) -> None:
+    """Tracker.step of many blocks at once, frame by frame; of has each block's frames, blocks with most frames first."""
+    width = int(max(size[o].max() for o in of))
+    count = np.array([len(o) for o in of])
+    last, speed = np.full((len(of), 1, 5), np.nan), np.zeros((len(of), 1, 3))
+    gap, name, n, new = np.zeros((len(of), 1), int), np.zeros((len(of), 1), int), np.zeros(len(of), int), np.ones(len(of), int)
+    scale = np.array([rules.z_weight, 1.0, 1.0])
+    for k in range(int(count[0])):
+        live = int((count > k).sum())
+        last, speed, gap, name, n, new = (v[:live] for v in (last, speed, gap, name, n, new))
+        f = np.array([o[k] for o in of[:live]])
+        gap = gap + wait[f][:, None]
+        held = np.arange(gap.shape[1]) < n[:, None]
+        keep = held & (gap <= rules.max_gap)
+        last, speed, gap, name = _fronts([last, speed, gap, name], keep)
+        n = keep.sum(1)
+        held = np.arange(gap.shape[1]) < n[:, None]
+        there = np.arange(width) < size[f][:, None]
+        at = np.where(there, first[f][:, None] + np.arange(width), 0)
+        now = np.where(there[:, :, None], place[at], np.nan)
+        cost = np.where(held[:, :, None] & there[:, None, :], _costs_many(last, speed, gap, now, rules), np.inf)
+        to = _assign_many(cost, n, size[f], rules.cost_cutoff)
+        g, i = np.nonzero(to >= 0)
+        j = to[g, i]
+        gap = gap + 1
+        speed[g, i], last[g, i], gap[g, i] = (now[g, j, :3] - last[g, i, :3]) * scale, now[g, j], 0
+        found = np.zeros(there.shape, int)
+        found[g, j] = name[g, i]
+        fresh = there & (found == 0)
+        found = np.where(fresh, new[:, None] + np.cumsum(fresh, axis=1) - 1, found)
+        ids[at[there]] = found[there]
+        new = new + fresh.sum(1)
+        keep = np.concatenate((held & (gap <= rules.max_gap), fresh), axis=1)
+        zero = np.zeros(there.shape, int)
+        last, speed, gap, name = _fronts([np.concatenate((last, now), 1), np.concatenate((speed, np.zeros((*there.shape, 3))), 1), np.concatenate((gap, zero), 1), np.concatenate((name, found), 1)], keep)
+        n = keep.sum(1)
+
+
+def link_many(place: np.ndarray, block: np.ndarray, frame: np.ndarray, rules: LinkRules, aged: bool = False) -> np.ndarray:
+    """Track ids of the detections of many blocks, in order of block and frame, as a Tracker of each block gives them.
+
+    Blocks of small frames are stepped together, a frame of each at a time, those of large frames one after the other.
+    If aged, tracks age by the frames that a block lacks.
+    """
+    cut = lambda x: np.concatenate(([True], x[1:] != x[:-1]))
+    other = cut(block)
+    first = np.flatnonzero(other | cut(frame))
+    size, start = np.diff(np.append(first, len(block))), other[first]
+    wait = np.where(start | (not aged), 0, np.diff(frame[first], prepend=frame[:1]) - 1)
+    of = np.split(np.arange(len(first)), np.flatnonzero(start)[1:])
+    most = np.maximum.reduceat(size, np.flatnonzero(start))
+    ids = np.zeros(len(block), np.int64)
+    classes = np.ceil(np.log2(most)).astype(int)
+    for c in np.unique(classes):
+        own = [of[k] for k in np.flatnonzero(classes == c)]
+        if 2**c > TOGETHER:
+            for frames in own:
+                tracker = Tracker(rules)
+                for f in frames:
+                    tracker.wait(int(wait[f]))
+                    ids[first[f] : first[f] + size[f]] = tracker.step(place[first[f] : first[f] + size[f]])
+            continue
+        own.sort(key=len, reverse=True)
+        each = max(1, CELLS // ((rules.max_gap + 1) * 4**c))
+        for k in range(0, len(own), each):
+            with np.errstate(invalid="ignore"):
+                _steps(place, first, size, wait, own[k : k + each], rules, ids)
+    return ids
+
+
+PLACE = ["centroid_z", "centroid_y", "centroid_x", "volume_voxels", "mean_intensity"]
+#: Stands for a null block in a task, where numbers would else become floats.
+NONE = -(2**63)
 LINKED = "block_name long, time int, object_label long, track_id long"
 
 
 def _linked(rules: LinkRules):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["time", "object_label"], kind="stable")
-        tracker, ids = Tracker(rules), []
-        place, time = pdf[PLACE].to_numpy(float), pdf["time"].to_numpy()
-        for frame in np.split(place, np.flatnonzero(time[1:] != time[:-1]) + 1):
-            ids += tracker.step(frame)
-        return pdf[["block_name", "time", "object_label"]].assign(track_id=ids)
+    """Whole blocks of a task's rows, in order of block, about BUCKET rows at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def done(pdf: pd.DataFrame) -> pd.DataFrame:
+            ids = link_many(pdf[PLACE].to_numpy(float), pdf["block_name"].to_numpy(), pdf["time"].to_numpy(), rules)
+            return pdf[["block_name", "time", "object_label"]].assign(track_id=ids)
+
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) < BUCKET or held[0]["block_name"].iloc[0] == batch["block_name"].iloc[-1]:
+                continue
+            rows = pd.concat(held)
+            open_ = (rows["block_name"] == rows["block_name"].iloc[-1]).to_numpy()
+            if not open_.all():
+                yield done(rows[~open_])
+            held = [rows[open_]] if open_.any() else []
+        rows = pd.concat(held) if held else None
+        if rows is not None and len(rows):
+            yield done(rows)
 
     return run
 
@@ -162,10 +351,13 @@ def _linked(rules: LinkRules):
 def link_tracks(detections: DataFrame, rules: LinkRules) -> DataFrame:
     """(block_name, time, object_label, track_id): blocks are linked apart, each in one pass over its frames.
 
-    Linking is ordered within a block, so a block is the unit of parallel work; it holds one acquisition's detections.
+    Linking is ordered within a block, so a block is the unit of parallel work; it holds one acquisition's detections. A
+    task streams its blocks and steps many of them together.
     """
     rows = detections.select(F.col("block_name").cast("long"), F.col("time").cast("int"), F.col("object_label").cast("long"), *PLACE)
-    return rows.groupBy("block_name").applyInPandas(_linked(rules), LINKED)
+    rows = rows.withColumn("block_name", F.coalesce("block_name", F.lit(NONE)))
+    linked = rows.repartition("block_name").sortWithinPartitions("block_name", "time", "object_label").mapInPandas(_linked(rules), LINKED)
+    return linked.withColumn("block_name", F.nullif("block_name", F.lit(NONE)))
 
 
 #: Detections of the components that one group links, about; a larger component is a group of its own.
@@ -183,22 +375,11 @@ def gate(rules: LinkRules) -> float:
 def _apart(rules: LinkRules):
     """Frames of each component of a bucket, linked in order."""
 
-    def one(pdf: pd.DataFrame) -> list[int]:
-        tracker, ids, last = Tracker(rules), [], None
-        place, frame = pdf[PLACE].to_numpy(float), pdf["_frame"].to_numpy()
-        for own in np.split(np.arange(len(pdf)), np.flatnonzero(frame[1:] != frame[:-1]) + 1):
-            now = int(frame[own[0]])
-            if last is not None and now - last > 1:
-                tracker.wait(now - last - 1)
-            ids += tracker.step(place[own])
-            last = now
-        return ids
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["block_name", "_part", "_frame", "object_label"], kind="stable")
         key = pdf[["block_name", "_part"]].to_numpy()
-        ids = [i for own in np.split(np.arange(len(pdf)), np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1) for i in one(pdf.iloc[own])]
-        return pdf[["block_name", "time", "object_label", "_frame", "_part"]].assign(_local=ids)
+        part = np.cumsum(np.concatenate(([False], (key[1:] != key[:-1]).any(1))))
+        return pdf[["block_name", "time", "object_label", "_frame", "_part"]].assign(_local=link_many(pdf[PLACE].to_numpy(float), part, pdf["_frame"].to_numpy(), rules, aged=True))
 
     return run
 
@@ -225,8 +406,8 @@ def link_apart(detections: DataFrame, rules: LinkRules) -> DataFrame:
         b = rows.select("block_name", "_frame", F.col("_node").alias("v"), *PLACE[:3], cell("centroid_y").alias("_y"), cell("centroid_x").alias("_x"))
         d = {c: F.col(f"centroid_{c}") - F.col(f"_centroid_{c}") for c in "zyx"}
         near = (d["z"] * rules.z_weight) ** 2 + d["y"] ** 2 + d["x"] ** 2 <= (F.lit(size) * F.col("g")) ** 2 * (1 + 1e-9)
-        pairs = a.join(b.hint("merge"), ["block_name", "_frame", "_y", "_x"]).where(near & (F.abs(d["z"]) <= rules.max_z_step * F.col("g"))).select("u", "v")
-        found = components(pairs).select(F.col("u").alias("_node"), F.col("component").alias("_part"))
+        pairs = a.join(b.hint("merge"), ["block_name", "_frame", "_y", "_x"]).where(near & (F.abs(d["z"]) <= rules.max_z_step * F.col("g"))).select("block_name", "u", "v")
+        found = components_within(pairs, ["block_name"]).select(F.col("u").alias("_node"), F.col("component").alias("_part"))
         found = kept(found)
         of = rows.join(found.hint("merge"), "_node")
         alone = rows.join(found.hint("merge"), "_node", "left_anti").select("block_name", "time", "object_label", "_frame", F.col("_node").alias("_part"), F.lit(1).cast("long").alias("_local"))
@@ -263,21 +444,22 @@ def link_by_mode(detections: DataFrame, methods: list[LinkRules], mode: str = "a
     afterwards; a detection's region is not looked at otherwise.
     """
     rows = detections
+    masked = mode != "all" and mask is not None
     if mode != "all":
         for f in flags or []:
             rows = rows.where(~F.coalesce(F.col(f).cast("boolean"), F.lit(False)))
+    if masked:
+        at = rows.withColumns({"_y": F.rint("centroid_y").cast("int"), "_x": F.rint("centroid_x").cast("int")})
+        inside = at.join(mask.select("block_name", "time", F.col("y").alias("_y"), "x0", "x1").hint("merge"), ["block_name", "time", "_y"]).where("_x BETWEEN x0 AND x1").select("block_name", "time", "object_label").distinct()
+        rows = kept(rows.join(inside.hint("merge"), ["block_name", "time", "object_label"], "left_anti"))
     names = [m.method for m in methods]
     default = "keyhole" if "keyhole" in names else names[0]
     out = None
     for rules in methods:
-        if mode != "all" and mask is not None:
-            at = rows.withColumns({"_y": F.rint("centroid_y").cast("int"), "_x": F.rint("centroid_x").cast("int")})
-            inside = at.join(mask.select("block_name", "time", F.col("y").alias("_y"), "x0", "x1").hint("merge"), ["block_name", "time", "_y"]).where("_x BETWEEN x0 AND x1").select("block_name", "time", "object_label").distinct()
-            free = rows.join(inside.hint("merge"), ["block_name", "time", "object_label"], "left_anti")
-            tracks = link_tracks(free, rules).join(free.select("block_name", "time", "object_label", F.col("centroid_y").alias("y"), F.col("centroid_x").alias("x")).hint("merge"), ["block_name", "time", "object_label"])
+        tracks = link_tracks(rows, rules)
+        if masked:
+            tracks = tracks.join(rows.select("block_name", "time", "object_label", F.col("centroid_y").alias("y"), F.col("centroid_x").alias("x")).hint("merge"), ["block_name", "time", "object_label"])
             tracks = stopped_at_mask(tracks, mask, samples).select("block_name", "time", "object_label", "track_id")
-        else:
-            tracks = link_tracks(rows, rules)
         tracks = tracks.withColumns({"tracking_method": F.lit(rules.method), "is_default": F.lit(rules.method == default)})
         out = tracks if out is None else out.unionAll(tracks)
     return out
