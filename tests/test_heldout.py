@@ -100,3 +100,20 @@ def test_frozen_models_are_read_by_the_scoring(spark, cells, tmp_path):
     t = next(t for t in H.fit(df, [x for x in tasks if x.name == ("half", "none")]))
     x = np.array([[np.nan if v is None else v for v in r[2]] for r in rows if r[0] == "g5"])
     assert score.margin == pytest.approx(float(t.decision(np.nanmean(x, 0)[None])[0]))
+
+
+@pytest.mark.parametrize("loss", ["logistic", "svm"])
+def test_a_pass_gives_the_sums_of_each_task(cells, loss):
+    rows, df = cells
+    live = df.where("group IS NOT NULL AND y IN (0, 1)")
+    tasks = H.prepare(H.left_out([f"g{k}" for k in range(8)]), H.group_sums(live), 3)
+    for k, t in enumerate(tasks):
+        t.beta = np.array([3.0, -0.5, 40.0 * k, 0.2])
+    for t, sums in zip(tasks, H._pass(live, tasks, loss, False), strict=True):
+        z, y, w = fold(rows, t.name)
+        m, side = z @ t.beta, 2 * y - 1
+        short = np.maximum(1 - side * m, 0)
+        p = 1 / (1 + np.exp(-m))
+        value, first, second = (np.logaddexp(0, m) - y * m, p - y, p * (1 - p)) if loss == "logistic" else (short**2, -2 * side * short, 2.0 * (short > 0))
+        want = np.concatenate(([(w * value).sum()], z.T @ (w * first), ((z * (w * second)[:, None]).T @ z).ravel()))
+        assert np.allclose(sums, want, rtol=1e-9, atol=1e-7)
