@@ -45,8 +45,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has the driver let go of plans that nothing refers to: Spark removes a shuffle's files only once its plan is collected,
+    which a driver with free memory puts off while the disks of a long job fill."""
+    spark._jvm.System.gc()
+
+
 class Scratch:
-    """Parquet tables in the shared folder, all removed on leaving the block."""
+    """Parquet tables in the shared folder, all removed on leaving the block; the shuffles that made one go when the next is written."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
@@ -59,6 +65,7 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
+        tidy(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _delete(self, path: str) -> None:
@@ -138,6 +145,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now, seen = cut(edges.where("u <> v").distinct()), None
     for _ in range(rounds):
         now = cut(_stars(_stars(now, large=True), large=False))
+        tidy(edges.sparkSession)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

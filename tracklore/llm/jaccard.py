@@ -193,10 +193,11 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, scratch: Scratch) ->
 def _links(docs: DataFrame, pairs: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     pairs = pairs.select("a", "b")
     needed = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-    texts = docs.join(keys_hint(scratch.table(needed)), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = scratch.table(texts.mapInArrow(_packed_sets(size), "doc long, set binary"))
-    both = _with_sets(_with_sets(pairs, sets, "b", scratch), sets, "a", scratch)
-    return scratch.table(both.select("a", "b", "set_a", "set_b").mapInArrow(_verified, "u long, v long"))
+    with Scratch(docs.sparkSession) as own:
+        texts = docs.join(keys_hint(own.table(needed)), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        sets = own.table(texts.mapInArrow(_packed_sets(size), "doc long, set binary"))
+        both = _with_sets(_with_sets(pairs, sets, "b", own), sets, "a", own)
+        return scratch.table(both.select("a", "b", "set_a", "set_b").mapInArrow(_verified, "u long, v long"))
 
 
 def _with_part(rows: DataFrame, key: str, name: str, parts: DataFrame | None) -> DataFrame:
@@ -344,11 +345,12 @@ def jaccard_groups(docs: DataFrame, size: int = 5) -> DataFrame:
         entries = classes.agg(F.sum(F.expr("n_shingles div 5 + 1"))).first()[0] or 0
         columns = max(8, -(-entries // BLOCK))
         blocks = reps.mapInArrow(_entries(size, order, columns), BLOCKS)
-        product = scratch.table(blocks.groupBy("bucket").applyInPandas(_product, PRODUCT))
-        pairs = scratch.table(product.where("kind = 0").groupBy("a", "b", "n_a", "n_b").agg(F.sum("hits").alias("hits")).select(PAIR))
-        lists = product.where("kind = 1").select("h", F.col("a").alias("doc"), F.col("n_a").alias("n"))
-        degrees = lists.groupBy("doc").agg(F.count("*").alias("degree"))
-        lists = scratch.table(lists.join(degrees.hint("merge"), "doc"))
+        with Scratch(spark) as own:
+            product = own.table(blocks.groupBy("bucket").applyInPandas(_product, PRODUCT))
+            pairs = scratch.table(product.where("kind = 0").groupBy("a", "b", "n_a", "n_b").agg(F.sum("hits").alias("hits")).select(PAIR))
+            lists = product.where("kind = 1").select("h", F.col("a").alias("doc"), F.col("n_a").alias("n"))
+            degrees = lists.groupBy("doc").agg(F.count("*").alias("degree"))
+            lists = scratch.table(lists.join(degrees.hint("merge"), "doc"))
         links = tried = parts = None
         for k in range(STARS):
             rows = _mixed(lists, parts, scratch)
