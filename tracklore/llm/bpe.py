@@ -24,9 +24,9 @@ WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 #: Contractions of the splitting pattern: fixed values.
 CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 #: Pre-tokens a worker remembers, about 60 bytes each.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Bytes of text encoded at once: bounds a worker's memory.
-AT_ONCE = 8 << 20
+AT_ONCE = 4 << 20
 
 _class_of = np.full(0x110000, 255, np.uint8)
 _class_of[WHITE] = SPACE
@@ -142,8 +142,8 @@ class Encoder:
         self.literal = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         rank = {t: i for i, t in enumerate(tokens)}
         self.byte_rank = np.array([rank[bytes([b])] for b in range(256)], np.int32)
-        pairs = [(rank[t[:k]] << 16 | rank[t[k:]], i) for i, t in enumerate(tokens) for k in range(1, len(t)) if t[:k] in rank and t[k:] in rank]
-        keys, merged = np.array(pairs, np.int64).reshape(-1, 2).T
+        pairs = (x for i, t in enumerate(tokens) for k in range(1, len(t)) if t[:k] in rank and t[k:] in rank for x in (rank[t[:k]] << 16 | rank[t[k:]], i))
+        keys, merged = np.fromiter(pairs, np.int64).reshape(-1, 2).T
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order].astype(np.uint32), merged[order].astype(np.int32)
         self.vocab = np.frombuffer(b"".join(tokens), np.uint8)

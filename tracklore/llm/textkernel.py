@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at once; a longer text is handled alone.
-SLICE = 1 << 20
+#: Bytes of text handled at once, each with several words of 8 bytes beside it; a longer text is handled alone.
+SLICE = 1 << 18
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
