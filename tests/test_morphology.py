@@ -101,3 +101,49 @@ def test_no_pixel_at_all(spark, masks):
     assert M.parts(runs, ["block"], True).count() == 0 and M.complement(runs, images, ["block"], H, WIDTH).count() == H
     assert M.filled(runs, images, ["block"], 10, H, WIDTH).count() == 0
     assert M.dense_outline(px, ["block"], H, WIDTH).count() == 0
+
+
+def written(spark):
+    """Rows that the session's stages have shuffled so far."""
+    sc, gateway = spark.sparkContext, spark.sparkContext._gateway
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_outlines_shuffle_runs_and_not_pixels(spark):
+    n, size = 30, 24
+    px = spark.range(n).select(F.col("id").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("y")).select("block", "y", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("x"))
+    px = px.withColumn("v", F.when((F.col("y") - 11) ** 2 + (F.col("x") - 12) ** 2 < 60, F.lit(50.0)).otherwise(F.lit(1.0)) + F.pmod(F.xxhash64("block", "y", "x"), F.lit(9)))
+    px = M.kept(px).repartition(5, "block")
+    before = written(spark)
+    body = M.body_outline(px, ["block"], "v", size, size, sigma=1.2, closing=2, hole=12, least=20, dilation=1)
+    after = written(spark)
+    # the table is dealt for the quantiles and for the values; all else is runs, of which an image has about three a row
+    assert sum(after[k] for k in after.keys() - before.keys()) < 4 * n * size * size
+    cluster = M.dense_outline(px.where("v > 52"), ["block"], size, size, body, sigma=1.5, closing=1, least=6, dilation=1)
+    assert cluster.select("block").distinct().count() == n
+    assert sum(s for k, s in written(spark).items() if k not in after) < 3 * n * size * size
+
+
+def test_parts_of_null_and_several_keys(spark):
+    rows = [(None, "a", 0, 0), (None, "a", 1, 0), (None, "b", 1, 0), (2**60 + 1, "a", 0, 3), (2**60 + 1, "a", 1, 4), (2**60, "a", 0, 3), (2**60, "a", -1, 3)]
+    runs = M.runs_of(spark.createDataFrame(rows, "block long, channel string, y int, x int"), ["block", "channel"])
+    for corners in (False, True):
+        got = M.parts(runs, ["block", "channel"], corners).groupBy("block", "channel", "part").agg(F.first("area").alias("area"), F.first("first").alias("first")).collect()
+        diagonal = [(2**60 + 1, "a", 2, (0, 3))] if corners else [(2**60 + 1, "a", 1, (0, 3)), (2**60 + 1, "a", 1, (1, 4))]
+        assert sorted((r.block or 0, r.channel, r.area, tuple(r.first)) for r in got) == sorted([(0, "a", 2, (0, 0)), (0, "b", 1, (1, 0)), (2**60, "a", 2, (-1, 3)), *diagonal])
+
+
+def test_the_parting_value_of_a_histogram(spark):
+    rng = np.random.default_rng(3)
+    images = [rng.normal(0, 1, 400), np.concatenate([rng.normal(0, 1, 200), rng.normal(9, 2, 150)]), np.array([1.0, 2.0]), np.full(5, 3.0)]
+    px = spark.createDataFrame([(k, 0, i, float(v)) for k, a in enumerate(images) for i, v in enumerate(a)], "block int, y int, x int, v double")
+    found = {r.block: r.threshold for r in M.parting_value(px, ["block"], "v").select("block", "threshold").distinct().collect()}
+    assert sorted(found) == [0, 1, 2]
+    for k, threshold in found.items():
+        a, b = images[k].min(), images[k].max()
+        n = np.bincount(np.minimum(((images[k] - a) / (b - a) * M.BINS).astype(int), M.BINS - 1), minlength=M.BINS)
+        w, m = np.cumsum(n), np.cumsum(n * np.arange(M.BINS))
+        at = [(-round(w[i] * (w[-1] - w[i]) * (m[i] / w[i] - (m[-1] - m[i]) / (w[-1] - w[i])) ** 2, 6), i) for i in range(M.BINS) if n[i] and w[i] < w[-1]]
+        assert threshold == pytest.approx(a + (min(at)[1] + 0.5) * (b - a) / M.BINS)

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,6 +23,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Has the driver let go of plans that nothing refers to: only then Spark removes the files of their shuffles and checkpoints,
+    and a driver with free memory puts that off while the disks of a long job fill."""
+    spark._jvm.System.gc()
+
+
 def sized(table: DataFrame, most: int = 100_000) -> DataFrame:
     """A table of parameters, computed once: to be broadcast if it is counted to be small, else to be sorted and merged."""
     table = kept(table)
@@ -107,19 +113,36 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 EDGES, LARGE = 200_000, 2_000_000
 
 
-def _least(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Nodes of a task's edges with the least node that each reaches: the least label spreads, and jumps ahead."""
-    edges = [t.to_numpy(np.int64) for t in tables]
-    nodes, ends = np.unique(np.concatenate(edges) if edges else np.empty((0, 2), np.int64), return_inverse=True)
-    u, v = ends.reshape(-1, 2).T
-    label = np.arange(len(nodes))
+def least_reached(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The least of the nodes 0 to n - 1 that each one reaches over edges (u, v): the least label spreads, and jumps ahead."""
+    label = np.arange(n)
     while (label[u] != label[v]).any():
         low = np.minimum(label[u], label[v])
         np.minimum.at(label, label[u], low)
         np.minimum.at(label, label[v], low)
         while (label != label[label]).any():
             label = label[label]
-    yield pd.DataFrame({"u": nodes, "component": nodes[label]})
+    return label
+
+
+def _least(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Nodes of a task's edges with the least node that each reaches."""
+    edges = [t.to_numpy(np.int64) for t in tables]
+    nodes, ends = np.unique(np.concatenate(edges) if edges else np.empty((0, 2), np.int64), return_inverse=True)
+    u, v = ends.reshape(-1, 2).T
+    yield pd.DataFrame({"u": nodes, "component": nodes[least_reached(u, v, len(nodes))]})
+
+
+def apart(rows: DataFrame, key: list[str], large: int) -> tuple[DataFrame, DataFrame | None]:
+    """rows of keys that have at most large of them, and rows of the other keys, or None if there is no such key."""
+    if rows.count() <= large:
+        return rows, None
+    heavy = kept(rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > large).drop("n"))
+    if heavy.isEmpty():
+        return rows, None
+    same = [F.col(f"_r.{k}").eqNullSafe(F.col(f"_h.{k}")) for k in key]
+    light, rest = (rows.alias("_r").join(heavy.alias("_h").hint("merge"), same, how) for how in ("left_anti", "left_semi"))
+    return light, rest
 
 
 def components_within(edges: DataFrame, key: list[str], each: int | None = None, large: int | None = None) -> DataFrame:

@@ -1,24 +1,43 @@
 """Masks as runs of pixels in rows: union, complement, disks, connected parts, holes, outlines of bodies and of dense regions.
 
-A mask is (key, y, x0, x1): pixels x0 to x1 of row y, both included, runs of a row apart from each other. All work is by
-(key, row); an image has any size, and only the graph of touching runs crosses rows.
+A mask is (key, y, x0, x1): pixels x0 to x1 of row y, both included, runs of a row apart from each other. Work on runs is by
+(key, row), and only the graph of touching runs crosses rows. Tables of pixels are the large ones: outlines deal them once by
+image and keep what follows in its task, so that only runs are shuffled or stored; such a task holds an image's sums, and its
+sorts may spill.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracklore.operators.lineage import components_within, kept
+from tracklore.operators import lineage
+from tracklore.operators.lineage import apart, components_within, freed, kept, least_reached
 
 #: Bins of the histogram that the threshold between dark and light comes from.
 BINS = 256
 
+#: Rows of images that one task holds, about.
+ROWS = 10_000
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """df kept, once the disk of the step before is freed."""
+    freed(df.sparkSession)
+    return kept(df)
+
+
+def _tasks(images: DataFrame, height: int) -> int:
+    """How many tasks to deal images (key) to by their key: masks of the same images, dealt alike, meet without a shuffle."""
+    return max(-(-images.count() * height // ROWS), images.sparkSession.sparkContext.defaultParallelism)
+
 
 def merged(runs: DataFrame, key: list[str]) -> DataFrame:
     """Runs that overlap or touch within a row, as one."""
@@ -70,19 +89,69 @@ def crossed(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     return both.select(*key, "y", F.greatest("x0", "_a").alias("x0"), F.least("x1", "_b").alias("x1"))
 
 
+def _tied(key: list[str], reach: int):
+    """Runs of whole images with part, area, _y and _x: the number of the part's first run in the task, its pixels, its first pixel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        runs = pa.Table.from_batches(batches)
+        image = np.zeros(len(runs), np.int64)
+        for c in key:
+            code = runs[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            image = np.unique(image * (int(code.max()) + 1) + code, return_inverse=True)[1]
+        y, x0, x1 = (runs[c].to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
+        order = np.lexsort((x0, y, image))
+        runs, image, y, x0, x1 = runs.take(order), image[order], y[order], x0[order], x1[order]
+        line, left = image * (y.max() - y.min() + 2) + y, x0.min() - reach
+        wide = x1.max() + reach - left + 1
+        at = lambda line, x: line * wide + x - left
+        first = np.searchsorted(at(line, x1), at(line + 1, x0 - reach))
+        near = np.maximum(np.searchsorted(at(line, x0), at(line + 1, x1 + reach), side="right") - first, 0)
+        u = np.repeat(np.arange(len(y)), near)
+        v = np.arange(len(u)) + np.repeat(first - (np.cumsum(near) - near), near)
+        part = least_reached(u, v, len(y))
+        area = np.zeros(len(y), np.int64)
+        np.add.at(area, part, x1 - x0 + 1)
+        more = {"part": part, "area": area[part], "_y": y[part], "_x": x0[part]}
+        for name, values in more.items():
+            runs = runs.append_column(name, pa.array(values.astype(np.int64)))
+        yield from runs.to_batches(max_chunksize=10_000)
+
+    return run
+
+
+def _parts_of_large(own: DataFrame, key: list[str], reach: int) -> DataFrame:
+    """What _tied gives, for images whose runs are many tasks' work: their graph is settled in rounds."""
+    own = kept(own.withColumn("run", F.monotonically_increasing_id()))
+    below = own.select(*[F.col(k).alias(f"_{k}") for k in key], (F.col("y") - 1).alias("_line"), F.col("x0").alias("_a"), F.col("x1").alias("_b"), F.col("run").alias("v"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    ties = own.join(below.hint("merge"), [*same, F.col("y") == F.col("_line")]).where((F.col("x0") <= F.col("_b") + reach) & (F.col("_a") <= F.col("x1") + reach))
+    found = components_within(ties.select(*key, F.col("run").alias("u"), "v"), key).select(F.col("u").alias("run"), F.col("component").alias("part"))
+    of = own.join(found.hint("merge"), "run", "left").withColumn("part", F.coalesce("part", "run")).drop("run")
+    sizes = of.groupBy("part").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"), F.min(F.struct("y", "x0")).alias("_f"))
+    sizes = sizes.select("part", "area", F.col("_f.y").cast("long").alias("_y"), F.col("_f.x0").cast("long").alias("_x"))
+    return of.join(sizes.hint("merge"), "part").select(*own.drop("run").columns, "part", "area", "_y", "_x")
+
+
 def parts(runs: DataFrame, key: list[str], corners: bool) -> DataFrame:
     """Runs with part, area and first: the connected part that each belongs to, its pixels, and its first one by row and column.
 
-    Runs of neighbouring rows are tied where they share a column, or touch at a corner if corners count.
+    Runs of neighbouring rows are tied where they share a column, or touch at a corner if corners count. part is a number
+    of its image. Images are dealt to tasks that tie and settle their runs; those of very many runs are settled over all tasks.
     """
-    own = kept(runs.select(*key, "y", "x0", "x1").withColumn("run", F.monotonically_increasing_id()))
-    below = own.select(*key, (F.col("y") - 1).alias("y"), F.col("x0").alias("_a"), F.col("x1").alias("_b"), F.col("run").alias("v"))
     reach = 1 if corners else 0
-    ties = own.join(below.hint("merge"), [*key, "y"]).where((F.col("x0") <= F.col("_b") + reach) & (F.col("_a") <= F.col("x1") + reach))
-    found = components_within(ties.select(*key, F.col("run").alias("u"), "v"), key).select(F.col("u").alias("run"), F.col("component").alias("part"))
-    of = own.join(found.hint("merge"), "run", "left").withColumn("part", F.coalesce("part", "run")).drop("run")
-    sizes = of.groupBy("part").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"), F.min(F.struct("y", F.col("x0").alias("x"))).alias("first"))
-    return of.join(sizes.hint("merge"), "part")
+    own = _stored(runs.select(*key, "y", "x0", "x1"))
+    light, rest = apart(own, key, lineage.LARGE // 2)
+    types = dict(own.dtypes)
+    schema = ", ".join(f"`{c}` {t}" for c, t in own.dtypes) + ", part long, area long, _y long, _x long"
+    tasks = max(-(-own.count() // (lineage.EDGES // 2)), own.sparkSession.sparkContext.defaultParallelism)
+    found = light.repartition(tasks, *key).mapInArrow(_tied(key, reach), schema)
+    if rest is not None:
+        found = found.unionAll(_parts_of_large(rest, key, reach))
+    number = F.col("_y") * F.lit(1 << 32) + F.col("_x")
+    return found.select(*key, "y", "x0", "x1", number.alias("part"), "area", F.struct(F.col("_y").cast(types["y"]).alias("y"), F.col("_x").cast(types["x0"]).alias("x")).alias("first"))
 
 
 def without_small(runs: DataFrame, key: list[str], least: int) -> DataFrame:
@@ -99,10 +168,10 @@ def filled(runs: DataFrame, images: DataFrame, key: list[str], most: int, height
 def ranked_parts(runs: DataFrame, key: list[str], least: int = 1) -> DataFrame:
     """Runs with part_id and rank: each image's parts of at least least pixels, numbered by their first pixel, and ranked
     by area, the first of equals first. Corners count."""
-    found = kept(parts(runs, key, corners=True).where(F.col("area") >= least))
-    each = found.groupBy(*key, "part").agg(F.first("area").alias("area"), F.first("first").alias("first"))
-    each = each.withColumns({"part_id": F.row_number().over(W.partitionBy(*key).orderBy("first")), "rank": F.row_number().over(W.partitionBy(*key).orderBy(F.desc("area"), "first"))})
-    return found.drop("area", "first").join(each.select("part", "area", "part_id", "rank").hint("merge"), "part").drop("part")
+    found = parts(runs, key, corners=True).where(F.col("area") >= least)
+    of = W.partitionBy(*key)
+    found = found.withColumns({"part_id": F.dense_rank().over(of.orderBy("first")), "rank": F.dense_rank().over(of.orderBy(F.desc("area"), "first"))})
+    return found.drop("first", "part")
 
 
 def smoothed(pixels: DataFrame, key: list[str], value: str, sigma: float, height: int, width: int, digits: int = 9) -> DataFrame:
@@ -119,17 +188,18 @@ def smoothed(pixels: DataFrame, key: list[str], value: str, sigma: float, height
 
 
 def parting_value(pixels: DataFrame, key: list[str], value: str) -> DataFrame:
-    """(key, threshold): of each image's histogram in BINS bins between its least and largest value, the middle of the bin
-    that parts it with the largest variance between both sides, the first of equals."""
-    span = pixels.groupBy(*key).agg(F.min(value).alias("_a"), F.max(value).alias("_b")).where("_b > _a")
-    level = F.least(F.floor((F.col(value) - F.col("_a")) / (F.col("_b") - F.col("_a")) * BINS), F.lit(BINS - 1))
-    h = pixels.join(span.hint("merge"), key).groupBy(*key, "_a", "_b", level.alias("level")).agg(F.count("*").alias("n"))
-    upto, every = W.partitionBy(*key).orderBy("level"), W.partitionBy(*key)
-    h = h.withColumns({"w": F.sum("n").over(upto), "m": F.sum(F.col("n") * F.col("level")).over(upto), "ww": F.sum("n").over(every), "mm": F.sum(F.col("n") * F.col("level")).over(every)})
-    apart = F.col("m") / F.col("w") - (F.col("mm") - F.col("m")) / (F.col("ww") - F.col("w"))
-    h = h.where("ww > w").withColumn("between", F.round(F.col("w") * (F.col("ww") - F.col("w")) * apart * apart, 6))
-    best = h.groupBy(*key).agg(F.first("_a").alias("_a"), F.first("_b").alias("_b"), F.min_by("level", F.struct(-F.col("between"), "level")).alias("level"))
-    return best.select(*key, (F.col("_a") + (F.col("level") + 0.5) * (F.col("_b") - F.col("_a")) / BINS).alias("threshold"))
+    """pixels with threshold: of their image's histogram in BINS bins between its least and largest value, the middle of the bin
+    that parts it with the largest variance between both sides, the first of equals. Images of one value are left out."""
+    every = W.partitionBy(*key)
+    upto = every.orderBy("_level")  # with equal levels, so what a pixel sees are the sums of its bin
+    span = pixels.withColumns({"_a": F.min(value).over(every), "_b": F.max(value).over(every)}).where("_b > _a")
+    h = span.withColumn("_level", F.least(F.floor((F.col(value) - F.col("_a")) / (F.col("_b") - F.col("_a")) * BINS), F.lit(BINS - 1)))
+    h = h.withColumns({"_w": F.count("*").over(upto), "_m": F.sum("_level").over(upto), "_ww": F.count("*").over(every), "_mm": F.sum("_level").over(every)})
+    above = F.when(F.col("_ww") > F.col("_w"), F.col("_ww") - F.col("_w"))
+    between = F.col("_m") / F.col("_w") - (F.col("_mm") - F.col("_m")) / above
+    h = h.withColumn("_between", F.round(F.col("_w") * above * between * between, 6))
+    best = F.min_by("_level", F.when(F.col("_between").isNotNull(), F.struct(-F.col("_between"), F.col("_level")))).over(every)
+    return h.select(*pixels.columns, (F.col("_a") + (best + 0.5) * (F.col("_b") - F.col("_a")) / BINS).alias("threshold"))
 
 
 def body_outline(pixels: DataFrame, key: list[str], value: str, height: int, width: int, sigma: float = 2.0, relaxed: float = 0.6, floor: float = 0.03, closing: int = 10, hole: int = 5000, least: int = 15_000, dilation: int = 3) -> DataFrame:
@@ -141,12 +211,16 @@ def body_outline(pixels: DataFrame, key: list[str], value: str, height: int, wid
     """
     q = pixels.groupBy(*key).agg(F.percentile(value, F.lit(0.01)).alias("_a"), F.percentile(value, F.lit(0.998)).alias("_b")).where("_b > _a")
     share = F.least(F.greatest((F.col(value) - F.col("_a")) / (F.col("_b") - F.col("_a")), F.lit(0.0)), F.lit(1.0))
-    images = kept(q.select(*key))
-    soft = kept(smoothed(pixels.join(q.hint("merge"), key).withColumn("_s", share), key, "_s", sigma, height, width))
-    light = soft.join(parting_value(soft, key, "_s").hint("merge"), key).where(F.col("_s") > F.greatest(F.round(relaxed * F.col("threshold"), 9), F.lit(floor)))
-    mask = filled(closed_runs(runs_of(light, key), images, key, closing, height, width), images, key, hole, height, width)
+    q = _stored(q)
+    tasks = _tasks(q, height)
+    images = q.select(*key).repartition(tasks, *key)
+    soft = smoothed(pixels.join(q.hint("merge"), key).withColumn("_s", share), key, "_s", sigma, height, width)
+    light = parting_value(soft, key, "_s").where(F.col("_s") > F.greatest(F.round(relaxed * F.col("threshold"), 9), F.lit(floor)))
+    light = runs_of(light, key).repartition(tasks, *key)
+    mask = _stored(closed_runs(light, images, key, closing, height, width)).repartition(tasks, *key)
+    mask = filled(mask, images, key, hole, height, width)
     body = ranked_parts(without_small(mask, key, least), key).where("rank = 1")
-    return kept(dilated_runs(body, key, dilation, height, width))
+    return _stored(dilated_runs(body, key, dilation, height, width))
 
 
 def dense_outline(pixels: DataFrame, key: list[str], height: int, width: int, body: DataFrame | None = None, sigma: float = 8.0, quantile: float = 0.7, floor: float = 0.08, closing: int = 4, least: int = 1500, only_largest: bool = True, dilation: int = 4) -> DataFrame:
@@ -157,19 +231,24 @@ def dense_outline(pixels: DataFrame, key: list[str], height: int, width: int, bo
     cluster 1. Without dilation, clusters are numbered by their first pixel.
     """
     own = runs_of(pixels, key)
-    own = kept(pixels_of(crossed(own, body, key) if body is not None else own, key))
+    own = _stored(crossed(own, body, key) if body is not None else own)
     images = kept(own.select(*key).distinct())
-    soft = kept(smoothed(own.withColumn("_d", F.lit(1.0)), key, "_d", sigma, height, width))
-    cut = soft.join(own.hint("merge"), [*key, "y", "x"], "left_semi").groupBy(*key).agg(F.greatest(F.round(F.percentile("_d", F.lit(quantile)), 9), F.lit(floor)).alias("_cut"))
-    core = runs_of(soft.join(cut.hint("merge"), key).where(F.col("_d") >= F.col("_cut")), key)
-    core = crossed(core, body, key) if body is not None else core
+    tasks = _tasks(images, height)
+    images, own = images.repartition(tasks, *key), pixels_of(own.repartition(tasks, *key), key)
+    soft = smoothed(own.withColumn("_d", F.lit(1.0)), key, "_d", sigma, height, width)
+    soft = soft.withColumn("_own", F.lit(False)).unionAll(own.select(*key, "y", "x", F.lit(0.0).alias("_d"), F.lit(True).alias("_own")))
+    soft = soft.groupBy(*key, "y", "x").agg(F.max("_d").alias("_d"), F.max("_own").alias("_own"))
+    share = F.percentile(F.when(F.col("_own"), F.col("_d")), F.lit(quantile)).over(W.partitionBy(*key))
+    core = soft.withColumn("_cut", F.greatest(F.round(share, 9), F.lit(floor))).where("_d >= _cut")
+    core = runs_of(core, key)
+    core = (crossed(core, body, key) if body is not None else core).repartition(tasks, *key)
     core = without_small(closed_runs(core, images, key, closing, height, width), key, least)
     found = ranked_parts(core, key, least)
     found = found.where("rank = 1") if only_largest else found
     if not dilation:
         return found.select(*key, (F.lit(1) if only_largest else F.col("part_id")).alias("cluster_id"), "y", "x0", "x1")
     grown = dilated_runs(found, key, dilation, height, width)
-    return kept((crossed(grown, body, key) if body is not None else grown).select(*key, F.lit(1).alias("cluster_id"), "y", "x0", "x1"))
+    return _stored((crossed(grown, body, key) if body is not None else grown).select(*key, F.lit(1).alias("cluster_id"), "y", "x0", "x1"))
 
 
 def exclusion_outline(cluster: DataFrame, key: list[str], height: int, width: int, body: DataFrame | None = None, dilation: int = 25) -> DataFrame:

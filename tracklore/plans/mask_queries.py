@@ -15,9 +15,10 @@ FRAME = ["block", "t"]
 
 def plates(spark, sf):
     """lineitem as images of every supplier's own: the largest price at each place, lighter towards the middle; 0 where no row is."""
-    x = dealt(spark, sf, "lineitem", table(spark, sf, "lineitem"), "l_suppkey").select(
+    x = table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("block"), ((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 3) % SIZE).cast("int").alias("y"), ((F.col("l_partkey") * 5 + F.col("l_quantity").cast("long")) % SIZE).cast("int").alias("x"), F.col("l_extendedprice").alias("v"),
     )
+    x = dealt(spark, sf, "lineitem", x, "block")
     middle = F.pow(F.col("y") - 14, F.lit(2)) + F.pow(F.col("x") - 17, F.lit(2))
     x = x.withColumn("v", F.when(middle < 90, F.col("v") + 40_000).otherwise(F.col("v") / 2))
     axis = F.sequence(F.lit(0), F.lit(SIZE - 1))
