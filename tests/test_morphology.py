@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracklore.operators import morphology as M
+from tracklore.plans import mask_queries
 
+SF = "/root/testdata/sf0.001"
 H, WIDTH = 9, 11
 
 
@@ -147,3 +149,14 @@ def test_the_parting_value_of_a_histogram(spark):
         w, m = np.cumsum(n), np.cumsum(n * np.arange(M.BINS))
         at = [(-round(w[i] * (w[-1] - w[i]) * (m[i] / w[i] - (m[-1] - m[i]) / (w[-1] - w[i])) ** 2, 6), i) for i in range(M.BINS) if n[i] and w[i] < w[-1]]
         assert threshold == pytest.approx(a + (min(at)[1] + 0.5) * (b - a) / M.BINS)
+
+
+def test_plates_and_what_is_kept_off_deal_their_table_once_a_pass(spark):
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    start = written(spark)
+    assert mask_queries.plates(spark, SF).agg(F.sum("v")).first()[0] > 0
+    once = written(spark)
+    assert n <= sum(s for k, s in once.items() if k not in start) < 1.2 * n
+    assert mask_queries.QUERIES["exclusion_outline"](spark, SF).count() > 0
+    # three passes: quantiles, values, bright pixels; images have 1024 pixels each, and a few hundred runs over all steps
+    assert sum(s for k, s in written(spark).items() if k not in once) < 5 * n

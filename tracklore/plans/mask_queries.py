@@ -18,11 +18,11 @@ def plates(spark, sf):
     x = table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("block"), ((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 3) % SIZE).cast("int").alias("y"), ((F.col("l_partkey") * 5 + F.col("l_quantity").cast("long")) % SIZE).cast("int").alias("x"), F.col("l_extendedprice").alias("v"),
     )
-    x = dealt(spark, sf, "lineitem", x, "block")
+    x, blocks = (dealt(spark, sf, "lineitem", rows, "block") for rows in (x, x.select("block").distinct()))
     middle = F.pow(F.col("y") - 14, F.lit(2)) + F.pow(F.col("x") - 17, F.lit(2))
     x = x.withColumn("v", F.when(middle < 90, F.col("v") + 40_000).otherwise(F.col("v") / 2))
     axis = F.sequence(F.lit(0), F.lit(SIZE - 1))
-    grid = x.select("block").distinct().select("block", F.explode(axis).alias("y")).select("block", "y", F.explode(axis).alias("x"), F.lit(0.0).alias("v"))
+    grid = blocks.select("block", F.explode(axis).alias("y")).select("block", "y", F.explode(axis).alias("x"), F.lit(0.0).alias("v"))
     return x.unionAll(grid).groupBy("block", "y", "x").agg(F.max("v").alias("v"))
 
 
